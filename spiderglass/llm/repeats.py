@@ -2,17 +2,20 @@
 
 A window is WINDOW consecutive words of one document. Its minimiser is the leftmost run of MINIMISER
 words with the smallest hash inside it, so equal windows have equal minimisers. Consecutive windows
-with one minimiser form a super-k-mer.
-
-1. Each document sends its minimisers (hash and number of windows; no text). A minimiser whose windows
-   number one in the whole corpus marks a window that occurs nowhere else, so only the others go on.
-   Counts are pre-aggregated before the shuffle.
-2. The super-k-mers of shared minimisers travel as one packed string to their bucket. Equal strings
-   are counted before the shuffle, so a passage copied a million times arrives once a task.
-3. In a bucket, the windows of its distinct strings are sorted and counted exactly, with the strings'
-   counts as weights. A bucket with very many distinct strings is dealt out by its windows instead
-   (HOT_BUCKET), which are counted with partial aggregates.
-4. Strings with repeated windows go back to the documents, whose covered words are removed.
+with one minimiser form a super-k-mer; it is named by the hash of its minimiser and the hash of its
+words (128 bits in all).
+
+1. Each document sends the names of its super-k-mers with the places where they start; no text.
+2. Names are counted per minimiser with partial aggregates. A minimiser that stands once in the corpus
+   marks windows that occur nowhere else: nothing of it goes on. Where a minimiser has one super-k-mer
+   only, in several copies, all its windows are repeated: no text need travel for it either.
+3. For a minimiser with several different super-k-mers, each of them travels once, as one packed string
+   from one of the documents that hold it, to the minimiser's bucket; there windows are sorted and
+   counted exactly, weighted by the strings' numbers of copies. A bucket with more than HOT_BUCKET
+   strings is dealt out by its windows instead, which are counted with partial aggregates.
+4. The spans found go back to all places of a string, and the documents lose the covered words.
+
+The texts themselves are shuffled once.
 
 Edge cases: null, empty and short texts (fewer words than a window) lose nothing; a window that occurs
 twice in one document counts as repeated, overlapping occurrences included; equal texts lose all their
@@ -24,7 +27,6 @@ from __future__ import annotations
 
 import hashlib
 import sys
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +36,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .common import gram_hashes, small_batches, stash, table, word_hashes
+from .common import gram_hashes, mixed, small_batches, stash, table, word_hashes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(common)
 
-WINDOW, MINIMISER = 35, 12
+WINDOW, MINIMISER = 35, 8
 #: Distinct strings of a bucket beyond which its windows are counted apart.
 HOT_BUCKET = 4096
 _BLOCK = 1 << 15
@@ -57,88 +59,123 @@ def minimiser_starts(hashes: np.ndarray, span: int) -> np.ndarray:
     return out
 
 
-def super_kmers(words: list[bytes], window: int, minimiser: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows, and minimiser hash (signed) of each super-k-mer."""
+def super_kmers(words: list[bytes], window: int, minimiser: int) -> tuple[np.ndarray, ...]:
+    """First window, number of windows, minimiser hash and hash of the words (signed) of each super-k-mer."""
     if len(words) < window:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    h = gram_hashes(word_hashes(words), minimiser)
-    at = minimiser_starts(h, window - minimiser + 1)
+        return (np.empty(0, np.int64),) * 4
+    h = word_hashes(words)
+    grams = gram_hashes(h, minimiser)
+    at = minimiser_starts(grams, window - minimiser + 1)
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return first, np.diff(np.r_[first, len(at)]), h[at[first]].view(np.int64)
+    n = np.diff(np.r_[first, len(at)])
+    # A hash of words i to j from sums over a prefix, brought to one scale by the power at i.
+    scale = _powers(len(h) + 1)
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * scale[0, :-1], out=sums[1:])
+    body = mixed((sums[first + n + window - 1] - sums[first]) * scale[1, first] + n.astype(np.uint64))
+    return first, n, grams[at[first]].view(np.int64), body.view(np.int64)
+
+
+_STEP = 0xD1342543DE82EF95
+_TABLE: list[np.ndarray] = []
+
+
+def _powers(n: int) -> np.ndarray:
+    """Powers of an odd number modulo 2**64, and of its inverse."""
+    if not _TABLE or _TABLE[0].shape[1] < n:
+        m = max(n, 1 << 16)
+        both = np.ones((2, m), np.uint64)
+        for row, base in enumerate((_STEP, pow(_STEP, -1, 1 << 64))):
+            both[row, 1:] = np.uint64(base)
+            np.cumprod(both[row], out=both[row])
+        _TABLE[:] = [both]
+    return _TABLE[0][:, :n]
 
 
 def _texts(batch) -> list[bytes]:
     return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
 
 
+def _names(batches, window: int, minimiser: int):
+    names = ["row", "row2", "key", "body", "n", "starts"]
+    for batch in batches:
+        out: list[list] = [[] for _ in names]
+        for row, row2, text in zip(batch.column("row").to_pylist(), batch.column("row2").to_pylist(), _texts(batch), strict=True):
+            first, n, key, body = super_kmers(text.split(), window, minimiser)
+            if not len(first):
+                continue
+            order = np.lexsort((first, body, key))
+            key, body, first, n = key[order], body[order], first[order], n[order]
+            new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (body[1:] != body[:-1])])
+            count = len(new)
+            for column, value in zip(out, (np.full(count, row, np.int64), np.full(count, row2, np.int64), key[new], body[new], n[new].astype(np.int32)), strict=False):
+                column.append(value)
+            out[5].append((first.astype(np.int32), np.diff(np.r_[new, len(first)])))
+        if out[0]:
+            arrays = [pa.array(np.concatenate(x)) for x in out[:5]]
+            ends = np.r_[0, np.cumsum(np.concatenate([x[1] for x in out[5]]))].astype(np.int32)
+            starts = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x[0] for x in out[5]])))
+            yield pa.RecordBatch.from_arrays([*arrays, starts], names=names)
+
+
 def find_repeats(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """docs (row, row2, text): (row, row2, spans), spans being flat word positions [start, end, start, end, ...] that
-    repeated windows cover. row and row2 tell rows apart; minimisers travel with row alone, as a row too many is only looked at in vain."""
-    small_batches(docs.sparkSession)
+    """docs (doc_id, text, row, row2): (row, row2, spans), spans being flat word
+    positions [start, end, start, end, ...] that repeated windows cover."""
+    plain = docs.select("row", "row2", "text")
+    sent = stash(plain.mapInArrow(lambda b: _names(b, window, minimiser), "row long, row2 long, key long, body long, n int, starts array<int>"), "superkmers")
+    places = F.size("starts").cast("long")
+    info = sent.groupBy("key").agg(F.min("body").alias("lo"), F.max("body").alias("hi"), F.sum(places).alias("places")).where("places > 1").select("key", (F.col("lo") != F.col("hi")).alias("several"))
+    shared = stash(sent.join(info, "key"), "shared")
+    # Each string once, from the first row that has it.
+    first = F.min(F.struct("row", "row2", F.element_at("starts", 1).alias("start"), "n"))
+    strings = shared.where("several").groupBy("key", "body").agg(first.alias("at"), F.sum(places).alias("copies"))
+    strings = stash(strings.select("key", "body", "copies", "at.*"), "strings")
+    crowded = stash(strings.groupBy("key").agg(F.count("*").alias("strings")).where(F.col("strings") > hot_bucket).select("key"), "crowded")
+    has_crowded = not crowded.isEmpty()
 
-    def minimisers(batches):
-        for batch in batches:
-            rows, keys, counts = [], [], []
-            for row, text in zip(batch.column("row").to_pylist(), _texts(batch), strict=True):
-                _, n, key = super_kmers(text.split(), window, minimiser)
-                if len(key):
-                    key, where = np.unique(key, return_inverse=True)
-                    keys.append(key)
-                    counts.append(np.bincount(where, weights=n).astype(np.int64))
-                    rows.append(np.full(len(key), row, np.int64))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (rows, keys, counts)], names=["row", "key", "n"])
-
-    sent = stash(docs.mapInArrow(minimisers, "row long, key long, n long"), "minimisers")
-    shared = sent.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
-    wanted = sent.select("row", "key").join(shared, "key").groupBy("row").agg(F.collect_list("key").alias("keys"))
-
-    def pack(batches):
+    def packed(which: DataFrame) -> DataFrame:
+        wanted = which.groupBy("row", "row2").agg(F.collect_list(F.struct("key", "body", "copies", "start", "n")).alias("wanted"))
+        return docs.join(wanted, ["row", "row2"]).mapInArrow(cut_out, "key long, body long, copies long, packed binary")
+
+    def cut_out(batches):
         for batch in batches:
-            rows, rows2, starts, keys, packed = [], [], [], [], []
-            for row, row2, text, want in zip(batch.column("row").to_pylist(), batch.column("row2").to_pylist(), _texts(batch), batch.column("keys"), strict=True):
+            keys, bodies, copies, packed = [], [], [], []
+            for text, wanted in zip(_texts(batch), batch.column("wanted").to_pylist(), strict=True):
                 words = text.split()
-                first, n, key = super_kmers(words, window, minimiser)
-                for i in np.flatnonzero(np.isin(key, want.values.to_numpy(zero_copy_only=False))):
-                    s = int(first[i])
-                    rows.append(row)
-                    rows2.append(row2)
-                    starts.append(s)
-                    keys.append(int(key[i]))
-                    packed.append(b" ".join(words[s : s + int(n[i]) + window - 1]))
-            if rows:
-                yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in (rows, rows2, starts, keys)], pa.array(packed, pa.binary())], names=["row", "row2", "start", "key", "packed"])
-
-    kmers = stash(docs.join(wanted, "row").mapInArrow(pack, "row long, row2 long, start long, key long, packed binary"), "superkmers")
-    # The id of a string: two hashes of it, which every later join carries in its place.
-    named = kmers.select("row", "row2", "start", "key", F.xxhash64(F.lit(1), "packed").alias("a"), F.xxhash64(F.lit(2), "packed").alias("b"), "packed")
-    strings = stash(named.groupBy("key", "a", "b", "packed").agg(F.count("*").alias("copies")), "strings")
-    crowded = strings.groupBy("key").agg(F.count("*").alias("strings")).where(F.col("strings") > hot_bucket).select("key")
-    crowded = stash(crowded, "crowded")
-    has_crowded = not crowded.isEmpty()
-    calm = strings.join(crowded, "key", "left_anti") if has_crowded else strings
-
-    def flags(strings: list[bytes], copies: list[int]) -> list[list[int]]:
+                for w in wanted:
+                    keys.append(w["key"])
+                    bodies.append(w["body"])
+                    copies.append(w["copies"])
+                    packed.append(b" ".join(words[w["start"] : w["start"] + w["n"] + window - 1]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(bodies, pa.int64()), pa.array(copies, pa.int64()), pa.array(packed, pa.binary())], names=["key", "body", "copies", "packed"])
+
+    def bucket(strings: list[bytes], copies: list[int]) -> list[list[int]]:
         """For each string the flat spans of its words that repeated windows cover."""
-        seen: Counter = Counter()
         split = [s.split(b" ") for s in strings]
-        windows = [[b" ".join(w[i : i + window]) for i in range(len(w) - window + 1)] for w in split]
-        # Sorted, equal windows stand together; their strings' counts add up.
-        runs = sorted((x, c) for ws, c in zip(windows, copies, strict=True) for x in ws)
-        for x, c in runs:
-            seen[x] += c
-        return [spans_of([i for i, x in enumerate(ws) if seen[x] > 1], window) for ws in windows]
+        windows = sorted((b" ".join(w[i : i + window]), c, k, i) for k, (w, c) in enumerate(zip(split, copies, strict=True)) for i in range(len(w) - window + 1))
+        hits: list[list[int]] = [[] for _ in strings]
+        at = 0
+        while at < len(windows):
+            end, total = at, 0
+            while end < len(windows) and windows[end][0] == windows[at][0]:
+                total += windows[end][1]
+                end += 1
+            if total > 1:
+                for _, _, k, i in windows[at:end]:
+                    hits[k].append(i)
+            at = end
+        return [spans_of(sorted(h), window) for h in hits]
 
     def count_buckets(batches):
-        """Batches come sorted by bucket; a bucket's rows may go over the end of a batch."""
+        """Rows come sorted by bucket; a bucket may go over the end of a batch."""
         key, held, found = None, [], []
         for batch in batches:
-            for k, a, b, packed, copies in zip(*[batch.column(c).to_pylist() for c in ("key", "a", "b", "packed", "copies")], strict=True):
-                if k != key and held:
+            for row in zip(*[batch.column(c).to_pylist() for c in ("key", "body", "copies", "packed")], strict=True):
+                if row[0] != key and held:
                     found += closed(held)
                     held = []
-                key = k
-                held.append((a, b, packed, copies))
+                key = row[0]
+                held.append(row)
             if len(found) > 2000:
                 yield as_batch(found)
                 found = []
@@ -147,43 +184,40 @@ def find_repeats(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMIS
         if found:
             yield as_batch(found)
 
-    def as_batch(found):
-        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.list_(pa.int64()))], names=["a", "b", "spans"])
-
     def closed(held):
-        if len(held) == 1:
-            # Windows of one super-k-mer have their minimiser in different places, so none equals another.
-            a, b, packed, copies = held[0]
-            return [(a, b, [0, packed.count(b" ") + 1])] if copies > 1 else []
-        spans = flags([h[2] for h in held], [h[3] for h in held])
+        spans = bucket([h[3] for h in held], [h[2] for h in held])
         return [(h[0], h[1], s) for h, s in zip(held, spans, strict=True) if s]
 
-    schema = "a long, b long, spans array<long>"
-    marked = calm.repartition("key").sortWithinPartitions("key").mapInArrow(count_buckets, schema)
+    def as_batch(found):
+        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.list_(pa.int32()))], names=["key", "body", "spans"])
+
+    schema = "key long, body long, spans array<int>"
+    calm = strings.join(crowded, "key", "left_anti") if has_crowded else strings
+    marked = packed(calm).repartition("key").sortWithinPartitions("key").mapInArrow(count_buckets, schema)
     if has_crowded:
 
         def windows_of(batches):
             for batch in batches:
-                a2, b2, at, text, n = [], [], [], [], []
-                for a, b, packed, copies in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "packed", "copies")], strict=True):
+                out: list[list] = [[], [], [], [], []]
+                for key, body, packed, copies in zip(*[batch.column(c).to_pylist() for c in ("key", "body", "packed", "copies")], strict=True):
                     w = packed.split(b" ")
                     for i in range(len(w) - window + 1):
-                        a2.append(a)
-                        b2.append(b)
-                        at.append(i)
-                        text.append(b" ".join(w[i : i + window]))
-                        n.append(copies)
-                yield pa.RecordBatch.from_arrays([pa.array(a2, pa.int64()), pa.array(b2, pa.int64()), pa.array(at, pa.int64()), pa.array(text, pa.binary()), pa.array(n, pa.int64())], names=["a", "b", "at", "window", "n"])
-
-        each = strings.join(crowded, "key", "left_semi").mapInArrow(windows_of, "a long, b long, at long, window binary, n long")
-        each = stash(each.select("a", "b", "at", F.sha2("window", 256).alias("window"), "n"), "windows")
+                        for column, value in zip(out, (key, body, i, hashlib.sha256(b" ".join(w[i : i + window])).digest()[:16], copies), strict=True):
+                            column.append(value)
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["key", "body", "at", "window", "n"])
+
+        each = packed(strings.join(crowded, "key", "left_semi")).mapInArrow(windows_of, "key long, body long, at int, window binary, n long")
+        each = stash(each, "windows")
         often = each.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window")
-        hit = each.join(often, "window").groupBy("a", "b").agg(F.sort_array(F.collect_set("at")).alias("at"))
-        spans = F.flatten(F.transform("at", lambda i: F.array(i, i + F.lit(window))))
-        marked = marked.union(hit.select("a", "b", spans.alias("spans")))
-    places = named.select("row", "row2", "start", "a", "b").join(stash(marked, "marked"), ["a", "b"])
-    spans = F.transform("spans", lambda x: x + F.col("start"))
-    return places.groupBy("row", "row2").agg(F.flatten(F.collect_list(spans)).alias("spans"))
+        hit = each.join(often, "window").groupBy("key", "body").agg(F.sort_array(F.collect_set("at")).alias("at"))
+        marked = marked.union(hit.select("key", "body", F.flatten(F.transform("at", lambda i: F.array(i, i + F.lit(window)))).alias("spans")))
+    whole = F.array(F.lit(0), F.col("n") + (window - 1))
+    found = shared.where("not several").select("row", "row2", "starts", whole.alias("spans")).union(
+        shared.where("several").select("row", "row2", "key", "body", "starts").join(marked, ["key", "body"]).select("row", "row2", "starts", "spans")
+    )
+    moved = F.flatten(F.transform("starts", lambda s: F.transform("spans", lambda x: x + s)))
+    return found.groupBy("row", "row2").agg(F.flatten(F.collect_list(moved)).alias("spans"))
 
 
 def spans_of(starts: list[int], width: int) -> list[int]:
@@ -210,7 +244,8 @@ def kept_words(words: list[bytes], spans) -> tuple[int, list[bytes]]:
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, hot_bucket: int = HOT_BUCKET, with_text: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept]) for every row of docs (doc_id, text)."""
-    # Rows are told apart by a hash of the text and the id, so repeated ids with other texts stay apart; equal rows get equal results.
+    small_batches(docs.sparkSession)
+    # Rows are told apart by hashes of id and text, so repeated ids with other texts stay apart; equal rows get equal results.
     base = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"), F.xxhash64(F.lit(7), "text", "doc_id").alias("row2"))
     names = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()), *([("kept", T.StringType())] if with_text else [])]
     schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, t) for n, t in names]])
@@ -231,7 +266,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
                 arrays.append(pa.array([k.decode("utf-8", "replace") for k in kept], pa.string()))
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *[n for n, _ in names]])
 
-    repeats = find_repeats(base.select("row", "row2", "text"), window, minimiser, hot_bucket)
+    repeats = find_repeats(base, window, minimiser, hot_bucket)
     return base.join(repeats, ["row", "row2"], "left").select("doc_id", "text", "spans").mapInArrow(finish, schema)
 
 
