@@ -8,15 +8,22 @@ Candidates: a line of length l is cut into EDITS + 1 segments; EDITS edits leave
 probing line of length n looks, for every length l from n - EDITS to n, at the substrings that can still
 stand against each segment (multi-match-aware windows: their number depends on EDITS only). Index and
 probe keys are hashes of (length, segment, substring) and meet in an equi-join. Equal lines are merged,
-with partial aggregates, before any key travels. Candidates are verified with a banded bit-parallel
-edit distance: a band of 2 * EDITS + 1 bits slides along the diagonal, a few word operations a column.
+with partial aggregates, before any key travels.
 
-The text itself moves only for the candidates' verification.
+Hot segments (EDITS = 1): where more than HOT lines share a segment, say the many variants of one line,
+their pairs are not formed. Those lines are cut into more segments, and a key holds all of them but one,
+from the start up to it and from the end down to it; variants that differ in two places share no such
+key. What is still hot is cut finer again (LEVELS). With EDITS above 1 pairs come from segments alone.
+
+Candidates are verified with a banded bit-parallel edit distance: a band of 2 * EDITS + 1 bits slides
+along the diagonal, a few word operations a column. The text itself moves only for hot lines and for
+candidates.
 
 Edge cases: null texts and empty texts have no line; short lines have a null class, are never linked
-and never removed; lines that differ in outer white space only are equal; a line linked to or equal to an earlier one is removed, whether or not that earlier one is removed itself;
-rows equal in doc_id and text count as one row; an empty table gives no rows; columns other than
-doc_id and text pass through `remove_lines` untouched.
+and never removed; lines that differ in outer spaces only are equal; a line equal to or linked to an
+earlier one is removed, whether or not that earlier one is removed itself; rows equal in doc_id and
+text count as one row; an empty table gives no rows; columns other than doc_id and text pass through
+`remove_lines` untouched.
 """
 
 from __future__ import annotations
@@ -26,35 +33,49 @@ from pyspark.sql import functions as F
 
 from .common import clean, let, stash, table
 
-EDITS, MIN_CHARS = 2, 24
+EDITS, MIN_CHARS = 1, 24
+#: Lines that may share a segment before they are cut finer, and the numbers of segments then.
+HOT, LEVELS = 32, (8, 64)
 #: Rows of ids up to which they are broadcast (16 bytes each), else they are joined by a shuffle.
 FEW = 500_000
 
 
-def _segment(l: Column, i: int, edits: int) -> tuple[Column, Column]:
+def _segment(l: Column, i: Column, parts: int) -> tuple[Column, Column]:
     """Start (from 1) and length of segment i of a line of length l; the longer segments stand last."""
-    parts = edits + 1
     base, short = F.floor(l / parts).cast("int"), parts - l % parts
-    return base * i + F.greatest(F.lit(i) - short, F.lit(0)) + 1, base + F.when(F.lit(i) >= short, 1).otherwise(0)
+    return base * i + F.greatest(i - short, F.lit(0)) + 1, base + F.when(i >= short, 1).otherwise(0)
 
 
-def index_keys(line: Column, n: Column, edits: int) -> list[Column]:
-    out = []
-    for i in range(edits + 1):
-        start, size = _segment(n, i, edits)
-        out.append(F.xxhash64(n, F.lit(i), F.substring(line, start, size)))
-    return out
+def _each(line: Column, n: Column, params: list[tuple], body) -> Column:
+    """body(line, n, one of params) for all params: an array that is walked, so the code stays small."""
+    names = [f"p{k}" for k in range(len(params[0]))]
+    made = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(names, p, strict=True)]) for p in params])
+    return let(F.struct(line.alias("line"), n.alias("n")), lambda x: F.transform(made, lambda p: body(x["line"], x["n"], *[p[k] for k in names])))
 
 
-def probe_keys(line: Column, n: Column, edits: int) -> list[Column]:
-    out = []
+def segment_keys(line: Column, n: Column, edits: int) -> tuple[Column, Column]:
+    """Index keys and probe keys of a line."""
+    probes = []
     for shorter in range(edits + 1):
-        l = n - shorter
         for i in range(edits + 1):
-            start, size = _segment(l, i, edits)
             low, high = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
-            out += [F.xxhash64(l, F.lit(i), F.substring(line, start + move, size)) for move in range(low, high + 1)]
-    return out
+            probes += [(shorter, i, move) for move in range(low, high + 1)]
+
+    def key(line: Column, n: Column, shorter: Column, i: Column, move: Column) -> Column:
+        start, size = _segment(n - shorter, i, edits + 1)
+        return F.xxhash64(n - shorter, i, F.substring(line, start + move, size))
+
+    return _each(line, n, [(0, i, 0) for i in range(edits + 1)], key), _each(line, n, probes, key)
+
+
+def all_but_one_keys(line: Column, n: Column, parts: int) -> tuple[Column, Column]:
+    """Keys of all segments but one, for lines of the same length (index) and one shorter (probe)."""
+
+    def key(line: Column, n: Column, shorter: Column, i: Column) -> Column:
+        start, size = _segment(n - shorter, i, parts)
+        return F.xxhash64(n - shorter, i, F.substring(line, F.lit(1), start - 1), F.substring(line, start + size + shorter, n))
+
+    return _each(line, n, [(0, i) for i in range(parts)], key), _each(line, n, [(s, i) for s in (0, 1) for i in range(parts)], key)
 
 
 def banded_distance(a: Column, b: Column, edits: int) -> Column:
@@ -102,37 +123,66 @@ def split_lines(docs: DataFrame) -> DataFrame:
     return each.select("doc_id", "r", "line_no", F.trim("line").alias("line")).select("*", F.length("line").alias("n"))
 
 
+def _candidates(keyed: DataFrame, hot: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs (a, b, a2, b2) of lines (a, b, index, probe) that share a key, and the lines of hot keys."""
+    index = keyed.select("a", "b", F.explode("index").alias("key"))
+    probe = keyed.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.explode("probe").alias("key"))
+    lines = None
+    if hot:
+        crowded = stash(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key"), "hot-keys")
+        if not crowded.isEmpty():
+            # Both ends of a pair under a hot key are cut finer, so that the pair meets there.
+            ends = index.union(probe).join(crowded, "key", "left_semi")
+            lines = stash(ends.select("a", "b").distinct(), "hot-lines")
+            index = index.join(crowded, "key", "left_anti")
+    pairs = index.join(probe, "key").where("a <> a2 or b <> b2")
+    swap = F.struct("a", "b") > F.struct("a2", "b2")
+    pick = lambda x, y, name: F.when(swap, F.col(x)).otherwise(F.col(y)).alias(name)
+    return pairs.select(pick("a2", "a", "a"), pick("b2", "b", "b"), pick("a", "a2", "a2"), pick("b", "b2", "b2")), lines
+
+
+def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(at, line): the texts of lines at places (at)."""
+    few = places.count() <= FEW
+    wanted = places.select("at.doc_id", "at.r").distinct()
+    wanted, places = (F.broadcast(wanted), F.broadcast(places)) if few else (wanted, places)
+    return split_lines(_of(docs, wanted)).select(F.struct("doc_id", "r", "line_no").alias("at"), "line", "n").join(places, "at", "left_semi").distinct()
+
+
 def link_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
     """Classes (a, b, first, copies, n) and links between them (a, b, first; a2, b2, first2; distance)."""
     docs = docs.select("doc_id", "text")
     lines = split_lines(docs).where(F.col("n") >= min_chars)
-    keys = F.array(*index_keys(F.col("line"), F.col("n"), edits), *probe_keys(F.col("line"), F.col("n"), edits))
-    named = lines.select(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(3), "line").alias("b"), F.struct("doc_id", "r", "line_no").alias("at"), keys.alias("keys"), "n")
-    classes = named.groupBy("a", "b").agg(F.min("at").alias("first"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("n").alias("n"))
-    classes = stash(classes, "line-classes")
-    k = edits + 1
-    index = classes.select("a", "b", F.explode(F.slice("keys", 1, k)).alias("key"))
-    probe = classes.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.explode(F.slice("keys", k + 1, 1_000)).alias("key"))
-    pairs = index.join(probe, "key").where("a <> a2 or b <> b2")
-    swap = F.struct("a", "b") > F.struct("a2", "b2")
-    pairs = pairs.select(F.when(swap, F.col("a2")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("b2")).otherwise(F.col("b")).alias("b"), F.when(swap, F.col("a")).otherwise(F.col("a2")).alias("a2"), F.when(swap, F.col("b")).otherwise(F.col("b2")).alias("b2"))
+    index, probe = segment_keys(F.col("line"), F.col("n"), edits)
+    named = lines.select(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(3), "line").alias("b"), F.struct("doc_id", "r", "line_no").alias("at"), F.struct(index.alias("index"), probe.alias("probe")).alias("keys"), "n")
+    classes = stash(named.groupBy("a", "b").agg(F.min("at").alias("first"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("n").alias("n")), "line-classes")
+    found, hot = _candidates(classes.select("a", "b", "keys.*"), HOT if edits == 1 else None)
+    found = [found]
+    if hot is not None:
+        texts = stash(_texts(docs, classes.join(hot, ["a", "b"], "left_semi").select(F.col("first").alias("at"))), "hot-texts")
+        texts = texts.select(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(3), "line").alias("b"), "line", "n")
+        for level, parts in enumerate(LEVELS):
+            index, probe = all_but_one_keys(F.col("line"), F.col("n"), parts)
+            more, hot = _candidates(texts.join(hot, ["a", "b"], "left_semi").select("a", "b", index.alias("index"), probe.alias("probe")), HOT if level < len(LEVELS) - 1 else None)
+            found.append(more)
+            if hot is None:
+                break
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.union(more)
     pairs = stash(pairs.distinct(), "line-pairs")
     lone = classes.select("a", "b", "first")
     other = lone.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("first").alias("first2"))
     pairs = stash(pairs.join(lone, ["a", "b"]).join(other, ["a2", "b2"]), "line-pairs")
-    # The candidates' texts, from the documents where they stand first.
-    ids = stash(pairs.select(F.explode(F.array("first", "first2")).alias("at")).distinct(), "line-places")
-    few = ids.count() <= FEW
-    wanted = ids.select("at.doc_id", "at.r").distinct()
-    wanted = F.broadcast(wanted) if few else wanted
-    places = F.broadcast(ids) if few else ids
-    texts = split_lines(_of(docs, wanted)).select(F.struct("doc_id", "r", "line_no").alias("at"), "line").join(places, "at", "left_semi").distinct()
-    texts = stash(texts, "line-texts")
+    texts = stash(_texts(docs, stash(pairs.select(F.explode(F.array("first", "first2")).alias("at")).distinct(), "line-places")), "line-texts")
     both = pairs.join(texts.select(F.col("at").alias("first"), F.col("line").alias("x")), "first").join(texts.select(F.col("at").alias("first2"), F.col("line").alias("y")), "first2")
+    # Verification is work, not volume: it is dealt out evenly, whatever the pairs' size in bytes.
+    both = both.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b", "a2", "b2")
     chars = lambda c: F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
-    both = both.select("a", "b", "first", "a2", "b2", "first2", chars(F.col("x")).alias("x"), chars(F.col("y")).alias("y"))
-    links = both.select("a", "b", "first", "a2", "b2", "first2", banded_distance(F.col("x"), F.col("y"), edits).alias("distance")).where(F.col("distance") <= edits)
-    return classes.drop("keys"), stash(links, "line-links")
+    distance = let(F.struct(chars(F.col("x")).alias("x"), chars(F.col("y")).alias("y")), lambda s: banded_distance(s["x"], s["y"], edits))
+    # The distance is computed once: as the one element, or none, that a row is exploded by.
+    within = F.explode(F.filter(F.array(distance), lambda d: d <= edits)).alias("distance")
+    return classes.drop("keys"), stash(both.select("a", "b", "first", "a2", "b2", "first2", within), "line-links")
 
 
 def _of(docs: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -303,17 +303,21 @@ def test_banded_distance(spark):
             assert r.got == r.d if r.d <= k else r.got > k
 
 
-def brute_lines(rows, edits=2, least=24):
+def brute_lines(rows):
     each = sorted({(i, t) for i, t in rows if i is not None}, key=lambda x: x[0])
     return [(i, k, x.strip(" ")) for i, t in each for k, x in enumerate((t or "").split("\n"))]
 
 
-def test_lines(odd, docs, spark):
+@pytest.mark.parametrize("edits,hot", [(1, lines.HOT), (1, 1), (2, lines.HOT)])
+def test_lines(odd, docs, spark, monkeypatch, edits, hot):
+    monkeypatch.setattr(lines, "HOT", hot)
     some = [r for r in both(odd, docs)[1][1]][:60]
     made = [(1000 + k, "\n".join("".join(rng.choices("abcdefgh ", k=rng.randrange(20, 60))) for _ in range(4))) for k in range(10)]
-    made += [(2000 + i, "\n".join(x[: (p := rng.randrange(len(x)))] + rng.choice(["", "z", "yy"]) + x[p + rng.randrange(3) :] for x in t.split("\n"))) for i, t in made]
+    made += [(2000 + i, "\n".join(x[: (p := rng.randrange(len(x)))] + rng.choice(["", "z", "yy"]) + x[p + rng.randrange(2) :] for x in t.split("\n"))) for i, t in made]
     plain = [r for r in ROWS if r[0] != 21 and r[0] is not None]
-    for rows in (some, made, plain):
+    whole = "".join(rng.choices("abcdefgh ", k=70)).strip() + "."
+    storm = [(3000 + i, whole[:i] + rng.choice("xyz") + whole[i + 1 :]) for i in range(60)] + [(3100 + i, whole[:i] + "new word" + whole[i + 5 :]) for i in range(50)] + [(3200 + i, whole[:30] + f"{i:04d}" + whole[30:]) for i in range(60)]
+    for rows in (some, made, plain, storm):
         df = spark.createDataFrame(rows, "doc_id long, text string")
         all_lines = brute_lines(rows)
         first, links = {}, defaultdict(set)
@@ -323,14 +327,14 @@ def test_lines(odd, docs, spark):
         names = sorted(first)
         for a, x in enumerate(names):
             for y in names[:a]:
-                if abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2:
+                if abs(len(x) - len(y)) <= edits and distance(x, y) <= edits:
                     links[x].add(y)
                     links[y].add(x)
         count = Counter(x for _, _, x in all_lines)
         want = {}
         for i, k, x in all_lines:
             want[(i, k)] = (*first[x], count[x], len(links[x]), first[x] != (i, k) or any(first[y] < first[x] for y in links[x])) if x in first else (None, None, 1, 0, False)
-        got = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no, r.copies, r.n_links, r.removed) for r in lines.line_classes(df).collect()}
+        got = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no, r.copies, r.n_links, r.removed) for r in lines.line_classes(df, edits=edits).collect()}
         assert got == want
     assert lines.line_classes(odd).count() == sum((t or "").count("\n") + 1 for _, t in ROWS)
 
