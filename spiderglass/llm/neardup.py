@@ -5,14 +5,21 @@ one class; its smallest doc_id stands for it. Each class has a signature of SLOT
 The signature is split into CHUNKS pieces. By pigeonhole, two signatures that differ in at most
 2 * CHUNKS - 1 slots have a piece with at most one differing slot, so a key for every way of leaving one
 slot out of a piece is shared by every such pair (SLOTS keys a class). At Jaccard 0.85 a slot differs
-with probability 0.15: more than 21 of 64 differ for about one such pair in 20 000, and of those most
-still share a key; a pair shares none with probability under 1e-6.
+with probability 0.15, and a pair shares no key with probability 2e-5 (less for closer pairs).
 
-Links are confirmed on the full sets. Not all pairs of a bucket are formed: rows of a bucket link to a
-pivot; only rows whose component differs from a later pivot's are tried again, with other pivots; what
-is still apart after PIVOT_ROUNDS is tried pair by pair (rows of the smaller components against the
-rest of the bucket), so no link between components is lost. Buckets are counted with partial
-aggregates and joined on their key, so a hot bucket never gathers in one task.
+Links are confirmed on the full sets. Not all pairs of a bucket are formed:
+
+1. A shingle that no other class of any shared bucket has is no part of an intersection. A class with
+   more such shingles than 1 - 0.85 of its set links with nothing and leaves; the numbers of such
+   shingles also bound what a pair can share.
+2. The rows of a bucket are tried against a pivot, the class with the smallest share of own shingles
+   (in a group of edited copies that is the original).
+3. Only rows whose component then differs from others of their bucket, and pairs within the bound, are
+   tried further: with other pivots while there are many, then pair by pair, so no link that would
+   join two components is lost.
+
+Buckets are counted with partial aggregates and joined on their key, so a hot bucket never gathers in
+one task.
 
 Edge cases: null, empty or blank texts have empty sets, link with nothing and are kept; fewer words
 than a shingle: the whole sequence is the only shingle; equal texts share a component; of repeated doc_ids
@@ -39,10 +46,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(common)
 
 SHINGLE = 5
-SLOTS, CHUNKS = 64, 11
+SLOTS, CHUNKS = 80, 10
 PERCENT = 85
 #: Pairs of signatures further apart are not confirmed: at 85 % alike that happens once in 10**8 pairs.
-MAX_APART = 27
+MAX_APART = 32
 #: Rounds with pivots before the rest is tried pair by pair; it is tried at once where that is so few pairs for each row of the buckets.
 PIVOT_ROUNDS, PAIRS_A_ROW = 6, 4
 _PIECE = 4096
@@ -126,40 +133,59 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.where(ok).select("a", "b").distinct()
 
 
+def _own_shingles(sets: DataFrame) -> DataFrame:
+    """(id, n, own): the size of each set and how many of its shingles no other set has."""
+    alone = sets.select("id", F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
+    own = alone.groupBy("id").agg(F.count("*").alias("own"))
+    return sets.select("id", F.size("set").alias("n")).join(own, "id", "left").select("id", "n", F.coalesce("own", F.lit(0)).alias("own"))
+
+
+def _may_link(percent: int):
+    """Whether two sets (n, own and n2, own2) can share enough."""
+    most = F.least(F.col("n") - F.col("own"), F.col("n2") - F.col("own2"))
+    return (100 + percent) * most >= percent * (F.col("n") + F.col("n2"))
+
+
 def _class_links(nodes: DataFrame, docs: DataFrame, percent: int) -> list[DataFrame]:
     """Confirmed links (a, b) that give the components of all confirmed links."""
     keyed = nodes.select("id", F.explode(_keys()).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1").select("key", "pivot")
-    bucket = stash(keyed.join(shared, "key"), "buckets")
-    n_rows = bucket.count()
-    if not n_rows:
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    met = stash(keyed.join(shared, "key"), "buckets")
+    if met.isEmpty():
         return []
-    involved = bucket.select(F.col("id").alias("doc_id")).distinct()
+    involved = met.select(F.col("id").alias("doc_id")).distinct()
     schema = T.StructType([T.StructField("id", nodes.schema["id"].dataType), T.StructField("set", T.ArrayType(T.LongType()))])
+    # With repeated doc_ids a class id may bring other texts along; their sets count as the class's too.
     sets = stash(docs.join(involved, "doc_id", "left_semi").mapInArrow(_sets, schema).where("size(set) > 0"), "sets")
-    tested = stash(_near(bucket.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), nodes), "pairs")
+    facts = stash(_own_shingles(sets).groupBy("id").agg(F.max("n").alias("n"), F.min("own").alias("own")).where(100 * F.col("own") <= (100 - percent) * F.col("n")), "facts")
+    bucket = stash(met.join(facts, "id"), "buckets")
+    drop_stash(met)
+    n_rows = bucket.count()
+    order = F.struct((F.col("own") / F.col("n")).alias("share"), F.col("id"), F.col("n").alias("n2"), F.col("own").alias("own2"))
+    pivots = bucket.groupBy("key").agg(F.count("*").alias("rows"), F.min(order).alias("p")).where("rows > 1").select("key", F.col("p.id").alias("p"), F.col("p.n2").alias("n2"), F.col("p.own2").alias("own2"))
+    first = bucket.join(pivots, "key").where((F.col("id") != F.col("p")) & _may_link(percent)).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
+    tested = stash(_near(first.distinct(), nodes), "pairs")
     links = [stash(_confirmed(tested, sets, percent), "links")]
     for attempt in range(1, PIVOT_ROUNDS + 2):
         known = links[0]
         for more in links[1:]:
             known = known.union(more)
         label = components(known)
-        now = bucket.select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+        now = bucket.join(label, "id", "left").select("key", "id", "n", "own", F.coalesce("component", "id").alias("c"))
         now = stash(now.join(now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), "key", "left_semi"), "apart")
-        sizes = now.groupBy("key", "c").agg(F.count("*").cast("double").alias("n"))
-        cost = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q")).agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2)).first()[0]
+        sizes = now.groupBy("key", "c").agg(F.count("*").cast("double").alias("rows"))
+        cost = sizes.groupBy("key").agg(F.sum("rows").alias("r"), F.sum(F.col("rows") * F.col("rows")).alias("q")).agg(F.sum((F.col("r") * F.col("r") - F.col("q")) / 2)).first()[0]
         if not cost:
             break
         last = attempt > PIVOT_ROUNDS or cost <= PAIRS_A_ROW * n_rows
         if last:
             # Every row outside a bucket's largest component against the rest of the bucket.
-            top = sizes.groupBy("key").agg(F.max(F.struct("n", "c")).alias("t")).select("key", F.col("t.c").alias("top"))
-            left = now.join(top, "key").where("c <> top").select("key", F.col("id").alias("x"), F.col("c").alias("xc"))
-            tries = left.join(now, "key").where("xc <> c").select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b"))
+            top = sizes.groupBy("key").agg(F.max(F.struct("rows", "c")).alias("t")).select("key", F.col("t.c").alias("top"))
+            other = now.join(top, "key").where("c <> top").select("key", F.col("id").alias("p"), F.col("c").alias("pc"), F.col("n").alias("n2"), F.col("own").alias("own2"))
         else:
-            order = F.struct(F.xxhash64(F.lit(attempt), F.col("id")), F.col("id"), F.col("c"))
-            pivots = now.groupBy("key").agg(F.min(order).alias("p")).select("key", F.col("p.id").alias("p"), F.col("p.c").alias("pc"))
-            tries = now.join(pivots, "key").where("c <> pc").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
+            order = F.struct(F.xxhash64(F.lit(attempt), F.col("id")), F.col("id"), F.col("c"), F.col("n").alias("n2"), F.col("own").alias("own2"))
+            other = now.groupBy("key").agg(F.min(order).alias("p")).select("key", F.col("p.id").alias("p"), F.col("p.c").alias("pc"), F.col("p.n2").alias("n2"), F.col("p.own2").alias("own2"))
+        tries = now.join(other, "key").where((F.col("c") != F.col("pc")) & _may_link(percent)).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
         tries = stash(_near(tries.distinct().join(tested, ["a", "b"], "left_anti"), nodes), "pairs")
         links.append(stash(_confirmed(tries, sets, percent), "links"))
         drop_stash(now)
