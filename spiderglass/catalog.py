@@ -1,10 +1,450 @@
-"""Every query of the engine by name, with the SQL that says the same."""
+"""Every query of the engine by name, with the SQL that says the same on DuckDB."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from .functions import classify, text, urls
+from .operators import aggregates as agg
+from .operators import export, filters, graph, grid, ingest, sets, windows
+from .operators.filters import ResultsFilter
+from .plans import reports, sessions, views
+from .plans.views import FRONTIER_SQL, SESSION_SQL, with_crawl
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
 
+def add(name: str, run, sql: str | None = None, *more: str) -> None:
+    """A query over the crawl model: run(spark, sf_dir), and its SQL over the same (crawl, page, log, raw_log)."""
+    QUERIES[name] = run
+    if sql:
+        ORACLE_SQL[name] = with_crawl(sql, *more)
+
+
+def over(f, view=views.crawl):
+    return lambda spark, d: f(view(spark, d))
+
+
+def frontier(spark, d):
+    return ingest.frontier(views.seen(spark, d), views.crawl(spark, d))
+
+
+def health(spark, d):
+    return agg.health(views.crawl(spark, d), frontier(spark, d))
+
+
 def entry(spark, sf_dir):
-    raise NotImplementedError
+    return health(spark, sf_dir)
+
+
+CP = "resource_type = 'HTML' AND status >= 200 AND status < 300"
+e = lambda c: f"coalesce({c}, '')"
+
+# ---- scans and sources ------------------------------------------------------------------------
+
+_ID = "SELECT id, session_id, url, status FROM "
+add("scan_session", over(lambda r: r.where("session_id = 1").orderBy("id").select("id", "session_id", "url", "status")), _ID + "crawl WHERE session_id = 1")
+add("scan_keyset", over(lambda r: grid.after(r, 2000, 500).select("id", "session_id", "url", "status")), _ID + "crawl WHERE id > 2000 ORDER BY id LIMIT 500")
+add("scan_frontier", lambda s, d: frontier(s, d).where("session_id = 1").select("url"), "SELECT url FROM frontier WHERE session_id = 1", FRONTIER_SQL)
+add("point_lookup", over(lambda r: grid.project_camel(grid.point_lookup(r, 1, "https://h3.example.com/p5")).select("url", "status", "title", "responseTime")), "SELECT url, status, coalesce(title, '') AS title, response_time AS \"responseTime\" FROM crawl WHERE session_id = 1 AND url = 'https://h3.example.com/p5' LIMIT 1")
+
+# ---- writes -----------------------------------------------------------------------------------
+
+_STORED = "id, session_id, url, status, title, h1, h2, meta_description, canonical, word_count"
+add("blank_non_content", over(lambda r: r.select("id", *_STORED.split(", ")[2:], "seo.contentHash", "seo.h1Count", "seo.imagesMissingAlt", F.size("seo.structuredDataTypes").cast("long").alias("n_types"), F.col("seo.securityHeaders.hsts").alias("hsts")), views.log),
+    'SELECT id, url, status, title, h1, h2, meta_description, canonical, word_count, "seo_contentHash" AS "contentHash", "seo_h1Count" AS "h1Count", "seo_imagesMissingAlt" AS "imagesMissingAlt", len("seo_structuredDataTypes") AS n_types, seo_hsts AS hsts FROM log')
+
+
+def upsert(spark, d):
+    log = views.log(spark, d).withColumn("seq", F.col("id"))
+    stored = ingest.last_wins(log.where("id < 5000"))
+    return ingest.upsert(stored, log.where("id >= 5000")).select(*_STORED.split(", "))
+
+
+add("sink_upsert_results", upsert, f"SELECT {_STORED} FROM crawl")
+add("seo_json_pack", over(lambda r: r.select("id", F.to_json(F.struct(F.col("seo.contentHash").alias("contentHash"), F.col("seo.h1Count").alias("h1Count"), F.col("seo.inSitemap").alias("inSitemap"))).alias("seo_json"))),
+    """SELECT id, '{"contentHash":"' || "seo_contentHash" || '","h1Count":' || "seo_h1Count"::VARCHAR || ',"inSitemap":' || "seo_inSitemap"::VARCHAR || '}' AS seo_json FROM crawl""")
+add("sink_frontier", frontier, "SELECT session_id, url FROM frontier", FRONTIER_SQL)
+add("export_outlinks", over(export.outlinks), """SELECT source_url, target_url, CASE WHEN regexp_extract(source_url, '://([^/?#]*)', 1) = regexp_extract(target_url, '://([^/?#]*)', 1) THEN 'internal' ELSE 'external' END AS link_scope
+FROM (SELECT url AS source_url, unnest(seo_outlinks) AS target_url FROM crawl)""")
+add("export_failed_requests", over(export.failed_requests), 'SELECT url AS page_url, unnest("seo_failedRequests") AS resource_url FROM crawl')
+add("export_console", over(export.console), 'SELECT url AS page_url, unnest("seo_consoleErrors") AS message FROM crawl')
+add("export_filtered", over(lambda r: export.outlinks(filters.filtered(r, ResultsFilter(statusMin=400))).select("source_url", "target_url")), "SELECT url AS source_url, unnest(seo_outlinks) AS target_url FROM crawl WHERE status >= 400")
+_MAIN = ["url", "status", "title", "title_length", "canonical_is_self", "meta_description_length", "structured_data_count", "structured_data_types", "outlink_count", "error", "in_sitemap", "js_errors", "header:server", "header:x-num", "meta:robots", "meta:og:title", "redirect_1", "hreflang_2_lang"]
+
+
+def export_main(spark, d):
+    rows = views.crawl(spark, d)
+    return export.flatten(rows, export.ExportSchema(("server", "x-num"), ("og:title", "robots"), 2, 2)).select(*_MAIN)
+
+
+_NORM = r"trim(regexp_replace(coalesce({}, ''), '\s+', ' ', 'g'))"
+_CELL = lambda c: f"CASE WHEN {_NORM.format(c)} SIMILAR TO '[=+\\-@].*' THEN '''' || {_NORM.format(c)} ELSE {_NORM.format(c)} END"
+add("export_main", export_main, f"""SELECT url, status::VARCHAR AS status, {_CELL("title")} AS title, length({_NORM.format("title")})::VARCHAR AS title_length,
+  CASE WHEN coalesce(canonical, '') = '' THEN '' ELSE (regexp_replace(canonical, '/$', '') = regexp_replace(url, '/$', ''))::VARCHAR END AS canonical_is_self, length({_NORM.format("meta_description")})::VARCHAR AS meta_description_length,
+  len("seo_structuredDataTypes")::VARCHAR AS structured_data_count, array_to_string("seo_structuredDataTypes", ' | ') AS structured_data_types, len(seo_outlinks)::VARCHAR AS outlink_count, coalesce(error, '') AS error,
+  "seo_inSitemap"::VARCHAR AS in_sitemap, array_to_string("seo_jsErrors", ' | ') AS js_errors, server_header AS "header:server", k::VARCHAR AS "header:x-num", meta_robots AS "meta:robots", og_title AS "meta:og:title",
+  coalesce("seo_redirectChain"[1], '') AS redirect_1, coalesce("seo_hreflangLangs"[2], '') AS hreflang_2_lang FROM crawl""")
+add("discover_schema", over(lambda r: export.discovered(r).select(F.array_join("headers", ",").alias("headers"), F.array_join("metas", ",").alias("metas"), F.col("hreflang").cast("long"), F.col("redirects").cast("long"))),
+    """SELECT 'server,x-num' AS headers, 'og:title,robots' AS metas, max(len("seo_hreflangLangs")) AS hreflang, max(len("seo_redirectChain")) AS redirects FROM crawl""")
+
+# ---- projections ------------------------------------------------------------------------------
+
+add("project_camel", over(lambda r: grid.project_camel(r).select("id", "url", "status", "title", "metaDescription", "error", "isIndexable", "wordCount", "ogImage")),
+    "SELECT id, url, status, coalesce(title, '') AS title, coalesce(meta_description, '') AS \"metaDescription\", nullif(error, '') AS error, is_indexable AS \"isIndexable\", word_count AS \"wordCount\", og_image AS \"ogImage\" FROM crawl")
+_RATIO = "CASE WHEN \"seo_ogImageWidthReal\" > 0 AND \"seo_ogImageHeightReal\" > 0 THEN round(\"seo_ogImageWidthReal\"::DOUBLE / \"seo_ogImageHeightReal\", 2) WHEN og_image_width > 0 AND og_image_height > 0 THEN round(og_image_width::DOUBLE / og_image_height, 2) ELSE 0.0::DOUBLE END"
+add("merge_overflow", over(lambda r: grid.merge_overflow(r).select("id", "title", "contentHash", "crawlDepth", "ogImageRatio", "inSitemap")), f'SELECT id, coalesce(title, \'\') AS title, "seo_contentHash" AS "contentHash", "seo_crawlDepth" AS "crawlDepth", {_RATIO} AS "ogImageRatio", "seo_inSitemap" AS "inSitemap" FROM crawl')
+_QUALITY = lambda c, lo, hi: f"CASE WHEN length({e(c)}) = 0 THEN '' WHEN length({e(c)}) > {hi} THEN 'over' WHEN length({e(c)}) < {lo} THEN 'under' ELSE 'ok' END"
+add("tab_columns", over(lambda r: grid.tab(r, "Page Titles")), f'SELECT url AS address, title, {_QUALITY("title", 30, 60)} AS "titleLen", status AS "statusCode", is_indexable AS indexable FROM crawl')
+add("scraper_columns", over(lambda r: r.select("id", *grid.scraper_columns(("price",)))), "SELECT id, CASE WHEN k % 3 = 1 THEN '$' || k::VARCHAR ELSE '' END AS scraper_price, k % 3 = 1 AS scraper_price_appears FROM crawl")
+add("detail_sections", over(lambda r: grid.details(r).groupBy("section", "name").agg(F.count("*").alias("n"), F.countDistinct("value").alias("values")).where("section = 'Dates'")),
+    """SELECT 'Dates' AS section, name, count(*) AS n, count(DISTINCT value) AS "values" FROM (SELECT unnest([{'name': 'Date Published', 'value': CASE WHEN date_published = '' THEN '(none)' ELSE date_published END}, {'name': 'Published Time', 'value': "seo_datePublishedTime"},
+  {'name': 'Date Modified', 'value': '(none)'}, {'name': 'Modified Time', 'value': ''}], recursive := true) FROM crawl) GROUP BY name""")
+add("status_text", over(lambda r: r.select("id", classify.status_text(F.col("status"), F.col("error")).alias("status_text"))),
+    """SELECT id, CASE WHEN status >= 200 AND status < 300 THEN 'OK' WHEN status = 301 THEN 'Moved Permanently' WHEN status = 302 THEN 'Found' WHEN status = 404 THEN 'Not Found' WHEN status = 429 THEN 'Too Many Requests' WHEN status >= 500 THEN 'Server Error'
+  WHEN status >= 400 THEN 'Client Error' WHEN status >= 300 THEN 'Redirect' WHEN starts_with(coalesce(error, ''), 'host_blocked_by_detector') THEN 'Parked' WHEN regexp_matches(coalesce(error, ''), '(?i)timeout') THEN 'Timeout' WHEN regexp_matches(coalesce(error, ''), '(?i)ERR_CONNECTION_RESET') THEN 'Connection reset'
+  WHEN length(coalesce(error, '')) > 40 THEN substr(error, 1, 38) || '…' ELSE coalesce(error, '') END AS status_text FROM crawl""")
+add("queue_status", over(lambda r: r.select("id", classify.queue_status(F.col("status"), F.col("error")).alias("queue_status"))),
+    "SELECT id, CASE WHEN status = 0 AND coalesce(error, '') <> '' THEN 'Pending' WHEN status >= 400 THEN 'Pending' WHEN status >= 200 AND status < 400 THEN 'Done' ELSE '' END AS queue_status FROM crawl")
+add("length_quality", over(lambda r: r.select("id", text.length_quality(F.col("title"), 30, 60).alias("title_quality"), text.length_quality(F.col("meta_description"), 70, 155).alias("description_quality"))),
+    f"SELECT id, {_QUALITY('title', 30, 60)} AS title_quality, {_QUALITY('meta_description', 70, 155)} AS description_quality FROM crawl")
+_ROBOTS = (F.col("meta_robots"), F.col("seo.metaGooglebot"), F.col("seo.xRobotsTag"))
+_ALL = "lower(meta_robots || ',' || \"seo_metaGooglebot\" || ',' || \"seo_xRobotsTag\")"
+_TOKENS = f"list_transform(list_filter(list_transform(regexp_split_to_array({_ALL}, '[,;]'), lambda t: trim(t)), lambda t: t <> ''), lambda t: trim(split_part(t, ':', 1)))"
+add("directive_tokens", over(lambda r: r.select("id", F.array_join(F.array_sort(classify.directive_tokens(*_ROBOTS)), ",").alias("tokens"))),
+    f"SELECT id, array_to_string(list_sort(list_distinct(CASE WHEN list_contains(t, 'none') THEN list_concat(t, ['noindex', 'nofollow']) ELSE t END)), ',') AS tokens FROM (SELECT id, {_TOKENS} AS t FROM crawl)")
+add("directive_numeric", over(lambda r: r.select("id", classify.directive_numeric("max-snippet", *_ROBOTS).alias("max_snippet"), classify.directive_numeric("max-video-preview", *_ROBOTS).alias("max_video"), classify.max_image_preview(F.col("meta_robots")).alias("max_image"))),
+    f"SELECT id, regexp_extract({_ALL}, 'max-snippet:\\s*(-?\\w+)', 1) AS max_snippet, regexp_extract({_ALL}, 'max-video-preview:\\s*(-?\\w+)', 1) AS max_video, regexp_extract(meta_robots, '(?i)max-image-preview:\\s*(\\w+)', 1) AS max_image FROM crawl")
+add("cls_quality", over(lambda r: r.select("id", text.cls_quality(F.col("seo.perf.cls")).alias("cls_quality"))), "SELECT id, CASE WHEN seo_cls = 0 THEN '' WHEN seo_cls > 0.25 THEN 'poor' WHEN seo_cls > 0.1 THEN 'needs work' ELSE 'ok' END AS cls_quality FROM crawl")
+add("heading_count_flag", over(lambda r: r.select("id", text.heading_count_flag(F.col("seo.h1Count")).alias("flag"))), "SELECT id, CASE WHEN \"seo_h1Count\" = 0 THEN 'Missing' WHEN \"seo_h1Count\" > 1 THEN 'Multiple' ELSE '' END AS flag FROM crawl")
+add("format_bytes", over(lambda r: r.select("id", text.format_bytes(F.col("size")).alias("size_label"))),
+    "SELECT id, CASE WHEN size = 0 THEN '0 B' WHEN size < 1024 THEN size::VARCHAR || ' B' WHEN size < 1048576 THEN printf('%.1f KB', floor(size / 1024.0::DOUBLE * 10 + 0.5) / 10) WHEN size < 1073741824 THEN printf('%.1f MB', floor(size / 1048576.0::DOUBLE * 10 + 0.5) / 10) ELSE printf('%.2f GB', size / 1073741824.0::DOUBLE) END AS size_label FROM crawl")
+
+# ---- the filter, field by field ----------------------------------------------------------------
+
+_SHORT = lambda c: f"length({e(c)})"
+FILTERS: dict[str, tuple[ResultsFilter, str]] = {
+    "filter_status": (ResultsFilter(statusMin=400, statusMax=600), "status >= 400 AND status < 600"),
+    "filter_has_redirect": (ResultsFilter(hasRedirect=True), f"{e('redirect_url')} <> ''"),
+    "filter_no_redirect": (ResultsFilter(hasRedirect=False), f"{e('redirect_url')} = ''"),
+    "filter_indexable": (ResultsFilter(indexability="indexable"), "is_indexable"),
+    "filter_noindex": (ResultsFilter(indexability="noindex"), "is_noindex"),
+    "filter_error_prefix": (ResultsFilter(errorPrefix="HOST_blocked_by"), "starts_with(lower(error), 'host_blocked_by')"),
+    "filter_text": (ResultsFilter(text="  TITLE 1 "), "contains(lower(url), 'title 1') OR contains(lower(title), 'title 1')"),
+    "filter_text_literal": (ResultsFilter(text="%"), "contains(lower(url), '%') OR contains(lower(title), '%')"),
+    "filter_empty_scraper_rule": (ResultsFilter(emptyScraperRule="price"), "k % 3 <> 1"),
+    "filter_resource_type": (ResultsFilter(resourceType="JavaScript"), "resource_type = 'JavaScript'"),
+    "filter_issues_only": (ResultsFilter(issuesOnly=True), f"({CP} AND ({e('title')} = '' OR {e('h1')} = '' OR {e('meta_description')} = '')) OR status >= 400 OR is_noindex"),
+    "filter_errors_only": (ResultsFilter(errorsOnly=True), f"{e('error')} <> ''"),
+    "filter_url_in": (ResultsFilter(urlIn=("https://h3.example.com/p5", "https://h4.example.com/p6")), "url IN ('https://h3.example.com/p5', 'https://h4.example.com/p6')"),
+    "filter_url_in_none": (ResultsFilter(urlIn=()), "false"),
+    "filter_has_og_image": (ResultsFilter(hasOgImage=True), f"{CP} AND og_image <> ''"),
+    "filter_missing_og_image": (ResultsFilter(missingOgImage=True), f"{CP} AND og_image = ''"),
+    "filter_missing_field": (ResultsFilter(missingField="title"), f"{CP} AND {e('title')} = ''"),
+    "filter_title_length": (ResultsFilter(titleLengthMin=10, titleLengthMax=30), f"{_SHORT('title')} >= 10 AND {_SHORT('title')} < 30"),
+    "filter_meta_length": (ResultsFilter(metaDescLengthMin=50, metaDescLengthMax=150), f"{_SHORT('meta_description')} >= 50 AND {_SHORT('meta_description')} < 150"),
+    "filter_h1_length": (ResultsFilter(h1LengthMin=20, h1LengthMax=70), f"{_SHORT('h1')} >= 20 AND {_SHORT('h1')} < 70"),
+    "filter_word_count": (ResultsFilter(wordCountMin=100, wordCountMax=500), "word_count >= 100 AND word_count < 500"),
+    "filter_response_time": (ResultsFilter(responseTimeMin=300, responseTimeMax=900), "response_time >= 300 AND response_time < 900"),
+    "filter_canonical_missing": (ResultsFilter(canonicalState="missing"), f"{CP} AND {e('canonical')} = ''"),
+    "filter_canonical_self": (ResultsFilter(canonicalState="self"), "canonical = url"),
+    "filter_canonical_cross": (ResultsFilter(canonicalState="cross"), f"{e('canonical')} <> '' AND canonical <> url"),
+    "filter_url_long": (ResultsFilter(urlPattern="long"), "length(url) > 100"),
+    "filter_url_params": (ResultsFilter(urlPattern="params"), "contains(url, '?')"),
+    "filter_security_missing": (ResultsFilter(securityMissing="csp"), "seo_csp = false"),
+    "filter_structured_has": (ResultsFilter(structuredData="has"), 'len("seo_structuredDataTypes") > 0'),
+    "filter_structured_missing": (ResultsFilter(structuredData="missing"), f'{CP} AND len("seo_structuredDataTypes") = 0'),
+    "filter_images_missing_alt": (ResultsFilter(imagesMissingAlt=True), '"seo_imagesMissingAlt" > 0'),
+    "filter_h1_multiple": (ResultsFilter(h1State="multiple"), '"seo_h1Count" > 1'),
+    "filter_combined": (ResultsFilter(statusMin=200, statusMax=300, resourceType="HTML", wordCountMin=500, indexability="indexable"), "status >= 200 AND status < 300 AND resource_type = 'HTML' AND word_count >= 500 AND is_indexable"),
+    "filter_tab_token": (filters.build_filter("Content", "word_count:lt:200", "p1"), "resource_type = 'HTML' AND word_count < 200 AND (contains(lower(url), 'p1') OR contains(lower(title), 'p1'))"),
+}
+for _name, (_filter, _where) in FILTERS.items():
+    add(_name, over(lambda r, f=_filter: filters.filtered(r, f).select("id", "session_id", "url", "status")), f"{_ID}crawl WHERE {_where}")
+for _field in ("title", "meta_description", "h1"):
+    _sql = f"{_ID}crawl a WHERE status >= 200 AND status < 300 AND {e(_field)} <> '' AND EXISTS (SELECT 1 FROM crawl b WHERE b.session_id = a.session_id AND b.{_field} = a.{_field} AND b.id <> a.id AND b.status >= 200 AND b.status < 300)"
+    add(f"filter_duplicate_{_field}", over(lambda r, f=_field: filters.filtered(r, ResultsFilter(duplicateField=f)).select("id", "session_id", "url", "status")), _sql)
+QUERIES["join_duplicate_exists"], ORACLE_SQL["join_duplicate_exists"] = QUERIES["filter_duplicate_title"], ORACLE_SQL["filter_duplicate_title"]
+QUERIES["join_url_in"], ORACLE_SQL["join_url_in"] = QUERIES["filter_url_in"], ORACLE_SQL["filter_url_in"]
+
+# ---- joins ------------------------------------------------------------------------------------
+
+_SEEN = "WITH"
+add("join_frontier_anti", lambda s, d: frontier(s, d).groupBy("session_id").agg(F.count("*").alias("n")), "SELECT session_id, count(*) AS n FROM frontier GROUP BY session_id", FRONTIER_SQL)
+add("join_delete_in", over(lambda r: r.join(r.where("status = 404").select("session_id", "url").distinct(), ["session_id", "url"], "left_anti").select("id", "session_id", "url", "status")), _ID + "crawl WHERE NOT status = 404")
+_LISTED = "listed AS (SELECT s.*, coalesce(n, 0) AS result_count FROM sessions s LEFT JOIN (SELECT session_id, count(*) AS n FROM crawl GROUP BY session_id) c ON c.session_id = s.id ORDER BY started_at DESC, id DESC LIMIT 50)"
+
+
+def listed(spark, d):
+    return sessions.with_counts(views.sessions(spark, d), views.crawl(spark, d))
+
+
+add("join_session_counts", lambda s, d: listed(s, d).select("id", "start_url", "started_at", "result_count"), "SELECT id, start_url, started_at, result_count FROM listed", SESSION_SQL, _LISTED)
+EDGES_SQL = "edges AS (SELECT DISTINCT l.session_id, l.src, l.dst FROM (SELECT session_id, url AS src, unnest(seo_outlinks) AS dst FROM crawl) l JOIN (SELECT DISTINCT session_id, url FROM crawl) c ON c.session_id = l.session_id AND c.url = l.dst WHERE l.src <> l.dst)"
+add("join_link_graph", over(graph.edges), "SELECT session_id, src, dst FROM edges", EDGES_SQL)
+add("join_inlinks", over(lambda r: graph.inlinks(r).select("session_id", "url", F.array_join("linked_from", ",").alias("linked_from"))), "SELECT session_id, dst AS url, array_to_string(list_sort(list(src)), ',') AS linked_from FROM edges GROUP BY session_id, dst", EDGES_SQL)
+
+
+def in_sitemap(spark, d):
+    listed_urls = views.crawl(spark, d).where("seo.inSitemap").select("url").distinct()
+    rows = views.crawl(spark, d)
+    return rows.join(listed_urls.withColumn("hit", F.lit(True)), "url", "left").select("id", F.col("hit").isNotNull().alias("in_sitemap"))
+
+
+add("join_in_sitemap", in_sitemap, 'SELECT id, url IN (SELECT url FROM crawl WHERE "seo_inSitemap") AS in_sitemap FROM crawl')
+add("join_meta_cols", over(lambda r: r.select("id", F.array_join(F.transform(F.filter("seo.metaTags", lambda t: export.meta_key(t) == "og:title"), lambda t: t["content"]), " | ").alias("og_title_meta"))), "SELECT id, og_title AS og_title_meta FROM crawl")
+add("join_header_cols", over(lambda r: r.select("id", F.try_element_at("seo.responseHeaders", F.lit("Server")).alias("server"))), "SELECT id, server_header AS server FROM crawl")
+
+
+def diff(spark, d):
+    rows = views.crawl(spark, d)
+    return sets.session_diff(rows.where("session_id = 1"), rows.where("session_id = 2"))
+
+
+add("session_diff", diff, """SELECT coalesce(a.url, b.url) AS url, a.status AS old_status, b.status AS new_status,
+  CASE WHEN a.status IS NULL THEN 'added' WHEN b.status IS NULL THEN 'removed' WHEN a.status <> b.status OR coalesce(a.title, '') <> coalesce(b.title, '') THEN 'changed' ELSE 'same' END AS change
+FROM (SELECT * FROM crawl WHERE session_id = 1) a FULL JOIN (SELECT * FROM crawl WHERE session_id = 2) b ON a.url = b.url""")
+
+# ---- aggregates -------------------------------------------------------------------------------
+
+_HEALTH = f"""SELECT c.session_id, count(*) AS total, count(*) FILTER (status >= 200 AND status < 300) AS status_2xx, count(*) FILTER (status >= 300 AND status < 400) AS status_3xx, count(*) FILTER (status >= 400 AND status < 500) AS status_4xx,
+  count(*) FILTER (status >= 500 AND status < 600) AS status_5xx, count(*) FILTER (status < 200 OR status >= 600) AS status_other, count(*) FILTER (coalesce(error, '') <> '') AS errors, count(*) FILTER (redirect_url <> '') AS redirects, count(*) FILTER (is_indexable) AS indexable,
+  count(*) FILTER (is_noindex) AS noindex, count(*) FILTER (is_nofollow) AS nofollow, count(*) FILTER ({CP} AND {e("h1")} = '') AS empty_h1, count(*) FILTER ({CP} AND {e("title")} = '') AS empty_title,
+  coalesce(avg(response_time) FILTER (status >= 200 AND status < 300), 0) AS avg_response_time, coalesce(max(response_time) FILTER (status >= 200 AND status < 300), 0) AS max_response_time, count(*) FILTER (seo_hsts IS NOT NULL) AS sec_html,
+  count(*) FILTER (NOT seo_hsts) AS sec_missing_hsts, count(*) FILTER (NOT seo_csp) AS sec_missing_csp, count(*) FILTER (NOT "seo_xFrameOptions") AS sec_missing_xframe, coalesce(any_value(f.n), 0) AS frontier
+FROM crawl c LEFT JOIN (SELECT session_id, count(*) AS n FROM frontier GROUP BY session_id) f ON f.session_id = c.session_id GROUP BY c.session_id"""
+_H = f"health AS ({_HEALTH})"
+add("aggregate_health", lambda s, d: health(s, d).withColumn("avg_response_time", F.round("avg_response_time", 6)), "SELECT * REPLACE (round(avg_response_time, 6) AS avg_response_time) FROM health", FRONTIER_SQL, _H)
+_PCT = lambda n: f"floor({n}::DOUBLE / total * 100 + 0.5)::BIGINT"
+add("health_pct", lambda s, d: agg.health_pct(health(s, d)), f"SELECT session_id, {', '.join(f'{_PCT(c)} AS {c}_pct' for c in ('empty_h1', 'empty_title', 'noindex', 'errors'))} FROM health", FRONTIER_SQL, _H)
+_GRADE = lambda x, red, amber: f"CASE WHEN {x} >= {red} THEN 'red' WHEN {x} >= {amber} THEN 'amber' ELSE 'ok' END"
+add("health_severity", lambda s, d: agg.health_severity(health(s, d)), f"""SELECT session_id, {_GRADE("(status_4xx + status_5xx)::DOUBLE / total * 100", 25, 10)} AS status_mix, {_GRADE(_PCT("empty_h1"), 50, 25)} AS empty_h1, {_GRADE(_PCT("empty_title"), 25, 10)} AS empty_title,
+  CASE WHEN sec_html = 0 THEN 'ok' WHEN sec_missing_hsts::DOUBLE / sec_html * 100 >= 50 THEN 'red' WHEN sec_missing_hsts::DOUBLE / sec_html * 100 >= 10 OR greatest(sec_missing_csp, sec_missing_xframe)::DOUBLE / sec_html * 100 >= 50 THEN 'amber' ELSE 'ok' END AS security,
+  {_GRADE("noindex::DOUBLE / total * 100", 25, 10)} AS indexability FROM health""", FRONTIER_SQL, _H)
+add("found_remaining", lambda s, d: agg.found_remaining(health(s, d)), "SELECT session_id, total + frontier AS found, frontier AS remaining FROM health", FRONTIER_SQL, _H)
+add("count_results", over(lambda r: agg.count_results(filters.filtered(r, ResultsFilter(statusMin=400)))), "SELECT count(*) AS n FROM crawl WHERE status >= 400")
+add("distinct_status_codes", over(agg.distinct_status_codes), "SELECT DISTINCT status FROM crawl WHERE status > 0")
+add("aggregate_resource_types", over(agg.resource_types), "SELECT coalesce(resource_type, '') AS resource_type, count(*) AS n FROM crawl GROUP BY 1")
+add("resource_segments", over(lambda r: agg.resource_segments(r).withColumn("share", F.round("share", 6))), "SELECT CASE WHEN resource_type = '' THEN 'Unknown' ELSE resource_type END AS label, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS share FROM crawl GROUP BY resource_type")
+add("report_overview", over(agg.overview), f"SELECT session_id, count(*) AS total, floor(sum(response_time)::DOUBLE / count(*) + 0.5)::BIGINT AS avg_time, sum(size)::BIGINT AS total_size, count(*) FILTER ({e('error')} <> '') AS errors FROM crawl GROUP BY session_id")
+add("overview_by_status", over(agg.overview_by_status), "SELECT session_id, CASE WHEN status = 0 THEN 'Error' ELSE (status // 100)::VARCHAR || 'xx' END AS status_group, count(*) AS n FROM crawl GROUP BY ALL")
+add("overview_by_type", over(agg.overview_by_type), "SELECT session_id, CASE WHEN resource_type = '' THEN 'Other' ELSE resource_type END AS type, count(*) AS n FROM crawl GROUP BY ALL")
+_GROUP = lambda f, c: f"SELECT session_id, '{f}' AS field, {c} AS value, count(*) AS n, array_to_string(list_sort(list(url)), ',') AS urls FROM crawl WHERE {c} <> '' GROUP BY session_id, {c} HAVING count(*) > 1"
+_joined = lambda r: r.withColumn("urls", F.array_join("urls", ","))
+add("group_duplicates", over(lambda r: _joined(agg.group_duplicates(r, "title"))), _GROUP("title", "trim(coalesce(title, ''))"))
+add("group_duplicate_body", over(lambda r: _joined(agg.group_duplicates(r, "seo.contentHash"))), _GROUP("contentHash", '"seo_contentHash"'))
+add("report_duplicates", over(lambda r: _joined(reports.duplicates(r))), " UNION ALL ".join([*[_GROUP(f, f"trim(coalesce({f}, ''))") for f in ("title", "meta_description", "h1")], _GROUP("contentHash", '"seo_contentHash"')]))
+add("structured_types", over(agg.structured_types), 'SELECT type, count(*) AS n FROM (SELECT unnest("seo_structuredDataTypes") AS type FROM page) GROUP BY type')
+QUERIES["report_structured"], ORACLE_SQL["report_structured"] = QUERIES["structured_types"], ORACLE_SQL["structured_types"]
+add("structured_coverage", over(agg.structured_coverage), 'SELECT session_id, count(*) FILTER (len("seo_structuredDataTypes") > 0) AS with_data, count(*) FILTER (len("seo_structuredDataTypes") = 0) AS missing, count(*) AS total FROM page GROUP BY session_id')
+add("security_summary", over(agg.security_summary), 'SELECT session_id, count(*) AS total, count(*) FILTER (NOT seo_hsts) AS no_hsts, count(*) FILTER (NOT seo_csp) AS no_csp, count(*) FILTER (NOT "seo_xFrameOptions") AS no_xframe, bool_or(seo_hsts IS NOT NULL) AS has_data FROM page GROUP BY session_id')
+add("sitemap_coverage", over(agg.sitemap_coverage), """SELECT session_id, count(*) AS total, count(*) FILTER ("seo_inSitemap") AS in_sitemap, count(*) FILTER ("seo_inSitemap" AND NOT (status >= 200 AND status < 300)) AS non_ok,
+  count(*) FILTER ("seo_inSitemap" AND status >= 200 AND status < 300 AND NOT is_indexable) AS non_indexable, count(*) FILTER (NOT "seo_inSitemap" AND status >= 200 AND status < 300) AS not_in_sitemap FROM crawl WHERE resource_type = 'HTML' GROUP BY session_id""")
+QUERIES["report_sitemap"], ORACLE_SQL["report_sitemap"] = QUERIES["sitemap_coverage"], ORACLE_SQL["sitemap_coverage"]
+_CANON = "coalesce(canonical, '') <> '' AND regexp_replace(canonical, '/+$', '') <> regexp_replace(url, '/+$', '')"
+add("directives_summary", over(agg.directives_summary), f"SELECT session_id, count(*) AS total, count(*) FILTER (is_noindex) AS noindex, count(*) FILTER (is_nofollow) AS nofollow, count(*) FILTER (trim(\"seo_xRobotsTag\") <> '') AS x_robots, count(*) FILTER ({_CANON}) AS canonicalised FROM page GROUP BY session_id")
+QUERIES["report_directives"], ORACLE_SQL["report_directives"] = QUERIES["directives_summary"], ORACLE_SQL["directives_summary"]
+add("progress_state", over(lambda r: agg.progress_state(r).select("session_id", "row_count", "error_count", "last_url", F.array_join(F.transform("latest_statuses", lambda x: x.cast("string")), ",").alias("latest")), views.raw_log),
+    """SELECT session_id, count(*) AS row_count, count(*) FILTER (coalesce(error, '') <> '') AS error_count, arg_max(url, id) AS last_url, any_value(latest) AS latest FROM raw_log JOIN
+  (SELECT session_id, string_agg(status::VARCHAR, ',' ORDER BY id) AS latest FROM (SELECT * FROM raw_log QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY id DESC) <= 200) GROUP BY session_id) USING (session_id) GROUP BY session_id""")
+
+
+def timings(spark, d):
+    r = views.raw_log(spark, d)
+    return r.select(F.col("id").alias("seq"), (F.col("id") % 3 == 0).alias("reused"), (F.col("k") % 40).alias("dns"), (F.col("k") % 25).alias("tcp"), (F.col("k") % 33).alias("tls"), F.col("response_time").alias("ttfb"), (F.col("size") % 97).alias("download"), (F.col("response_time") + F.col("k")).alias("total"))
+
+
+_TIMINGS = "timings AS (SELECT id AS seq, id % 3 = 0 AS reused, k % 40 AS dns, k % 25 AS tcp, k % 33 AS tls, response_time AS ttfb, size % 97 AS download, response_time + k AS total FROM raw_log)"
+add("phase_stats", lambda s, d: agg.phase_stats(timings(s, d)), """SELECT phase, count(*) AS n, floor(avg(ms) + 0.5)::BIGINT AS avg_ms, floor(list_sort(list(ms))[floor(count(*) * 0.95)::BIGINT + 1] + 0.5)::BIGINT AS p95_ms FROM (
+  SELECT * FROM (UNPIVOT timings ON dns, tcp, tls, ttfb, download INTO NAME phase VALUE ms) WHERE NOT (reused AND phase IN ('dns', 'tcp', 'tls')) AND ms <> 0 QUALIFY row_number() OVER (PARTITION BY phase ORDER BY seq DESC) <= 80) GROUP BY phase""", _TIMINGS)
+add("phase_totals", lambda s, d: agg.total_stats(timings(s, d)), """SELECT count(*) AS n, any_value(p50) AS p50_ms, any_value(p95) AS p95_ms, floor(count(*) FILTER (reused)::DOUBLE / count(*) * 100 + 0.5)::BIGINT AS reuse_pct FROM timings,
+  (SELECT list_sort(list(total))[floor(count(*) * 0.5)::BIGINT + 1] AS p50, list_sort(list(total))[floor(count(*) * 0.95)::BIGINT + 1] AS p95 FROM (SELECT total FROM timings ORDER BY seq DESC LIMIT 200))""", _TIMINGS)
+
+
+def responses(spark, d):
+    r = views.raw_log(spark, d)
+    kind = F.when(F.col("status").isin(403, 429, 503), F.concat(F.lit("blocked-status:"), F.col("status").cast("string"))).when((F.col("status") >= 200) & (F.col("status") < 300), "ok").otherwise("other")
+    return r.select(urls.host_of(F.col("url")).alias("host"), F.col("id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), "url", "status", F.coalesce("title", F.lit("")).alias("title"), F.col("size").alias("body_bytes"), "internal_links", kind.alias("classification"), kind.startswith("blocked").alias("blocked"))
+
+
+_RESPONSES = """responses AS (SELECT regexp_extract(url, '://([^/]*)', 1) AS host, id AS seq, epoch_us(ts) // 1000 AS ts_ms, size AS body_bytes, internal_links, kind AS classification, starts_with(kind, 'blocked') AS blocked FROM (
+  SELECT *, CASE WHEN status IN (403, 429, 503) THEN 'blocked-status:' || status::VARCHAR WHEN status >= 200 AND status < 300 THEN 'ok' ELSE 'other' END AS kind FROM raw_log))"""
+add("host_baseline", lambda s, d: agg.host_baseline(responses(s, d)), """SELECT host, count(*) AS samples, CASE WHEN count(*) = 20 THEN quantile_cont(body_bytes, 0.5) END AS median_body_bytes, CASE WHEN count(*) = 20 THEN quantile_cont(internal_links, 0.5) END AS median_internal_links
+FROM (SELECT * FROM responses WHERE classification = 'ok' QUALIFY row_number() OVER (PARTITION BY host ORDER BY seq) <= 20) GROUP BY host""", _RESPONSES)
+add("session_list_meta", lambda s, d: sessions.meta(listed(s, d)), """SELECT id, CASE WHEN total IS NULL THEN 'spider' ELSE 'list' END AS mode, total AS list_total, CASE WHEN completed_at IS NULL THEN 'in progress' WHEN result_count < total THEN 'stopped' ELSE 'complete' END AS state,
+  format('{:,}', result_count) || coalesce(' / ' || format('{:,}', total), '') || ' URLs' AS progress FROM (SELECT *, CASE WHEN contains(config_json, 'inputs') THEN 3 WHEN contains(config_json, 'urls') THEN 1 END::BIGINT AS total FROM listed)""", SESSION_SQL, _LISTED)
+add("session_partial", lambda s, d: sessions.partial(listed(s, d)), "SELECT id, CASE WHEN contains(config_json, 'inputs') THEN result_count < 3 WHEN contains(config_json, 'urls') THEN result_count < 1 ELSE completed_at IS NULL AND result_count > 0 END AS partial FROM listed", SESSION_SQL, _LISTED)
+
+
+def decisions(spark, d):
+    r = listed(spark, d).select("id", F.col("result_count").alias("row_count"), (F.col("id") % 2).alias("error_count"), F.coalesce(sessions.list_total(F.col("config_json")), F.lit(0).cast("long")).alias("list_total"), (F.col("id") % 5 == 0).alias("interrupted"), F.lit(0).alias("retryable_count"))
+    return sessions.completion(r).select("id", "is_stopped", "had_failures", "incomplete_list")
+
+
+add("completion_decision", decisions, "SELECT id, id % 5 = 0 OR t > 0 AND result_count < t AS is_stopped, id % 2 > 0 AS had_failures, t > 0 AND result_count < t AS incomplete_list FROM (SELECT *, CASE WHEN contains(config_json, 'inputs') THEN 3 WHEN contains(config_json, 'urls') THEN 1 ELSE 0 END AS t FROM listed)", SESSION_SQL, _LISTED)
+add("hero_status", lambda s, d: sessions.hero(listed(s, d).select("id", (F.col("id") % 4 == 0).alias("crawling"), (F.col("id") % 4 == 1).alias("stopped"), F.col("result_count").alias("total"))).select("id", "hero"), "SELECT id, CASE WHEN id % 4 = 0 THEN 'CRAWLING' WHEN id % 4 = 1 THEN 'STOPPED' WHEN result_count > 0 THEN 'COMPLETE' ELSE 'READY' END AS hero FROM listed", SESSION_SQL, _LISTED)
+
+# ---- windows ----------------------------------------------------------------------------------
+
+_SEQ = "OVER (PARTITION BY host ORDER BY seq"
+add("win_block_count", lambda s, d: windows.block_count(responses(s, d)).select("host", "seq", "blocked_in_window"), f"SELECT host, seq, (sum(blocked::INT) {_SEQ} ROWS 14 PRECEDING))::BIGINT AS blocked_in_window FROM responses", _RESPONSES)
+add("win_trailing_run", lambda s, d: windows.trailing_run(responses(s, d)).select("host", "seq", "run"), f"SELECT host, seq, n - coalesce(max(CASE WHEN NOT blocked THEN n END) {_SEQ}), 0) AS run FROM (SELECT *, row_number() {_SEQ}) AS n FROM responses)", _RESPONSES)
+add("win_block_rate", lambda s, d: windows.block_rate(responses(s, d)).select("host", "seq", F.round("block_rate", 6).alias("block_rate")), f"SELECT host, seq, round(avg(blocked::INT) {_SEQ} ROWS 99 PRECEDING), 6) AS block_rate FROM responses", _RESPONSES)
+add("block_rate", lambda s, d: windows.block_rate(responses(s, d)).groupBy("host").agg(F.round(F.max_by("block_rate", "seq"), 6).alias("block_rate")), f"SELECT host, arg_max(r, seq) AS block_rate FROM (SELECT host, seq, round(avg(blocked::INT) {_SEQ} ROWS 99 PRECEDING), 6) AS r FROM responses) GROUP BY host", _RESPONSES)
+add("win_clean_streak", lambda s, d: windows.clean_streak(responses(s, d)).select("host", "seq", "clean_streak"), f"SELECT host, seq, (sum((classification = 'ok')::INT) OVER (PARTITION BY host, island ORDER BY seq))::BIGINT AS clean_streak FROM (SELECT *, sum(blocked::INT) {_SEQ}) AS island FROM responses)", _RESPONSES)
+add("win_consec_403", lambda s, d: windows.consecutive_403(responses(s, d)).select("host", "seq", "consecutive_403"), f"SELECT host, seq, (sum(f) OVER (PARTITION BY host, island ORDER BY seq))::BIGINT AS consecutive_403 FROM (SELECT *, sum(1 - f) {_SEQ}) AS island FROM (SELECT *, (classification = 'blocked-status:403')::INT AS f FROM responses))", _RESPONSES)
+add("win_gap", lambda s, d: windows.gap_ms(responses(s, d)).select("host", "seq", "gap_ms"), f"SELECT host, seq, ts_ms - lag(ts_ms) {_SEQ}) AS gap_ms FROM responses", _RESPONSES)
+add("win_last_n", lambda s, d: windows.last_n(responses(s, d), 12, "host", "seq").select("host", "seq"), "SELECT host, seq FROM responses QUALIFY row_number() OVER (PARTITION BY host ORDER BY seq DESC) <= 12", _RESPONSES)
+add("pages_per_sec", lambda s, d: windows.pages_per_second(responses(s, d), 3_600_000).select("host", "seq", "pages_per_sec"),
+    "SELECT host, seq, round(count(*) OVER w / (greatest(ts_ms - min(ts_ms) OVER w, 1000) / 1000), 2) AS pages_per_sec FROM responses WINDOW w AS (PARTITION BY host ORDER BY ts_ms RANGE BETWEEN 3600000 PRECEDING AND CURRENT ROW)", _RESPONSES)
+add("eta", lambda s, d: responses(s, d).select("seq", windows.eta(F.col("internal_links") * 13, (F.col("seq") % 50) / 10).alias("eta")), """SELECT seq, CASE WHEN q = 0 OR r < 0.05 THEN '—' WHEN q / r < 60 THEN '~' || floor(q / r + 0.5)::BIGINT::VARCHAR || 's' WHEN q / r / 60 < 60 THEN '~' || floor(q / r / 60)::BIGINT::VARCHAR || 'm ' || floor((q / r) % 60 + 0.5)::BIGINT::VARCHAR || 's'
+  ELSE '~' || floor(q / r / 3600)::BIGINT::VARCHAR || 'h ' || (floor(q / r / 60)::BIGINT % 60)::VARCHAR || 'm' END AS eta FROM (SELECT seq, (internal_links * 13)::DOUBLE AS q, (seq % 50)::DOUBLE / 10 AS r FROM responses)""", _RESPONSES)
+add("win_sessions", lambda s, d: windows.sessionize(s.read.parquet(f"{d}/events.parquet"), 600), """SELECT user_id, min(ts) AS session_start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k2 FROM (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 600 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, k2""")
+
+# ---- sort, page, top-k ------------------------------------------------------------------------
+
+add("sort_whitelist", over(lambda r: grid.sort_results(r, "response_time", "desc").limit(50).select("id", "response_time")), "SELECT id, response_time FROM crawl ORDER BY response_time DESC, id LIMIT 50")
+add("sort_unknown", over(lambda r: grid.sort_results(r, "seo_json; DROP", "desc").limit(50).select("id")), "SELECT id FROM crawl ORDER BY id LIMIT 50")
+add("page", over(lambda r: grid.page(r.where("session_id = 1"), 3, 50, "url").select("id", "url")), "SELECT id, url FROM crawl WHERE session_id = 1 ORDER BY url, id LIMIT 50 OFFSET 150")
+add("topk_slowest", over(lambda r: reports.pagespeed(r).select("session_id", "url", "response_time")), "SELECT session_id, url, response_time FROM crawl WHERE resource_type = 'HTML' AND response_time > 0 ORDER BY response_time DESC, id LIMIT 100")
+QUERIES["report_pagespeed"], ORACLE_SQL["report_pagespeed"] = QUERIES["topk_slowest"], ORACLE_SQL["topk_slowest"]
+add("topk_sessions", lambda s, d: listed(s, d).select("id", "result_count"), "SELECT id, result_count FROM listed", SESSION_SQL, _LISTED)
+add("list_caps", over(lambda r: graph.broken_links(r, 2).select("session_id", "url", "n_from", F.size("linked_from").cast("long").alias("shown"))), "SELECT c.session_id, c.url, count(src) AS n_from, least(count(src), 2) AS shown FROM crawl c LEFT JOIN edges e ON e.session_id = c.session_id AND e.dst = c.url WHERE status >= 400 OR status = 0 GROUP BY c.session_id, c.url", EDGES_SQL)
+
+# ---- sets -------------------------------------------------------------------------------------
+
+_PARKED = "starts_with(lower(coalesce(error, '')), 'host_blocked_by_detector')"
+add("skippable_urls", over(sets.skippable), f"SELECT session_id, url FROM crawl WHERE NOT {_PARKED}")
+add("retryable_urls", over(sets.retryable), f"SELECT DISTINCT session_id, url FROM crawl WHERE {_PARKED}")
+add("set_resume_seeds", lambda s, d: sets.resume_seeds(frontier(s, d), sets.retryable(views.crawl(s, d))), f"SELECT session_id, url FROM frontier UNION SELECT session_id, url FROM crawl WHERE {_PARKED}", FRONTIER_SQL)
+add("set_exclude", over(lambda r: sets.exclude(sets.skippable(r), r.where("status = 404"), r.where("status = 301"))), f"SELECT session_id, url FROM crawl WHERE NOT {_PARKED} AND status NOT IN (404, 301)")
+add("recrawl_drain", over(lambda r: sets.recrawl_drain(r.where("is_noindex").select("session_id", "url"), r)), "SELECT session_id, url FROM crawl WHERE is_noindex AND NOT (status >= 200 AND status < 400)")
+add("paste_extract", lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", F.array_join(urls.pasted(F.concat(F.lit("see "), "url", F.lit(", \""), "url", F.lit("\" and <a href='http://x.example/a?b=1'>"))), " ").alias("urls")),
+    "SELECT page_id, url || CASE WHEN url = 'http://x.example/a?b=1' THEN '' ELSE ' http://x.example/a?b=1' END AS urls FROM pages")
+add("set_sitemap_union", over(lambda r: sets.sitemap_union(r.where("seo.inSitemap").select("url"), r.where("status = 404").select("url"))), 'SELECT url FROM crawl WHERE "seo_inSitemap" UNION SELECT url FROM crawl WHERE status = 404')
+
+# ---- graph ------------------------------------------------------------------------------------
+
+add("link_graph", over(graph.degrees), "SELECT n.session_id, n.url, count(*) FILTER (e.dst = n.url) AS indegree, count(*) FILTER (e.src = n.url) AS outdegree FROM (SELECT DISTINCT session_id, url FROM crawl) n LEFT JOIN edges e ON e.session_id = n.session_id AND (e.src = n.url OR e.dst = n.url) GROUP BY ALL", EDGES_SQL)
+add("orphans", over(graph.orphans), "SELECT session_id, url FROM page p WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.session_id = p.session_id AND e.dst = p.url) AND url <> (SELECT arg_min(url, id) FROM crawl c WHERE c.session_id = p.session_id)", EDGES_SQL)
+QUERIES["report_orphans"], ORACLE_SQL["report_orphans"] = QUERIES["orphans"], ORACLE_SQL["orphans"]
+add("broken_links", over(lambda r: graph.broken_links(r).select("session_id", "url", "status", F.coalesce("error", F.lit("")).alias("error"), "n_from", F.array_join("linked_from", ",").alias("linked_from"))),
+    "SELECT c.session_id, c.url, any_value(status) AS status, coalesce(any_value(error), '') AS error, count(src) AS n_from, coalesce(array_to_string(list_sort(list(src) FILTER (src IS NOT NULL))[1:50], ','), '') AS linked_from FROM crawl c LEFT JOIN edges e ON e.session_id = c.session_id AND e.dst = c.url WHERE status >= 400 OR status = 0 GROUP BY c.session_id, c.url", EDGES_SQL)
+QUERIES["report_broken"] = QUERIES["broken_links"]
+_RANK_ROUNDS = 6
+
+
+def _rank_sql(rounds: int) -> tuple[str, ...]:
+    """PageRank by a fixed number of unrolled rounds."""
+    out = [EDGES_SQL, "od AS (SELECT session_id, src, count(*) AS n FROM edges GROUP BY ALL)", "nn AS (SELECT session_id, count(*) AS n FROM crawl GROUP BY session_id)", "r0 AS (SELECT c.session_id, c.url, 1.0::DOUBLE / nn.n AS score FROM crawl c JOIN nn USING (session_id))"]
+    for i in range(rounds):
+        out.append(f"""r{i + 1} AS (SELECT r.session_id, r.url, 0.15 / nn.n + 0.85 * (coalesce(g.got, 0) + k.sunk / nn.n) AS score FROM r{i} r JOIN nn ON nn.session_id = r.session_id
+  LEFT JOIN (SELECT e.session_id, e.dst, sum(p.score / od.n) AS got FROM edges e JOIN od ON od.session_id = e.session_id AND od.src = e.src JOIN r{i} p ON p.session_id = e.session_id AND p.url = e.src GROUP BY ALL) g ON g.session_id = r.session_id AND g.dst = r.url
+  JOIN (SELECT p.session_id, coalesce(sum(p.score) FILTER (od.n IS NULL), 0) AS sunk FROM r{i} p LEFT JOIN od ON od.session_id = p.session_id AND od.src = p.url GROUP BY ALL) k ON k.session_id = r.session_id)""")
+    return tuple(out)
+
+
+add("pagerank", over(lambda r: graph.pagerank(r, rounds=_RANK_ROUNDS, tolerance=0.0).select("session_id", "url", F.round("score", 9).alias("score"))), f"SELECT session_id, url, round(score, 9) AS score FROM r{_RANK_ROUNDS}", *_rank_sql(_RANK_ROUNDS))
+QUERIES["report_pagerank"] = over(lambda r: reports.pagerank(r).select("session_id", "rank", "url", F.round("score", 9).alias("score"), "indegree", "outdegree"))
+QUERIES["topk_pagerank"] = QUERIES["win_rank"] = QUERIES["report_pagerank"]
+
+
+def depths(spark, d):
+    r = views.crawl(spark, d)
+    return graph.bfs_depth(r, r.groupBy("session_id").agg(F.min_by("url", "id").alias("url")))
+
+
+add("bfs_depth", depths, """SELECT session_id, url, min(depth)::BIGINT AS depth FROM bfs GROUP BY session_id, url""", "links AS (SELECT DISTINCT session_id, url AS src, unnest(seo_outlinks) AS dst FROM crawl)",
+    "bfs AS (SELECT session_id, arg_min(url, id) AS url, 0 AS depth FROM crawl GROUP BY session_id UNION SELECT b.session_id, l.dst, b.depth + 1 FROM bfs b JOIN links l ON l.session_id = b.session_id AND l.src = b.url WHERE b.depth < 12)")
+ORACLE_SQL["bfs_depth"] = ORACLE_SQL["bfs_depth"].replace("WITH raw_log", "WITH RECURSIVE raw_log", 1)
+
+# ---- functions --------------------------------------------------------------------------------
+
+_PAGE_URL = lambda *cols: lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", *cols)
+_U = F.col("url")
+add("ensure_protocol", _PAGE_URL(urls.ensure_protocol(F.regexp_replace("url", "^https://", "")).alias("u")), "SELECT page_id, CASE WHEN regexp_matches(v, '^(?i:https?://)') THEN v ELSE 'https://' || v END AS u FROM (SELECT page_id, regexp_replace(url, '^https://', '') AS v FROM pages)")
+add("host_of", _PAGE_URL(urls.host_of(_U).alias("host")), "SELECT page_id, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS host FROM pages")
+add("scope_base", _PAGE_URL(urls.scope_base(_U).alias("base")), r"SELECT page_id, regexp_replace(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '^www\.', '') AS base FROM pages")
+add("in_scope", _PAGE_URL(urls.in_scope(urls.host_of(_U), F.lit("example.com"), F.lit("")).alias("inside")), "SELECT page_id, h = 'example.com' OR ends_with(h, '.example.com') AS inside FROM (SELECT page_id, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS h FROM pages)")
+add("strip_slashes", _PAGE_URL(urls.strip_slashes(_U).alias("u")), "SELECT page_id, regexp_replace(url, '/+$', '') AS u FROM pages")
+add("insecure", _PAGE_URL(urls.insecure(_U).alias("insecure")), "SELECT page_id, starts_with(url, 'http://') AS insecure FROM pages")
+add("canonical_is_self", over(lambda r: r.select("id", urls.is_self(F.col("canonical"), _U).alias("is_self"))), "SELECT id, CASE WHEN coalesce(canonical, '') = '' THEN '' ELSE (regexp_replace(canonical, '/$', '') = regexp_replace(url, '/$', ''))::VARCHAR END AS is_self FROM crawl")
+add("link_scope", over(lambda r: export.outlinks(r).groupBy("link_scope").agg(F.count("*").alias("n"))), "SELECT CASE WHEN regexp_extract(a, '://([^/?#]*)', 1) = regexp_extract(b, '://([^/?#]*)', 1) THEN 'internal' ELSE 'external' END AS link_scope, count(*) AS n FROM (SELECT url AS a, unnest(seo_outlinks) AS b FROM crawl) GROUP BY 1")
+_NORMAL = r"""SELECT page_id, base || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN q = '' THEN '' ELSE '?' || q END AS u FROM (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS base, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path,
+  array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT starts_with(p, 'utm_'))), '&') AS q FROM pages)"""
+add("normalize_url", _PAGE_URL(urls.normalize(_U).alias("u")), _NORMAL)
+add("normalize_url_full", _PAGE_URL(urls.normalize_udf(_U).alias("u")), _NORMAL)
+add("classify_resource", over(lambda r: r.select("id", classify.classify_resource(F.col("content_type")).alias("kind"))), "SELECT id, CASE WHEN contains(content_type, 'text/html') THEN 'HTML' WHEN contains(content_type, 'javascript') THEN 'JavaScript' WHEN contains(content_type, 'image/') THEN 'Image' ELSE 'Other' END AS kind FROM crawl")
+_D = classify.robots_directives(*_ROBOTS)
+add("robots_directives", over(lambda r: r.select("id", _D["is_indexable"].alias("is_indexable"), _D["is_noindex"].alias("is_noindex"), _D["is_nofollow"].alias("is_nofollow"))),
+    f"SELECT id, NOT (list_contains(t, 'noindex') OR list_contains(t, 'none')) AS is_indexable, list_contains(t, 'noindex') OR list_contains(t, 'none') AS is_noindex, list_contains(t, 'nofollow') OR list_contains(t, 'none') AS is_nofollow FROM (SELECT id, list_transform(string_split({_ALL}, ','), lambda x: trim(x)) AS t FROM crawl)")
+_S = classify.security_audit(F.create_map(F.lit("strict-transport-security"), F.col("server_header"), F.lit("feature-policy"), F.lit("x")))
+add("security_audit", over(lambda r: r.select("id", _S["hsts"].alias("hsts"), _S["csp"].alias("csp"), _S["permissionsPolicy"].alias("permissions"))), "SELECT id, server_header <> '' AS hsts, false AS csp, true AS permissions FROM crawl")
+_REASON = f"""CASE WHEN status = 0 THEN 'HTTP error' WHEN status >= 400 THEN 'HTTP ' || status::VARCHAR WHEN status >= 300 AND status < 400 THEN 'Redirect' WHEN is_noindex OR contains(lower(meta_robots), 'noindex') OR contains(lower("seo_xRobotsTag"), 'noindex') THEN 'noindex' WHEN {_CANON} THEN 'Canonicalised' ELSE 'Non-indexable' END"""
+add("non_indexable_reason", over(lambda r: r.select("id", classify.non_indexable_reason().alias("reason"))), f"SELECT id, {_REASON} AS reason FROM crawl")
+add("block_classify", over(lambda r: r.select("id", classify.block_reason(F.col("status"), F.when(F.col("k") % 9 == 0, "Just a Moment...").otherwise(F.col("title"))).alias("reason"))), "SELECT id, CASE WHEN status = 403 THEN 'status_403' WHEN status = 429 THEN 'status_429' WHEN status >= 500 AND status < 600 THEN 'status_5xx' WHEN k % 9 = 0 THEN 'soft_title_phrase' END AS reason FROM crawl")
+add("response_classify", lambda s, d: responses(s, d).select("seq", classify.response_classification(F.col("status"), F.col("title"), F.col("body_bytes"), F.col("internal_links"), F.lit(2_000_000.0), F.lit(100.0)).alias("kind")),
+    "SELECT id AS seq, CASE WHEN status IN (403, 429, 503) THEN 'blocked-status:' || status::VARCHAR WHEN status < 200 OR status >= 300 THEN 'other' WHEN size < 100000 AND internal_links < 5 THEN 'cloaked' ELSE 'ok' END AS kind FROM raw_log")
+add("pacing_bucket", over(lambda r: r.select("id", classify.pacing_bucket(F.col("response_time") * 20).alias("bucket"))), "SELECT id, CASE WHEN response_time * 20 < 1000 THEN 'AGGRESSIVE' WHEN response_time * 20 < 3000 THEN 'STEADY' WHEN response_time * 20 < 8000 THEN 'CAUTIOUS' ELSE 'PROBING' END AS bucket FROM crawl")
+_HOPS = "CASE WHEN len(\"seo_redirectChain\") > 0 THEN len(\"seo_redirectChain\") WHEN redirect_url <> '' THEN 1 ELSE 0 END"
+_PATH = "array_to_string(CASE WHEN redirect_url <> '' AND coalesce(\"seo_redirectChain\"[-1], '') <> redirect_url THEN list_append(\"seo_redirectChain\", redirect_url) ELSE \"seo_redirectChain\" END, ' → ')"
+add("redirect_hops", over(lambda r: r.select("id", classify.redirect_hops(F.col("seo.redirectChain"), F.col("redirect_url")).alias("hops"))), f"SELECT id, {_HOPS} AS hops FROM crawl")
+add("redirect_path", over(lambda r: r.select("id", classify.redirect_path(F.col("seo.redirectChain"), F.col("redirect_url")).alias("path"))), f"SELECT id, {_PATH} AS path FROM crawl")
+add("retry_after_ms", over(lambda r: r.select("id", classify.retry_after_ms(F.when(F.col("k") % 3 == 0, F.col("k").cast("string")).when(F.col("k") % 3 == 1, "Wed, 21 Oct 2015 07:28:00 GMT").otherwise("soon"), F.lit("2015-10-21 07:27:00").cast("timestamp")).alias("ms"))), "SELECT id, CASE k % 3 WHEN 0 THEN k * 1000 WHEN 1 THEN 60000 ELSE 0 END AS ms FROM crawl")
+add("retry_policy", over(lambda r: r.select("id", classify.retryable(F.col("status"), F.col("response_time") * 100, F.lit(0)).alias("retry"))), "SELECT id, status IN (429, 503) AND response_time > 0 AND response_time * 100 <= 60000 AS retry FROM crawl")
+add("block_vendor_hints", over(lambda r: r.where("status = 403").select("id", classify.block_vendor(F.create_map(F.lit("server"), F.col("server_header")), F.concat(F.lit("Reference #18."), F.col("k").cast("string")))["akamai_ref"].alias("ref"))), "SELECT id, '18.' || k::VARCHAR AS ref FROM crawl WHERE status = 403")
+add("cell_norm", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", text.cell_norm(F.substring("text", 1, 300)).alias("cell")), r"SELECT doc_id, trim(regexp_replace(substr(text, 1, 300), '\s+', ' ', 'g')) AS cell FROM documents")
+add("cell_defuse", over(lambda r: r.select("id", text.cell_defuse(F.concat(F.element_at(F.array(*[F.lit(x) for x in ("=", "+", "-", "@", "")]), (F.col("k") % 5 + 1).cast("int")), F.col("k").cast("string"))).alias("cell"))),
+    "SELECT id, CASE k % 5 WHEN 0 THEN '''=' || k::VARCHAR WHEN 1 THEN '+' || k::VARCHAR WHEN 2 THEN '-' || k::VARCHAR WHEN 3 THEN '''@' || k::VARCHAR ELSE k::VARCHAR END AS cell FROM crawl")
+add("standardize_date", lambda s, d: s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", *[c.alias(n) for n, c in zip(("date", "time"), text.standardize_date(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))), strict=True)]), "SELECT o_orderkey, strftime(o_orderdate - INTERVAL 2 HOUR, '%d-%m-%Y') AS date, strftime(o_orderdate - INTERVAL 2 HOUR, '%H:%M:%S') || ' UTC' AS time FROM orders")
+add("log_filter", lambda s, d: filters.log_filter(s.read.parquet(f"{d}/events.parquet").select("event_id", F.col("event_type").alias("level"), F.col("props").alias("msg")), ["error", "click"], "\"K\": 7").select("event_id"), "SELECT event_id FROM events WHERE event_type IN ('error', 'click') AND contains(lower(props), '\"k\": 7')")
+
+# ---- extraction -------------------------------------------------------------------------------
+
+
+def page_facts(spark, d):
+    from .functions.html import extract_udf
+
+    pages = spark.read.parquet(f"{d}/pages.parquet")
+    found = pages.select("page_id", extract_udf({"lead": "article > p", "advert": ".ad"})("html", "url").alias("f"))
+    return found.select("page_id", "f.title", "f.h1", "f.h1Count", "f.internalLinks", "f.externalLinks", F.size("f.outlinks").cast("long").alias("n_outlinks"), F.col("f.scraper")["advert"]["appears"].alias("advert"))
+
+
+add("extract_page_facts", page_facts, r"""SELECT page_id, trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')) AS title, trim(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&')) AS h1, len(regexp_extract_all(html, '<h1>')) AS "h1Count", len(regexp_extract_all(html, '<a href=')) AS "internalLinks", 0::BIGINT AS "externalLinks",
+  len(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1))) AS n_outlinks, contains(html, 'class="ad"') AS advert FROM pages""")
+
+# ---- reports ----------------------------------------------------------------------------------
+
+add("report_redirects", over(reports.redirects), f"SELECT session_id, url, status, {_HOPS} AS hops, {_PATH} AS path FROM crawl WHERE status >= 300 AND status < 400")
+add("report_indexability", over(reports.indexability), f"SELECT session_id, url, {_REASON} AS reason FROM crawl WHERE resource_type = 'HTML' AND NOT is_indexable")
+add("report_missing", over(reports.missing), " UNION ALL ".join(f"SELECT session_id, url, '{f}' AS field FROM page WHERE trim(coalesce({f}, '')) = ''" for f in ("title", "meta_description", "h1")))
+add("report_insecure", over(reports.insecure), "SELECT session_id, url, status FROM crawl WHERE starts_with(url, 'http://')")
+add("report_security", over(reports.security), " UNION ALL ".join(f"SELECT session_id, url, '{h}' AS header FROM page WHERE NOT \"seo_{h}\"" for h in ("hsts", "csp", "xFrameOptions")))
+add("report_hreflang", over(reports.hreflang), "SELECT session_id, url, array_to_string(\"seo_hreflangLangs\", ', ') AS languages, len(\"seo_hreflangLangs\") AS n FROM crawl WHERE len(\"seo_hreflangLangs\") > 0")
+add("report_images", over(lambda r: reports.images(r).select("session_id", "url", "n", F.array_join("images", ",").alias("images"))), "SELECT session_id, url, \"seo_imagesMissingAlt\" AS n, array_to_string(\"seo_missingAltImages\", ',') AS images FROM crawl WHERE \"seo_imagesMissingAlt\" > 0")
+ORACLE_SQL["report_broken"] = ORACLE_SQL["broken_links"]
+
+# ---- stateful, no SQL form --------------------------------------------------------------------
+
+
+def host_events(spark, d):
+    from .streaming import hosts
+
+    return hosts.replay(responses(spark, d).select("host", "seq", "ts_ms", "url", "status", "title", "body_bytes", "internal_links"))
+
+
+def pacing(spark, d):
+    from .streaming import hosts
+
+    return hosts.pacing_latest(host_events(spark, d))
+
+
+def reprobes(spark, d):
+    from .streaming import hosts
+
+    return hosts.reprobe_gate(host_events(spark, d))
+
+
+QUERIES["host_states"] = QUERIES["block_detector"] = QUERIES["adaptive_controller"] = host_events
+QUERIES["pacing_latest"], QUERIES["reprobe_gate"] = pacing, reprobes
