@@ -97,6 +97,12 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
 # ---- links to components ----------------------------------------------------------------------
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every child has one parent, and no parent is a child."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select(F.col("b"), F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty()
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component): the smallest id reachable over links (a, b), by alternating large and small stars.
 
@@ -104,26 +110,16 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     neighbours never gathers them in one task; the joins back are plain equi-joins that AQE can split.
     Every round is written to the shared folder, so lineage stays short. Empty links: no rows.
     """
-    both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
     edges = stash(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = mark(edges)
     for _ in range(max_rounds):
-        if not before[0]:
-            break
-        near = both(edges)
+        if _settled(edges):
+            return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
+        near = edges.union(edges.select("b", "a"))
         low = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = near.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("x"), "m").where("x <> m").union(low.select(F.col("a").alias("x"), "m"))
-        small = small.select(F.greatest("x", "m").alias("a"), F.least("x", "m").alias("b")).distinct()
-        new = stash(small, "edges")
-        after = mark(new)
+        new = stash(small.select(F.greatest("x", "m").alias("a"), F.least("x", "m").alias("b")).distinct(), "edges")
         drop_stash(edges)
-        edges, same = new, after == before
-        before = after
-        if same:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).union(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+        edges = new
+    raise RuntimeError("components did not settle")

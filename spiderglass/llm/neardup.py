@@ -50,8 +50,9 @@ SLOTS, CHUNKS = 80, 10
 PERCENT = 85
 #: Pairs of signatures further apart are not confirmed: at 85 % alike that happens once in 10**8 pairs.
 MAX_APART = 32
-#: Rounds with pivots before the rest is tried pair by pair; it is tried at once where that is so few pairs for each row of the buckets.
-PIVOT_ROUNDS, PAIRS_A_ROW = 6, 4
+#: Rounds with pivots before the rest is tried pair by pair; it is tried at once where that is at most so many pairs for
+#: each row of the buckets. A pair costs a comparison of four numbers in the join; only those within the bound become rows.
+PIVOT_ROUNDS, PAIRS_A_ROW = 6, 400
 _PIECE = 4096
 
 _RNG = np.random.default_rng(20240229)
@@ -146,13 +147,13 @@ def _may_link(percent: int):
     return (100 + percent) * most >= percent * (F.col("n") + F.col("n2"))
 
 
-def _class_links(nodes: DataFrame, docs: DataFrame, percent: int) -> list[DataFrame]:
-    """Confirmed links (a, b) that give the components of all confirmed links."""
+def _class_components(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
+    """(id, component) of the classes that are linked, over all confirmed links; None if there are none."""
     keyed = nodes.select("id", F.explode(_keys()).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     met = stash(keyed.join(shared, "key"), "buckets")
     if met.isEmpty():
-        return []
+        return None
     involved = met.select(F.col("id").alias("doc_id")).distinct()
     schema = T.StructType([T.StructField("id", nodes.schema["id"].dataType), T.StructField("set", T.ArrayType(T.LongType()))])
     # With repeated doc_ids a class id may bring other texts along; their sets count as the class's too.
@@ -170,13 +171,13 @@ def _class_links(nodes: DataFrame, docs: DataFrame, percent: int) -> list[DataFr
         known = links[0]
         for more in links[1:]:
             known = known.union(more)
-        label = components(known)
+        label = stash(components(known), "labels")
         now = bucket.join(label, "id", "left").select("key", "id", "n", "own", F.coalesce("component", "id").alias("c"))
         now = stash(now.join(now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), "key", "left_semi"), "apart")
         sizes = now.groupBy("key", "c").agg(F.count("*").cast("double").alias("rows"))
         cost = sizes.groupBy("key").agg(F.sum("rows").alias("r"), F.sum(F.col("rows") * F.col("rows")).alias("q")).agg(F.sum((F.col("r") * F.col("r") - F.col("q")) / 2)).first()[0]
         if not cost:
-            break
+            return label
         last = attempt > PIVOT_ROUNDS or cost <= PAIRS_A_ROW * n_rows
         if last:
             # Every row outside a bucket's largest component against the rest of the bucket.
@@ -190,9 +191,9 @@ def _class_links(nodes: DataFrame, docs: DataFrame, percent: int) -> list[DataFr
         links.append(stash(_confirmed(tries, sets, percent), "links"))
         drop_stash(now)
         if last:
-            break
+            return label if links[-1].isEmpty() else components(known.union(links[-1]))
         tested = tested.union(tries)
-    return links
+    raise AssertionError("the last round returns")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -204,13 +205,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = stash(docs.mapInArrow(_sketches, schema), "sketches")
     # One node for each distinct set; equal sets have equal signatures.
     classes = stash(rows.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes")
-    links = _class_links(classes.select("id", "sig"), docs, percent)
+    label = _class_components(classes.select("id", "sig"), docs, percent)
     member = classes.select("class", "id")
-    if links:
-        found = links[0]
-        for more in links[1:]:
-            found = found.union(more)
-        label = components(found)
+    if label is not None:
         member = member.join(label, "id", "left").select("class", F.coalesce("component", "id").alias("id"))
     out = rows.where("doc_id is not null").join(member, "class", "left").select("doc_id", "n_shingles", F.coalesce("id", "doc_id").alias("component_id"))
     out = out.union(rows.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast(id_type)))
