@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import let, table
 
 SEED = "mix-1"
 #: Means above this are split into parts drawn apart: a sum of Poisson counts is a Poisson count.
@@ -73,8 +73,9 @@ def mix(docs: DataFrame, weights: dict | None = None, other: float = 0.0, size:
     rates = F.broadcast(rates) if counts.limit(SOURCES_TO_BROADCAST + 1).count() <= SOURCES_TO_BROADCAST else rates
     rows = base.join(rates, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     who = (F.lit(seed), F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))))
-    rows = rows.withColumn("copies", copies_of(F.col("rate"), *who)).where("copies > 0")
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    # The count is drawn once a row: as the list, maybe empty, of copies that the row is exploded by.
+    drawn = let(copies_of(F.col("rate"), *who), lambda n: F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("copy"), n.alias("copies")))))
+    rows = rows.withColumn("_drawn", F.explode(drawn)).select(*rows.columns, "_drawn.*")
     rows = rows.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("\\N")), F.md5(F.coalesce("text", F.lit(""))), F.col("copy").cast("string"))))
     return rows.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
