@@ -10,8 +10,9 @@ with probability 0.15, and a pair shares no key with probability 2e-5 (less for
 Links are confirmed on the full sets. Not all pairs of a bucket are formed:
 
 1. A shingle that no other class of any shared bucket has is no part of an intersection. A class with
-   more such shingles than 1 - 0.85 of its set links with nothing and leaves; the numbers of such
-   shingles also bound what a pair can share.
+   more such shingles than 1 - 0.85 of its set links with nothing and leaves. For pairs, each class
+   carries BITS parities of its set: two sets differ in at least as many shingles as parities, so a pair
+   whose parities differ too often can't link, and never becomes a row.
 2. The rows of a bucket are tried against a pivot, the class with the smallest share of own shingles
    (in a group of edited copies that is the original).
 3. Only rows whose component then differs from others of their bucket, and pairs within the bound, are
@@ -48,10 +49,10 @@ cloudpickle.register_pickle_by_value(common)
 SHINGLE = 5
 SLOTS, CHUNKS = 80, 10
 PERCENT = 85
-#: Pairs of signatures further apart are not confirmed: at 85 % alike that happens once in 10**8 pairs.
-MAX_APART = 32
+#: Parities of a set, 64 in a long.
+BITS = 1024
 #: Rounds with pivots before the rest is tried pair by pair; it is tried at once where that is at most so many pairs for
-#: each row of the buckets. A pair costs a comparison of four numbers in the join; only those within the bound become rows.
+#: each row of the buckets. A pair costs a comparison of parities in the join; only those within the bound become rows.
 PIVOT_ROUNDS, PAIRS_A_ROW = 6, 400
 _PIECE = 4096
 
@@ -95,8 +96,9 @@ def _sketches(batches):
 
 def _sets(batches):
     for batch in batches:
-        sets = [shingle_set(t or b"").view(np.int64) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
+        sets = [shingle_set(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        odd = [np.packbits(np.bincount(s & np.uint64(BITS - 1), minlength=BITS).astype(np.uint8) & 1).view(np.int64) for s in sets]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], names=["id", "set", "odd"])
 
 
 def _keys(sig: str = "sig"):
@@ -110,19 +112,6 @@ def _keys(sig: str = "sig"):
     return F.array(*keys)
 
 
-def _apart(a: str, b: str):
-    """In how many slots two signatures differ."""
-    slots = [F.when(F.substring(a, 2 * i + 1, 2) != F.substring(b, 2 * i + 1, 2), 1).otherwise(0) for i in range(SLOTS)]
-    return sum(slots[1:], slots[0])
-
-
-def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures differ in at most MAX_APART slots."""
-    for side in "ab":
-        pairs = pairs.join(nodes.select(F.col("id").alias(side), F.col("sig").alias(f"sig_{side}")), side)
-    return pairs.where(_apart("sig_a", "sig_b") <= MAX_APART).select("a", "b").distinct()
-
-
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union on the full sets."""
     for side in "ba":
@@ -135,16 +124,16 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _own_shingles(sets: DataFrame) -> DataFrame:
-    """(id, n, own): the size of each set and how many of its shingles no other set has."""
+    """(id, n, odd, own): the size of each set, its parities, and how many of its shingles no other set has."""
     alone = sets.select("id", F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
     own = alone.groupBy("id").agg(F.count("*").alias("own"))
-    return sets.select("id", F.size("set").alias("n")).join(own, "id", "left").select("id", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    return sets.select("id", F.size("set").alias("n"), "odd").join(own, "id", "left").select("id", "n", "odd", F.coalesce("own", F.lit(0)).alias("own"))
 
 
 def _may_link(percent: int):
-    """Whether two sets (n, own and n2, own2) can share enough."""
-    most = F.least(F.col("n") - F.col("own"), F.col("n2") - F.col("own2"))
-    return (100 + percent) * most >= percent * (F.col("n") + F.col("n2"))
+    """Whether two sets (n, odd and n2, odd2) can be enough alike, by the parities in which they differ."""
+    apart = [F.bit_count(F.get("odd", F.lit(i)).bitwiseXOR(F.get("odd2", F.lit(i)))) for i in range(BITS // 64)]
+    return (100 + percent) * sum(apart[1:], apart[0]) <= (100 - percent) * (F.col("n") + F.col("n2"))
 
 
 def _class_components(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
@@ -155,24 +144,24 @@ def _class_components(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFr
     if met.isEmpty():
         return None
     involved = met.select(F.col("id").alias("doc_id")).distinct()
-    schema = T.StructType([T.StructField("id", nodes.schema["id"].dataType), T.StructField("set", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", nodes.schema["id"].dataType), T.StructField("set", T.ArrayType(T.LongType())), T.StructField("odd", T.ArrayType(T.LongType()))])
     # With repeated doc_ids a class id may bring other texts along; their sets count as the class's too.
     sets = stash(docs.join(involved, "doc_id", "left_semi").mapInArrow(_sets, schema).where("size(set) > 0"), "sets")
-    facts = stash(_own_shingles(sets).groupBy("id").agg(F.max("n").alias("n"), F.min("own").alias("own")).where(100 * F.col("own") <= (100 - percent) * F.col("n")), "facts")
+    facts = stash(_own_shingles(sets).where(100 * F.col("own") <= (100 - percent) * F.col("n")), "facts")
     bucket = stash(met.join(facts, "id"), "buckets")
     drop_stash(met)
     n_rows = bucket.count()
-    order = F.struct((F.col("own") / F.col("n")).alias("share"), F.col("id"), F.col("n").alias("n2"), F.col("own").alias("own2"))
-    pivots = bucket.groupBy("key").agg(F.count("*").alias("rows"), F.min(order).alias("p")).where("rows > 1").select("key", F.col("p.id").alias("p"), F.col("p.n2").alias("n2"), F.col("p.own2").alias("own2"))
+    order = F.struct((F.col("own") / F.col("n")).alias("share"), F.col("id"), F.col("n").alias("n2"), F.col("odd").alias("odd2"))
+    pivots = bucket.groupBy("key").agg(F.count("*").alias("rows"), F.min(order).alias("p")).where("rows > 1").select("key", F.col("p.id").alias("p"), F.col("p.n2").alias("n2"), F.col("p.odd2").alias("odd2"))
     first = bucket.join(pivots, "key").where((F.col("id") != F.col("p")) & _may_link(percent)).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
-    tested = stash(_near(first.distinct(), nodes), "pairs")
+    tested = stash(first.distinct(), "pairs")
     links = [stash(_confirmed(tested, sets, percent), "links")]
     for attempt in range(1, PIVOT_ROUNDS + 2):
         known = links[0]
         for more in links[1:]:
             known = known.union(more)
         label = stash(components(known), "labels")
-        now = bucket.join(label, "id", "left").select("key", "id", "n", "own", F.coalesce("component", "id").alias("c"))
+        now = bucket.join(label, "id", "left").select("key", "id", "n", "odd", F.coalesce("component", "id").alias("c"))
         now = stash(now.join(now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), "key", "left_semi"), "apart")
         sizes = now.groupBy("key", "c").agg(F.count("*").cast("double").alias("rows"))
         cost = sizes.groupBy("key").agg(F.sum("rows").alias("r"), F.sum(F.col("rows") * F.col("rows")).alias("q")).agg(F.sum((F.col("r") * F.col("r") - F.col("q")) / 2)).first()[0]
@@ -182,12 +171,12 @@ def _class_components(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFr
         if last:
             # Every row outside a bucket's largest component against the rest of the bucket.
             top = sizes.groupBy("key").agg(F.max(F.struct("rows", "c")).alias("t")).select("key", F.col("t.c").alias("top"))
-            other = now.join(top, "key").where("c <> top").select("key", F.col("id").alias("p"), F.col("c").alias("pc"), F.col("n").alias("n2"), F.col("own").alias("own2"))
+            other = now.join(top, "key").where("c <> top").select("key", F.col("id").alias("p"), F.col("c").alias("pc"), F.col("n").alias("n2"), F.col("odd").alias("odd2"))
         else:
-            order = F.struct(F.xxhash64(F.lit(attempt), F.col("id")), F.col("id"), F.col("c"), F.col("n").alias("n2"), F.col("own").alias("own2"))
-            other = now.groupBy("key").agg(F.min(order).alias("p")).select("key", F.col("p.id").alias("p"), F.col("p.c").alias("pc"), F.col("p.n2").alias("n2"), F.col("p.own2").alias("own2"))
+            order = F.struct(F.xxhash64(F.lit(attempt), F.col("id")), F.col("id"), F.col("c"), F.col("n").alias("n2"), F.col("odd").alias("odd2"))
+            other = now.groupBy("key").agg(F.min(order).alias("p")).select("key", F.col("p.id").alias("p"), F.col("p.c").alias("pc"), F.col("p.n2").alias("n2"), F.col("p.odd2").alias("odd2"))
         tries = now.join(other, "key").where((F.col("c") != F.col("pc")) & _may_link(percent)).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
-        tries = stash(_near(tries.distinct().join(tested, ["a", "b"], "left_anti"), nodes), "pairs")
+        tries = stash(tries.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         links.append(stash(_confirmed(tries, sets, percent), "links"))
         drop_stash(now)
         if last:
