@@ -109,12 +109,12 @@ add("queue_status", over(lambda r: r.select("id", classify.queue_status(F.col("s
     "SELECT id, CASE WHEN status = 0 AND coalesce(error, '') <> '' THEN 'Pending' WHEN status >= 400 THEN 'Pending' WHEN status >= 200 AND status < 400 THEN 'Done' ELSE '' END AS queue_status FROM crawl")
 add("length_quality", over(lambda r: r.select("id", text.length_quality(F.col("title"), 30, 60).alias("title_quality"), text.length_quality(F.col("meta_description"), 70, 155).alias("description_quality"))),
     f"SELECT id, {_QUALITY('title', 30, 60)} AS title_quality, {_QUALITY('meta_description', 70, 155)} AS description_quality FROM crawl")
-_ROBOTS = (F.col("meta_robots"), F.col("seo.metaGooglebot"), F.col("seo.xRobotsTag"))
+_robots = lambda: (F.col("meta_robots"), F.col("seo.metaGooglebot"), F.col("seo.xRobotsTag"))
 _ALL = "lower(meta_robots || ',' || \"seo_metaGooglebot\" || ',' || \"seo_xRobotsTag\")"
 _TOKENS = f"list_transform(list_filter(list_transform(regexp_split_to_array({_ALL}, '[,;]'), lambda t: trim(t)), lambda t: t <> ''), lambda t: trim(split_part(t, ':', 1)))"
-add("directive_tokens", over(lambda r: r.select("id", F.array_join(F.array_sort(classify.directive_tokens(*_ROBOTS)), ",").alias("tokens"))),
+add("directive_tokens", over(lambda r: r.select("id", F.array_join(F.array_sort(classify.directive_tokens(*_robots())), ",").alias("tokens"))),
     f"SELECT id, array_to_string(list_sort(list_distinct(CASE WHEN list_contains(t, 'none') THEN list_concat(t, ['noindex', 'nofollow']) ELSE t END)), ',') AS tokens FROM (SELECT id, {_TOKENS} AS t FROM crawl)")
-add("directive_numeric", over(lambda r: r.select("id", classify.directive_numeric("max-snippet", *_ROBOTS).alias("max_snippet"), classify.directive_numeric("max-video-preview", *_ROBOTS).alias("max_video"), classify.max_image_preview(F.col("meta_robots")).alias("max_image"))),
+add("directive_numeric", over(lambda r: r.select("id", classify.directive_numeric("max-snippet", *_robots()).alias("max_snippet"), classify.directive_numeric("max-video-preview", *_robots()).alias("max_video"), classify.max_image_preview(F.col("meta_robots")).alias("max_image"))),
     f"SELECT id, regexp_extract({_ALL}, 'max-snippet:\\s*(-?\\w+)', 1) AS max_snippet, regexp_extract({_ALL}, 'max-video-preview:\\s*(-?\\w+)', 1) AS max_video, regexp_extract(meta_robots, '(?i)max-image-preview:\\s*(\\w+)', 1) AS max_image FROM crawl")
 add("cls_quality", over(lambda r: r.select("id", text.cls_quality(F.col("seo.perf.cls")).alias("cls_quality"))), "SELECT id, CASE WHEN seo_cls = 0 THEN '' WHEN seo_cls > 0.25 THEN 'poor' WHEN seo_cls > 0.1 THEN 'needs work' ELSE 'ok' END AS cls_quality FROM crawl")
 add("heading_count_flag", over(lambda r: r.select("id", text.heading_count_flag(F.col("seo.h1Count")).alias("flag"))), "SELECT id, CASE WHEN \"seo_h1Count\" = 0 THEN 'Missing' WHEN \"seo_h1Count\" > 1 THEN 'Multiple' ELSE '' END AS flag FROM crawl")
@@ -170,7 +170,6 @@ QUERIES["join_url_in"], ORACLE_SQL["join_url_in"] = QUERIES["filter_url_in"], OR
 
 # ---- joins ------------------------------------------------------------------------------------
 
-_SEEN = "WITH"
 add("join_frontier_anti", lambda s, d: frontier(s, d).groupBy("session_id").agg(F.count("*").alias("n")), "SELECT session_id, count(*) AS n FROM frontier GROUP BY session_id", FRONTIER_SQL)
 add("join_delete_in", over(lambda r: r.join(r.where("status = 404").select("session_id", "url").distinct(), ["session_id", "url"], "left_anti").select("id", "session_id", "url", "status")), _ID + "crawl WHERE NOT status = 404")
 _LISTED = "listed AS (SELECT s.*, coalesce(n, 0) AS result_count FROM sessions s LEFT JOIN (SELECT session_id, count(*) AS n FROM crawl GROUP BY session_id) c ON c.session_id = s.id ORDER BY started_at DESC, id DESC LIMIT 50)"
@@ -361,26 +360,25 @@ ORACLE_SQL["bfs_depth"] = ORACLE_SQL["bfs_depth"].replace("WITH raw_log", "WITH
 
 # ---- functions --------------------------------------------------------------------------------
 
-_PAGE_URL = lambda *cols: lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", *cols)
-_U = F.col("url")
-add("ensure_protocol", _PAGE_URL(urls.ensure_protocol(F.regexp_replace("url", "^https://", "")).alias("u")), "SELECT page_id, CASE WHEN regexp_matches(v, '^(?i:https?://)') THEN v ELSE 'https://' || v END AS u FROM (SELECT page_id, regexp_replace(url, '^https://', '') AS v FROM pages)")
-add("host_of", _PAGE_URL(urls.host_of(_U).alias("host")), "SELECT page_id, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS host FROM pages")
-add("scope_base", _PAGE_URL(urls.scope_base(_U).alias("base")), r"SELECT page_id, regexp_replace(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '^www\.', '') AS base FROM pages")
-add("in_scope", _PAGE_URL(urls.in_scope(urls.host_of(_U), F.lit("example.com"), F.lit("")).alias("inside")), "SELECT page_id, h = 'example.com' OR ends_with(h, '.example.com') AS inside FROM (SELECT page_id, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS h FROM pages)")
-add("strip_slashes", _PAGE_URL(urls.strip_slashes(_U).alias("u")), "SELECT page_id, regexp_replace(url, '/+$', '') AS u FROM pages")
-add("insecure", _PAGE_URL(urls.insecure(_U).alias("insecure")), "SELECT page_id, starts_with(url, 'http://') AS insecure FROM pages")
-add("canonical_is_self", over(lambda r: r.select("id", urls.is_self(F.col("canonical"), _U).alias("is_self"))), "SELECT id, CASE WHEN coalesce(canonical, '') = '' THEN '' ELSE (regexp_replace(canonical, '/$', '') = regexp_replace(url, '/$', ''))::VARCHAR END AS is_self FROM crawl")
+_page_url = lambda made: lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", made(F.col("url")))
+add("ensure_protocol", _page_url(lambda u: urls.ensure_protocol(F.regexp_replace("url", "^https://", "")).alias("u")), "SELECT page_id, CASE WHEN regexp_matches(v, '^(?i:https?://)') THEN v ELSE 'https://' || v END AS u FROM (SELECT page_id, regexp_replace(url, '^https://', '') AS v FROM pages)")
+add("host_of", _page_url(lambda u: urls.host_of(u).alias("host")), "SELECT page_id, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS host FROM pages")
+add("scope_base", _page_url(lambda u: urls.scope_base(u).alias("base")), r"SELECT page_id, regexp_replace(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '^www\.', '') AS base FROM pages")
+add("in_scope", _page_url(lambda u: urls.in_scope(urls.host_of(u), F.lit("example.com"), F.lit("")).alias("inside")), "SELECT page_id, h = 'example.com' OR ends_with(h, '.example.com') AS inside FROM (SELECT page_id, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS h FROM pages)")
+add("strip_slashes", _page_url(lambda u: urls.strip_slashes(u).alias("u")), "SELECT page_id, regexp_replace(url, '/+$', '') AS u FROM pages")
+add("insecure", _page_url(lambda u: urls.insecure(u).alias("insecure")), "SELECT page_id, starts_with(url, 'http://') AS insecure FROM pages")
+add("canonical_is_self", over(lambda r: r.select("id", urls.is_self(F.col("canonical"), F.col("url")).alias("is_self"))), "SELECT id, CASE WHEN coalesce(canonical, '') = '' THEN '' ELSE (regexp_replace(canonical, '/$', '') = regexp_replace(url, '/$', ''))::VARCHAR END AS is_self FROM crawl")
 add("link_scope", over(lambda r: export.outlinks(r).groupBy("link_scope").agg(F.count("*").alias("n"))), "SELECT CASE WHEN regexp_extract(a, '://([^/?#]*)', 1) = regexp_extract(b, '://([^/?#]*)', 1) THEN 'internal' ELSE 'external' END AS link_scope, count(*) AS n FROM (SELECT url AS a, unnest(seo_outlinks) AS b FROM crawl) GROUP BY 1")
 _NORMAL = r"""SELECT page_id, base || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN q = '' THEN '' ELSE '?' || q END AS u FROM (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS base, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path,
   array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT starts_with(p, 'utm_'))), '&') AS q FROM pages)"""
-add("normalize_url", _PAGE_URL(urls.normalize(_U).alias("u")), _NORMAL)
-add("normalize_url_full", _PAGE_URL(urls.normalize_udf(_U).alias("u")), _NORMAL)
+add("normalize_url", _page_url(lambda u: urls.normalize(u).alias("u")), _NORMAL)
+add("normalize_url_full", _page_url(lambda u: urls.normalize_udf(u).alias("u")), _NORMAL)
 add("classify_resource", over(lambda r: r.select("id", classify.classify_resource(F.col("content_type")).alias("kind"))), "SELECT id, CASE WHEN contains(content_type, 'text/html') THEN 'HTML' WHEN contains(content_type, 'javascript') THEN 'JavaScript' WHEN contains(content_type, 'image/') THEN 'Image' ELSE 'Other' END AS kind FROM crawl")
-_D = classify.robots_directives(*_ROBOTS)
-add("robots_directives", over(lambda r: r.select("id", _D["is_indexable"].alias("is_indexable"), _D["is_noindex"].alias("is_noindex"), _D["is_nofollow"].alias("is_nofollow"))),
+_flags = lambda: classify.robots_directives(*_robots())
+add("robots_directives", over(lambda r: r.select("id", _flags()["is_indexable"].alias("is_indexable"), _flags()["is_noindex"].alias("is_noindex"), _flags()["is_nofollow"].alias("is_nofollow"))),
     f"SELECT id, NOT (list_contains(t, 'noindex') OR list_contains(t, 'none')) AS is_indexable, list_contains(t, 'noindex') OR list_contains(t, 'none') AS is_noindex, list_contains(t, 'nofollow') OR list_contains(t, 'none') AS is_nofollow FROM (SELECT id, list_transform(string_split({_ALL}, ','), lambda x: trim(x)) AS t FROM crawl)")
-_S = classify.security_audit(F.create_map(F.lit("strict-transport-security"), F.col("server_header"), F.lit("feature-policy"), F.lit("x")))
-add("security_audit", over(lambda r: r.select("id", _S["hsts"].alias("hsts"), _S["csp"].alias("csp"), _S["permissionsPolicy"].alias("permissions"))), "SELECT id, server_header <> '' AS hsts, false AS csp, true AS permissions FROM crawl")
+_audit = lambda: classify.security_audit(F.create_map(F.lit("strict-transport-security"), F.col("server_header"), F.lit("feature-policy"), F.lit("x")))
+add("security_audit", over(lambda r: r.select("id", _audit()["hsts"].alias("hsts"), _audit()["csp"].alias("csp"), _audit()["permissionsPolicy"].alias("permissions"))), "SELECT id, server_header <> '' AS hsts, false AS csp, true AS permissions FROM crawl")
 _REASON = f"""CASE WHEN status = 0 THEN 'HTTP error' WHEN status >= 400 THEN 'HTTP ' || status::VARCHAR WHEN status >= 300 AND status < 400 THEN 'Redirect' WHEN is_noindex OR contains(lower(meta_robots), 'noindex') OR contains(lower("seo_xRobotsTag"), 'noindex') THEN 'noindex' WHEN {_CANON} THEN 'Canonicalised' ELSE 'Non-indexable' END"""
 add("non_indexable_reason", over(lambda r: r.select("id", classify.non_indexable_reason().alias("reason"))), f"SELECT id, {_REASON} AS reason FROM crawl")
 add("block_classify", over(lambda r: r.select("id", classify.block_reason(F.col("status"), F.when(F.col("k") % 9 == 0, "Just a Moment...").otherwise(F.col("title"))).alias("reason"))), "SELECT id, CASE WHEN status = 403 THEN 'status_403' WHEN status = 429 THEN 'status_429' WHEN status >= 500 AND status < 600 THEN 'status_5xx' WHEN k % 9 = 0 THEN 'soft_title_phrase' END AS reason FROM crawl")
@@ -446,5 +444,228 @@ def reprobes(spark, d):
     return hosts.reprobe_gate(host_events(spark, d))
 
 
+def parked(spark, d):
+    return host_events(spark, d).where("type in ('parked', 'block-detected', 'block-cooldown-cleared')").select("host", "seq", "ts_ms", "type", "url", "reason")
+
+
+def commanded(spark, d):
+    from .streaming import hosts
+
+    rows = responses(spark, d).select("host", "seq", "ts_ms", "url", "status", "title", "body_bytes", "internal_links")
+    rows = rows.withColumn("command", F.when(F.col("seq") % 97 == 0, "resume-host").when(F.col("seq") % 89 == 0, "stop-host"))
+    return hosts.replay(rows).where("type in ('host-resumed', 'host-stopped')").select("host", "seq", "ts_ms", "type")
+
+
+def probes(spark, d):
+    from .streaming import hosts
+
+    r = views.raw_log(spark, d).where("id < 400")
+    blocked = F.col("status").isin(403, 404, 429, 503)
+    return hosts.probe_policy(r.select(F.floor(F.col("id") / 10).alias("run"), (F.col("id") % 10).alias("position"), (F.col("id") % 4 == 0).alias("headed"), blocked.alias("blocked"), F.when(blocked, F.col("status").cast("string")).alias("reason")))
+
+
+QUERIES["park_unpark"], QUERIES["host_commands"], QUERIES["probe_policy"] = parked, commanded, probes
 QUERIES["host_states"] = QUERIES["block_detector"] = QUERIES["adaptive_controller"] = host_events
 QUERIES["pacing_latest"], QUERIES["reprobe_gate"] = pacing, reprobes
+
+# ---- sources over generated lines and files -----------------------------------------------------
+
+
+def event_lines(spark, d):
+    """(value): the crawl log as the crawler writes it, with other events and noise between."""
+    r = views.raw_log(spark, d)
+    result = F.struct("url", "status", "title", F.col("resource_type").alias("resourceType"), F.col("response_time").alias("responseTime"), "error", F.col("word_count").alias("wordCount"), F.lit(1).alias("generation"))
+    other = {
+        0: F.to_json(F.struct(F.lit("log").alias("type"), F.lit("info").alias("level"), F.lit("m").alias("msg"))), 1: F.to_json(F.struct(F.lit("discovered").alias("type"), F.col("seo.outlinks").alias("urls"))),
+        2: F.lit("not json"), 3: F.lit("  "), 4: F.to_json(F.struct(F.lit("sitemap-discovered").alias("event"), F.lit(3).alias("total"))), 5: F.to_json(F.struct(F.lit("timing").alias("type"), F.lit(5).alias("dns"))),
+    }
+    extra = F.lit(None).cast("string")
+    for k, v in other.items():
+        extra = F.when(F.col("id") % 20 == k, v).otherwise(extra)
+    return r.select(F.explode(F.filter(F.array(F.to_json(result), extra), lambda x: x.isNotNull())).alias("value"))
+
+
+def routed(spark, d):
+    from .sources.readers import parse_lines
+    from .streaming import router
+
+    return router.current(router.route(parse_lines(event_lines(spark, d))))
+
+
+def ingested(spark, d):
+    from .streaming import router
+
+    return router.results_of(routed(spark, d), 1).groupBy("url", "status").agg(F.count("*").alias("n"), F.max("title").alias("title"), F.sum("word_count").alias("words"))
+
+
+add("source_ndjson", ingested, "SELECT url, status, count(*) AS n, max(coalesce(title, '')) AS title, sum(word_count)::BIGINT AS words FROM log GROUP BY url, status")
+add("route_events", lambda s, d: routed(s, d).groupBy("sink").agg(F.count("*").alias("n")), """SELECT sink, count(*) AS n FROM (SELECT 'result' AS sink FROM raw_log UNION ALL
+  SELECT CASE id % 20 WHEN 0 THEN 'log' WHEN 1 THEN 'frontier' WHEN 2 THEN 'log' WHEN 4 THEN 'other' ELSE 'timing' END FROM raw_log WHERE id % 20 IN (0, 1, 2, 4, 5)) GROUP BY sink""")
+add("timing_stream", lambda s, d: routed(s, d).where("sink = 'timing'").select("record.dns").groupBy("dns").agg(F.count("*").alias("n")), "SELECT 5::BIGINT AS dns, count(*) AS n FROM raw_log WHERE id % 20 = 5")
+
+
+def streamed(spark, d):
+    """The lines as files in the shared folder, followed by the streaming writer to its end."""
+    import uuid
+
+    from .operators.graph import shared_folder
+    from .streaming import router
+
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    event_lines(spark, d).repartition(4).write.text(f"{at}/inbox")
+    store = router.Store(spark, f"{at}/store")
+    router.start(spark, f"{at}/inbox", store, 1, f"{at}/checkpoint", files_per_batch=2).awaitTermination()
+    return store
+
+
+add("micro_batch_write", lambda s, d: streamed(s, d).results().select("url"), "SELECT DISTINCT url FROM raw_log")
+add("frontier_state", lambda s, d: streamed(s, d).frontier().select("url"), "SELECT DISTINCT url FROM (SELECT unnest(seo_outlinks) AS url FROM raw_log WHERE id % 20 = 1) WHERE url NOT IN (SELECT url FROM raw_log)")
+add("progress_snapshot", lambda s, d: streamed(s, d).results().agg(F.count("*").alias("row_count")), "SELECT count(DISTINCT url) AS row_count FROM raw_log")
+
+
+def page_lines(spark, d, *forms):
+    return spark.read.parquet(f"{d}/pages.parquet").select(F.explode(F.array(*[f(F.col("url")) for f in forms])).alias("value"))
+
+
+def url_list(spark, d):
+    from .sources.readers import listed_urls
+
+    return listed_urls(page_lines(spark, d, lambda u: F.concat(F.lit("  "), u, F.lit(" ,second")), lambda u: F.concat(F.lit("# "), u)))
+
+
+def exclude_list(spark, d):
+    from .sources.readers import excluded_urls
+
+    return excluded_urls(page_lines(spark, d, lambda u: F.concat(F.lit(" "), u, F.lit(" ")), lambda u: F.concat(F.lit("ftp:"), u)))
+
+
+add("source_url_list_file", url_list, "SELECT url FROM pages")
+add("source_exclude_file", exclude_list, "SELECT url FROM pages")
+
+
+def sitemap(spark, d):
+    from .sources.readers import sitemap_urls
+
+    pages = spark.read.parquet(f"{d}/pages.parquet").withColumn("part", F.col("page_id") % 5)
+    loc = F.concat(F.lit("<url><loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>"))
+    leaves = pages.groupBy("part").agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(loc), ""), F.lit("</urlset>")).alias("xml")).select(F.concat(F.lit("https://s.example/"), F.col("part").cast("string"), F.lit(".xml")).alias("url"), "xml")
+    index = leaves.agg(F.concat(F.lit("<sitemapindex>"), F.array_join(F.collect_list(F.concat(F.lit("<LOC>"), F.col("url"), F.lit("</LOC>"))), ""), F.lit("</sitemapindex>")).alias("xml")).select(F.lit("https://s.example/index.xml").alias("url"), "xml")
+    return sitemap_urls(leaves.union(index).select("url", F.col("xml").cast("binary").alias("content")), "https://s.example/index.xml")
+
+
+add("source_sitemap_xml", sitemap, "SELECT DISTINCT url FROM pages")
+_BODY = "User-agent: other\\nDisallow: /\\n\\nUser-agent: *\\nDisallow: /en/ # all\\nAllow: /en/*1\\nDisallow: /*.html$\\nDisallow:\\nSitemap: https://x.example/s.xml"
+
+
+def robots_files(spark, d):
+    pages = spark.read.parquet(f"{d}/pages.parquet")
+    origin = F.regexp_extract("url", "^([a-z]+://[^/]*)", 1)
+    return pages.select(origin.alias("origin")).distinct().select("origin", F.when(F.length("origin") % 7 == 0, 404).otherwise(200).alias("status"), F.lit(_BODY.replace("\\n", "\n")).alias("body"))
+
+
+def robots_rules(spark, d):
+    from .sources.readers import robots
+
+    return robots(robots_files(spark, d), "mybot/1.0")
+
+
+def robots_verdicts(spark, d):
+    from .functions.robots import verdicts
+
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("url", F.regexp_extract("url", "^([a-z]+://[^/]*)", 1).alias("origin")).distinct()
+    return verdicts(pages, robots_rules(spark, d)).select("url", "allowed")
+
+
+def robots_match(spark, d):
+    from .functions.robots import path_of, pattern_regex
+
+    pages = spark.read.parquet(f"{d}/pages.parquet")
+    return pages.select("page_id", *[F.rlike(path_of(F.col("url")), pattern_regex(F.lit(p))).alias(n) for n, p in (("starts", "/en/"), ("ends", "/*.html$"), ("middle", "/*/1*2"))])
+
+
+_ORIGINS = "SELECT DISTINCT regexp_extract(url, '^([a-z]+://[^/]*)', 1) AS origin FROM pages"
+add("source_robots_txt", robots_rules, f"SELECT origin, allow, pattern FROM ({_ORIGINS}), (VALUES (false, '/en/'), (true, '/en/*1'), (false, '/*.html$')) r(allow, pattern) WHERE length(origin) % 7 <> 0")
+QUERIES["robots_group"], ORACLE_SQL["robots_group"] = QUERIES["source_robots_txt"], ORACLE_SQL["source_robots_txt"]
+_PATHS = "SELECT page_id, url, regexp_extract(url, '^([a-z]+://[^/]*)', 1) AS origin, CASE WHEN starts_with(p, '/') THEN p ELSE '/' || p END AS path FROM (SELECT *, regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) AS p FROM pages)"
+add("robots_match", robots_match, f"SELECT page_id, starts_with(path, '/en/') AS starts, path LIKE '/%.html' AS ends, path LIKE '/%/1%2%' AS middle FROM ({_PATHS})")
+add("robots_allowed", robots_verdicts, f"SELECT DISTINCT url, CASE WHEN length(origin) % 7 = 0 THEN true WHEN path LIKE '/%.html' THEN false WHEN path LIKE '/en/%1%' THEN true WHEN starts_with(path, '/en/') THEN false ELSE true END AS allowed FROM ({_PATHS})")
+
+
+def relay_list(spark, d):
+    from .sources.readers import relays
+
+    rows = spark.read.parquet(f"{d}/supplier.parquet")
+    fields = F.concat_ws(",", "s_name", F.concat(F.lit("10.0.0."), F.col("s_suppkey").cast("string")), F.col("s_suppkey").cast("string"), F.lit("x"), (F.col("s_suppkey") * 1234567).cast("string"), F.lit("Land"), F.lit("LD"), F.lit("7"), F.repeat(F.lit("QUJD"), (F.col("s_suppkey") % 40).cast("int")))
+    head = spark.createDataFrame([("*relays",), ("#HostName,IP,Score,Ping,Speed,CountryLong,CountryShort,NumVpnSessions,Config",)], "value string")
+    return relays(rows.select(fields.alias("value")).union(head)).drop("config")
+
+
+add("source_relay_csv", relay_list, """SELECT s_name AS host_name, '10.0.0.' || s_suppkey::VARCHAR AS ip, s_suppkey AS score, 0::BIGINT AS ping, floor(s_suppkey * 1234567 / 1e6 * 10 + 0.5) / 10 AS speed_mbps, 'Land' AS country_long, 'LD' AS country_short, 7::BIGINT AS sessions FROM supplier WHERE s_suppkey % 40 >= 25""")
+
+
+def saved(spark, d):
+    import uuid
+
+    from .operators.graph import shared_folder
+    from .sources.readers import saved_crawl
+
+    at = f"{shared_folder(spark)}/saved-{uuid.uuid4().hex}"
+    rows = views.crawl(spark, d).where("id < 300").select("url", "status")
+    rows.agg(F.to_json(F.struct(F.lit(2).alias("version"), F.struct(F.lit("x").alias("name")).alias("config"), F.collect_list(F.struct("url", "status")).alias("results"))).alias("value")).coalesce(1).write.text(at)
+    return saved_crawl(spark, at)[1].select("url", "status")
+
+
+add("source_saved_crawl", saved, "SELECT url, status FROM crawl WHERE id < 300")
+
+
+def live_links(spark, d):
+    from .functions.html import extract_udf
+
+    pages = spark.read.parquet(f"{d}/pages.parquet")
+    return pages.select("page_id", F.explode(extract_udf()("html", "url")["outlinks"]).alias("link"))
+
+
+add("source_live_crawl", live_links, "SELECT DISTINCT page_id, regexp_extract(url, '^([a-z]+://[^/]*)', 1) || unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS link FROM pages")
+
+# ---- small ones ---------------------------------------------------------------------------------
+
+
+def session_crud(spark, d):
+    """A session made, one completed, one reconfigured, one deleted."""
+    s, r = views.sessions(spark, d), views.crawl(spark, d)
+    s = sessions.created(s, "https://new.example/", "{}", "2024-05-01 00:00:00")
+    s = sessions.changed(sessions.changed(s, 1, completed_at="2024-06-01 00:00:00"), 2, config_json='{"urls":["z"]}')
+    s, r, _ = sessions.deleted(3, s, r, frontier(spark, d))
+    return s.select("id", "start_url", "config_json", F.col("completed_at").isNotNull().alias("done")).join(r.groupBy(F.col("session_id").alias("id")).agg(F.count("*").alias("n")), "id", "left")
+
+
+add("session_crud", session_crud, """SELECT s.*, n FROM (SELECT id, start_url, CASE WHEN id = 2 THEN '{"urls":["z"]}' ELSE config_json END AS config_json, completed_at IS NOT NULL OR id = 1 AS done FROM sessions UNION ALL SELECT max(id) + 1, 'https://new.example/', '{}', false FROM sessions) s
+  LEFT JOIN (SELECT session_id, count(*) AS n FROM crawl WHERE session_id <> 3 GROUP BY session_id) c ON c.session_id = s.id WHERE id <> 3""", SESSION_SQL)
+add("cookies_by_domain", lambda s, d: agg.cookies_by_domain(responses(s, d).select(F.when(F.col("seq") % 2 == 0, F.concat(F.lit("."), "host")).otherwise(F.col("host")).alias("domain"))), "SELECT host AS domain, count(*) AS n FROM responses GROUP BY host", _RESPONSES)
+add("sort_field_map", lambda s, d: s.createDataFrame([(f, grid.sort_column(f)) for f in (*grid.SORTABLE, "seo", "")], "field string, col string"), "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in grid.SORTABLE.items()) + ", ('seo', NULL), ('', NULL)) v(field, col)")
+add("core_columns", lambda s, d: s.createDataFrame([(i, n) for i, n in enumerate(export.ExportSchema().columns())], "i long, name string"), "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{n}')" for i, (n, _) in enumerate(export.CORE_COLUMNS)) + ") v(i, name)")
+add("meta_tag_key", over(lambda r: r.select(F.explode("seo.metaTags").alias("t")).groupBy(export.meta_key(F.col("t")).alias("key")).agg(F.count("*").alias("n"))), "SELECT unnest(['robots', 'og:title']) AS key, count(*) AS n FROM crawl GROUP BY 1")
+for _alias in ("flatten", "cell_render"):
+    QUERIES[_alias], ORACLE_SQL[_alias] = QUERIES["export_main"], ORACLE_SQL["export_main"]
+
+
+def phases(spark, d):
+    c = lambda x: x.cast("double")
+    k, r = F.col("k"), F.col("response_time")
+    marks = F.struct(
+        c(k).alias("domainLookupStart"), c(k + 3).alias("domainLookupEnd"), c(k + 3).alias("connectStart"), F.when(k % 2 == 0, c(k + 5)).otherwise(F.lit(-1.0)).alias("secureConnectionStart"), c(k + 9).alias("connectEnd"), c(k + 10).alias("requestStart"), c(k + 10 + r).alias("responseStart"), c(k + 12 + r).alias("responseEnd"),
+    )
+    made = views.crawl(spark, d).select("id", classify.phase_timings(marks).alias("p"))
+    return made.select("id", *[F.col(f"p.{x}").cast("long").alias(x) for x in ("dns", "tcp", "tls", "ttfb", "download", "total")], "p.reused")
+
+
+add("phase_timings", phases, "SELECT id, 3::BIGINT AS dns, CASE WHEN k % 2 = 0 THEN 2 ELSE 6 END::BIGINT AS tcp, CASE WHEN k % 2 = 0 THEN 4 ELSE 0 END::BIGINT AS tls, response_time AS ttfb, 2::BIGINT AS download, k + 12 + response_time AS total, false AS reused FROM crawl")
+
+
+def image_files(spark, d):
+    from .sources.readers import files_listing
+
+    return agg.image_stats(files_listing(spark, f"{d}/region.parquet"))
+
+
+QUERIES["image_stats"] = image_files

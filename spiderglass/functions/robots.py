@@ -84,6 +84,6 @@ def path_of(url: Column) -> Column:
 def verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """urls (url, origin) with `allowed`, by rules (origin, allow, pattern), as an equi-join on the origin.
     Rules are few an origin, so a url meets few; the longest match wins by a partial aggregate."""
-    met = urls.join(rules, "origin").where(path_of(F.col("url")).rlike(pattern_regex(F.col("pattern"))))
+    met = urls.join(rules, "origin").where(F.rlike(path_of(F.col("url")), pattern_regex(F.col("pattern"))))
     best = met.groupBy("url").agg(F.max(F.struct(F.length("pattern").alias("n"), "allow"))["allow"].alias("allowed"))
     return urls.join(best, "url", "left").withColumn("allowed", F.coalesce("allowed", F.lit(True)))

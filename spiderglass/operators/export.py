@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
+from .graph import shared_folder
 
 # The export's core columns in order, each with the JSON key it shows ("" is computed).
 CORE = """url=url status=status content_type=contentType resource_type=resourceType size=size response_time=responseTime crawl_depth=crawlDepth in_sitemap=inSitemap error=error id=id
@@ -126,16 +127,16 @@ def console(results: DataFrame) -> DataFrame:
 CHILDREN = {"outlinks": outlinks, "failed_requests": failed_requests, "console": console}
 
 
-def _one_file(df: DataFrame, path: Path, work: Path) -> int:
-    """Spark writes parts in parallel; the driver joins their bytes behind a BOM and one header."""
-    parts = work / uuid.uuid4().hex
-    df.write.option("header", False).option("quoteAll", False).option("escape", '"').option("emptyValue", "").csv(str(parts))
-    with path.open("wb") as out:
-        out.write((BOM + ",".join(f'"{c}"' if "," in c or '"' in c else c for c in df.columns) + "\n").encode())
-        for part in sorted(parts.glob("part-*.csv")):
-            with part.open("rb") as f:
-                shutil.copyfileobj(f, out, 1 << 20)
-    shutil.rmtree(parts)
+def _one_file(df: DataFrame, path: Path) -> int:
+    """Executors write parts to the shared folder in parallel; the driver streams their lines (cells hold no line
+    breaks) behind a BOM and one header, a part at a time."""
+    spark = df.sparkSession
+    parts = f"{shared_folder(spark)}/export/{uuid.uuid4().hex}"
+    df.write.option("header", False).option("escape", '"').option("emptyValue", "").csv(parts)
+    with path.open("w", encoding="utf-8", newline="") as out:
+        out.write(BOM + ",".join(f'"{c}"' if "," in c or '"' in c else c for c in df.columns) + "\n")
+        for line in spark.read.text(parts).toLocalIterator():
+            out.write(line.value + "\n")
     return path.stat().st_size
 
 
@@ -147,7 +148,7 @@ def write_export(results: DataFrame, path: str) -> dict[str, int]:
     try:
         frames = {main.name: flatten(results, discover_schema(results))} | {f"{main.stem}_{k}{main.suffix}": f(results) for k, f in CHILDREN.items()}
         parts = {name: work / f"{name}.part" for name in frames}
-        sizes = {name: _one_file(df, parts[name], work) for name, df in frames.items()}
+        sizes = {name: _one_file(df, parts[name]) for name, df in frames.items()}
         for name, part in parts.items():
             os.replace(part, main.parent / name)
         return sizes

@@ -2,26 +2,32 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ingest import content_page
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; one of our own where it is unset (local use)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        named = tempfile.mkdtemp(prefix="spiderglass-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
 def _keep(df: DataFrame, label: str) -> DataFrame:
-    """Cuts lineage: a reliable checkpoint where a checkpoint folder is set, else a cached round (local use)."""
-    sc = df.sparkSession.sparkContext
-    named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if named and not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(named)
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return df.checkpoint()
-    import tempfile
-
-    sc.setCheckpointDir(f"{tempfile.gettempdir()}/graph-{label}-{uuid.uuid4().hex}")
-    return df.checkpoint()
+    """Cuts lineage: df written to the shared folder and read back."""
+    path = f"{shared_folder(df.sparkSession)}/rounds/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def nodes(results: DataFrame) -> DataFrame:

@@ -28,14 +28,21 @@ def ndjson(spark: SparkSession, path: str) -> DataFrame:
     return parse_lines(spark.read.text(path))
 
 
+def listed_urls(lines: DataFrame) -> DataFrame:
+    """(value): one url a line, or the first field of a CSV line."""
+    return lines.select(F.trim(F.split("value", ",")[0]).alias("url")).where(F.col("url").startswith("http"))
+
+
 def url_list(spark: SparkSession, path: str) -> DataFrame:
-    """One url a line, or the first field of a CSV line."""
-    url = F.trim(F.split("value", ",")[0])
-    return spark.read.text(path).select(url.alias("url")).where(F.col("url").startswith("http"))
+    return listed_urls(spark.read.text(path))
+
+
+def excluded_urls(lines: DataFrame) -> DataFrame:
+    return lines.select(F.trim("value").alias("url")).where(F.col("url").startswith("http"))
 
 
 def exclude_list(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.trim("value").alias("url")).where(F.col("url").startswith("http"))
+    return excluded_urls(spark.read.text(path))
 
 
 def _replaced(old: str, new: str):
@@ -101,8 +108,12 @@ def robots(files: DataFrame, user_agent: str) -> DataFrame:
 
 
 def relay_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A relay list: * and # lines mark, fields are unquoted; the first two and the last are anchored."""
-    lines = spark.read.text(path)
+    return relays(spark.read.text(path))
+
+
+def relays(lines: DataFrame) -> DataFrame:
+    """(value): a relay list: * and # lines mark, fields are unquoted; the first two and the last are anchored."""
+    spark = lines.sparkSession
     header = lines.where(F.col("value").startswith("#")).limit(1).collect()
     if not header:
         return spark.createDataFrame([], "host_name string, ip string, score long, ping long, speed_mbps double, country_long string, country_short string, sessions long, config string")

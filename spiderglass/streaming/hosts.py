@@ -246,7 +246,8 @@ def replay(responses: DataFrame, delay_ms: int = 1000) -> DataFrame:
 
 
 def track(stream: DataFrame, delay_ms: int = 1000) -> DataFrame:
-    """The same over a stream; a gate is cleared by a processing-time timer or by the next response after its time."""
+    """The same over a stream; a gate is cleared by a processing-time timer or by the next response after its time.
+    Start it with a processing-time trigger (or once): with timers pending, an available-now run does not end."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
