@@ -67,10 +67,12 @@ def mix(docs: DataFrame, weights: dict | None = None, other: float = 0.0, size:
     else:
         named = [F.when(F.col("source").eqNullSafe(F.lit(k)), F.lit(float(v))) for k, v in weights.items()]
         counts = counts.withColumn("w", F.coalesce(*named, F.lit(float(other))))
-    total = counts.agg(F.sum("w").alias("sum_w"), F.sum("n").alias("sum_n"))
-    rates = counts.crossJoin(F.broadcast(total)).select(F.col("source").alias("_s"), F.coalesce(F.try_divide(F.col("w") * F.col("sum_n") * F.lit(float(size)), F.col("sum_w") * F.col("n")), F.lit(0.0)).alias("rate"))
+    # Three numbers come to the driver: the sums of weights and rows, and how many sources there are.
+    sum_w, sum_n, sources = counts.agg(F.sum("w"), F.sum("n"), F.count("*")).first()
+    rate = F.coalesce(F.try_divide(F.col("w") * F.lit(sum_n or 0) * F.lit(float(size)), F.lit(float(sum_w or 0)) * F.col("n")), F.lit(0.0))
+    rates = counts.select(F.col("source").alias("_s"), rate.alias("rate"))
     # One row a source: broadcast where the sources are counted to be few, else shuffled.
-    rates = F.broadcast(rates) if counts.limit(SOURCES_TO_BROADCAST + 1).count() <= SOURCES_TO_BROADCAST else rates
+    rates = F.broadcast(rates) if sources <= SOURCES_TO_BROADCAST else rates
     rows = base.join(rates, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     who = (F.lit(seed), F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))))
     # The count is drawn once a row: as the list, maybe empty, of copies that the row is exploded by.
