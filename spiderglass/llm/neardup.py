@@ -54,7 +54,7 @@ BITS = 1024
 #: Rounds with pivots before the rest is tried pair by pair; it is tried at once where that is at most so many pairs for
 #: each row of the buckets. A pair costs a comparison of parities in the join; only those within the bound become rows.
 PIVOT_ROUNDS, PAIRS_A_ROW = 6, 400
-_PIECE = 4096
+_PIECE = 1024
 
 _RNG = np.random.default_rng(20240229)
 _FLIP = _RNG.integers(0, 1 << 64, (SLOTS, 1), np.uint64)
