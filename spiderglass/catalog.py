@@ -355,7 +355,7 @@ def depths(spark, d):
 
 
 add("bfs_depth", depths, """SELECT session_id, url, min(depth)::BIGINT AS depth FROM bfs GROUP BY session_id, url""", "links AS (SELECT DISTINCT session_id, url AS src, unnest(seo_outlinks) AS dst FROM crawl)",
-    "bfs AS (SELECT session_id, arg_min(url, id) AS url, 0 AS depth FROM crawl GROUP BY session_id UNION SELECT b.session_id, l.dst, b.depth + 1 FROM bfs b JOIN links l ON l.session_id = b.session_id AND l.src = b.url WHERE b.depth < 12)")
+    "bfs AS (SELECT session_id, arg_min(url, id) AS url, 0 AS depth FROM crawl GROUP BY session_id UNION SELECT b.session_id, l.dst, b.depth + 1 FROM bfs b JOIN links l ON l.session_id = b.session_id AND l.src = b.url WHERE b.depth < 60)")
 ORACLE_SQL["bfs_depth"] = ORACLE_SQL["bfs_depth"].replace("WITH raw_log", "WITH RECURSIVE raw_log", 1)
 
 # ---- functions --------------------------------------------------------------------------------

@@ -79,7 +79,7 @@ def pagerank(results: DataFrame, damping: float = 0.85, rounds: int = 100, toler
     state = _keep(deg.join(n, "session_id").withColumn("score", 1 / F.col("n")), "rank")
     links = _keep(edges(results), "edges")
     for _ in range(rounds):
-        share = links.join(state.select("session_id", F.col("url").alias("src"), (F.col("score") / F.col("outdegree")).alias("part")), ["session_id", "src"]).groupBy("session_id", F.col("dst").alias("url")).agg(F.sum("part").alias("got"))
+        share = links.join(state.select("session_id", F.col("url").alias("src"), F.try_divide("score", "outdegree").alias("part")), ["session_id", "src"]).groupBy("session_id", F.col("dst").alias("url")).agg(F.sum("part").alias("got"))
         sunk = state.groupBy("session_id").agg(F.sum(F.when(F.col("outdegree") == 0, F.col("score")).otherwise(0.0)).alias("sunk"))
         score = (1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("sunk") / F.col("n"))
         new = state.join(share, ["session_id", "url"], "left").join(sunk, "session_id").select("session_id", "url", "indegree", "outdegree", "n", score.alias("score"), F.abs(score - F.col("score")).alias("moved"))
