@@ -147,7 +147,7 @@ def _class_components(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFr
     schema = T.StructType([T.StructField("id", nodes.schema["id"].dataType), T.StructField("set", T.ArrayType(T.LongType())), T.StructField("odd", T.ArrayType(T.LongType()))])
     # With repeated doc_ids a class id may bring other texts along; their sets count as the class's too.
     sets = stash(docs.join(involved, "doc_id", "left_semi").mapInArrow(_sets, schema).where("size(set) > 0"), "sets")
-    facts = stash(_own_shingles(sets).where(100 * F.col("own") <= (100 - percent) * F.col("n")), "facts")
+    facts = _own_shingles(sets).where(100 * F.col("own") <= (100 - percent) * F.col("n"))
     bucket = stash(met.join(facts, "id"), "buckets")
     drop_stash(met)
     n_rows = bucket.count()
@@ -160,7 +160,7 @@ def _class_components(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFr
         known = links[0]
         for more in links[1:]:
             known = known.union(more)
-        label = stash(components(known), "labels")
+        label = components(known)
         now = bucket.join(label, "id", "left").select("key", "id", "n", "odd", F.coalesce("component", "id").alias("c"))
         now = stash(now.join(now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), "key", "left_semi"), "apart")
         sizes = now.groupBy("key", "c").agg(F.count("*").cast("double").alias("rows"))
@@ -178,7 +178,6 @@ def _class_components(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFr
         tries = now.join(other, "key").where((F.col("c") != F.col("pc")) & _may_link(percent)).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
         tries = stash(tries.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         links.append(stash(_confirmed(tries, sets, percent), "links"))
-        drop_stash(now)
         if last:
             return label if links[-1].isEmpty() else components(known.union(links[-1]))
         tested = tested.union(tries)
