@@ -10,10 +10,10 @@ stand against each segment (multi-match-aware windows: their number depends on E
 probe keys are hashes of (length, segment, substring) and meet in an equi-join. Equal lines are merged,
 with partial aggregates, before any key travels.
 
-Hot segments (EDITS = 1): where more than HOT lines share a segment, say the many variants of one line,
-their pairs are not formed. Those lines are cut into more segments, and a key holds all of them but one,
-from the start up to it and from the end down to it; variants that differ in two places share no such
-key. What is still hot is cut finer again (LEVELS). With EDITS above 1 pairs come from segments alone.
+Hot segments: where more than HOT lines share a segment, say the many variants of one line, their pairs
+are not formed. Those lines are cut into more segments, and a key holds all of them but EDITS: what
+stands before, between and after those left out; variants that differ in more places share no such key.
+What is still hot is cut finer again (LEVELS). With EDITS above 2 pairs come from segments alone.
 
 Candidates are verified with a banded bit-parallel edit distance: a band of 2 * EDITS + 1 bits slides
 along the diagonal, a few word operations a column. The text itself moves only for hot lines and for
@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import clean, let, stash, table
 
-EDITS, MIN_CHARS = 1, 24
-#: Lines that may share a segment before they are cut finer, and the numbers of segments then.
-HOT, LEVELS = 32, (8, 64)
+EDITS, MIN_CHARS = 2, 24
+#: Lines that may share a segment before they are cut finer, and by EDITS the numbers of segments then.
+HOT, LEVELS = 32, {1: (8, 64), 2: (8, 16)}
 #: Rows of ids up to which they are broadcast (16 bytes each), else they are joined by a shuffle.
 FEW = 500_000
 
@@ -49,7 +49,7 @@ def _segment(l: Column, i: Column, parts: int) -> tuple[Column, Column]:
 def _each(line: Column, n: Column, params: list[tuple], body) -> Column:
     """body(line, n, one of params) for all params: an array that is walked, so the code stays small."""
     names = [f"p{k}" for k in range(len(params[0]))]
-    made = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(names, p, strict=True)]) for p in params])
+    made = F.expr(f"array({', '.join('named_struct(' + ', '.join(f'{k!r}, {v}' for k, v in zip(names, p, strict=True)) + ')' for p in params)})")
     return let(F.struct(line.alias("line"), n.alias("n")), lambda x: F.transform(made, lambda p: body(x["line"], x["n"], *[p[k] for k in names])))
 
 
@@ -78,6 +78,24 @@ def all_but_one_keys(line: Column, n: Column, parts: int) -> tuple[Column, Colum
     return _each(line, n, [(0, i) for i in range(parts)], key), _each(line, n, [(s, i) for s in (0, 1) for i in range(parts)], key)
 
 
+def all_but_two_keys(line: Column, n: Column, parts: int) -> tuple[Column, Column]:
+    """Keys of all segments but two (i before j), for lines of the same length (index) and up to two shorter
+    (probe). Of `shorter` added characters `move` stand in segment i, and |move| + |shorter - move| edits do that."""
+    cuts = [(i, j) for i in range(parts) for j in range(i + 1, parts)]
+    moves = [(shorter, move) for shorter in range(3) for move in range(-1, 3) if abs(move) + abs(shorter - move) <= 2]
+
+    def key(line: Column, n: Column, shorter: Column, move: Column, i: Column, j: Column) -> Column:
+        (start, size), (start2, size2) = _segment(n - shorter, i, parts), _segment(n - shorter, j, parts)
+        between = F.substring(line, start + size + move, start2 - start - size)
+        return F.xxhash64(n - shorter, i, j, F.substring(line, F.lit(1), start - 1), between, F.substring(line, start2 + size2 + shorter, n))
+
+    return _each(line, n, [(0, 0, *c) for c in cuts], key), _each(line, n, [(*m, *c) for m in moves for c in cuts], key)
+
+
+#: By EDITS the keys that lines of hot segments have.
+FINER = {1: all_but_one_keys, 2: all_but_two_keys}
+
+
 def banded_distance(a: Column, b: Column, edits: int) -> Column:
     """Edit distance of two arrays of characters whose sizes differ by at most edits (and exceed it);
     what it gives above edits only says that the distance is above edits."""
@@ -156,14 +174,14 @@ def link_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     index, probe = segment_keys(F.col("line"), F.col("n"), edits)
     named = lines.select(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(3), "line").alias("b"), F.struct("doc_id", "r", "line_no").alias("at"), F.struct(index.alias("index"), probe.alias("probe")).alias("keys"), "n")
     classes = stash(named.groupBy("a", "b").agg(F.min("at").alias("first"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("n").alias("n")), "line-classes")
-    found, hot = _candidates(classes.select("a", "b", "keys.*"), HOT if edits == 1 else None)
+    found, hot = _candidates(classes.select("a", "b", "keys.*"), HOT if edits in FINER else None)
     found = [found]
     if hot is not None:
         texts = stash(_texts(docs, classes.join(hot, ["a", "b"], "left_semi").select(F.col("first").alias("at"))), "hot-texts")
         texts = texts.select(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(3), "line").alias("b"), "line", "n")
-        for level, parts in enumerate(LEVELS):
-            index, probe = all_but_one_keys(F.col("line"), F.col("n"), parts)
-            more, hot = _candidates(texts.join(hot, ["a", "b"], "left_semi").select("a", "b", index.alias("index"), probe.alias("probe")), HOT if level < len(LEVELS) - 1 else None)
+        for level, parts in enumerate(LEVELS[edits]):
+            index, probe = FINER[edits](F.col("line"), F.col("n"), parts)
+            more, hot = _candidates(texts.join(hot, ["a", "b"], "left_semi").select("a", "b", index.alias("index"), probe.alias("probe")), HOT if level < len(LEVELS[edits]) - 1 else None)
             found.append(more)
             if hot is None:
                 break

@@ -339,6 +339,24 @@ def test_lines(odd, docs, spark, monkeypatch, edits, hot):
     assert lines.line_classes(odd).count() == sum((t or "").count("\n") + 1 for _, t in ROWS)
 
 
+@pytest.mark.parametrize("hot", [lines.HOT, 1])
+def test_lines_two_edits_by_default(spark, monkeypatch, hot):
+    monkeypatch.setattr(lines, "HOT", hot)
+    whole = "".join(rng.choices("abcdefgh", k=61)) + "."
+    texts = {whole, whole[:20] + "ta de" + whole[23:], whole[:20] + "tasu" + whole[23:]}
+    for i in range(60):
+        line = list(whole)
+        for _ in range(1 + i % 3):
+            at = rng.randrange(len(line))
+            line[at : at + rng.randrange(2)] = rng.choices("xyz", k=rng.randrange(2))
+        texts.add("".join(line))
+    rows = list(enumerate(sorted(texts)))
+    want = {i: sum(i != j and abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2 for j, y in rows) for i, x in rows}
+    far = sum(distance(x, y) == 2 for i, x in rows for j, y in rows[:i] if abs(len(x) - len(y)) <= 2)
+    got = {r.doc_id: r.n_links for r in lines.line_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert far > 20 and got == want
+
+
 def test_remove_lines(odd):
     got = [(r.doc_id, r.text) for r in lines.remove_lines(odd).collect()]
     by = defaultdict(list)
