@@ -133,6 +133,24 @@ def test_likeness_estimates_jaccard(spark):
     assert abs(sum(off) / len(off)) < 0.03 and max(map(abs, off)) < 0.2
 
 
+def test_likeness_counts_weights(spark):
+    def pairs(t):
+        w = t.lower().split()
+        return Counter(zip(w, w[1:], strict=False))
+
+    rows, want = [], []
+    for k in range(40):
+        # One pair is most of the weight of one text or of both; the rest is many light pairs.
+        a = "x " * 300 + " ".join(f"a{k}w{i}" for i in range(300))
+        b = "x " * (15 * k) + " ".join(f"a{k}w{i}" if i % 2 else f"b{k}w{i}" for i in range(300))
+        x, y = pairs(a), pairs(b)
+        want.append(sum((x & y).values()) / sum((x | y).values()))
+        rows.append((k, a, b))
+    df = spark.createDataFrame(rows, "k int, a string, b string").select("k", fingerprint.likeness(fingerprint.fingerprint(F.col("a")), fingerprint.fingerprint(F.col("b"))).alias("j"))
+    off = [r.j - w for r, w in zip(df.orderBy("k").collect(), want, strict=True)]
+    assert abs(sum(off) / len(off)) < 0.03 and max(map(abs, off)) < 0.2
+
+
 # ---- op5
 
 
