@@ -11,6 +11,9 @@ from spiderglass.llm.mixing import mix
 from spiderglass.llm.neardup import near_duplicates
 from spiderglass.llm.quality import classify
 
+#: Documents at least so alike, on five-word shingles, are near duplicates.
+NEARDUP_PERCENT = 80
+
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -27,7 +30,7 @@ def lines_stage(spark, docs, sf_dir):
 
 def neardup_stage(spark, docs, sf_dir):
     """Of each group of near duplicates the document with the smallest doc_id stays."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    kept = near_duplicates(docs, NEARDUP_PERCENT).where("kept").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*COLUMNS)
 
 

@@ -1,16 +1,17 @@
 """MinHash near-dedup by a multi-index Hamming join, confirmed on full shingle sets.
 
 A document's set holds its distinct 5-word shingles (as 64-bit hashes). Documents with equal sets are
-one class; its smallest doc_id stands for it. Each class has a signature of SLOTS b-bit MinHash values.
-The signature is split into CHUNKS pieces. By pigeonhole, two signatures that differ in at most
-2 * CHUNKS - 1 slots have a piece with at most one differing slot, so a key for every way of leaving one
-slot out of a piece is shared by every such pair (SLOTS keys a class). At Jaccard 0.85 a slot differs
-with probability 0.15, and a pair shares no key with probability 2e-5 (less for closer pairs).
+one class; its smallest doc_id stands for it. Each class has a signature of `slots` b-bit MinHash values.
+The signature is split into `chunks` pieces. By pigeonhole, two signatures that differ in at most
+2 * chunks - 1 slots have a piece with at most one differing slot, so a key for every way of leaving one
+slot out of a piece is shared by every such pair (`slots` keys a class). At Jaccard 0.85 a slot differs
+with probability 0.15, and a pair shares no key with probability 2e-5 (less for closer pairs); a lower
+threshold takes more pieces of fewer slots (SHAPES): at 0.8 a pair shares no key with probability 1.4e-5.
 
 Links are confirmed on the full sets. Not all pairs of a bucket are formed:
 
 1. A shingle that no other class of any shared bucket has is no part of an intersection. A class with
-   more such shingles than 1 - 0.85 of its set links with nothing and leaves. For pairs, each class
+   more such shingles than 1 - 0.85 (the threshold) of its set links with nothing and leaves. For pairs, each class
    carries BITS parities of its set: two sets differ in at least as many shingles as parities, so a pair
    whose parities differ too often can't link, and never becomes a row.
 2. The rows of a bucket are tried against a pivot, the class with the smallest share of own shingles
@@ -49,6 +50,9 @@ cloudpickle.register_pickle_by_value(common)
 SHINGLE = 5
 SLOTS, CHUNKS = 80, 10
 PERCENT = 85
+#: From which threshold on which slots and chunks are used.
+SHAPES = {85: (SLOTS, CHUNKS), 80: (91, 13)}
+_MOST = max(slots for slots, _ in SHAPES.values())
 #: Parities of a set, 64 in a long.
 BITS = 1024
 #: Rounds with pivots before the rest is tried pair by pair; it is tried at once where that is at most so many pairs for
@@ -57,8 +61,17 @@ PIVOT_ROUNDS, PAIRS_A_ROW = 6, 400
 _PIECE = 1024
 
 _RNG = np.random.default_rng(20240229)
-_FLIP = _RNG.integers(0, 1 << 64, (SLOTS, 1), np.uint64)
-_TIMES = _RNG.integers(0, 1 << 64, (SLOTS, 1), np.uint64) | np.uint64(1)
+_FLIP, _TIMES = (_RNG.integers(0, 1 << 64, (SLOTS, 1), np.uint64) for _ in range(2))
+_FLIP, _TIMES = (np.concatenate([x, _RNG.integers(0, 1 << 64, (_MOST - SLOTS, 1), np.uint64)]) for x in (_FLIP, _TIMES))
+_TIMES |= np.uint64(1)
+
+
+def shape(percent: int) -> tuple[int, int]:
+    """Slots and chunks for a threshold."""
+    fit = [p for p in SHAPES if p <= percent]
+    if not fit:
+        raise ValueError(f"no signature finds pairs at {percent} % surely")
+    return SHAPES[max(fit)]
 
 
 def shingle_set(text: bytes, n: int = SHINGLE) -> np.ndarray:
@@ -69,18 +82,18 @@ def shingle_set(text: bytes, n: int = SHINGLE) -> np.ndarray:
     return np.unique(gram_hashes(word_hashes(words), min(n, len(words))))
 
 
-def signature(shingles: np.ndarray) -> bytes:
-    """SLOTS two-byte MinHash values."""
-    low = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64)
+def signature(shingles: np.ndarray, slots: int = SLOTS) -> bytes:
+    """Two-byte MinHash values, one a slot."""
+    low = np.full(slots, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(shingles), _PIECE):
-        h = (shingles[None, i : i + _PIECE] ^ _FLIP) * _TIMES
+        h = (shingles[None, i : i + _PIECE] ^ _FLIP[:slots]) * _TIMES[:slots]
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         np.minimum(low, h.min(axis=1), out=low)
     return (low * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(">u2").tobytes()
 
 
-def _sketches(batches):
+def _sketches(batches, slots):
     for batch in batches:
         sets = [shingle_set(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays(
@@ -88,7 +101,7 @@ def _sketches(batches):
                 batch.column("doc_id"),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                pa.array([signature(s) if len(s) else None for s in sets], pa.binary()),
+                pa.array([signature(s, slots) if len(s) else None for s in sets], pa.binary()),
             ],
             names=["doc_id", "n_shingles", "class", "sig"],
         )
@@ -101,9 +114,9 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], names=["id", "set", "odd"])
 
 
-def _keys(sig: str = "sig"):
+def _keys(sig: str = "sig", slots: int = SLOTS, chunks: int = CHUNKS):
     """A key for each slot: its piece of the signature without the slot."""
-    keys, sizes = [], [SLOTS // CHUNKS + (i < SLOTS % CHUNKS) for i in range(CHUNKS)]
+    keys, sizes = [], [slots // chunks + (i < slots % chunks) for i in range(chunks)]
     start = 0
     for size in sizes:
         for i in range(start, start + size):
@@ -138,7 +151,7 @@ def _may_link(percent: int):
 
 def _class_components(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
     """(id, component) of the classes that are linked, over all confirmed links; None if there are none."""
-    keyed = nodes.select("id", F.explode(_keys()).alias("key"))
+    keyed = nodes.select("id", F.explode(_keys("sig", *shape(percent))).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     met = stash(keyed.join(shared, "key"), "buckets")
     if met.isEmpty():
@@ -190,7 +203,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType
     docs = docs.select("doc_id", "text")
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("n_shingles", T.LongType()), T.StructField("class", T.BinaryType()), T.StructField("sig", T.BinaryType())])
-    rows = stash(docs.mapInArrow(_sketches, schema), "sketches")
+    slots, _ = shape(percent)
+    rows = stash(docs.mapInArrow(lambda batches: _sketches(batches, slots), schema), "sketches")
     # One node for each distinct set; equal sets have equal signatures.
     classes = stash(rows.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes")
     label = _class_components(classes.select("id", "sig"), docs, percent)

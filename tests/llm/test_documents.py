@@ -204,6 +204,38 @@ def test_neardup_keys_meet_by_pigeonhole(spark):
     assert all(r.n > 0 for r in met)
 
 
+def test_neardup_at_80_percent(spark):
+    import corpus_pipeline
+
+    rows, n = [], 0
+    for share in (79, 80, 81, 82, 84, 90):
+        # 100 shingles in all, `share` of them in both.
+        for _ in range(20):
+            words = [f"q{n}w{i}" for i in range(share + 4)]
+            rows += [(n, " ".join(words)), (n + 1, " ".join(words + [f"t{n}w{i}" for i in range(100 - share)]))]
+            n += 2
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in corpus_pipeline.neardup_stage(spark, df, None).collect()}
+    assert got == {i for i, _ in rows if i % 2 == 0 or i < 40}
+
+
+def test_neardup_keys_at_80_percent_meet(spark):
+    slots, chunks = neardup.shape(80)
+    size = slots // chunks
+    lost = lambda p: (1 - p**size - size * (1 - p) * p ** (size - 1)) ** chunks
+    assert slots % chunks == 0 and lost(0.8) < 2.3e-5
+    a = [rng.randrange(1 << 16) for _ in range(slots)]
+    rows = []
+    for k in range(30):
+        b = list(a)
+        for at in rng.sample(range(slots), 2 * chunks - 1):
+            b[at] ^= 1 + rng.randrange(1 << 15)
+        rows.append((k, b"".join(x.to_bytes(2, "big") for x in a), b"".join(x.to_bytes(2, "big") for x in b)))
+    df = spark.createDataFrame(rows, "k int, a binary, b binary")
+    met = df.select(F.size(F.array_intersect(neardup._keys("a", slots, chunks), neardup._keys("b", slots, chunks))).alias("n"), F.lit(0)).collect()
+    assert all(r.n > 0 for r in met)
+
+
 # ---- op7
 
 
