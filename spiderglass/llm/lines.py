@@ -1,8 +1,8 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
-Lines of at least MIN_CHARS code points (trimmed) are compared. Equal lines are one class, named by two
-hashes and represented by its first occurrence (by doc_id, then line number). Two classes are linked
-when their edit distance is at most EDITS.
+Equal lines (trimmed) are one class, named by two hashes and represented by its first occurrence (by
+doc_id, then line number). Two classes of lines of at least MIN_CHARS code points are linked when their
+edit distance is at most EDITS.
 
 Candidates: a line of length l is cut into EDITS + 1 segments; EDITS edits leave one of them intact. A
 probing line of length n looks, for every length l from n - EDITS to n, at the substrings that can still
@@ -19,8 +19,9 @@ Candidates are verified with a banded bit-parallel edit distance: a band of 2 *
 along the diagonal, a few word operations a column. The text itself moves only for hot lines and for
 candidates.
 
-Edge cases: null texts and empty texts have no line; short lines have a null class, are never linked
-and never removed; lines that differ in outer spaces only are equal; a line equal to or linked to an
+Edge cases: null texts and empty texts have no line; shorter lines are never linked, and have a class and
+copies where `short` is set (as in op2 and `remove_lines`), else a null class and are never removed; the
+same holds for blank lines always; lines that differ in outer spaces only are equal; a line equal to or linked to an
 earlier one is removed, whether or not that earlier one is removed itself; rows equal in doc_id and
 text count as one row; an empty table gives no rows; columns other than doc_id and text pass through
 `remove_lines` untouched.
@@ -167,14 +168,20 @@ def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     return split_lines(_of(docs, wanted)).select(F.struct("doc_id", "r", "line_no").alias("at"), "line", "n").join(places, "at", "left_semi").distinct()
 
 
-def link_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
+def _classed(min_chars: int, short: bool) -> Column:
+    """Whether a line has a class."""
+    long = F.col("n") >= min_chars
+    return long | F.col("line").rlike(r"\S") if short else long
+
+
+def link_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> tuple[DataFrame, DataFrame]:
     """Classes (a, b, first, copies, n) and links between them (a, b, first; a2, b2, first2; distance)."""
     docs = docs.select("doc_id", "text")
-    lines = split_lines(docs).where(F.col("n") >= min_chars)
+    lines = split_lines(docs).where(_classed(min_chars, short))
     index, probe = segment_keys(F.col("line"), F.col("n"), edits)
-    named = lines.select(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(3), "line").alias("b"), F.struct("doc_id", "r", "line_no").alias("at"), F.struct(index.alias("index"), probe.alias("probe")).alias("keys"), "n")
+    named = lines.select(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(3), "line").alias("b"), F.struct("doc_id", "r", "line_no").alias("at"), F.when(F.col("n") >= min_chars, F.struct(index.alias("index"), probe.alias("probe"))).alias("keys"), "n")
     classes = stash(named.groupBy("a", "b").agg(F.min("at").alias("first"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("n").alias("n")), "line-classes")
-    found, hot = _candidates(classes.select("a", "b", "keys.*"), HOT if edits in FINER else None)
+    found, hot = _candidates(classes.where(F.col("n") >= min_chars).select("a", "b", "keys.*"), HOT if edits in FINER else None)
     found = [found]
     if hot is not None:
         texts = stash(_texts(docs, classes.join(hot, ["a", "b"], "left_semi").select(F.col("first").alias("at"))), "hot-texts")
@@ -208,28 +215,29 @@ def _of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return keyed.join(wanted, ["doc_id", "r"], "left_semi").select("doc_id", "text")
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """A row for each line: doc_id, line_no, class_doc_id and class_line_no (the first equal line), copies,
-    n_links (different lines within edits), and removed (an earlier line is equal or linked)."""
+    n_links (different lines within edits), and removed (an earlier line is equal or linked). With `short`,
+    lines under min_chars too have their exact class."""
     docs = docs.select("doc_id", "text")
-    classes, links = link_lines(docs, edits, min_chars)
+    classes, links = link_lines(docs, edits, min_chars, short)
     ends = links.select("a", "b", (F.col("first2") < F.col("first")).alias("late")).union(links.select("a2", "b2", (F.col("first") < F.col("first2")).alias("late")))
     degree = ends.groupBy("a", "b").agg(F.count("*").alias("n_links"), F.max("late").alias("late"))
     known = classes.join(degree, ["a", "b"], "left").select("a", "b", "first", "copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("late", F.lit(False)).alias("late"))
     lines = split_lines(docs)
-    long = F.col("n") >= min_chars
-    lines = lines.select("doc_id", "r", "line_no", F.when(long, F.xxhash64("line")).alias("a"), F.when(long, F.xxhash64(F.lit(3), "line")).alias("b"))
+    classed = _classed(min_chars, short)
+    lines = lines.select("doc_id", "r", "line_no", F.when(classed, F.xxhash64("line")).alias("a"), F.when(classed, F.xxhash64(F.lit(3), "line")).alias("b"))
     found = lines.where("a is not null").join(known, ["a", "b"]).select(
         "doc_id", "r", "line_no", F.col("first.doc_id").alias("class_doc_id"), F.col("first.line_no").alias("class_line_no"), "copies", "n_links",
         (F.col("late") | (F.struct("doc_id", "r", "line_no") != F.col("first"))).alias("removed"),
     )
-    short = lines.where("a is null").select("doc_id", "r", "line_no", F.lit(None).cast(docs.schema["doc_id"].dataType), F.lit(None).cast("int"), F.lit(1).cast("long"), F.lit(0).cast("long"), F.lit(False))
-    return found.union(short)
+    rest = lines.where("a is null").select("doc_id", "r", "line_no", F.lit(None).cast(docs.schema["doc_id"].dataType), F.lit(None).cast("int"), F.lit(1).cast("long"), F.lit(0).cast("long"), F.lit(False))
+    return found.union(rest)
 
 
 def remove_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs without the lines that repeat an earlier one; a document all of whose lines go, goes too."""
-    gone = line_classes(docs, edits, min_chars).groupBy("doc_id", "r").agg(F.sort_array(F.collect_set(F.struct("line_no", "removed"))).alias("_flags"), F.max("removed").alias("_some"))
+    gone = line_classes(docs, edits, min_chars, short=True).groupBy("doc_id", "r").agg(F.sort_array(F.collect_set(F.struct("line_no", "removed"))).alias("_flags"), F.max("removed").alias("_some"))
     gone = gone.where("_some").select(F.col("doc_id").alias("_d"), F.col("r").alias("_r2"), "_flags")
     rows = docs.withColumn("_r", F.xxhash64("doc_id", "text"))
     rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_r") == F.col("_r2")), "left")
@@ -240,5 +248,5 @@ def remove_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
 
 
 def op2_line_dedup(spark, sf_dir):
-    found = line_classes(table(spark, sf_dir, "documents"))
+    found = line_classes(table(spark, sf_dir, "documents"), short=True)
     return found.select("doc_id", "line_no", "class_doc_id", "class_line_no", "copies", "n_links", "removed")

@@ -407,6 +407,19 @@ def test_lines_two_edits_by_default(spark, monkeypatch, hot):
     assert far > 20 and got == want
 
 
+def test_short_lines_have_exact_classes(spark, tmp_path):
+    rows = [(1, "All rights reserved.\n\nA first line that is long enough to be compared."), (2, " All rights reserved. \n\t\nshort"), (3, "short\nAll rights reserved!\n\t\n"), (4, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no, r.copies, r.n_links, r.removed) for r in lines.op2_line_dedup(spark, str(tmp_path)).collect()}
+    blank = (None, None, 1, 0, False)
+    assert got == {
+        (1, 0): (1, 0, 2, 0, False), (1, 1): blank, (1, 2): (1, 2, 1, 0, False), (2, 0): (1, 0, 2, 0, True), (2, 1): blank, (2, 2): (2, 2, 3, 0, False),
+        (3, 0): (2, 2, 3, 0, True), (3, 1): (3, 1, 1, 0, False), (3, 2): blank, (3, 3): blank, (4, 0): (2, 2, 3, 0, True),
+    }
+    assert {r.doc_id: r.text for r in lines.remove_lines(df).collect()} == {1: rows[0][1], 2: "\t\nshort", 3: "All rights reserved!\n\t\n"}
+
+
 def test_remove_lines(odd):
     got = [(r.doc_id, r.text) for r in lines.remove_lines(odd).collect()]
     by = defaultdict(list)
