@@ -23,7 +23,7 @@ Edge cases: null texts and empty texts have no line; shorter lines are never lin
 copies where `short` is set (as in op2 and `remove_lines`), else a null class and are never removed; the
 same holds for blank lines always; lines that differ in outer spaces only are equal; a line equal to or linked to an
 earlier one is removed, whether or not that earlier one is removed itself; rows equal in doc_id and
-text count as one row; an empty table gives no rows; columns other than doc_id and text pass through
+text count as one row; a null doc_id comes before all others; an empty table gives no rows; columns other than doc_id and text pass through
 `remove_lines` untouched.
 """
 
@@ -212,7 +212,9 @@ def link_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
 
 def _of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("r"))
-    return keyed.join(wanted, ["doc_id", "r"], "left_semi").select("doc_id", "text")
+    # The first place of a line may be in a document with a null doc_id.
+    wanted = wanted.select(F.col("doc_id").alias("_d"), F.col("r").alias("_r"))
+    return keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("r") == F.col("_r")), "left_semi").select("doc_id", "text")
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:

@@ -420,6 +420,27 @@ def test_short_lines_have_exact_classes(spark, tmp_path):
     assert {r.doc_id: r.text for r in lines.remove_lines(df).collect()} == {1: rows[0][1], 2: "\t\nshort", 3: "All rights reserved!\n\t\n"}
 
 
+@pytest.mark.parametrize("hot,few", [(lines.HOT, lines.FEW), (1, 0)])
+def test_lines_of_null_doc_ids(spark, monkeypatch, hot, few):
+    monkeypatch.setattr(lines, "HOT", hot)
+    monkeypatch.setattr(lines, "FEW", few)
+    whole = ["".join(rng.choices("abcdefgh", k=50)) for _ in range(5)]
+    change = lambda x, k: "".join("xyz"[k % 3] if p in (7 * k % 50, 11 * k % 50) else c for p, c in enumerate(x))
+    rows = [(None, "\n".join(whole))] + [(i, "\n".join([whole[i % 5], *[change(x, i) for x in whole[: i % 3 + 1]]])) for i in range(1, 12)]
+    each = [(i, k, x) for i, t in rows for k, x in enumerate(t.split("\n"))]
+    first, links = {}, defaultdict(set)
+    for at, (_, _, x) in enumerate(each):
+        first.setdefault(x, at)
+    for x in first:
+        for y in first:
+            if x != y and distance(x, y) <= 2:
+                links[x].add(y)
+    count = Counter(x for _, _, x in each)
+    want = {(i, k): (*each[first[x]][:2], count[x], len(links[x]), first[x] != at or any(first[y] < first[x] for y in links[x])) for at, (i, k, x) in enumerate(each)}
+    got = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no, r.copies, r.n_links, r.removed) for r in lines.line_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and sum(w[3] for w in want.values()) > 20
+
+
 def test_remove_lines(odd):
     got = [(r.doc_id, r.text) for r in lines.remove_lines(odd).collect()]
     by = defaultdict(list)
