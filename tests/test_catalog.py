@@ -45,6 +45,24 @@ def test_runs(spark, sf, name):
     assert catalog.QUERIES[name](spark, sf).count() >= 0
 
 
+def test_probe_policy_folds_all_rows(spark, sf):
+    from spiderglass.plans import views
+
+    want, state = {}, {}
+    for r in sorted(views.raw_log(spark, sf).select("id", "status").collect()):
+        run, (won, same, last) = r.id // 10, state.get(r.id // 10, (False, 0, None))
+        if won or same >= 3 and r.id % 4:
+            want[(run, r.id % 10)] = "skipped"
+        elif r.status in (403, 404, 429, 503):
+            want[(run, r.id % 10)] = "blocked"
+            state[run] = (False, same + 1 if r.status == last else 1, r.status)
+        else:
+            want[(run, r.id % 10)] = "won"
+            state[run] = (True, 0, None)
+    got = {(r.run, r.position): r.verdict for r in catalog.QUERIES["probe_policy"](spark, sf).collect()}
+    assert got == want and max(want)[0] >= 40
+
+
 def test_entry(spark):
     assert entry_point.entry(spark).count() == 3
 
