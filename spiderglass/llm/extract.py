@@ -6,12 +6,21 @@ host never gathers), and subtrees that recur on many pages of their host are del
 tag, role or class names as menu, header, footer, sidebar, notice, advert, form or comment. What is left
 of the article (or the main element, or else the body) is the text: a block a paragraph.
 
-A subtree recurs if it stands on at least `min_pages` pages and `min_share` of its host's pages;
-inside an article or main element `article_share` counts, as passages may repeat there. A host has at
-most (subtrees a page) / min_share such subtrees, so its list is small whatever its number of pages.
-If deletion by recurrence would leave nothing of a page, its article stays.
-
-Edge cases: null or empty html has empty text; text without markup is one block; unclosed comments and
+A subtree outside articles recurs if it stands on at least `min_pages` pages and `min_share` of its
+host's pages. Inside an article or main element far more is asked for, as passages may repeat and articles
+be mirrored there: `article_pages` pages and `article_share` of the host's; and articles of which
+recurrence would take more than half stay whole. Where a page (one without an article, say) would lose
+more than half to what recurs outside of articles, the same evidence is asked for there; a page of which
+nothing would be left stays. A host has at most (subtrees a page) / min_share such subtrees, so its list is
+small whatever its number of pages.
+
+Names: a class or role is unwanted if it is a name of NAMES, or made up of such names and of words that
+only tell place or kind (NEUTRAL), so "ad-slot" is and "alert-levels" is not. Ids name content as often
+as furniture (anchors of headings), so they count on plain containers (ID_TAGS) only. What browsers show
+only in place of the element (object, audio, video, canvas, iframe, noscript) is no text of the page.
+
+Edge cases: null or empty html has empty text; text without markup is one block; a very long page is one
+row of one task, read twice (once to count, once to extract), in time in proportion to its length; unclosed comments and
 scripts run to the end; a url without host (or null) counts under the host ""; repeated rows count as
 pages; an empty table gives no rows; columns other than page_id, url and html are not read.
 """
@@ -35,8 +44,9 @@ from .common import small_batches, stash, table
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(common)
 
-MIN_PAGES, MIN_SHARE, ARTICLE_SHARE = 5, 0.3, 0.6
-HOSTS_TO_BROADCAST = 50_000
+MIN_PAGES, MIN_SHARE, ARTICLE_PAGES, ARTICLE_SHARE = 5, 0.3, 20, 0.9
+#: Template hashes of all hosts (8 bytes each) up to which the hosts' lists are broadcast, else they are joined by a shuffle.
+HASHES_TO_BROADCAST = 500_000
 
 # HTML's element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -59,19 +69,33 @@ NAMES = frozenset(
     sharing social related recommended recommendations teaser teasers comment comments commentlist disqus reply replies respond pagination pager toolbar login search
     contentinfo complementary alert skip topbar""".split()
 )
+# Words that tell the place or kind of a named part.
+NEUTRAL = frozenset(
+    """left right top bottom upper lower center middle inner outer first last primary secondary main global site page sticky fixed floating mobile desktop small large mini
+    box block bar wrapper wrap container content holder area section panel column col row item items list slot unit link links button buttons icon icons form field group
+    header title heading head body text message msg label post posts article articles story stories news js id x1 x2""".split()
+)
+# Elements on which an id is a name of a part, and not an anchor.
+ID_TAGS = frozenset("div aside nav header footer ul ol form table iframe".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _NAME = re.compile(r"[^a-z0-9]+")
 
 
-def _unwanted(attrs: str) -> bool:
+def _names_furniture(name: str) -> bool:
+    """Whether a class, role or id is made up of unwanted names and neutral words."""
+    words = [w for w in _NAME.split(name) if w and not w.isdigit()]
+    return not NAMES.isdisjoint(words) and all(w in NAMES or w in NEUTRAL for w in words)
+
+
+def _unwanted(tag: str, attrs: str) -> bool:
     for m in _ATTR.finditer(attrs):
         if m.start() and attrs[m.start() - 1] not in " \t\n\r\f\"'/":
             continue
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             return True
-        if name in ("class", "id", "role") and not NAMES.isdisjoint(_NAME.split(value)):
+        if (name in ("class", "role") or name == "id" and tag in ID_TAGS) and any(map(_names_furniture, value.split())):
             return True
     return False
 
@@ -149,7 +173,7 @@ class Page:
         self.tags.append(tag)
         self.parent.append(up)
         inside = self.inside[up]
-        drop = (tag in DROPPED and not (tag == "header" and inside)) or bool(attrs and not attrs.isspace() and tag not in ("html", "body", "main") and _unwanted(attrs))
+        drop = (tag in DROPPED and not (tag == "header" and inside)) or bool(attrs and not attrs.isspace() and tag not in ("html", "body", "main") and _unwanted(tag, attrs))
         self.drop.append(drop)
         self.inside.append(inside or tag in ("article", "main"))
         self.hashes.append(0)
@@ -195,7 +219,7 @@ class Page:
         for t, p in zip(self.tags[1:], self.parent[1:], strict=True):
             in_header.append((in_header[p] or t == "header") and t not in HEADINGS)
         top = self._tops(dead)
-        sizes: dict[int, int] = {}
+        sizes: set[int] = set()
         blocks: list[tuple[int, str]] = []
         held: list[str] = []
         of = -1
@@ -204,19 +228,29 @@ class Page:
                 text = " ".join(unescape("".join(held)).split())
                 if text:
                     blocks.append((of, text))
-                    sizes[of] = sizes.get(of, 0) + len(text)
+                    sizes.add(of)
                 held, of = [], -1
             elif not dead[run[0]] and not (in_header[run[0]] and self.inside[run[0]]):
                 held.append(run[1])
                 if of < 0 and not run[1].isspace():
                     of = top[run[0]]
-        chosen = {k: v for k, v in sizes.items() if k > 0}
-        if chosen:
-            # Articles far smaller than the largest are teasers.
-            least = 0.2 * max(chosen.values())
-            blocks = [b for b in blocks if b[0] > 0 and chosen[b[0]] >= least]
+        if any(k > 0 for k in sizes):
+            blocks = [b for b in blocks if b[0] > 0]
         return "\n\n".join(t for _, t in blocks)
 
+    def without_templates(self, anywhere, strong, in_article) -> str:
+        """The main text without the recurring subtrees; strong: those outside articles for which far more speaks."""
+        whole = self.text()
+        if not anywhere and not in_article:
+            return whole
+        inner = self.text(frozenset(), in_article) if in_article else whole
+        if 2 * len(inner) < len(whole):
+            in_article, inner = frozenset(), whole
+        out = self.text(anywhere, in_article)
+        if 2 * len(out) < len(inner):
+            out = self.text(strong, in_article)
+        return out or inner
+
     def _tops(self, dead) -> list[int]:
         """For each element the outermost article around it; main elements where no article has text; else 0."""
         for kind in ("article", "main"):
@@ -237,8 +271,8 @@ def _host():
     return F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, article_share: float = ARTICLE_SHARE) -> DataFrame:
-    """(host, anywhere, in_article): hashes of the subtrees that recur on each host's pages."""
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, article_pages: int = ARTICLE_PAGES, article_share: float = ARTICLE_SHARE) -> DataFrame:
+    """(host, anywhere, strong, in_article): hashes of the subtrees that recur on each host's pages."""
     small_batches(pages.sparkSession)
 
     def hashed(batches):
@@ -252,36 +286,37 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(places, pa.bool_())], names=["host", "h", "inside"])
 
     rows = pages.select(_host().alias("host"), "html")
-    found = rows.mapInArrow(hashed, "host string, h long, inside boolean").groupBy("host", "h", "inside").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    total = pages.select(_host().alias("host")).groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    least = min(min_pages, article_pages)
+    found = rows.mapInArrow(hashed, "host string, h long, inside boolean").groupBy("host", "h", "inside").agg(F.count("*").alias("n")).where(F.col("n") >= F.when(F.col("inside"), article_pages).otherwise(min_pages))
+    total = pages.select(_host().alias("host")).groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least)
     often = found.join(total, "host").where(F.col("n") >= F.col("pages") * F.when(F.col("inside"), article_share).otherwise(min_share))
-    return often.groupBy("host").agg(F.collect_list(F.when(~F.col("inside"), F.col("h"))).alias("anywhere"), F.collect_list(F.when(F.col("inside"), F.col("h"))).alias("in_article"))
+    sure = (F.col("n") >= article_pages) & (F.col("n") >= F.col("pages") * article_share)
+    lists = {"anywhere": ~F.col("inside"), "strong": ~F.col("inside") & sure, "in_article": F.col("inside")}
+    return often.groupBy("host").agg(*[F.collect_list(F.when(which, F.col("h"))).alias(name) for name, which in lists.items()])
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, article_share: float = ARTICLE_SHARE) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, article_pages: int = ARTICLE_PAGES, article_share: float = ARTICLE_SHARE) -> DataFrame:
     """(page_id, url, text, n_chars, n_template) for every row of pages (page_id, url, html)."""
     pages = pages.select("page_id", "url", "html")
-    marks = stash(templates(pages, min_pages, min_share, article_share), "templates")
-    # A row a host: broadcast where hosts are counted to be few, else shuffled.
-    marks = F.broadcast(marks) if marks.count() <= HOSTS_TO_BROADCAST else marks
+    marks = stash(templates(pages, min_pages, min_share, article_pages, article_share), "templates")
+    # A row a host: broadcast where the hashes are counted to be few, else shuffled.
+    size = marks.agg(F.sum(F.size("anywhere") + F.size("strong") + F.size("in_article") + 8)).first()[0] or 0
+    marks = F.broadcast(marks) if size <= HASHES_TO_BROADCAST else marks
 
     def run(batches):
         for batch in batches:
             texts, gone = [], []
-            for html, anywhere, inside in zip(*[batch.column(c).to_pylist() for c in ("html", "anywhere", "in_article")], strict=True):
+            for html, *lists in zip(*[batch.column(c).to_pylist() for c in ("html", "anywhere", "strong", "in_article")], strict=True):
                 page = Page(html or "")
-                drop = [frozenset(h % (1 << 64) for h in x or ()) for x in (anywhere, inside)]
-                text = page.text(*drop)
-                if not text and any(drop):
-                    text = page.text()
-                texts.append(text)
-                gone.append(sum(1 for h in set(page.hashes) if h and (h in drop[0] or h in drop[1])))
+                drop = [frozenset(h % (1 << 64) for h in x or ()) for x in lists]
+                texts.append(page.without_templates(*drop))
+                gone.append(sum(1 for h in set(page.hashes) if h and (h in drop[0] or h in drop[2])))
             text = pa.array([t.encode("utf-8", "replace").decode() for t in texts], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), text, pa.array([len(t) for t in texts], pa.int64()), pa.array(gone, pa.int64())], names=["page_id", "url", "text", "n_chars", "n_template"])
 
     fields = pages.schema
     schema = T.StructType([fields["page_id"], fields["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_template", T.LongType())])
-    rows = pages.withColumn("host", _host()).join(marks, "host", "left").select("page_id", "url", "html", "anywhere", "in_article")
+    rows = pages.withColumn("host", _host()).join(marks, "host", "left").select("page_id", "url", "html", "anywhere", "strong", "in_article")
     return rows.mapInArrow(run, schema)
 
 

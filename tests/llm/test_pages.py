@@ -1,5 +1,6 @@
 """HTML extraction: pages made for single rules, template removal, and the small table."""
 
+import random
 import re
 from collections import Counter
 from html import unescape
@@ -29,6 +30,10 @@ CASES = [
     ("<p>😀 &#128512; &lt;b&gt;</p>", "😀 😀 <b>"),
     ("</p></div><p>stray ends</div></p>", "stray ends"),
     ("<div>" * 3000 + "deep", "deep"),
+    ("<article><p>The first of two articles, a long one with many words in it.</p></article><article><p>Short.</p></article>", "The first of two articles, a long one with many words in it.\n\nShort."),
+    ("<article><h2 id='search'>Search</h2><section id=\"related-work\"><p>Others did it.</p></section><p class='alert-levels'>Levels are three.</p></article>", "Search\n\nOthers did it.\n\nLevels are three."),
+    ("<div id=sidebar-left>menu</div><p id=comments>Comments on the text</p><div class='post-body'>post</div><div class='x ad-slot-2'>buy</div><section class=related-posts>more</section>", "Comments on the text\n\npost"),
+    ("<p>" + "long words " * 200_000 + "</p><p>end", "long words " * 199_999 + "long words\n\nend"),
 ]
 
 
@@ -53,6 +58,40 @@ def test_templates_are_counted_per_host(spark):
     assert extract(df.where("false")).count() == 0
 
 
+def test_mirrored_articles_keep_their_text(spark):
+    shared = "".join(f"<p>Paragraph {k} of an article that many pages of the host repeat.</p>" for k in range(5))
+    rows = [(i, "https://e.example/", f"<nav>menu</nav><article>{shared if i < 6 else ''}<p>seen {i}</p></article>") for i in range(9)]
+    rows += [(100 + i, "https://f.example/", f"<div>{shared if i < 6 else ''}<p>seen {i}</p></div>") for i in range(9)]
+    rows += [(200 + i, "https://g.example/", f"<article>{shared}<p>seen {i}</p></article>") for i in range(30)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    whole = "".join(f"Paragraph {k} of an article that many pages of the host repeat.\n\n" for k in range(5))
+    assert got == {i: (whole if i % 100 < 6 or i >= 200 else "") + f"seen {i % 100}" for i, *_ in rows}
+
+
+def test_subtrees_are_counted_like_brute_force(spark):
+    rng = random.Random(3)
+    pages = []
+    for host in range(4):
+        parts = [f"<div><p>part {k} of host {host}</p></div>" for k in range(12)]
+        for i in range(rng.choice([4, 15, 40])):
+            chosen = [parts[k] for k in range(12) if rng.random() < (k + 1) / 13]
+            own = "".join(f"<p>own words {host} {i} {j} of this page, which are many more than the parts have</p>" for j in range(20))
+            pages.append((len(pages), f"https://h{host}.example/{i}", host, chosen, own))
+    df = spark.createDataFrame([(i, u, f"<main><p>in {i}</p></main>" if i % 11 == 0 else own + "".join(chosen)) for i, u, _, chosen, own in pages], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract(df).collect()}
+    total = Counter(h for _, _, h, _, _ in pages)
+    count = Counter((h, c) for i, _, h, chosen, _ in pages if i % 11 for c in chosen)
+    gone = 0
+    for i, _, h, chosen, own in pages:
+        if i % 11 == 0:
+            assert got[i] == f"in {i}"
+            continue
+        left = [c for c in chosen if count[(h, c)] < 5 or count[(h, c)] < 0.3 * total[h]]
+        gone += len(chosen) - len(left)
+        assert got[i] == "\n\n".join(re.findall("<p>(.*?)</p>", own + "".join(left)))
+    assert gone > 100
+
+
 def test_small_table(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = {r.page_id: r.text for r in extract(pages).collect()}
