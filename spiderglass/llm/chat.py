@@ -14,7 +14,11 @@ speaker's own turns. The mask is told per turn too.
 never gathered); `rotate` joins a perspective's turns into one dialogue, whose size is that of the
 dialogue it returns.
 
-Edge cases: a null role is the participant "unknown"; a null text is empty; turns are ordered by turn
+Names are roles in which control marks are broken up and line breaks are spaces, so that no role can open
+or close a turn; participants are told apart by their roles as they are, so two roles of one name stay two.
+
+Edge cases: a null role is a participant of its own, whose name is "unknown" and whose speaker is null; a null
+text is empty; a very long text is copied once for each participant, and a perspective is one row; turns are ordered by turn
 (nulls first), then role and text, so ties have one order and repeated rows all count; a conversation
 of system turns only has no perspective and gives no row; a null conv_id is a conversation of its own;
 control marks inside texts are broken up with a space so that a text cannot open a turn; an empty table
@@ -34,20 +38,28 @@ SYSTEM = "system"
 
 
 def _turns(rows: DataFrame) -> DataFrame:
-    text = F.regexp_replace(clean("text"), r"<\|(im_start|im_end)\|>", "<| $1 |>")
-    return rows.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), text.alias("text"))
+    return rows.select("conv_id", "turn", "role", _broken(clean("text")).alias("text"))
+
+
+def _broken(text: Column) -> Column:
+    return F.regexp_replace(text, r"<\|(im_start|im_end)\|>", "<| $1 |>")
+
+
+def _name(role: Column) -> Column:
+    # A break inside a mark is gone before marks are looked for.
+    return _broken(F.regexp_replace(F.coalesce(role, F.lit("unknown")), r"[\n\x0B\f\r\x{85}\x{2028}\x{2029}]+", " "))
 
 
 def _head(role: Column, speaker: Column) -> Column:
-    return F.when(role == SYSTEM, F.lit(f"{OPEN}{SYSTEM}\n")).when(role == speaker, F.lit(f"{OPEN}assistant\n")).otherwise(F.concat(F.lit(f"{OPEN}user name="), role, F.lit("\n")))
+    return F.when(role == SYSTEM, F.lit(f"{OPEN}{SYSTEM}\n")).when(role.eqNullSafe(speaker), F.lit(f"{OPEN}assistant\n")).otherwise(F.concat(F.lit(f"{OPEN}user name="), _name(role), F.lit("\n")))
 
 
 def rotated_turns(rows: DataFrame) -> DataFrame:
     """(conv_id, speaker, turn, role, rendered, learn): each turn as seen from each participant."""
     turns = _turns(rows)
-    speakers = turns.where(F.col("role") != SYSTEM).select(F.col("conv_id").alias("c"), F.col("role").alias("speaker")).distinct()
+    speakers = turns.where(~F.col("role").eqNullSafe(SYSTEM)).select(F.col("conv_id").alias("c"), F.col("role").alias("speaker")).distinct()
     both = turns.join(speakers, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
-    return both.select("conv_id", "speaker", "turn", "role", F.concat(_head(F.col("role"), F.col("speaker")), "text", F.lit(f"{CLOSE}\n")).alias("rendered"), (F.col("role") == F.col("speaker")).alias("learn"))
+    return both.select("conv_id", "speaker", "turn", "role", F.concat(_head(F.col("role"), F.col("speaker")), "text", F.lit(f"{CLOSE}\n")).alias("rendered"), F.col("role").eqNullSafe(F.col("speaker")).alias("learn"))
 
 
 def rotate(rows: DataFrame) -> DataFrame:
@@ -55,9 +67,9 @@ def rotate(rows: DataFrame) -> DataFrame:
     turns = _turns(rows)
     # One shuffle: a conversation's turns are gathered once and rendered for each of its speakers.
     whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    speakers = F.array_sort(F.array_distinct(F.filter(F.transform("turns", lambda t: t["role"]), lambda r: r != SYSTEM)))
+    speakers = F.array_sort(F.array_distinct(F.filter(F.transform("turns", lambda t: t["role"]), lambda r: ~r.eqNullSafe(SYSTEM))))
     each = whole.select("conv_id", "turns", F.explode(speakers).alias("speaker"))
-    part = lambda t: F.struct(_head(t["role"], F.col("speaker")).alias("head"), F.concat(t["text"], F.lit(CLOSE)).alias("body"), (t["role"] == F.col("speaker")).alias("own"))
+    part = lambda t: F.struct(_head(t["role"], F.col("speaker")).alias("head"), F.concat(t["text"], F.lit(CLOSE)).alias("body"), t["role"].eqNullSafe(F.col("speaker")).alias("own"))
     each = each.select("conv_id", "speaker", F.transform("turns", part).alias("parts"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -81,18 +93,19 @@ def op10_perspectives(spark, sf_dir):
 
 OP10_SQL = """
 WITH turns AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, regexp_replace(coalesce(text, ''), '<\\|(im_start|im_end)\\|>', '<| \\1 |>', 'g') AS text FROM conversations
+  SELECT conv_id, turn, role, regexp_replace(regexp_replace(coalesce(role, 'unknown'), '[\\n\\x0B\\f\\r\\x{85}\\x{2028}\\x{2029}]+', ' ', 'g'), '<\\|(im_start|im_end)\\|>', '<| \\1 |>', 'g') AS name,
+    regexp_replace(coalesce(text, ''), '<\\|(im_start|im_end)\\|>', '<| \\1 |>', 'g') AS text FROM conversations
 ),
-speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM turns WHERE role <> 'system'),
+speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM turns WHERE role IS DISTINCT FROM 'system'),
 parts AS (
-  SELECT t.conv_id, s.speaker, t.turn, t.role, t.text, t.role = s.speaker AS own,
-    CASE WHEN t.role = 'system' THEN '<|im_start|>system' || chr(10) WHEN t.role = s.speaker THEN '<|im_start|>assistant' || chr(10) ELSE '<|im_start|>user name=' || t.role || chr(10) END AS head,
+  SELECT t.conv_id, s.speaker, t.turn, t.role, t.text, t.role IS NOT DISTINCT FROM s.speaker AS own,
+    CASE WHEN t.role = 'system' THEN '<|im_start|>system' || chr(10) WHEN t.role IS NOT DISTINCT FROM s.speaker THEN '<|im_start|>assistant' || chr(10) ELSE '<|im_start|>user name=' || t.name || chr(10) END AS head,
     t.text || '<|im_end|>' AS body
   FROM turns t JOIN speakers s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
 ),
 placed AS (
-  SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)::BIGINT - 1 AS stop,
-    row_number() OVER (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, role, text) AS k
+  SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, role NULLS FIRST, text ROWS UNBOUNDED PRECEDING)::BIGINT - 1 AS stop,
+    row_number() OVER (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, role NULLS FIRST, text) AS k
   FROM parts
 )
 SELECT conv_id, speaker, count(*) AS n_turns, count(*) FILTER (own) AS n_own, length(string_agg(head || body || chr(10), '' ORDER BY k)) AS n_chars,
