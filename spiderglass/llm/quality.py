@@ -11,7 +11,8 @@ Held-out rows, crc32(doc_id as text) mod 5 = 0, are never learned from.
 
 Edge cases: a null or empty text has no n-grams and gets the bias's score; a null doc_id counts as the
 empty text, so it is held out; labels without a document, with null quality or other values than 0
-and 1 are ignored; of a document's repeated labels the largest counts; with no labels or one class
+and 1 are ignored; of a document's repeated labels the largest counts, and of a
+repeated doc_id one text is learned from (all are scored); a very long text is walked in pieces and counts whole; with no labels or one class
 only every score is the smoothed share of label 1; input columns named as the added ones give way.
 """
 
@@ -41,23 +42,24 @@ THRESHOLD = 0.3
 _PIECE = 1 << 20
 
 
-def grams(text: bytes):
-    """(kind, bucket numbers) of words, word pairs, and 3- and 4-grams of bytes."""
-    words = text.split()
+def grams(text: str):
+    """(kind, bucket numbers) of words, word pairs, and 3- and 4-grams of characters."""
+    words = text.encode("utf-8", "replace").split()
     mask, shift = np.uint32((1 << BITS) - 1), np.uint32(32 - BITS)
     h = np.fromiter(map(crc32, words), np.uint32, len(words))
     yield 0, h & mask
-    # A pair is hashed by its difference, so all repeats of a word share a bucket, whatever the word.
+    # A pair is hashed by a difference of its words' hashes, which is 0 for a word and itself: all immediate repeats
+    # share a bucket, whatever the word, so that what is learned of stutter holds for words never seen in training.
     yield 1, ((h[1:] - h[:-1]) * np.uint32(0x9E3779B1)) >> shift
     for start in range(0, len(text), _PIECE):
-        b = np.frombuffer(text, np.uint8, min(_PIECE + 3, len(text) - start), start).astype(np.uint32)
-        g = b[:-2] | b[1:-1] << np.uint32(8) | b[2:] << np.uint32(16)
+        c = np.frombuffer(text[start : start + _PIECE + 3].encode("utf-32-le", "surrogatepass"), np.uint32)
+        g = (c[:-2] * np.uint32(0x01000193) + c[1:-1]) * np.uint32(0x01000193) + c[2:]
         yield 2, (g[:_PIECE] * np.uint32(0x9E3779B1)) >> shift
-        g = g[:-1] | b[3:] << np.uint32(24)
+        g = g[:-1] * np.uint32(0x01000193) + c[3:]
         yield 3, (g[:_PIECE] * np.uint32(0x85EBCA6B)) >> shift
 
 
-def sparse(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+def sparse(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Bucket numbers over all kinds and their weights; the weights of a kind sum to 1."""
     counts = np.zeros((KINDS, 1 << BITS), np.float32)
     for kind, at in grams(text):
@@ -94,7 +96,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], dim: int = DIM, epochs
     return (vectors @ (layer[1] - layer[0])).astype(np.float32), float(bias[1] - bias[0])
 
 
-def score(text: bytes, folded: np.ndarray, bias: float) -> float:
+def score(text: str, folded: np.ndarray, bias: float) -> float:
     total, count = np.zeros(KINDS), np.zeros(KINDS)
     for kind, at in grams(text):
         total[kind] += folded[kind].take(at).sum(dtype=np.float64)
@@ -113,14 +115,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS
 
     def features(batches):
         for batch in batches:
-            rows = [sparse(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            rows = [sparse(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.string()), pa.array([r[0].tobytes() for r in rows], pa.binary()), pa.array([r[1].tobytes() for r in rows], pa.binary()), batch.column("quality")],
                 names=["doc_id", "at", "weight", "quality"],
             )
 
-    # Bounded by max_train_docs rows, so it may be broadcast.
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
+    # Bounded by max_train_docs rows, so it may be broadcast. Of a repeated doc_id one text is learned from.
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    one = F.max(F.struct(F.xxhash64("text").alias("h"), "text", "quality")).alias("one")
+    sample = sample.groupBy("doc_id").agg(one).select("doc_id", "one.text", "one.quality")
     found = sample.mapInArrow(features, "doc_id string, at binary, weight binary, quality int").collect()
     found.sort(key=lambda r: (r.doc_id, bytes(r.at), r.quality))
     rows = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r.weight, np.float32), r.quality) for r in found]
@@ -139,7 +143,7 @@ def classify(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN
     def run(batches):
         folded, bias = model.value
         for batch in batches:
-            scores = [score(t or b"", folded, bias) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            scores = [score(t or "", folded, bias) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
 
     scored = base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField("score", T.DoubleType())]))
