@@ -2,13 +2,18 @@
 
 The automaton is built over the items' words. Training texts stream through it word by word; the
 length of the longest match that ends at each word tells which words lie inside an occurrence of an
-item window. The item table is small and of fixed size (`max_item_words` is checked); beyond it the
-items are split into several automata of at most that size and the texts pass through each in turn.
-
-Edge cases: a null or empty text has no words and is clean; an item without words matches nothing; an
-item of fewer than `window` words is one window; repeated items (same words, other ids) all count;
-empty tables give no hits; other columns of the input stay as they are, and the added names are
-`n_words, n_hit, n_items, item_ids, items_sha256, contaminated` (input columns of these names give way).
+item window. Items are dealt by the hash of their id to shards of about `max_item_words` words and
+`max_item_bytes` bytes (their sum over all items is measured first), and one shard at a time comes to the
+driver and is broadcast; a worker builds a shard's automaton once, whatever the number of its tasks. With
+one shard, as for usual test sets, the texts are read once. With several, each shard is a pass over the texts
+that returns spans of the rows it hits, and spans are joined to their rows.
+
+Edge cases: a null or empty text has no words and is clean; a very long text is scanned whole, its spans
+alone are kept; an item without words matches nothing; an item of fewer than `window` words is one window;
+repeated items (same words, other ids) all count; repeated rows are judged each for itself; an item longer
+than a shard is a shard of its own size; empty tables give no hits; other columns of the input stay as they
+are, and the added names are `n_words, n_hit, n_items, item_ids, items_sha256, contaminated` (input columns
+of these names give way).
 """
 
 from __future__ import annotations
@@ -23,13 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .common import small_batches, table
+from .common import small_batches, stash, table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(common)
 
 WINDOW = 10
-MAX_ITEM_WORDS = 400_000
+#: Of a shard of items: an automaton holds about a kilobyte a word.
+MAX_ITEM_WORDS, MAX_ITEM_BYTES = 400_000, 32 << 20
 
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -169,59 +175,95 @@ class Automaton:
         return spans, found
 
 
-def build(items: list[tuple[str, bytes]], window: int = WINDOW, max_item_words: int = MAX_ITEM_WORDS) -> list[Automaton]:
-    """Automata that together hold all items, each over at most max_item_words words (or one longer item)."""
-    shards, size = [[]], 0
-    for item_id, text in items:
-        words = normal_words(text or b"")
-        if size + len(words) > max_item_words and shards[-1]:
-            shards.append([])
-            size = 0
-        shards[-1].append((item_id, words))
-        size += len(words)
-    return [Automaton(s, window) for s in shards if s]
+def _scanned(held: dict, text: bytes, window: int) -> tuple[int, list[tuple[int, int]], list[str]]:
+    """Words of a text, spans of those hit, and the ids of items found. held is a broadcast shard, the same object
+    for all tasks of a worker, so it keeps the automaton."""
+    if "automaton" not in held:
+        held["automaton"] = Automaton([(i, normal_words(t)) for i, t in held["items"]], window)
+    words = normal_words(text)
+    spans, found = held["automaton"].scan(words)
+    return len(words), merged(spans), sorted({held["automaton"].items[n] for n in found})
+
+
+def _shards(items: DataFrame, max_item_words: int, max_item_bytes: int) -> list[DataFrame]:
+    """items (item_id, text), dealt so that a shard's words and bytes are about the given numbers at most."""
+    rows = items.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    words = F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", -1))
+    n, size = rows.agg(F.sum(words), F.sum(F.octet_length("text") + 16)).first()
+    shards = max(1, -(-(n or 0) // max_item_words), -(-(size or 0) // max_item_bytes))
+    return [rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k) if shards > 1 else rows for k in range(shards)]
 
 
 ADDED = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("item_ids", T.ArrayType(T.StringType())), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType())]
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_item_words: int = MAX_ITEM_WORDS, remove: bool = False, max_coverage: float = 0.5) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_item_words: int = MAX_ITEM_WORDS, max_item_bytes: int = MAX_ITEM_BYTES, remove: bool = False, max_coverage: float = 0.5) -> DataFrame:
     """docs with hit counts. With remove, the hit words' spans leave the text, and documents over max_coverage leave whole."""
     spark = docs.sparkSession
     small_batches(spark)
     base = docs.select(*[c for c in docs.columns if c not in dict(ADDED)])
     schema = T.StructType([*base.schema.fields, *[T.StructField(n, t) for n, t in ADDED]])
-    # The items are a fixed test set: collected once, their size is checked when automata are built.
-    rows = [(str(r[0]), (r[1] or "").encode()) for r in items.select("item_id", "text").toLocalIterator()]
-    blob = spark.sparkContext.broadcast(rows)
+    columns, held = base.columns, []
+    for shard in _shards(items, max_item_words, max_item_bytes):
+        # A shard's size is bounded above.
+        held.append(spark.sparkContext.broadcast({"items": [(r["item_id"] or "None", r["text"].encode()) for r in shard.toLocalIterator()]}))
+
+    def finished(batch, rows):
+        """The batch with what (text, n_words, spans, ids) of each row says."""
+        out: list[list] = [[] for _ in ADDED]
+        kept = []
+        for text, n_words, spans, names in rows:
+            hit = sum(e - s for s, e in spans)
+            for column, value in zip(out, (n_words, hit, len(names), names, hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0), strict=True):
+                column.append(value)
+            if remove:
+                kept.append(text if not hit else cut(text, spans))
+        arrays = [batch.column(c) for c in columns]
+        if remove:
+            arrays[columns.index("text")] = pa.array([t.decode("utf-8", "replace") if t is not None else None for t in kept], pa.string())
+        arrays += [pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string(), pa.bool_()), strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, names=[*columns, *[n for n, _ in ADDED]])
 
     def run(batches):
-        automata = build(blob.value, window, max_item_words)
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
-            out: list[list] = [[] for _ in ADDED]
-            kept = []
-            for text in texts:
-                words = normal_words(text or b"")
-                spans, ids = [], set()
-                for a in automata:
-                    more, numbers = a.scan(words)
-                    spans += more
-                    ids |= {a.items[n] for n in numbers}
-                spans = merged(spans)
-                hit = sum(e - s for s, e in spans)
-                names = sorted(ids)
-                for column, value in zip(out, (len(words), hit, len(names), names, hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0), strict=True):
-                    column.append(value)
-                if remove:
-                    kept.append(text if not hit else cut(text, spans))
-            arrays = list(batch.columns)
-            if remove:
-                arrays[batch.schema.get_field_index("text")] = pa.array([t.decode("utf-8", "replace") if t is not None else None for t in kept], pa.string())
-            arrays += [pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string(), pa.bool_()), strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, *[n for n, _ in ADDED]])
+            yield finished(batch, [(t, *_scanned(held[0].value, t or b"", window)) for t in texts])
 
-    result = base.mapInArrow(run, schema)
+    def pass_of(shard):
+        """(_r, _r2, spans, ids) of the rows that a shard hits."""
+
+        def hits(batches):
+            for batch in batches:
+                found = [_scanned(shard.value, t or b"", window)[1:] for t in batch.column("text").cast(pa.binary()).to_pylist()]
+                at = [i for i, (spans, _) in enumerate(found) if spans]
+                rows = [batch.column(c).take(pa.array(at, pa.int64())) for c in ("_r", "_r2")]
+                spans = pa.array([[x for span in found[i][0] for x in span] for i in at], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*rows, spans, pa.array([found[i][1] for i in at], pa.list_(pa.string()))], names=["_r", "_r2", "_spans", "_ids"])
+
+        return hits
+
+    def joined(batches):
+        for batch in batches:
+            rows = []
+            for text, spans, ids in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("_spans").to_pylist(), batch.column("_ids").to_pylist(), strict=True):
+                flat = spans or []
+                rows.append((text, len(normal_words(text or b"")), merged(list(zip(flat[::2], flat[1::2], strict=True))), sorted(set(ids or ()))))
+            yield finished(batch, rows)
+
+    if len(held) == 1:
+        result = base.mapInArrow(run, schema)
+    else:
+        # A row's hits depend on its text only, so rows are named by two hashes of it.
+        names = (F.xxhash64("text").alias("_r"), F.xxhash64(F.lit(9), "text").alias("_r2"))
+        texts = base.select("text", *names)
+        found = [stash(texts.mapInArrow(pass_of(shard), "_r long, _r2 long, _spans array<long>, _ids array<string>").dropDuplicates(["_r", "_r2"]), "item-hits") for shard in held]
+        every = found[0]
+        for more in found[1:]:
+            every = every.union(more)
+        hits = every.groupBy("_r", "_r2").agg(F.flatten(F.collect_list("_spans")).alias("_spans"), F.flatten(F.collect_list("_ids")).alias("_ids"))
+        hits = hits.withColumnsRenamed({"_r": "_h", "_r2": "_h2"})
+        keyed = base.select(*columns, *names)
+        result = keyed.join(hits, (F.col("_r") == F.col("_h")) & (F.col("_r2") == F.col("_h2")), "left").select(*columns, "_spans", "_ids").mapInArrow(joined, schema)
     if remove:
         result = result.where(F.col("n_hit") <= F.lit(max_coverage) * F.col("n_words"))
     return result
