@@ -1,12 +1,13 @@
 """MinHash near-dedup by a multi-index Hamming join, confirmed on full shingle sets.
 
 A document's set holds its distinct 5-word shingles (as 64-bit hashes). Documents with equal sets are
-one class; its smallest doc_id stands for it. Each class has a signature of `slots` b-bit MinHash values.
-The signature is split into `chunks` pieces. By pigeonhole, two signatures that differ in at most
+one class, a node of the graph; it is named by 64 bits of its set's digest, never by a doc_id, and the
+smallest doc_id of a component is looked up at the end. Each class has a signature of `slots` b-bit MinHash
+values. The signature is split into `chunks` pieces. By pigeonhole, two signatures that differ in at most
 2 * chunks - 1 slots have a piece with at most one differing slot, so a key for every way of leaving one
-slot out of a piece is shared by every such pair (`slots` keys a class). At Jaccard 0.85 a slot differs
-with probability 0.15, and a pair shares no key with probability 2e-5 (less for closer pairs); a lower
-threshold takes more pieces of fewer slots (SHAPES): at 0.8 a pair shares no key with probability 1.4e-5.
+slot out of a piece is shared by every such pair (`slots` keys a class): 21 of 64 slots at 0.85, and more
+pieces of a lower threshold (SHAPES): 29 of 90 at 0.8. A slot of a pair at the threshold differs with
+probability 0.15 or 0.2; such a pair shares no key with probability 4e-8 or 1.2e-7, and closer pairs less.
 
 Links are confirmed on the full sets. Not all pairs of a bucket are formed:
 
@@ -25,7 +26,8 @@ one task.
 
 Edge cases: null, empty or blank texts have empty sets, link with nothing and are kept; fewer words
 than a shingle: the whole sequence is the only shingle; equal texts share a component; of repeated doc_ids
-each row is judged by its own text; rows with a null doc_id are never linked (their component is null)
+each row is judged by its own text, and its rows may be of several components; a very long text's set is made
+in one row's memory, about 50 bytes a word; rows with a null doc_id are never linked (their component is null)
 and are kept; an empty table gives no rows; columns other than doc_id and text are not read.
 """
 
@@ -48,10 +50,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(common)
 
 SHINGLE = 5
-SLOTS, CHUNKS = 80, 10
+SLOTS, CHUNKS = 64, 11
 PERCENT = 85
 #: From which threshold on which slots and chunks are used.
-SHAPES = {85: (SLOTS, CHUNKS), 80: (91, 13)}
+SHAPES = {85: (SLOTS, CHUNKS), 80: (90, 15)}
 _MOST = max(slots for slots, _ in SHAPES.values())
 #: Parities of a set, 64 in a long.
 BITS = 1024
@@ -61,8 +63,7 @@ PIVOT_ROUNDS, PAIRS_A_ROW = 6, 400
 _PIECE = 1024
 
 _RNG = np.random.default_rng(20240229)
-_FLIP, _TIMES = (_RNG.integers(0, 1 << 64, (SLOTS, 1), np.uint64) for _ in range(2))
-_FLIP, _TIMES = (np.concatenate([x, _RNG.integers(0, 1 << 64, (_MOST - SLOTS, 1), np.uint64)]) for x in (_FLIP, _TIMES))
+_FLIP, _TIMES = (_RNG.integers(0, 1 << 64, (_MOST, 1), np.uint64) for _ in range(2))
 _TIMES |= np.uint64(1)
 
 
@@ -99,19 +100,29 @@ def _sketches(batches, slots):
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
+                batch.column("row"),
                 pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                pa.array([_node(_digest(s)) if len(s) else None for s in sets], pa.int64()),
                 pa.array([signature(s, slots) if len(s) else None for s in sets], pa.binary()),
             ],
-            names=["doc_id", "n_shingles", "class", "sig"],
+            names=["doc_id", "row", "n_shingles", "id", "sig"],
         )
 
 
+def _digest(shingles: np.ndarray) -> bytes:
+    return xxh3_128_digest(shingles.tobytes())
+
+
+def _node(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
 def _sets(batches):
     for batch in batches:
         sets = [shingle_set(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        ids = pa.array([_node(_digest(s)) if len(s) else None for s in sets], pa.int64())
         odd = [np.packbits(np.bincount(s & np.uint64(BITS - 1), minlength=BITS).astype(np.uint8) & 1).view(np.int64) for s in sets]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], names=["id", "set", "odd"])
+        yield pa.RecordBatch.from_arrays([ids, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], names=["id", "set", "odd"])
 
 
 def _keys(sig: str = "sig", slots: int = SLOTS, chunks: int = CHUNKS):
@@ -138,7 +149,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _own_shingles(sets: DataFrame) -> DataFrame:
     """(id, n, odd, own): the size of each set, its parities, and how many of its shingles no other set has."""
-    alone = sets.select("id", F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
+    alone = sets.select("id", F.explode("set").alias("s")).groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("hi")).where("id = hi")
     own = alone.groupBy("id").agg(F.count("*").alias("own"))
     return sets.select("id", F.size("set").alias("n"), "odd").join(own, "id", "left").select("id", "n", "odd", F.coalesce("own", F.lit(0)).alias("own"))
 
@@ -150,17 +161,18 @@ def _may_link(percent: int):
 
 
 def _class_components(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
-    """(id, component) of the classes that are linked, over all confirmed links; None if there are none."""
+    """(id, component) of the classes that are linked, over all confirmed links; None if there are none.
+    nodes (id, d, r, sig): a class, the row (doc_id and hash of its text) that stands for it, its signature."""
     keyed = nodes.select("id", F.explode(_keys("sig", *shape(percent))).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     met = stash(keyed.join(shared, "key"), "buckets")
     if met.isEmpty():
         return None
-    involved = met.select(F.col("id").alias("doc_id")).distinct()
-    schema = T.StructType([T.StructField("id", nodes.schema["id"].dataType), T.StructField("set", T.ArrayType(T.LongType())), T.StructField("odd", T.ArrayType(T.LongType()))])
-    # With repeated doc_ids a class id may bring other texts along; their sets count as the class's too.
-    sets = stash(docs.join(involved, "doc_id", "left_semi").mapInArrow(_sets, schema).where("size(set) > 0"), "sets")
-    facts = _own_shingles(sets).where(100 * F.col("own") <= (100 - percent) * F.col("n"))
+    involved = nodes.join(met.select("id").distinct(), "id", "left_semi").select("d", "r")
+    chosen = docs.join(involved, (F.col("doc_id") == F.col("d")) & (F.xxhash64("text") == F.col("r")), "left_semi").select("doc_id", "text")
+    sets = stash(chosen.select("text").mapInArrow(_sets, "id long, set array<long>, odd array<long>").where("id is not null"), "sets")
+    # Rows equal in doc_id and text bring their set more than once.
+    facts = _own_shingles(sets).where(100 * F.col("own") <= (100 - percent) * F.col("n")).dropDuplicates(["id"])
     bucket = stash(met.join(facts, "id"), "buckets")
     drop_stash(met)
     n_rows = bucket.count()
@@ -197,23 +209,27 @@ def _class_components(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFr
     raise AssertionError("the last round returns")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text)."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, with_row: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text); with_row: and row, the xxhash64 of its text."""
     small_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType
     docs = docs.select("doc_id", "text")
-    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("n_shingles", T.LongType()), T.StructField("class", T.BinaryType()), T.StructField("sig", T.BinaryType())])
+    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("row", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("id", T.LongType()), T.StructField("sig", T.BinaryType())])
     slots, _ = shape(percent)
-    rows = stash(docs.mapInArrow(lambda batches: _sketches(batches, slots), schema), "sketches")
-    # One node for each distinct set; equal sets have equal signatures.
-    classes = stash(rows.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes")
-    label = _class_components(classes.select("id", "sig"), docs, percent)
-    member = classes.select("class", "id")
+    rows = stash(docs.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(lambda batches: _sketches(batches, slots), schema), "sketches")
+    # One node for each distinct set; equal sets have equal signatures. Its first row stands for it.
+    first = F.min(F.struct("doc_id", "row")).alias("at")
+    classes = stash(rows.where("id is not null and doc_id is not null").groupBy("id").agg(first, F.first("sig").alias("sig")), "classes")
+    label = _class_components(classes.select("id", F.col("at.doc_id").alias("d"), F.col("at.row").alias("r"), "sig"), docs, percent)
+    member = classes.select("id", F.col("at.doc_id").alias("c"))
     if label is not None:
-        member = member.join(label, "id", "left").select("class", F.coalesce("component", "id").alias("id"))
-    out = rows.where("doc_id is not null").join(member, "class", "left").select("doc_id", "n_shingles", F.coalesce("id", "doc_id").alias("component_id"))
-    out = out.union(rows.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast(id_type)))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+        member = member.join(label, "id", "left")
+        # The smallest doc_id of each component.
+        low = member.where("component is not null").groupBy("component").agg(F.min("c").alias("low"))
+        member = member.join(low, "component", "left").select("id", F.coalesce("low", "c").alias("c"))
+    out = rows.where("doc_id is not null").join(member, "id", "left").select("doc_id", "row", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
+    out = out.union(rows.where("doc_id is null").select("doc_id", "row", "n_shingles", F.lit(None).cast(id_type)))
+    return out.select("doc_id", *["row"] * with_row, "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def op5_neardup(spark, sf_dir):
