@@ -10,18 +10,27 @@ stand against each segment (multi-match-aware windows: their number depends on E
 probe keys are hashes of (length, segment, substring) and meet in an equi-join. Equal lines are merged,
 with partial aggregates, before any key travels.
 
+Before a pair becomes a row, the join compares sketches of its lines: 64 parities of hashed words. An edit
+changes three words at most (a blank put in or taken out makes two words of one, or one of two), so lines
+whose sketches differ in more than 3 * EDITS bits can't link.
+
 Hot segments: where more than HOT lines share a segment, say the many variants of one line, their pairs
-are not formed. Those lines are cut into more segments, and a key holds all of them but EDITS: what
-stands before, between and after those left out; variants that differ in more places share no such key.
-What is still hot is cut finer again (LEVELS). With EDITS above 2 pairs come from segments alone.
+are not tried. Those lines are cut into PARTS segments. A pair's edits lie in one of them, and then its key
+is all the rest, or (with two edits) one in each of two, and then its key is all but these two. Where that is
+hot again, only what the key leaves out is cut again, in the group of the key: the one segment as the line
+was, the two segments into three parts each, of which a key leaves out one and one; and so on down to single
+characters. Groups of two segments go on only if both vary. So a storm of variants costs a few keys a
+line and level, and a line is compared with at most HOT lines a key, or with those that differ in single
+characters. With EDITS above 2 pairs come from segments alone.
 
 Candidates are verified with a banded bit-parallel edit distance: a band of 2 * EDITS + 1 bits slides
-along the diagonal, a few word operations a column. The text itself moves only for hot lines and for
-candidates.
+along the diagonal, a few word operations a column, over what is left between the lines' common ends (found
+by bisection), until the distance can only be above EDITS. The text itself moves only for hot lines and for
+candidates. Links are pairs of classes, named by 64 bits until both classes are looked up.
 
 Edge cases: null texts and empty texts have no line; shorter lines are never linked, and have a class and
 copies where `short` is set (as in op2 and `remove_lines`), else a null class and are never removed; the
-same holds for blank lines always; lines that differ in outer spaces only are equal; a line equal to or linked to an
+same holds for blank lines always; a very long line is one row, whose keys are hashes; lines that differ in outer spaces only are equal; a line equal to or linked to an
 earlier one is removed, whether or not that earlier one is removed itself; rows equal in doc_id and
 text count as one row; a null doc_id comes before all others; an empty table gives no rows; columns other than doc_id and text pass through
 `remove_lines` untouched.
@@ -35,8 +44,9 @@ from pyspark.sql import functions as F
 from .common import clean, let, stash, table
 
 EDITS, MIN_CHARS = 2, 24
-#: Lines that may share a segment before they are cut finer, and by EDITS the numbers of segments then.
-HOT, LEVELS = 32, {1: (8, 64), 2: (8, 16)}
+#: Lines of a segment's key that a probe is compared with; beyond that they are cut finer, into PARTS segments,
+#: and two segments that have an edit each into HALVES each.
+HOT, PARTS, HALVES = 512, 6, 3
 #: Rows of ids up to which they are broadcast (16 bytes each), else they are joined by a shuffle.
 FEW = 500_000
 
@@ -69,32 +79,98 @@ def segment_keys(line: Column, n: Column, edits: int) -> tuple[Column, Column]:
     return _each(line, n, [(0, i, 0) for i in range(edits + 1)], key), _each(line, n, probes, key)
 
 
-def all_but_one_keys(line: Column, n: Column, parts: int) -> tuple[Column, Column]:
-    """Keys of all segments but one, for lines of the same length (index) and one shorter (probe)."""
+def finer_cuts(g: Column, x: Column, n: Column, edits: int, parts: int) -> tuple[Column, Column]:
+    """Index and probe cuts of a string x of group g: (key, hi, hj, x, y), x and y being what the key leaves out
+    (y is null for one segment) and hi, hj the hashes of two. An index cut has the string's own length, a probe cut
+    that of a string up to `edits` shorter."""
 
-    def key(line: Column, n: Column, shorter: Column, i: Column) -> Column:
+    def one(line: Column, n: Column, shorter: Column, i: Column) -> Column:
         start, size = _segment(n - shorter, i, parts)
-        return F.xxhash64(n - shorter, i, F.substring(line, F.lit(1), start - 1), F.substring(line, start + size + shorter, n))
+        key = F.xxhash64(g, n - shorter, i, F.substring(line, F.lit(1), start - 1), F.substring(line, start + size + shorter, n))
+        none = F.lit(None).cast("long")
+        return F.struct(key.alias("key"), none.alias("hi"), none.alias("hj"), F.substring(line, start, size + shorter).alias("x"), F.lit(None).cast("string").alias("y"))
+
+    def two(line: Column, n: Column, shorter: Column, more: Column, i: Column, j: Column) -> Column:
+        # Of `shorter` added characters `more` stand in segment i; each segment has one edit.
+        (start, size), (start2, size2) = _segment(n - shorter, i, parts), _segment(n - shorter, j, parts)
+        left, right = F.substring(line, start, size + more), F.substring(line, start2 + more, size2 + shorter - more)
+        between = F.substring(line, start + size + more, start2 - start - size)
+        key = F.xxhash64(g, n - shorter, i, j, F.substring(line, F.lit(1), start - 1), between, F.substring(line, start2 + size2 + shorter, n))
+        return F.struct(key.alias("key"), F.xxhash64(left).alias("hi"), F.xxhash64(right).alias("hj"), left.alias("x"), right.alias("y"))
 
-    return _each(line, n, [(0, i) for i in range(parts)], key), _each(line, n, [(s, i) for s in (0, 1) for i in range(parts)], key)
+    def cuts(lengths: list[int]) -> Column:
+        found = _each(x, n, [(s, i) for s in lengths for i in range(parts)], one)
+        if edits == 1:
+            return found
+        shared = [(a + b, a) for a in (-1, 0, 1) for b in (-1, 0, 1) if a + b in lengths]
+        return F.concat(found, _each(x, n, [(*s, i, j) for s in shared for i in range(parts) for j in range(i + 1, parts)], two))
 
+    return cuts([0]), cuts(list(range(edits + 1)))
 
-def all_but_two_keys(line: Column, n: Column, parts: int) -> tuple[Column, Column]:
-    """Keys of all segments but two (i before j), for lines of the same length (index) and up to two shorter
-    (probe). Of `shorter` added characters `move` stand in segment i, and |move| + |shorter - move| edits do that."""
-    cuts = [(i, j) for i in range(parts) for j in range(i + 1, parts)]
-    moves = [(shorter, move) for shorter in range(3) for move in range(-1, 3) if abs(move) + abs(shorter - move) <= 2]
 
-    def key(line: Column, n: Column, shorter: Column, move: Column, i: Column, j: Column) -> Column:
-        (start, size), (start2, size2) = _segment(n - shorter, i, parts), _segment(n - shorter, j, parts)
-        between = F.substring(line, start + size + move, start2 - start - size)
-        return F.xxhash64(n - shorter, i, j, F.substring(line, F.lit(1), start - 1), between, F.substring(line, start2 + size2 + shorter, n))
+def pair_cuts(g: Column, x: Column, y: Column, parts: int) -> tuple[Column, Column]:
+    """The same for strings x and y of which each has one edit: keys leave out a segment of each. A probe is the
+    string of the longer x, or of the longer y where the x are as long."""
+
+    def cuts(moves: list[tuple[int, int]]) -> Column:
+        made = F.expr(f"array({', '.join(f'named_struct("dx", {dx}, "dy", {dy}, "u", {u}, "v", {v})' for dx, dy in moves for u in range(parts) for v in range(parts))})")
+
+        def cut(s: Column, p: Column) -> Column:
+            kept, left = [], []
+            for name, more, i in (("x", "dx", "u"), ("y", "dy", "v")):
+                m = F.length(s[name]) - p[more]
+                start, size = _segment(m, p[i], parts)
+                kept += [m, F.substring(s[name], F.lit(1), start - 1), F.substring(s[name], start + size + p[more], F.length(s[name]))]
+                left.append(F.substring(s[name], start, size + p[more]))
+            return F.struct(F.xxhash64(g, p["u"], p["v"], *kept).alias("key"), F.xxhash64(left[0]).alias("hi"), F.xxhash64(left[1]).alias("hj"), left[0].alias("x"), left[1].alias("y"))
+
+        return let(F.struct(x.alias("x"), y.alias("y")), lambda s: F.transform(made, lambda p: cut(s, p)))
+
+    return cuts([(0, 0)]), cuts([(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)])
+
+
+def word_parities(line: Column) -> Column:
+    """64 parities of the hashes of a line's words."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(F.split(line, " ", -1), F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", one, F.xxhash64(w).bitwiseAND(F.lit(63)).cast("int"))))
+
+
+def _between_ends(x: Column, y: Column, keep: int) -> Column:
+    """(x, y) without what both begin and end with, but for `keep` characters of it or a few more on each side."""
+
+    def shared(most: Column, part) -> Column:
+        """The largest number of bytes up to most for which both parts are equal."""
+
+        def step(acc: Column, _: Column) -> Column:
+            def then(m: Column) -> Column:
+                return let(part("x", m) == part("y", m), lambda same: F.struct(F.when(same, m).otherwise(acc["lo"]).alias("lo"), F.when(same, acc["hi"]).otherwise(F.greatest(m - 1, acc["lo"])).alias("hi")))
 
-    return _each(line, n, [(0, 0, *c) for c in cuts], key), _each(line, n, [(*m, *c) for m in moves for c in cuts], key)
+            return F.when(acc["lo"] == acc["hi"], acc).otherwise(let(F.ceil((acc["lo"] + acc["hi"]) / 2).cast("int"), then))
 
+        steps = F.sequence(F.lit(1), F.ceil(F.log2(most + F.lit(2))).cast("int"))
+        return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), most.alias("hi")), step, lambda acc: acc["lo"])
 
-#: By EDITS the keys that lines of hot segments have.
-FINER = {1: all_but_one_keys, 2: all_but_two_keys}
+    def ends(b: Column) -> Column:
+        most = F.least(b["nx"], b["ny"])
+        head = shared(most, lambda z, k: F.substring(b[z], F.lit(1), k))
+
+        def rest(h: Column) -> Column:
+            tail = shared(most - h, lambda z, k: F.substring(b[z], b[f"n{z}"] - k + 1, k))
+            # Bytes at the inner end of what is shared may be a part of a character, or up to three of them.
+            first = F.greatest(F.length(F.substring(b["x"], F.lit(1), h).cast("string")) - 1 - keep, F.lit(0))
+            last = let(tail, lambda t: F.greatest(F.length(F.substring(b["x"], b["nx"] - t + 1, t).cast("string")) - 3 - keep, F.lit(0)))
+            mid = lambda z, e: F.substring(z, e["first"] + 1, F.length(z) - e["first"] - e["last"])
+            return let(F.struct(first.alias("first"), last.alias("last")), lambda e: F.struct(mid(x, e).alias("x"), mid(y, e).alias("y")))
+
+        return let(head, rest)
+
+    return let(F.struct(x.cast("binary").alias("x"), y.cast("binary").alias("y"), F.octet_length(x).alias("nx"), F.octet_length(y).alias("ny")), ends)
+
+
+def distance_within(x: Column, y: Column, edits: int) -> Column:
+    """The edit distance of two lines longer than `edits`, exact up to edits and else above it."""
+    chars = lambda c: F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
+    return let(_between_ends(x, y, edits + 1), lambda s: let(F.struct(chars(s["x"]).alias("x"), chars(s["y"]).alias("y")), lambda c: banded_distance(c["x"], c["y"], edits)))
 
 
 def banded_distance(a: Column, b: Column, edits: int) -> Column:
@@ -126,7 +202,8 @@ def banded_distance(a: Column, b: Column, edits: int) -> Column:
 
             return let(F.struct(zero.alias("d")), last)
 
-        return let(F.struct(x.alias("x")), then)
+        # From 3 * edits on the last row can't bring the distance down to edits.
+        return F.when(acc["n"] > 3 * edits, acc).otherwise(let(F.struct(x.alias("x")), then))
 
     start = F.struct(num(full - ((1 << edits) - 1)).alias("vp"), num(0).alias("vn"), F.lit(edits).alias("n"))
     return F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), start, column, lambda acc: acc["n"])
@@ -142,22 +219,34 @@ def split_lines(docs: DataFrame) -> DataFrame:
     return each.select("doc_id", "r", "line_no", F.trim("line").alias("line")).select("*", F.length("line").alias("n"))
 
 
-def _candidates(keyed: DataFrame, hot: int | None) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs (a, b, a2, b2) of lines (a, b, index, probe) that share a key, and the lines of hot keys."""
-    index = keyed.select("a", "b", F.explode("index").alias("key"))
-    probe = keyed.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.explode("probe").alias("key"))
-    lines = None
-    if hot:
-        crowded = stash(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key"), "hot-keys")
-        if not crowded.isEmpty():
-            # Both ends of a pair under a hot key are cut finer, so that the pair meets there.
-            ends = index.union(probe).join(crowded, "key", "left_semi")
-            lines = stash(ends.select("a", "b").distinct(), "hot-lines")
-            index = index.join(crowded, "key", "left_anti")
-    pairs = index.join(probe, "key").where("a <> a2 or b <> b2")
-    swap = F.struct("a", "b") > F.struct("a2", "b2")
-    pick = lambda x, y, name: F.when(swap, F.col(x)).otherwise(F.col(y)).alias(name)
-    return pairs.select(pick("a2", "a", "a"), pick("b2", "b", "b"), pick("a", "a2", "a2"), pick("b", "b2", "b2")), lines
+def _met(index: DataFrame, probe: DataFrame, edits: int) -> DataFrame:
+    """Pairs (a, a2), a < a2, of lines that share a key and may link by their sketches (and, where two segments
+    have an edit each, differ in both)."""
+    ok = (F.col("a") != F.col("a2")) & (F.bit_count(F.col("p").bitwiseXOR(F.col("p2"))) <= 3 * edits)
+    if "hi" in index.columns:
+        ok = ok & (F.col("hi").isNull() | ((F.col("hi") != F.col("hi2")) & (F.col("hj") != F.col("hj2"))))
+    probe = probe.select(*[F.col(c).alias(f"{c}2") for c in probe.columns])
+    return probe.join(index, (F.col("key2") == F.col("key")) & ok).select(F.least("a", "a2").alias("a"), F.greatest("a", "a2").alias("a2"))
+
+
+def _finer(rows: DataFrame, edits: int, hot: int) -> list[DataFrame]:
+    """Pairs of the lines of hot keys; rows (g, a, p, x, y): a group, a line, its sketch, the string that may differ in
+    the group, or the two of which each has an edit."""
+    found, ends = [], ["key", "a", "p", "hi", "hj"]
+    while True:
+        one, two = finer_cuts(F.col("g"), F.col("x"), F.length("x"), edits, PARTS), pair_cuts(F.col("g"), F.col("x"), F.col("y"), HALVES)
+        each = [rows.where("y is null").select("a", "p", F.explode(c).alias("c")).union(rows.where("y is not null").select("a", "p", F.explode(d).alias("c"))) for c, d in zip(one, two, strict=True)]
+        index, probe = (df.select("a", "p", "c.*") for df in each)
+        # What is of single characters is not cut again.
+        long = F.greatest(F.length("x"), F.length("y")) > 1
+        crowded = stash(index.groupBy("key").agg(F.count("*").alias("rows"), F.max(long).alias("long")).where((F.col("rows") > hot) & F.col("long")).select("key"), "hot-keys")
+        if crowded.isEmpty():
+            return [*found, _met(index.select(ends), probe.select(ends), edits)]
+        found.append(_met(index.join(crowded, "key", "left_anti").select(ends), probe.select(ends), edits))
+        both = index.union(probe).join(crowded, "key", "left_semi")
+        varied = both.groupBy("key").agg(*[f(c).alias(f"{n}_{c}") for c in ("hi", "hj") for n, f in (("lo", F.min), ("up", F.max))])
+        varied = varied.where("lo_hi is null or (lo_hi <> up_hi and lo_hj <> up_hj)").select("key")
+        rows = stash(both.join(varied, "key", "left_semi").select(F.col("key").alias("g"), "a", "p", "x", "y").distinct(), "hot-rows")
 
 
 def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -175,38 +264,37 @@ def _classed(min_chars: int, short: bool) -> Column:
 
 
 def link_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Classes (a, b, first, copies, n) and links between them (a, b, first; a2, b2, first2; distance)."""
+    """Classes (a, b, first, copies) and links between them (a, b, first; a2, b2, first2; distance)."""
     docs = docs.select("doc_id", "text")
     lines = split_lines(docs).where(_classed(min_chars, short))
     index, probe = segment_keys(F.col("line"), F.col("n"), edits)
-    named = lines.select(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(3), "line").alias("b"), F.struct("doc_id", "r", "line_no").alias("at"), F.when(F.col("n") >= min_chars, F.struct(index.alias("index"), probe.alias("probe"))).alias("keys"), "n")
-    classes = stash(named.groupBy("a", "b").agg(F.min("at").alias("first"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("n").alias("n")), "line-classes")
-    found, hot = _candidates(classes.where(F.col("n") >= min_chars).select("a", "b", "keys.*"), HOT if edits in FINER else None)
-    found = [found]
-    if hot is not None:
-        texts = stash(_texts(docs, classes.join(hot, ["a", "b"], "left_semi").select(F.col("first").alias("at"))), "hot-texts")
-        texts = texts.select(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(3), "line").alias("b"), "line", "n")
-        for level, parts in enumerate(LEVELS[edits]):
-            index, probe = FINER[edits](F.col("line"), F.col("n"), parts)
-            more, hot = _candidates(texts.join(hot, ["a", "b"], "left_semi").select("a", "b", index.alias("index"), probe.alias("probe")), HOT if level < len(LEVELS[edits]) - 1 else None)
-            found.append(more)
-            if hot is None:
-                break
-    pairs = found[0]
-    for more in found[1:]:
+    keys = F.when(F.col("n") >= min_chars, F.struct(index.alias("index"), probe.alias("probe"), word_parities(F.col("line")).alias("p")))
+    named = lines.select(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(3), "line").alias("b"), F.struct("doc_id", "r", "line_no").alias("at"), keys.alias("keys"))
+    classes = stash(named.groupBy("a", "b").agg(F.min("at").alias("first"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "line-classes")
+    index, probe = (classes.where("keys is not null").select("a", F.col("keys.p").alias("p"), F.explode(f"keys.{c}").alias("key")) for c in ("index", "probe"))
+    found = []
+    if edits in (1, 2):
+        crowded = stash(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key"), "hot-keys")
+        if not crowded.isEmpty():
+            # Both ends of a pair under a hot key are cut finer, so that the pair meets there.
+            hot = stash(index.union(probe).join(crowded, "key", "left_semi").select("a").distinct(), "hot-lines")
+            texts = _texts(docs, stash(classes.join(hot, "a", "left_semi").select(F.col("first").alias("at")), "line-places"))
+            found = _finer(stash(texts.select(F.lit(0).cast("long").alias("g"), F.xxhash64("line").alias("a"), word_parities(F.col("line")).alias("p"), F.col("line").alias("x"), F.lit(None).cast("string").alias("y")), "hot-rows"), edits, HOT)
+            index = index.join(crowded, "key", "left_anti")
+    pairs = _met(index, probe, edits)
+    for more in found:
         pairs = pairs.union(more)
     pairs = stash(pairs.distinct(), "line-pairs")
     lone = classes.select("a", "b", "first")
     other = lone.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("first").alias("first2"))
-    pairs = stash(pairs.join(lone, ["a", "b"]).join(other, ["a2", "b2"]), "line-pairs")
+    near = F.broadcast(pairs) if pairs.count() <= FEW else pairs
+    pairs = stash(near.join(lone, "a").join(other, "a2"), "line-pairs")
     texts = stash(_texts(docs, stash(pairs.select(F.explode(F.array("first", "first2")).alias("at")).distinct(), "line-places")), "line-texts")
     both = pairs.join(texts.select(F.col("at").alias("first"), F.col("line").alias("x")), "first").join(texts.select(F.col("at").alias("first2"), F.col("line").alias("y")), "first2")
     # Verification is work, not volume: it is dealt out evenly, whatever the pairs' size in bytes.
     both = both.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b", "a2", "b2")
-    chars = lambda c: F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
-    distance = let(F.struct(chars(F.col("x")).alias("x"), chars(F.col("y")).alias("y")), lambda s: banded_distance(s["x"], s["y"], edits))
     # The distance is computed once: as the one element, or none, that a row is exploded by.
-    within = F.explode(F.filter(F.array(distance), lambda d: d <= edits)).alias("distance")
+    within = F.explode(F.filter(F.array(distance_within(F.col("x"), F.col("y"), edits)), lambda d: d <= edits)).alias("distance")
     return classes.drop("keys"), stash(both.select("a", "b", "first", "a2", "b2", "first2", within), "line-links")
 
 

@@ -444,7 +444,7 @@ def brute_lines(rows):
     return [(i, k, x.strip(" ")) for i, t in each for k, x in enumerate((t or "").split("\n"))]
 
 
-@pytest.mark.parametrize("edits,hot", [(1, lines.HOT), (1, 1), (2, lines.HOT)])
+@pytest.mark.parametrize("edits,hot", [(1, lines.HOT), (1, 1), (2, lines.HOT), (2, 2)])
 def test_lines(odd, docs, spark, monkeypatch, edits, hot):
     monkeypatch.setattr(lines, "HOT", hot)
     some = [r for r in both(odd, docs)[1][1]][:60]
@@ -475,7 +475,7 @@ def test_lines(odd, docs, spark, monkeypatch, edits, hot):
     assert lines.line_classes(odd).count() == sum((t or "").count("\n") + 1 for _, t in ROWS)
 
 
-@pytest.mark.parametrize("hot", [lines.HOT, 1])
+@pytest.mark.parametrize("hot", [lines.HOT, 1, 8])
 def test_lines_two_edits_by_default(spark, monkeypatch, hot):
     monkeypatch.setattr(lines, "HOT", hot)
     whole = "".join(rng.choices("abcdefgh", k=61)) + "."
@@ -493,6 +493,50 @@ def test_lines_two_edits_by_default(spark, monkeypatch, hot):
     assert far > 20 and got == want
 
 
+def test_storm_of_counters(spark):
+    # Long lines that differ in a counter: pairs with up to two other digits are linked, or with a digit put in and one taken out.
+    head, tail = " ".join(rng.choices(WORDS, k=250)), " ".join(rng.choices(WORDS, k=150))
+    rows = [(i, f"{head} request={i:05d} {tail}") for i in range(0, 2100, 3)]
+    digits = [f"{i:05d}" for i, _ in rows]
+    near = defaultdict(int)
+    for k, x in enumerate(digits):
+        for y in digits[:k]:
+            if sum(c != d for c, d in zip(x, y, strict=True)) <= 2 or distance(x, y) <= 2:
+                near[x] += 1
+                near[y] += 1
+    got = {f"{r.doc_id:05d}": r.n_links for r in lines.line_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {x: near[x] for x in digits}
+
+
+def test_sketches_differ_little_within_edits(spark):
+    rows = []
+    for _ in range(400):
+        x = " ".join(rng.choices(["a", "bc", "def", "", "ghij"], k=12))
+        y = list(x)
+        for _ in range(2):
+            at = rng.randrange(len(y))
+            y[at : at + rng.randrange(2)] = rng.choices("a ", k=rng.randrange(2))
+        rows.append((x, "".join(y)))
+    apart = F.bit_count(lines.word_parities(F.col("x")).bitwiseXOR(lines.word_parities(F.col("y"))))
+    assert spark.createDataFrame(rows, "x string, y string").agg(F.max(apart)).first()[0] <= 6
+
+
+def test_distance_between_common_ends(spark):
+    rows = []
+    for _ in range(300):
+        x = "".join(rng.choices("ab😀", k=rng.randrange(8, 60)))
+        y = list(x)
+        for _ in range(rng.randrange(6)):
+            at = rng.randrange(len(y))
+            y[at : at + rng.randrange(2)] = rng.choices("abc", k=rng.randrange(2))
+        if abs(len(x) - len(y)) <= 2 < min(len(x), len(y)):
+            rows.append((x, "".join(y), distance(x, y)))
+    long = "".join(rng.choices("abc ", k=100_000))
+    rows += [(long, long[:50_000] + "x" + long[50_002:], 2), (long, "yy" + long[:-2], 3), (long, long, 0)]
+    for r in spark.createDataFrame(rows, "x string, y string, d int").select("d", lines.distance_within(F.col("x"), F.col("y"), 2).alias("got")).collect():
+        assert r.got == r.d if r.d <= 2 else r.got > 2
+
+
 def test_short_lines_have_exact_classes(spark, tmp_path):
     rows = [(1, "All rights reserved.\n\nA first line that is long enough to be compared."), (2, " All rights reserved. \n\t\nshort"), (3, "short\nAll rights reserved!\n\t\n"), (4, "short")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
