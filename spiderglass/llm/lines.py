@@ -12,9 +12,10 @@ with partial aggregates, before any key travels.
 
 Before a pair becomes a row, the join compares sketches of its lines: 64 parities of hashed words. An edit
 changes three words at most (a blank put in or taken out makes two words of one, or one of two), so lines
-whose sketches differ in more than 3 * EDITS bits can't link.
+whose sketches differ in more than 3 * EDITS bits can't link. Where more than CROWD lines share a segment, their
+texts are fetched for a second sketch, 64 parities of pairs of characters, of which an edit changes four.
 
-Hot segments: where more than HOT lines share a segment, say the many variants of one line, their pairs
+Hot segments: where more than HOT lines do, say the many variants of one line, their pairs
 are not tried. Those lines are cut into PARTS segments. A pair's edits lie in one of them, and then its key
 is all the rest, or (with two edits) one in each of two, and then its key is all but these two. Where that is
 hot again, only what the key leaves out is cut again, in the group of the key: the one segment as the line
@@ -44,6 +45,8 @@ from pyspark.sql import functions as F
 from .common import clean, let, stash, table
 
 EDITS, MIN_CHARS = 2, 24
+#: Lines of a segment's key beyond which they get the second sketch.
+CROWD = 32
 #: Lines of a segment's key that a probe is compared with; beyond that they are cut finer, into PARTS segments,
 #: and two segments that have an edit each into HALVES each.
 HOT, PARTS, HALVES = 512, 6, 3
@@ -135,6 +138,14 @@ def word_parities(line: Column) -> Column:
     return F.aggregate(F.split(line, " ", -1), F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", one, F.xxhash64(w).bitwiseAND(F.lit(63)).cast("int"))))
 
 
+def pair_parities(line: Column) -> Column:
+    """64 parities of the hashes of a line's neighbouring characters, blanks at its ends included."""
+    one = F.lit(1).cast("long")
+    bit = lambda a, b: F.call_function("shiftleft", one, F.xxhash64(a, b).bitwiseAND(F.lit(63)).cast("int"))
+    chars = F.regexp_extract_all(F.concat(F.lit(" "), line, F.lit(" ")), F.lit("(?s)."), F.lit(0))
+    return let(chars, lambda c: F.aggregate(F.zip_with(F.slice(c, 2, F.size(c) - 1), F.slice(c, 1, F.size(c) - 1), bit), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(x)))
+
+
 def _between_ends(x: Column, y: Column, keep: int) -> Column:
     """(x, y) without what both begin and end with, but for `keep` characters of it or a few more on each side."""
 
@@ -223,6 +234,8 @@ def _met(index: DataFrame, probe: DataFrame, edits: int) -> DataFrame:
     """Pairs (a, a2), a < a2, of lines that share a key and may link by their sketches (and, where two segments
     have an edit each, differ in both)."""
     ok = (F.col("a") != F.col("a2")) & (F.bit_count(F.col("p").bitwiseXOR(F.col("p2"))) <= 3 * edits)
+    if "q" in index.columns:
+        ok = ok & (F.bit_count(F.col("q").bitwiseXOR(F.col("q2"))) <= 4 * edits)
     if "hi" in index.columns:
         ok = ok & (F.col("hi").isNull() | ((F.col("hi") != F.col("hi2")) & (F.col("hj") != F.col("hj2"))))
     probe = probe.select(*[F.col(c).alias(f"{c}2") for c in probe.columns])
@@ -230,13 +243,13 @@ def _met(index: DataFrame, probe: DataFrame, edits: int) -> DataFrame:
 
 
 def _finer(rows: DataFrame, edits: int, hot: int) -> list[DataFrame]:
-    """Pairs of the lines of hot keys; rows (g, a, p, x, y): a group, a line, its sketch, the string that may differ in
+    """Pairs of the lines of hot keys; rows (g, a, p, q, x, y): a group, a line, its sketches, the string that may differ in
     the group, or the two of which each has an edit."""
-    found, ends = [], ["key", "a", "p", "hi", "hj"]
+    found, ends = [], ["key", "a", "p", "q", "hi", "hj"]
     while True:
         one, two = finer_cuts(F.col("g"), F.col("x"), F.length("x"), edits, PARTS), pair_cuts(F.col("g"), F.col("x"), F.col("y"), HALVES)
-        each = [rows.where("y is null").select("a", "p", F.explode(c).alias("c")).union(rows.where("y is not null").select("a", "p", F.explode(d).alias("c"))) for c, d in zip(one, two, strict=True)]
-        index, probe = (df.select("a", "p", "c.*") for df in each)
+        each = [rows.where("y is null").select("a", "p", "q", F.explode(c).alias("c")).union(rows.where("y is not null").select("a", "p", "q", F.explode(d).alias("c"))) for c, d in zip(one, two, strict=True)]
+        index, probe = (df.select("a", "p", "q", "c.*") for df in each)
         # What is of single characters is not cut again.
         long = F.greatest(F.length("x"), F.length("y")) > 1
         crowded = stash(index.groupBy("key").agg(F.count("*").alias("rows"), F.max(long).alias("long")).where((F.col("rows") > hot) & F.col("long")).select("key"), "hot-keys")
@@ -246,7 +259,7 @@ def _finer(rows: DataFrame, edits: int, hot: int) -> list[DataFrame]:
         both = index.union(probe).join(crowded, "key", "left_semi")
         varied = both.groupBy("key").agg(*[f(c).alias(f"{n}_{c}") for c in ("hi", "hj") for n, f in (("lo", F.min), ("up", F.max))])
         varied = varied.where("lo_hi is null or (lo_hi <> up_hi and lo_hj <> up_hj)").select("key")
-        rows = stash(both.join(varied, "key", "left_semi").select(F.col("key").alias("g"), "a", "p", "x", "y").distinct(), "hot-rows")
+        rows = stash(both.join(varied, "key", "left_semi").select(F.col("key").alias("g"), "a", "p", "q", "x", "y").distinct(), "hot-rows")
 
 
 def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -272,15 +285,21 @@ def link_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     named = lines.select(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(3), "line").alias("b"), F.struct("doc_id", "r", "line_no").alias("at"), keys.alias("keys"))
     classes = stash(named.groupBy("a", "b").agg(F.min("at").alias("first"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "line-classes")
     index, probe = (classes.where("keys is not null").select("a", F.col("keys.p").alias("p"), F.explode(f"keys.{c}").alias("key")) for c in ("index", "probe"))
+    crowded = stash(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD), "crowded-keys")
     found = []
-    if edits in (1, 2):
-        crowded = stash(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key"), "hot-keys")
-        if not crowded.isEmpty():
+    if not crowded.isEmpty():
+        hot = stash(index.union(probe).join(crowded, "key", "left_semi").select("a").distinct(), "hot-lines")
+        index = index.join(crowded, "key", "left_anti")
+        texts = _texts(docs, stash(classes.join(hot, "a", "left_semi").select(F.col("first").alias("at")), "line-places"))
+        texts = stash(texts.select(F.xxhash64("line").alias("a"), word_parities(F.col("line")).alias("p"), pair_parities(F.col("line")).alias("q"), "line"), "hot-texts")
+        again = [texts.select("a", "p", "q", F.explode(k).alias("key")).join(crowded, "key", "left_semi") for k in segment_keys(F.col("line"), F.length("line"), edits)]
+        very = crowded.where((F.col("n") > HOT) & F.lit(edits in (1, 2))).select("key")
+        found.append(_met(again[0].join(very, "key", "left_anti"), again[1], edits))
+        if not very.isEmpty():
             # Both ends of a pair under a hot key are cut finer, so that the pair meets there.
-            hot = stash(index.union(probe).join(crowded, "key", "left_semi").select("a").distinct(), "hot-lines")
-            texts = _texts(docs, stash(classes.join(hot, "a", "left_semi").select(F.col("first").alias("at")), "line-places"))
-            found = _finer(stash(texts.select(F.lit(0).cast("long").alias("g"), F.xxhash64("line").alias("a"), word_parities(F.col("line")).alias("p"), F.col("line").alias("x"), F.lit(None).cast("string").alias("y")), "hot-rows"), edits, HOT)
-            index = index.join(crowded, "key", "left_anti")
+            ends = again[0].union(again[1]).join(very, "key", "left_semi").select("a").distinct()
+            rows = texts.join(ends, "a", "left_semi").select(F.lit(0).cast("long").alias("g"), "a", "p", "q", F.col("line").alias("x"), F.lit(None).cast("string").alias("y"))
+            found += _finer(stash(rows, "hot-rows"), edits, HOT)
     pairs = _met(index, probe, edits)
     for more in found:
         pairs = pairs.union(more)

@@ -447,6 +447,7 @@ def brute_lines(rows):
 @pytest.mark.parametrize("edits,hot", [(1, lines.HOT), (1, 1), (2, lines.HOT), (2, 2)])
 def test_lines(odd, docs, spark, monkeypatch, edits, hot):
     monkeypatch.setattr(lines, "HOT", hot)
+    monkeypatch.setattr(lines, "CROWD", min(hot, lines.CROWD))
     some = [r for r in both(odd, docs)[1][1]][:60]
     made = [(1000 + k, "\n".join("".join(rng.choices("abcdefgh ", k=rng.randrange(20, 60))) for _ in range(4))) for k in range(10)]
     made += [(2000 + i, "\n".join(x[: (p := rng.randrange(len(x)))] + rng.choice(["", "z", "yy"]) + x[p + rng.randrange(2) :] for x in t.split("\n"))) for i, t in made]
@@ -478,6 +479,7 @@ def test_lines(odd, docs, spark, monkeypatch, edits, hot):
 @pytest.mark.parametrize("hot", [lines.HOT, 1, 8])
 def test_lines_two_edits_by_default(spark, monkeypatch, hot):
     monkeypatch.setattr(lines, "HOT", hot)
+    monkeypatch.setattr(lines, "CROWD", min(hot, lines.CROWD))
     whole = "".join(rng.choices("abcdefgh", k=61)) + "."
     texts = {whole, whole[:20] + "ta de" + whole[23:], whole[:20] + "tasu" + whole[23:]}
     for i in range(60):
@@ -517,8 +519,9 @@ def test_sketches_differ_little_within_edits(spark):
             at = rng.randrange(len(y))
             y[at : at + rng.randrange(2)] = rng.choices("a ", k=rng.randrange(2))
         rows.append((x, "".join(y)))
-    apart = F.bit_count(lines.word_parities(F.col("x")).bitwiseXOR(lines.word_parities(F.col("y"))))
-    assert spark.createDataFrame(rows, "x string, y string").agg(F.max(apart)).first()[0] <= 6
+    apart = [F.max(F.bit_count(f(F.col("x")).bitwiseXOR(f(F.col("y"))))) for f in (lines.word_parities, lines.pair_parities)]
+    words, pairs = spark.createDataFrame(rows, "x string, y string").agg(*[a.alias(str(i)) for i, a in enumerate(apart)]).first()
+    assert words <= 6 and pairs <= 8
 
 
 def test_distance_between_common_ends(spark):
