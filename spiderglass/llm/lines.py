@@ -69,17 +69,17 @@ def _each(line: Column, n: Column, params: list[tuple], body) -> Column:
 
 def segment_keys(line: Column, n: Column, edits: int) -> tuple[Column, Column]:
     """Index keys and probe keys of a line."""
-    probes = []
+    parts, probes = edits + 1, []
     for shorter in range(edits + 1):
         for i in range(edits + 1):
             low, high = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
             probes += [(shorter, i, move) for move in range(low, high + 1)]
 
-    def key(line: Column, n: Column, shorter: Column, i: Column, move: Column) -> Column:
-        start, size = _segment(n - shorter, i, edits + 1)
-        return F.xxhash64(n - shorter, i, F.substring(line, start + move, size))
+    def key(shorter: int, i: int, move: int) -> Column:
+        start, size = _segment(n - shorter, F.lit(i), parts)
+        return F.xxhash64(n - shorter, F.lit(i), F.substring(line, start + move, size))
 
-    return _each(line, n, [(0, i, 0) for i in range(edits + 1)], key), _each(line, n, probes, key)
+    return F.array(*[key(0, i, 0) for i in range(parts)]), F.array(*[key(*p) for p in probes])
 
 
 def finer_cuts(g: Column, x: Column, n: Column, edits: int, parts: int) -> tuple[Column, Column]:
@@ -281,14 +281,15 @@ def link_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     docs = docs.select("doc_id", "text")
     lines = split_lines(docs).where(_classed(min_chars, short))
     index, probe = segment_keys(F.col("line"), F.col("n"), edits)
+    # Keys are made inside the aggregate, where generated code is cut into methods that the JVM compiles, and once a class and task.
     keys = F.when(F.col("n") >= min_chars, F.struct(index.alias("index"), probe.alias("probe"), word_parities(F.col("line")).alias("p")))
-    named = lines.select(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(3), "line").alias("b"), F.struct("doc_id", "r", "line_no").alias("at"), keys.alias("keys"))
-    classes = stash(named.groupBy("a", "b").agg(F.min("at").alias("first"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "line-classes")
+    named = lines.select(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(3), "line").alias("b"), F.struct("doc_id", "r", "line_no").alias("at"), "line", "n")
+    classes = stash(named.groupBy("a", "b").agg(F.min("at").alias("first"), F.count("*").alias("copies"), F.first(keys).alias("keys")), "line-classes")
     index, probe = (classes.where("keys is not null").select("a", F.col("keys.p").alias("p"), F.explode(f"keys.{c}").alias("key")) for c in ("index", "probe"))
     crowded = stash(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD), "crowded-keys")
     found = []
     if not crowded.isEmpty():
-        hot = stash(index.union(probe).join(crowded, "key", "left_semi").select("a").distinct(), "hot-lines")
+        hot = index.union(probe).join(crowded, "key", "left_semi").select("a").distinct()
         index = index.join(crowded, "key", "left_anti")
         texts = _texts(docs, stash(classes.join(hot, "a", "left_semi").select(F.col("first").alias("at")), "line-places"))
         texts = stash(texts.select(F.xxhash64("line").alias("a"), word_parities(F.col("line")).alias("p"), pair_parities(F.col("line")).alias("q"), "line"), "hot-texts")
@@ -303,11 +304,9 @@ def link_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     pairs = _met(index, probe, edits)
     for more in found:
         pairs = pairs.union(more)
-    pairs = stash(pairs.distinct(), "line-pairs")
     lone = classes.select("a", "b", "first")
     other = lone.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("first").alias("first2"))
-    near = F.broadcast(pairs) if pairs.count() <= FEW else pairs
-    pairs = stash(near.join(lone, "a").join(other, "a2"), "line-pairs")
+    pairs = stash(pairs.distinct().join(lone, "a").join(other, "a2"), "line-pairs")
     texts = stash(_texts(docs, stash(pairs.select(F.explode(F.array("first", "first2")).alias("at")).distinct(), "line-places")), "line-texts")
     both = pairs.join(texts.select(F.col("at").alias("first"), F.col("line").alias("x")), "first").join(texts.select(F.col("at").alias("first2"), F.col("line").alias("y")), "first2")
     # Verification is work, not volume: it is dealt out evenly, whatever the pairs' size in bytes.
