@@ -295,6 +295,12 @@ add("win_clean_streak", lambda s, d: windows.clean_streak(responses(s, d)).selec
 add("win_consec_403", lambda s, d: windows.consecutive_403(responses(s, d)).select("host", "seq", "consecutive_403"), f"SELECT host, seq, (sum(f) OVER (PARTITION BY host, island ORDER BY seq))::BIGINT AS consecutive_403 FROM (SELECT *, sum(1 - f) {_SEQ}) AS island FROM (SELECT *, (classification = 'blocked-status:403')::INT AS f FROM responses))", _RESPONSES)
 add("win_gap", lambda s, d: windows.gap_ms(responses(s, d)).select("host", "seq", "gap_ms"), f"SELECT host, seq, ts_ms - lag(ts_ms) {_SEQ}) AS gap_ms FROM responses", _RESPONSES)
 add("win_last_n", lambda s, d: windows.last_n(responses(s, d), 12, "host", "seq").select("host", "seq"), "SELECT host, seq FROM responses QUALIFY row_number() OVER (PARTITION BY host ORDER BY seq DESC) <= 12", _RESPONSES)
+_PACED = """m AS (SELECT host, seq, ts_ms, least(pow(2.0, least(coalesce(sum(blocked::INT) OVER (PARTITION BY host ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 30)), 8.0) AS multiplier FROM responses),
+w AS (SELECT *, floor(multiplier * 500 + 0.5) AS low, floor(multiplier * 1500 + 0.5) AS high, ('0x' || substr(md5('pace|' || host || '|' || seq::VARCHAR), 1, 13))::UBIGINT::DOUBLE / 4503599627370496.0 AS u FROM m),
+x AS (SELECT *, (low + floor(u * (high - low + 1)))::BIGINT AS delay_ms FROM w), y AS (SELECT *, (sum(delay_ms) OVER (PARTITION BY host ORDER BY seq ROWS UNBOUNDED PRECEDING))::BIGINT AS d FROM x),
+z AS (SELECT host, seq, multiplier, delay_ms, d + max(ts_ms - d) OVER (PARTITION BY host ORDER BY seq ROWS UNBOUNDED PRECEDING) AS start_ms FROM y)"""
+add("rate_limiter", lambda s, d: windows.paced(responses(s, d), 500, 1500).select("host", "seq", "multiplier", "delay_ms", "start_ms", "gap_ms"),
+    "SELECT host, seq, multiplier, delay_ms, start_ms, coalesce(start_ms - lag(start_ms) OVER (PARTITION BY host ORDER BY seq), 0)::BIGINT AS gap_ms FROM z", _RESPONSES, _PACED)
 add("pages_per_sec", lambda s, d: windows.pages_per_second(responses(s, d), 3_600_000).select("host", "seq", "pages_per_sec"),
     "SELECT host, seq, round(count(*) OVER w / (greatest(ts_ms - min(ts_ms) OVER w, 1000) / 1000), 2) AS pages_per_sec FROM responses WINDOW w AS (PARTITION BY host ORDER BY ts_ms RANGE BETWEEN 3600000 PRECEDING AND CURRENT ROW)", _RESPONSES)
 add("eta", lambda s, d: responses(s, d).select("seq", windows.eta(F.col("internal_links") * 13, (F.col("seq") % 50) / 10).alias("eta")), """SELECT seq, CASE WHEN q = 0 OR r < 0.05 THEN '—' WHEN q / r < 60 THEN '~' || floor(q / r + 0.5)::BIGINT::VARCHAR || 's' WHEN q / r / 60 < 60 THEN '~' || floor(q / r / 60)::BIGINT::VARCHAR || 'm ' || floor((q / r) % 60 + 0.5)::BIGINT::VARCHAR || 's'
@@ -344,7 +350,8 @@ def _rank_sql(rounds: int) -> tuple[str, ...]:
     return tuple(out)
 
 
-add("pagerank", over(lambda r: graph.pagerank(r, rounds=_RANK_ROUNDS, tolerance=0.0).select("session_id", "url", F.round("score", 9).alias("score"))), f"SELECT session_id, url, round(score, 9) AS score FROM r{_RANK_ROUNDS}", *_rank_sql(_RANK_ROUNDS))
+QUERIES["pagerank"] = over(lambda r: graph.pagerank(r).select("session_id", "url", F.round("score", 9).alias("score")))
+add("pagerank_rounds", over(lambda r: graph.pagerank(r, rounds=_RANK_ROUNDS, tolerance=0.0).select("session_id", "url", F.round("score", 9).alias("score"))), f"SELECT session_id, url, round(score, 9) AS score FROM r{_RANK_ROUNDS}", *_rank_sql(_RANK_ROUNDS))
 QUERIES["report_pagerank"] = over(lambda r: reports.pagerank(r).select("session_id", "rank", "url", F.round("score", 9).alias("score"), "indegree", "outdegree"))
 QUERIES["topk_pagerank"] = QUERIES["win_rank"] = QUERIES["report_pagerank"]
 
@@ -392,7 +399,7 @@ add("redirect_path", over(lambda r: r.select("id", classify.redirect_path(F.col(
 add("retry_after_ms", over(lambda r: r.select("id", classify.retry_after_ms(F.when(F.col("k") % 3 == 0, F.col("k").cast("string")).when(F.col("k") % 3 == 1, "Wed, 21 Oct 2015 07:28:00 GMT").otherwise("soon"), F.lit("2015-10-21 07:27:00").cast("timestamp")).alias("ms"))), "SELECT id, CASE k % 3 WHEN 0 THEN k * 1000 WHEN 1 THEN 60000 ELSE 0 END AS ms FROM crawl")
 add("retry_policy", over(lambda r: r.select("id", classify.retryable(F.col("status"), F.col("response_time") * 100, F.lit(0)).alias("retry"))), "SELECT id, status IN (429, 503) AND response_time > 0 AND response_time * 100 <= 60000 AS retry FROM crawl")
 add("block_vendor_hints", over(lambda r: r.where("status = 403").select("id", classify.block_vendor(F.create_map(F.lit("server"), F.col("server_header")), F.concat(F.lit("Reference #18."), F.col("k").cast("string")))["akamai_ref"].alias("ref"))), "SELECT id, '18.' || k::VARCHAR AS ref FROM crawl WHERE status = 403")
-add("cell_norm", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", text.cell_norm(F.substring("text", 1, 300)).alias("cell")), r"SELECT doc_id, trim(regexp_replace(substr(text, 1, 300), '\s+', ' ', 'g')) AS cell FROM documents")
+add("cell_norm", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", text.cell_norm("text").alias("cell")), r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS cell FROM documents")
 add("cell_defuse", over(lambda r: r.select("id", text.cell_defuse(F.concat(F.element_at(F.array(*[F.lit(x) for x in ("=", "+", "-", "@", "")]), (F.col("k") % 5 + 1).cast("int")), F.col("k").cast("string"))).alias("cell"))),
     "SELECT id, CASE k % 5 WHEN 0 THEN '''=' || k::VARCHAR WHEN 1 THEN '+' || k::VARCHAR WHEN 2 THEN '-' || k::VARCHAR WHEN 3 THEN '''@' || k::VARCHAR ELSE k::VARCHAR END AS cell FROM crawl")
 add("standardize_date", lambda s, d: s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", *[c.alias(n) for n, c in zip(("date", "time"), text.standardize_date(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00"))), strict=True)]), "SELECT o_orderkey, strftime(o_orderdate - INTERVAL 2 HOUR, '%d-%m-%Y') AS date, strftime(o_orderdate - INTERVAL 2 HOUR, '%H:%M:%S') || ' UTC' AS time FROM orders")
@@ -610,12 +617,14 @@ def saved(spark, d):
     from .sources.readers import saved_crawl
 
     at = f"{shared_folder(spark)}/saved-{uuid.uuid4().hex}"
-    rows = views.crawl(spark, d).where("id < 300").select("url", "status")
-    rows.agg(F.to_json(F.struct(F.lit(2).alias("version"), F.struct(F.lit("x").alias("name")).alias("config"), F.collect_list(F.struct("url", "status")).alias("results"))).alias("value")).coalesce(1).write.text(at)
-    return saved_crawl(spark, at)[1].select("url", "status")
+    rows = views.crawl(spark, d).select("id", "url", "status")
+    # A document holds the rows of a hundred ids, so no task gathers a crawl.
+    document = F.struct(F.lit(2).alias("version"), F.struct(F.lit("x").alias("name")).alias("config"), F.collect_list(F.struct("url", "status")).alias("results"))
+    rows.groupBy(F.floor(F.col("id") / 100)).agg(F.to_json(document).alias("value")).select("value").write.text(at)
+    return saved_crawl(spark, at, by_line=True)[1].select("url", "status")
 
 
-add("source_saved_crawl", saved, "SELECT url, status FROM crawl WHERE id < 300")
+add("source_saved_crawl", saved, "SELECT url, status FROM crawl")
 
 
 def live_links(spark, d):

@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .ingest import content_page
 
+#: Rounds of an iteration between two written tables.
+ROUNDS_A_TABLE = 3
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own where it is unset (local use)."""
+    """The folder named in spark.checkpoint.dir; one of our own where it is unset and all runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="spiderglass-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", named)
@@ -66,9 +72,13 @@ def orphans(results: DataFrame, start_urls: DataFrame | None = None) -> DataFram
 def broken_links(results: DataFrame, shown: int = 50) -> DataFrame:
     """Error urls with how many and which crawled pages link to them (the first `shown`)."""
     bad = results.where("status >= 400 OR status = 0").select("session_id", "url", "status", "error")
-    found = bad.join(inlinks(results), ["session_id", "url"], "left")
-    some = F.coalesce("linked_from", F.array().cast("array<string>"))
-    return found.select("session_id", "url", "status", "error", F.size(some).cast("long").alias("n_from"), F.slice(some, 1, shown).alias("linked_from"))
+    # Only links to error urls travel; they are counted by partial aggregates and ranked for the first ones.
+    hit = edges(results).withColumnRenamed("dst", "url").join(bad.select("session_id", "url").distinct(), ["session_id", "url"], "left_semi")
+    n = hit.groupBy("session_id", "url").agg(F.count("*").alias("n_from"))
+    first = hit.withColumn("_k", F.row_number().over(Window.partitionBy("session_id", "url").orderBy("src"))).where(F.col("_k") <= shown)
+    first = first.groupBy("session_id", "url").agg(F.sort_array(F.collect_list("src")).alias("linked_from"))
+    found = bad.join(n, ["session_id", "url"], "left").join(first, ["session_id", "url"], "left")
+    return found.select("session_id", "url", "status", "error", F.coalesce("n_from", F.lit(0).cast("long")).alias("n_from"), F.coalesce("linked_from", F.array().cast("array<string>")).alias("linked_from"))
 
 
 def pagerank(results: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, session: bool = True) -> DataFrame:
@@ -78,15 +88,22 @@ def pagerank(results: DataFrame, damping: float = 0.85, rounds: int = 100, toler
     n = deg.groupBy("session_id").agg(F.count("*").alias("n"))
     state = _keep(deg.join(n, "session_id").withColumn("score", 1 / F.col("n")), "rank")
     links = _keep(edges(results), "edges")
-    for _ in range(rounds):
-        share = links.join(state.select("session_id", F.col("url").alias("src"), F.try_divide("score", "outdegree").alias("part")), ["session_id", "src"]).groupBy("session_id", F.col("dst").alias("url")).agg(F.sum("part").alias("got"))
-        sunk = state.groupBy("session_id").agg(F.sum(F.when(F.col("outdegree") == 0, F.col("score")).otherwise(0.0)).alias("sunk"))
-        score = (1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("sunk") / F.col("n"))
-        new = state.join(share, ["session_id", "url"], "left").join(sunk, "session_id").select("session_id", "url", "indegree", "outdegree", "n", score.alias("score"), F.abs(score - F.col("score")).alias("moved"))
-        new = _keep(new, "rank")
-        moved = new.agg(F.max("moved")).first()[0]
-        state = new.drop("moved")
-        if moved is None or moved < tolerance:
+    fixed, done = ["session_id", "url", "indegree", "outdegree", "n"], 0
+    while done < rounds:
+        # A few rounds make one plan and one written table; it keeps the scores of each, so the first that is settled is found.
+        block, new, made = min(ROUNDS_A_TABLE, rounds - done), state, []
+        for k in range(block):
+            share = links.join(new.select("session_id", F.col("url").alias("src"), F.try_divide("score", "outdegree").alias("part")), ["session_id", "src"]).groupBy("session_id", F.col("dst").alias("url")).agg(F.sum("part").alias("got"))
+            sunk = new.groupBy("session_id").agg(F.sum(F.when(F.col("outdegree") == 0, F.col("score")).otherwise(0.0)).alias("sunk"))
+            score = (1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("sunk") / F.col("n"))
+            new = new.join(share, ["session_id", "url"], "left").join(sunk, "session_id").select(*fixed, *made, score.alias("score"), F.abs(score - F.col("score")).alias(f"moved{k}"), score.alias(f"score{k}"))
+            made += [f"moved{k}", f"score{k}"]
+        new = _keep(new.select(*fixed, *made), "rank")
+        moved = new.agg(*[F.max(f"moved{k}") for k in range(block)]).first()
+        settled = [k for k in range(block) if moved[k] is None or moved[k] < tolerance]
+        state = new.select(*fixed, F.col(f"score{settled[0] if settled else block - 1}").alias("score"))
+        done += block
+        if settled:
             break
     return state.select("session_id", "url", "score", "indegree", "outdegree")
 
@@ -99,20 +116,26 @@ def bfs_depth(results: DataFrame, seeds: DataFrame, most: int = 0, max_depth: in
     """
     out = results.where(~F.col("is_nofollow")) if obey_nofollow else results
     links = _keep(out.select("session_id", F.col("url").alias("src"), F.explode(F.array_distinct("seo.outlinks")).alias("url")).distinct(), "links")
-    level = _keep(seeds.select("session_id", "url").distinct().withColumn("depth", F.lit(0).cast("long")), "level")
-    known = level
+    # Each level is a part of one table, so what is known is read and never written again.
+    at = f"{shared_folder(results.sparkSession)}/rounds/levels-{uuid.uuid4().hex}"
+    level = seeds.select("session_id", "url").distinct().withColumn("depth", F.lit(0).cast("long"))
+    fields = level.schema
+
+    def put(level: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+        level.write.parquet(f"{at}/{depth}")
+        read = results.sparkSession.read.schema(fields)
+        return read.parquet(f"{at}/{depth}"), read.parquet(*[f"{at}/{d}" for d in range(depth + 1)])
+
+    level, known = put(level, 0)
     for depth in range(1, max_depth + 1):
         step = links.join(level.select("session_id", F.col("url").alias("src")), ["session_id", "src"]).select("session_id", "url").distinct()
         step = step.join(known, ["session_id", "url"], "left_anti").withColumn("depth", F.lit(depth).cast("long"))
-        level = _keep(step, "level")
+        level, known = put(step, depth)
         if level.isEmpty():
             break
-        known = _keep(known.union(level), "known")
         if most and known.groupBy("session_id").count().where(F.col("count") < most).isEmpty():
             break
     if most:
-        from pyspark.sql import Window
-
         w = Window.partitionBy("session_id").orderBy("depth", "url")
         known = known.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
     return known

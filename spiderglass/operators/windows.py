@@ -78,3 +78,28 @@ def sessionize(events: DataFrame, minutes: int = 30) -> DataFrame:
     """(user_id, start, n): sessions of events with gaps under `minutes`, by Spark's session window."""
     w = F.session_window("ts", f"{minutes} minutes")
     return events.groupBy("user_id", w.alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("session_start"), "n")
+
+
+def paced(rows: DataFrame, delay_min: int, delay_max: int, seed: str = "pace", most: float = 8.0) -> DataFrame:
+    """rows (host, seq, ts_ms, blocked) with what the rate limiter does to each request, which arrives at ts_ms:
+    multiplier (doubled by each earlier block of the host, up to `most`), delay_ms (uniform between the bounds times
+    the multiplier, drawn from a hash of seed, host and seq), start_ms and gap_ms since the host's last start.
+
+    A request starts at its arrival, or its delay after the start before it: start(k) = max(arrival(k), start(k - 1) +
+    delay(k)), which is D(k) + max over j <= k of arrival(j) - D(j) with D the running sum of delays; so no state is
+    walked. Null arrivals start when the delay is over; an empty table gives no rows.
+    """
+    before = F.coalesce(F.sum(F.col("blocked").cast("long")).over(_host().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("multiplier", F.least(F.pow(F.lit(2.0), F.least(before, F.lit(30))), F.lit(most)))
+    low, high = (F.floor(F.col("multiplier") * d + 0.5) for d in (delay_min, max(delay_min, delay_max)))
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "host", F.col("seq").cast("string"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    rows = rows.withColumn("delay_ms", (low + F.floor(u * (high - low + 1))).cast("long"))
+    whole = _host().rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_d", F.sum("delay_ms").over(whole))
+    rows = rows.withColumn("start_ms", F.col("_d") + F.max(F.col("ts_ms") - F.col("_d")).over(whole)).drop("_d")
+    return rows.withColumn("gap_ms", F.coalesce(F.col("start_ms") - F.lag("start_ms").over(_host()), F.lit(0).cast("long")))
+
+
+def multiplier(asked: Column) -> Column:
+    """A multiplier set by hand, within the limiter's bounds."""
+    return F.greatest(F.lit(0.05), F.least(F.lit(50.0), asked.cast("double")))

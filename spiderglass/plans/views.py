@@ -92,7 +92,7 @@ page AS (SELECT * FROM crawl WHERE resource_type = 'HTML' AND status >= 200 AND
 FRONTIER_SQL = "seen AS (SELECT DISTINCT session_id, unnest(seo_outlinks) AS url FROM raw_log), frontier AS (SELECT * FROM seen WHERE NOT EXISTS (SELECT 1 FROM crawl c WHERE c.session_id = seen.session_id AND c.url = seen.url))"
 SESSION_SQL = """sessions AS (SELECT o_orderkey AS id, 'https://h' || (o_custkey % 20)::VARCHAR || '.example.com/p1' AS start_url, o_orderdate AS started_at,
   CASE WHEN o_orderkey % 4 <> 1 THEN o_orderdate + INTERVAL 1 HOUR END AS completed_at,
-  CASE o_orderkey % 3 WHEN 0 THEN '{"inputs":{"urls":["a","b","c"]}}' WHEN 1 THEN '{"urls":["a"]}' ELSE '{}' END AS config_json FROM orders WHERE o_orderkey <= 400)"""
+  CASE o_orderkey % 3 WHEN 0 THEN '{"inputs":{"urls":["a","b","c"]}}' WHEN 1 THEN '{"urls":["a"]}' ELSE '{}' END AS config_json FROM orders)"""
 
 
 def with_crawl(sql: str, *more: str) -> str:
@@ -135,7 +135,7 @@ def seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey <= 400")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     config = F.when(F.col("o_orderkey") % 3 == 0, '{"inputs":{"urls":["a","b","c"]}}').when(F.col("o_orderkey") % 3 == 1, '{"urls":["a"]}').otherwise("{}")
     return orders.select(
         F.col("o_orderkey").alias("id"), F.concat(F.lit("https://h"), (F.col("o_custkey") % 20).cast("string"), F.lit(".example.com/p1")).alias("start_url"), F.col("o_orderdate").alias("started_at"),

@@ -129,11 +129,12 @@ def relays(lines: DataFrame) -> DataFrame:
     )
 
 
-def saved_crawl(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
-    """The configuration of a saved crawl and its results. (Opening one restores the configuration only.)"""
+def saved_crawl(spark: SparkSession, path: str, by_line: bool = False) -> tuple[dict, DataFrame]:
+    """The configuration of a saved crawl and its results. (Opening one restores the configuration only.) A file is a
+    document; by_line: each of its lines is one, as a large crawl is saved in parts."""
     import json
 
-    whole = spark.read.option("multiLine", True).json(path)
+    whole = spark.read.option("multiLine", not by_line).json(path)
     config = whole.select(F.to_json("config").alias("c")).first()
     return json.loads(config.c or "{}") if config else {}, whole.select(F.explode("results").alias("r")).select("r.*")
 

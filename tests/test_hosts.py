@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from spiderglass.plans.profiles import Profiles, merged_settings
 from spiderglass.streaming import hosts, router
 from spiderglass.streaming.hosts import Host
@@ -156,3 +158,31 @@ def test_profiles(tmp_path):
         except ValueError:
             pass
     assert merged_settings({"a": 1, "inputs": {"customHeaders": {}, "n": 2}}, {"a": 5, "zzz": 1, "inputs": {"customHeaders": {"h": "v"}}}) == {"a": 5, "inputs": {"customHeaders": {"h": "v"}, "n": 2}}
+
+
+def test_rate_limiter_paces_like_a_walk(spark):
+    import random
+
+    from spiderglass.operators import windows
+
+    rng = random.Random(4)
+    rows = []
+    for host in "abc":
+        at = 0
+        for seq in range(60):
+            at += rng.randrange(0, 1500)
+            rows.append((host, seq, at, rng.random() < 0.1, 1))
+    df = spark.createDataFrame(rows, "host string, seq long, ts_ms long, blocked boolean, delay_min int")
+    got = {(r.host, r.seq): r for r in windows.paced(df, 300, 900).collect()}
+    for host in "abc":
+        last, mult = None, 1.0
+        for h, seq, at, blocked, _ in rows:
+            if h != host:
+                continue
+            r = got[(h, seq)]
+            assert r.multiplier == mult and round(300 * mult) <= r.delay_ms <= round(900 * mult)
+            start = at if last is None else max(at, last + r.delay_ms)
+            assert r.start_ms == start and r.gap_ms == (0 if last is None else start - last)
+            last, mult = start, min(mult * 2, 8.0) if blocked else mult
+    assert windows.paced(df.where("false"), 1, 2).count() == 0
+    assert [r[0] for r in spark.createDataFrame([(0.0,), (2.0,), (99.0,)], "m double").select(windows.multiplier(F.col("m"))).collect()] == [0.05, 2.0, 50.0]
