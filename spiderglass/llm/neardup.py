@@ -210,7 +210,9 @@ def _class_components(nodes: DataFrame, docs: DataFrame, percent: int) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, with_row: bool = False) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text); with_row: and row, the xxhash64 of its text."""
+    """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text); with_row: and row, the xxhash64
+    of its text, and group, a name of its component (null where the set is empty or the doc_id null), as two components
+    may have one smallest doc_id."""
     small_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType
     docs = docs.select("doc_id", "text")
@@ -221,15 +223,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, with_row: bool = Fa
     first = F.min(F.struct("doc_id", "row")).alias("at")
     classes = stash(rows.where("id is not null and doc_id is not null").groupBy("id").agg(first, F.first("sig").alias("sig")), "classes")
     label = _class_components(classes.select("id", F.col("at.doc_id").alias("d"), F.col("at.row").alias("r"), "sig"), docs, percent)
-    member = classes.select("id", F.col("at.doc_id").alias("c"))
+    member = classes.select("id", F.col("at.doc_id").alias("c"), F.col("id").alias("group"))
     if label is not None:
-        member = member.join(label, "id", "left")
+        member = member.drop("group").join(label, "id", "left")
         # The smallest doc_id of each component.
         low = member.where("component is not null").groupBy("component").agg(F.min("c").alias("low"))
-        member = member.join(low, "component", "left").select("id", F.coalesce("low", "c").alias("c"))
-    out = rows.where("doc_id is not null").join(member, "id", "left").select("doc_id", "row", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
-    out = out.union(rows.where("doc_id is null").select("doc_id", "row", "n_shingles", F.lit(None).cast(id_type)))
-    return out.select("doc_id", *["row"] * with_row, "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+        member = member.join(low, "component", "left").select("id", F.coalesce("low", "c").alias("c"), F.coalesce("component", "id").alias("group"))
+    out = rows.where("doc_id is not null").join(member, "id", "left").select("doc_id", "row", "group", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
+    out = out.union(rows.where("doc_id is null").select("doc_id", "row", F.lit(None).cast("long"), "n_shingles", F.lit(None).cast(id_type)))
+    return out.select("doc_id", *["row", "group"] * with_row, "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def op5_neardup(spark, sf_dir):
