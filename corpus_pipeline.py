@@ -32,7 +32,7 @@ def neardup_stage(spark, docs, sf_dir):
     """Of each group of near duplicates one document with the smallest doc_id stays."""
     judged = near_duplicates(docs, NEARDUP_PERCENT, with_row=True).where("kept")
     # Rows of one doc_id are told apart by their text; of rows that share both, or a group and its doc_id, one stays.
-    kept = judged.groupBy("doc_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("c"), F.when((F.col("n_shingles") == 0) | F.col("component_id").isNull(), F.col("row")).alias("r"))
+    kept = judged.groupBy("doc_id", "group", F.when(F.col("group").isNull(), F.col("row")).alias("r"))
     kept = kept.agg(F.min("row").alias("_row")).select(F.col("doc_id").alias("_id"), "_row")
     rows = docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_row")), "left_semi")
     # Only where rows repeat whole do the texts travel once more.
