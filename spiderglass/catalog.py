@@ -10,6 +10,7 @@ from .operators import export, filters, graph, grid, ingest, sets, windows
 from .operators.filters import ResultsFilter
 from .plans import reports, sessions, views
 from .plans.views import FRONTIER_SQL, SESSION_SQL, with_crawl
+from .schema import SEO_ARRAYS, SEO_BOOLEANS, SEO_LONGS, SEO_STRINGS
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -63,8 +64,19 @@ def upsert(spark, d):
 
 
 add("sink_upsert_results", upsert, f"SELECT {_STORED} FROM crawl")
-add("seo_json_pack", over(lambda r: r.select("id", F.to_json(F.struct(F.col("seo.contentHash").alias("contentHash"), F.col("seo.h1Count").alias("h1Count"), F.col("seo.inSitemap").alias("inSitemap"))).alias("seo_json"))),
-    """SELECT id, '{"contentHash":"' || "seo_contentHash" || '","h1Count":' || "seo_h1Count"::VARCHAR || ',"inSitemap":' || "seo_inSitemap"::VARCHAR || '}' AS seo_json FROM crawl""")
+
+
+def packed(spark, d):
+    """The overflow of records in which four keys are missing: every key is there, the missing ones with their defaults."""
+    records = views.crawl(spark, d).select("id", "seo.*").drop("ogUrl", "h2Count", "jsErrors", "blockedByRobots")
+    kept = records.select("id", ingest.pack_seo(records).alias("p"))
+    found = [F.array_join(f"p.{k}", "|").alias(k) if k in SEO_ARRAYS else F.col(f"p.{k}") for k in (*SEO_STRINGS, *SEO_LONGS, *SEO_ARRAYS, *SEO_BOOLEANS)]
+    return kept.select("id", F.to_json(F.struct("p.contentHash", "p.h1Count", "p.inSitemap")).alias("seo_json"), *found)
+
+
+_MISSING = {"ogUrl": "''", "h2Count": "0::BIGINT", "jsErrors": "''", "blockedByRobots": "false"}
+_PACKED = [f"{_MISSING[k]} AS \"{k}\"" if k in _MISSING else f"array_to_string(\"seo_{k}\", '|') AS \"{k}\"" if k in SEO_ARRAYS else f"\"seo_{k}\"{'::BIGINT' if k in SEO_LONGS else ''} AS \"{k}\"" for k in (*SEO_STRINGS, *SEO_LONGS, *SEO_ARRAYS, *SEO_BOOLEANS)]
+add("seo_json_pack", packed, f"""SELECT id, '{{"contentHash":"' || "seo_contentHash" || '","h1Count":' || "seo_h1Count"::VARCHAR || ',"inSitemap":' || "seo_inSitemap"::VARCHAR || '}}' AS seo_json, {", ".join(_PACKED)} FROM crawl""")
 add("sink_frontier", frontier, "SELECT session_id, url FROM frontier", FRONTIER_SQL)
 add("export_outlinks", over(export.outlinks), """SELECT source_url, target_url, CASE WHEN regexp_extract(source_url, '://([^/?#]*)', 1) = regexp_extract(target_url, '://([^/?#]*)', 1) THEN 'internal' ELSE 'external' END AS link_scope
 FROM (SELECT url AS source_url, unnest(seo_outlinks) AS target_url FROM crawl)""")
@@ -98,9 +110,30 @@ add("merge_overflow", over(lambda r: grid.merge_overflow(r).select("id", "title"
 _QUALITY = lambda c, lo, hi: f"CASE WHEN length({e(c)}) = 0 THEN '' WHEN length({e(c)}) > {hi} THEN 'over' WHEN length({e(c)}) < {lo} THEN 'under' ELSE 'ok' END"
 add("tab_columns", over(lambda r: grid.tab(r, "Page Titles")), f'SELECT url AS address, title, {_QUALITY("title", 30, 60)} AS "titleLen", status AS "statusCode", is_indexable AS indexable FROM crawl')
 add("scraper_columns", over(lambda r: r.select("id", *grid.scraper_columns(("price",)))), "SELECT id, CASE WHEN k % 3 = 1 THEN '$' || k::VARCHAR ELSE '' END AS scraper_price, k % 3 = 1 AS scraper_price_appears FROM crawl")
-add("detail_sections", over(lambda r: grid.details(r).groupBy("section", "name").agg(F.count("*").alias("n"), F.countDistinct("value").alias("values")).where("section = 'Dates'")),
-    """SELECT 'Dates' AS section, name, count(*) AS n, count(DISTINCT value) AS "values" FROM (SELECT unnest([{'name': 'Date Published', 'value': CASE WHEN date_published = '' THEN '(none)' ELSE date_published END}, {'name': 'Published Time', 'value': "seo_datePublishedTime"},
-  {'name': 'Date Modified', 'value': '(none)'}, {'name': 'Modified Time', 'value': ''}], recursive := true) FROM crawl) GROUP BY name""")
+_BYTES = lambda c: f"CASE WHEN {c} = 0 THEN '0 B' WHEN {c} < 1024 THEN {c}::VARCHAR || ' B' WHEN {c} < 1048576 THEN printf('%.1f KB', floor({c} / 1024.0::DOUBLE * 10 + 0.5) / 10) WHEN {c} < 1073741824 THEN printf('%.1f MB', floor({c} / 1048576.0::DOUBLE * 10 + 0.5) / 10) ELSE printf('%.2f GB', {c} / 1073741824.0::DOUBLE) END"
+_SHOWN = lambda c: f"CASE WHEN {e(c)} = '' THEN '(none)' ELSE {c} END"
+_PX = lambda c: f"CASE WHEN {c} > 0 THEN {c}::VARCHAR || 'px' ELSE '' END"
+_YES = lambda c: f"CASE WHEN {c} THEN 'Yes' ELSE 'No' END"
+_DETAILS = {
+    "URL Details": {
+        "URL": "url", "Status Code": "status::VARCHAR", "Content Type": e("content_type"), "Resource Type": e("resource_type"), "Server": e("server_header"), "Redirect URL": "nullif(redirect_url, '')", "Title": e("title"), "H1": e("h1"), "H2": e("h2"),
+        "Meta Description": e("meta_description"), "Canonical": e("canonical"), "Word Count": "word_count::VARCHAR", "Internal Links": "internal_links::VARCHAR", "External Links": "external_links::VARCHAR", "Unique Outlinks": "len(seo_outlinks)::VARCHAR",
+        "Response Time": "response_time::VARCHAR || 'ms'", "Size": _BYTES("size"), "Error": "nullif(error, '')",
+    },
+    "Directives": {"Meta Robots": _SHOWN("meta_robots"), "Meta Googlebot": _SHOWN('"seo_metaGooglebot"'), "X-Robots-Tag": _SHOWN('"seo_xRobotsTag"'), "Indexable": _YES("is_indexable"), "Noindex": _YES("is_noindex"), "Nofollow": _YES("is_nofollow"), "Canonical": _SHOWN("canonical")},
+    "Open Graph": {
+        "og:title": "og_title", "og:description": "og_description", "og:type": '"seo_ogType"', "og:url": '"seo_ogUrl"', "og:image": "og_image", "og:image Width": _PX("og_image_width"), "og:image Height": _PX("og_image_height"), "og:image Width (Real)": _PX('"seo_ogImageWidthReal"'),
+        "og:image Height (Real)": _PX('"seo_ogImageHeightReal"'), "og:image Ratio": f"CASE WHEN ({_RATIO}) > 0 THEN ({_RATIO})::VARCHAR ELSE '' END", "og:image File Size": 'CASE WHEN "seo_ogImageFileSize" > 0 THEN ' + _BYTES('"seo_ogImageFileSize"') + " ELSE '' END",
+    },
+    "Dates": {"Date Published": _SHOWN("date_published"), "Published Time": '"seo_datePublishedTime"', "Date Modified": _SHOWN("date_modified"), "Modified Time": '"seo_dateModifiedTime"'},
+    "Meta Tags": {"robots": "meta_robots", "OG:Title": "og_title"},
+    "HTTP Headers": {"Server": "server_header", "X-Num": "k::VARCHAR"},
+    "Scraper": {"price": "CASE k % 3 WHEN 1 THEN '$' || k::VARCHAR WHEN 2 THEN '(empty)' END", "price appears": "CASE k % 3 WHEN 1 THEN 'Yes' WHEN 2 THEN 'No' END"},
+}
+_DETAIL_LIST = ", ".join(f"{{'section': '{section}', 'name': '{name}', 'value': {value}}}" for section, rows in _DETAILS.items() for name, value in rows.items())
+add("detail_sections", over(lambda r: grid.details(r).groupBy("section", "name").agg(F.count("*").alias("n"), F.countDistinct("value").alias("values"))),
+    f"""SELECT section, name, count(*) AS n, count(DISTINCT value) AS "values" FROM (SELECT unnest([{_DETAIL_LIST}], recursive := true) FROM crawl
+  UNION ALL SELECT 'Outlinks', u, u FROM (SELECT unnest(seo_outlinks) AS u FROM crawl)) WHERE value IS NOT NULL GROUP BY section, name""")
 add("status_text", over(lambda r: r.select("id", classify.status_text(F.col("status"), F.col("error")).alias("status_text"))),
     """SELECT id, CASE WHEN status >= 200 AND status < 300 THEN 'OK' WHEN status = 301 THEN 'Moved Permanently' WHEN status = 302 THEN 'Found' WHEN status = 404 THEN 'Not Found' WHEN status = 429 THEN 'Too Many Requests' WHEN status >= 500 THEN 'Server Error'
   WHEN status >= 400 THEN 'Client Error' WHEN status >= 300 THEN 'Redirect' WHEN starts_with(coalesce(error, ''), 'host_blocked_by_detector') THEN 'Parked' WHEN regexp_matches(coalesce(error, ''), '(?i)timeout') THEN 'Timeout' WHEN regexp_matches(coalesce(error, ''), '(?i)ERR_CONNECTION_RESET') THEN 'Connection reset'
@@ -419,6 +452,45 @@ def page_facts(spark, d):
 add("extract_page_facts", page_facts, r"""SELECT page_id, trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')) AS title, trim(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&')) AS h1, len(regexp_extract_all(html, '<h1>')) AS "h1Count", len(regexp_extract_all(html, '<a href=')) AS "internalLinks", 0::BIGINT AS "externalLinks",
   len(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1))) AS n_outlinks, contains(html, 'class="ad"') AS advert FROM pages""")
 
+
+def written_facts(spark, d):
+    """Pages written from the stored results' own fields, and read back by the extractor."""
+    from .functions.html import extract_udf
+
+    escaped = lambda c: F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;"))
+    put = lambda before, c, after='">': F.concat(F.lit(before), escaped(c), F.lit(after))
+    each = lambda items, made: F.array_join(F.transform(items, made), "")
+    c, s = F.col, lambda k: F.col(f"seo.{k}")
+    metas = {
+        'name="description"': c("meta_description"), 'name="robots"': c("meta_robots"), 'name="googlebot"': s("metaGooglebot"), 'property="og:title"': c("og_title"), 'property="og:type"': s("ogType"), 'property="og:url"': s("ogUrl"), 'property="og:description"': c("og_description"),
+        'property="og:image"': c("og_image"), 'property="og:image:width"': c("og_image_width"), 'property="og:image:height"': c("og_image_height"), 'property="article:published_time"': c("date_published"),
+    }
+    kinds = F.to_json(F.struct(F.transform(s("structuredDataTypes"), lambda x: F.struct(x.alias("@type"))).alias("@graph")))
+    html = F.concat(
+        put("<html><head><title>", c("title"), "</title>"), *[put(f'<meta {k} content="', v) for k, v in metas.items()], put('<link rel="canonical" href="', c("canonical")),
+        each(s("hreflang"), lambda x: F.concat(put('<link rel="alternate" hreflang="', x["lang"], '" '), put('href="', x["href"]))), F.lit('<script type="application/ld+json">'), kinds, F.lit("</script></head><body>"),
+        F.repeat(put("<h2>", c("h2"), "</h2>"), s("h2Count").cast("int")), F.repeat(F.lit('<img src="/i.png" alt="">'), (s("imageCount") - F.size(s("missingAltImages"))).cast("int")), each(s("missingAltImages"), lambda x: put('<img src="', x)),
+        each(s("outlinks"), lambda x: put('<a href="', x, '">x</a>')), F.when(c("k") % 3 == 1, put('<p class="a price"> $', c("k"), " </p>")).otherwise(""), F.lit("</body></html>"),
+    )
+    f = F.col("f")
+    made = views.crawl(spark, d).select("id", extract_udf({"price": "p.price"})(html, "url").alias("f"))
+    plain = ["title", "h2", "metaDescription", "canonical", "metaRobots", "metaGooglebot", "ogTitle", "ogType", "ogUrl", "ogDescription", "ogImage", "publishedRaw", "h2Count", "ogImageWidth", "ogImageHeight", "internalLinks", "externalLinks", "imageCount", "imagesMissingAlt"]
+    return made.select(
+        "id", *[f[k].alias(k) for k in plain], F.array_join(f["structuredDataTypes"], ",").alias("types"), F.array_join(f["outlinks"], ",").alias("outlinks"), F.array_join(f["missingAltImages"], ",").alias("missing"),
+        F.array_join(F.transform(f["hreflang"], lambda x: F.concat_ws(" ", x["lang"], x["href"])), ",").alias("languages"), F.array_join(F.transform(f["metaTags"], lambda m: F.concat_ws("=", F.concat(m["name"], m["property"]), m["content"])), ",").alias("metas"),
+        f["scraper"]["price"]["value"].alias("price"), f["scraper"]["price"]["appears"].alias("appears"),
+    )
+
+
+_SITE = "regexp_extract(url, '^([a-z]+://[^/]*)', 1)"
+_METAS = {"description": "meta_description", "robots": "meta_robots", "googlebot": '"seo_metaGooglebot"', "og:title": "og_title", "og:type": '"seo_ogType"', "og:image": "og_image", "og:image:width": "og_image_width::VARCHAR", "og:image:height": "og_image_height::VARCHAR", "article:published_time": "date_published"}
+_INSIDE = f"len(list_filter(seo_outlinks, lambda x: starts_with(x, {_SITE} || '/')))"
+add("extract_written_facts", written_facts, f"""SELECT id, trim({e("title")}) AS title, CASE WHEN "seo_h2Count" > 0 THEN {e("h2")} ELSE '' END AS h2, {e("meta_description")} AS "metaDescription", {e("canonical")} AS canonical, meta_robots AS "metaRobots", "seo_metaGooglebot" AS "metaGooglebot", og_title AS "ogTitle",
+  "seo_ogType" AS "ogType", '' AS "ogUrl", '' AS "ogDescription", og_image AS "ogImage", date_published AS "publishedRaw", "seo_h2Count"::BIGINT AS "h2Count", og_image_width::BIGINT AS "ogImageWidth", og_image_height::BIGINT AS "ogImageHeight", {_INSIDE} AS "internalLinks", len(seo_outlinks) - {_INSIDE} AS "externalLinks",
+  "seo_imageCount"::BIGINT AS "imageCount", len("seo_missingAltImages") AS "imagesMissingAlt", array_to_string("seo_structuredDataTypes", ',') AS types, array_to_string(seo_outlinks, ',') AS outlinks, array_to_string(list_transform("seo_missingAltImages", lambda x: {_SITE} || x), ',') AS missing,
+  array_to_string(list_transform("seo_hreflangLangs", lambda x: x || ' ' || url || '?l=' || x), ',') AS languages, concat_ws(',', {", ".join(f"CASE WHEN {e(v)} <> '' THEN '{k}=' || {v} END" for k, v in _METAS.items())}) AS metas,
+  CASE WHEN k % 3 = 1 THEN '$' || k::VARCHAR ELSE '' END AS price, k % 3 = 1 AS appears FROM crawl""")
+
 # ---- reports ----------------------------------------------------------------------------------
 
 add("report_redirects", over(reports.redirects), f"SELECT session_id, url, status, {_HOPS} AS hops, {_PATH} AS path FROM crawl WHERE status >= 300 AND status < 400")
@@ -445,14 +517,30 @@ def pacing(spark, d):
     return hosts.pacing_latest(host_events(spark, d))
 
 
+def of_type(*types):
+    return lambda spark, d: storm_events(spark, d).where(F.col("type").isin(*types))
+
+
+def storm(spark, d):
+    """The responses as a crawl of one fetch a second in which every third is refused: gates, parking and saturated pacing all occur."""
+    rows = responses(spark, d).withColumn("status", F.when(F.col("seq") % 3 == 0, 403).otherwise(F.col("status"))).withColumn("ts_ms", F.col("seq") * 1000)
+    return rows.select("host", "seq", "ts_ms", "url", "status", "title", "body_bytes", "internal_links")
+
+
+def storm_events(spark, d):
+    from .streaming import hosts
+
+    return hosts.replay(storm(spark, d))
+
+
 def reprobes(spark, d):
     from .streaming import hosts
 
-    return hosts.reprobe_gate(host_events(spark, d))
+    return hosts.reprobe_gate(storm_events(spark, d))
 
 
 def parked(spark, d):
-    return host_events(spark, d).where("type in ('parked', 'block-detected', 'block-cooldown-cleared')").select("host", "seq", "ts_ms", "type", "url", "reason")
+    return storm_events(spark, d).where("type in ('parked', 'block-detected', 'block-cooldown-cleared')").select("host", "seq", "ts_ms", "type", "url", "reason")
 
 
 def commanded(spark, d):
@@ -472,7 +560,7 @@ def probes(spark, d):
 
 
 QUERIES["park_unpark"], QUERIES["host_commands"], QUERIES["probe_policy"] = parked, commanded, probes
-QUERIES["host_states"] = QUERIES["block_detector"] = QUERIES["adaptive_controller"] = host_events
+QUERIES["host_states"], QUERIES["block_detector"], QUERIES["adaptive_controller"] = host_events, of_type("block-detected", "block-cooldown-cleared"), of_type("controller-state", "re-probe-requested")
 QUERIES["pacing_latest"], QUERIES["reprobe_gate"] = pacing, reprobes
 
 # ---- sources over generated lines and files -----------------------------------------------------
@@ -674,7 +762,7 @@ add("phase_timings", phases, "SELECT id, 3::BIGINT AS dns, CASE WHEN k % 2 = 0 T
 def image_files(spark, d):
     from .sources.readers import files_listing
 
-    return agg.image_stats(files_listing(spark, f"{d}/region.parquet"))
+    return agg.image_stats(files_listing(spark, d))
 
 
 QUERIES["image_stats"] = image_files

@@ -63,6 +63,61 @@ def test_probe_policy_folds_all_rows(spark, sf):
     assert got == want and max(want)[0] >= 40
 
 
+def walked(rows):
+    """Another walk over one host's responses: gates from the whole history since the last clearing, pacing from all multipliers."""
+    out, history, titles, gate_until, attempts, waiting = [], [], {}, None, 0, 0
+    mult, clean, last_block, full_since, asked, kinds = 1.0, 0, None, None, None, []
+    for r in rows:
+        if gate_until is not None and r.ts_ms >= gate_until:
+            out.append((r.seq, "block-cooldown-cleared", waiting))
+            history, titles, gate_until, waiting = [], {}, None, 0
+        if gate_until is not None:
+            waiting += 1
+            out.append((r.seq, "parked", None))
+            continue
+        small = r.status == 200 and r.title and r.body_bytes <= 15000
+        seen_before = len(titles.get(r.title, ()))
+        refused = r.status in (403, 429) or 500 <= r.status < 600
+        soft = not refused and small and seen_before >= 3
+        kinds.append(refused or bool(soft))
+        if refused or soft:
+            mult, clean, last_block = min(15.0, mult * 1.6), 0, r.ts_ms
+        elif 200 <= r.status < 300:
+            clean += 1
+            if clean >= 200 and (last_block is None or r.ts_ms - last_block >= 60000) and mult > 0.25:
+                mult, clean = max(0.25, mult - 0.1), 0
+        if not (asked is not None and r.ts_ms - asked < 300000):
+            full_since = None if mult < 15 - 1e-9 else r.ts_ms if full_since is None else full_since
+            if full_since is not None and r.ts_ms - full_since >= 300000 and sum(kinds[-100:]) / len(kinds[-100:]) > 0.2:
+                asked = r.ts_ms
+                out.append((r.seq, "re-probe-requested", None))
+        if small:
+            titles.setdefault(r.title, set()).add(r.url)
+            # The detector looks again after the title is taken in.
+            soft = not refused and len(titles[r.title]) >= 3
+        history.append(refused or bool(soft))
+        if len(history) >= 5 and all(history[-5:]) or sum(history[-15:]) >= 10:
+            gate_until = r.ts_ms + (60000, 120000, 240000)[attempts] if attempts < 3 else float("inf")
+            attempts = min(3, attempts + 1)
+            out.append((r.seq, "block-detected", sum(history[-15:])))
+    return out
+
+
+def test_host_queries_against_another_walk(spark, sf):
+    rows, by_host = sorted(catalog.storm(spark, sf).collect(), key=lambda r: r.seq), {}
+    for r in rows:
+        by_host.setdefault(r.host, []).append(r)
+    want = {(host, *event) for host, mine in by_host.items() for event in walked(mine)}
+    of = lambda *types: {w for w in want if w[2] in types}
+    got = {n: catalog.QUERIES[n](spark, sf).collect() for n in ("block_detector", "park_unpark", "adaptive_controller", "reprobe_gate")}
+    detected = of("block-detected", "block-cooldown-cleared")
+    assert len(detected) > 5 and {(r.host, r.seq, r.type, r.blocked) for r in got["block_detector"]} == detected
+    assert {(r.host, r.seq, r.type) for r in got["park_unpark"]} == {w[:3] for w in detected | of("parked")}
+    asked = {w[:2] for w in of("re-probe-requested")}
+    assert len(asked) > 5 and {(r.host, r.seq) for r in got["adaptive_controller"] if r.type == "re-probe-requested"} == asked
+    assert {(r.host, r.seq) for r in got["reprobe_gate"] if r.fires} == asked
+
+
 def test_entry(spark):
     assert entry_point.entry(spark).count() == 3
 
