@@ -41,11 +41,15 @@ def nodes(results: DataFrame) -> DataFrame:
     return results.groupBy("session_id", "url").agg(F.max("id").alias("id"))
 
 
+def _links(results: DataFrame) -> DataFrame:
+    """(session_id, src, dst): all links once each, without self loops."""
+    return results.select("session_id", F.col("url").alias("src"), F.explode(F.array_distinct("seo.outlinks")).alias("dst")).where("src <> dst").distinct()
+
+
 def edges(results: DataFrame) -> DataFrame:
     """(session_id, src, dst): links between crawled urls, once each, without self loops."""
-    links = results.select("session_id", F.col("url").alias("src"), F.explode(F.array_distinct("seo.outlinks")).alias("dst")).where("src <> dst").distinct()
     known = results.select("session_id", F.col("url").alias("dst")).distinct()
-    return links.join(known, ["session_id", "dst"], "left_semi").select("session_id", "src", "dst")
+    return _links(results).join(known, ["session_id", "dst"], "left_semi").select("session_id", "src", "dst")
 
 
 def degrees(results: DataFrame) -> DataFrame:
@@ -84,28 +88,38 @@ def broken_links(results: DataFrame, shown: int = 50) -> DataFrame:
 def pagerank(results: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, session: bool = True) -> DataFrame:
     """(session_id, url, score, indegree, outdegree). Scores start at 1/N; what sinks hold is spread evenly;
     ends when no score of any session moves by `tolerance`, or after `rounds`."""
-    deg = degrees(results)
-    n = deg.groupBy("session_id").agg(F.count("*").alias("n"))
-    state = _keep(deg.join(n, "session_id").withColumn("score", 1 / F.col("n")), "rank")
-    links = _keep(edges(results), "edges")
-    fixed, done = ["session_id", "url", "indegree", "outdegree", "n"], 0
+    # Rounds run on row ids (unique in a session), not urls; a node holds its own links, so only summed shares travel.
+    node = _keep(nodes(results), "nodes")
+    end = lambda name: node.select("session_id", F.col("url").alias(name), F.col("id").alias(f"{name}_id"))
+    pairs = _keep(_links(results).join(end("dst"), ["session_id", "dst"]).join(end("src"), ["session_id", "src"]).select("session_id", "src_id", "dst_id"), "edges")
+    key = ["session_id", "id"]
+    out = pairs.groupBy("session_id", F.col("src_id").alias("id")).agg(F.collect_list("dst_id").alias("out"))
+    into = pairs.groupBy("session_id", F.col("dst_id").alias("id")).agg(F.count("*").alias("indegree"))
+    n = node.groupBy("session_id").agg(F.count("*").alias("n"))
+    outs, zero = F.coalesce("out", F.array().cast("array<bigint>")), F.lit(0).cast("long")
+    base = node.join(out, key, "left").join(into, key, "left").join(n, "session_id")
+    base = _keep(base.select(*key, "url", F.coalesce("indegree", zero).alias("indegree"), F.size(outs).cast("long").alias("outdegree"), "n", outs.alias("out")), "base")
+    scores, done = base.select(*key, (1 / F.col("n")).alias("score")), 0
     while done < rounds:
         # A few rounds make one plan and one written table; it keeps the scores of each, so the first that is settled is found.
-        block, new, made = min(ROUNDS_A_TABLE, rounds - done), state, []
+        block, made = min(ROUNDS_A_TABLE, rounds - done), []
+        new = base.select(*key, "n", "out").join(scores, key)
         for k in range(block):
-            share = links.join(new.select("session_id", F.col("url").alias("src"), F.try_divide("score", "outdegree").alias("part")), ["session_id", "src"]).groupBy("session_id", F.col("dst").alias("url")).agg(F.sum("part").alias("got"))
-            sunk = new.groupBy("session_id").agg(F.sum(F.when(F.col("outdegree") == 0, F.col("score")).otherwise(0.0)).alias("sunk"))
-            score = (1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("sunk") / F.col("n"))
-            new = new.join(share, ["session_id", "url"], "left").join(sunk, "session_id").select(*fixed, *made, score.alias("score"), F.abs(score - F.col("score")).alias(f"moved{k}"), score.alias(f"score{k}"))
+            # What a sink holds goes to the node null.
+            given = new.select("session_id", F.explode_outer("out").alias("id"), (F.col("score") / F.greatest(F.size("out"), F.lit(1))).alias("part")).groupBy(*key).agg(F.sum("part").alias("got"))
+            sunk = given.where("id is null").select("session_id", F.col("got").alias("sunk"))
+            score = (1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.coalesce("sunk", F.lit(0.0)) / F.col("n"))
+            new = new.join(given.where("id is not null"), key, "left").join(sunk, "session_id", "left")
+            new = new.select(*key, "n", "out", *made, score.alias("score"), F.abs(score - F.col("score")).alias(f"moved{k}"), score.alias(f"score{k}"))
             made += [f"moved{k}", f"score{k}"]
-        new = _keep(new.select(*fixed, *made), "rank")
+        new = _keep(new.select(*key, *made), "rank")
         moved = new.agg(*[F.max(f"moved{k}") for k in range(block)]).first()
         settled = [k for k in range(block) if moved[k] is None or moved[k] < tolerance]
-        state = new.select(*fixed, F.col(f"score{settled[0] if settled else block - 1}").alias("score"))
+        scores = new.select(*key, F.col(f"score{settled[0] if settled else block - 1}").alias("score"))
         done += block
         if settled:
             break
-    return state.select("session_id", "url", "score", "indegree", "outdegree")
+    return base.join(scores, key).select("session_id", "url", "score", "indegree", "outdegree")
 
 
 def bfs_depth(results: DataFrame, seeds: DataFrame, most: int = 0, max_depth: int = 1000, obey_nofollow: bool = False) -> DataFrame:
