@@ -83,21 +83,31 @@ FROM (SELECT url AS source_url, unnest(seo_outlinks) AS target_url FROM crawl)""
 add("export_failed_requests", over(export.failed_requests), 'SELECT url AS page_url, unnest("seo_failedRequests") AS resource_url FROM crawl')
 add("export_console", over(export.console), 'SELECT url AS page_url, unnest("seo_consoleErrors") AS message FROM crawl')
 add("export_filtered", over(lambda r: export.outlinks(filters.filtered(r, ResultsFilter(statusMin=400))).select("source_url", "target_url")), "SELECT url AS source_url, unnest(seo_outlinks) AS target_url FROM crawl WHERE status >= 400")
-_MAIN = ["url", "status", "title", "title_length", "canonical_is_self", "meta_description_length", "structured_data_count", "structured_data_types", "outlink_count", "error", "in_sitemap", "js_errors", "header:server", "header:x-num", "meta:robots", "meta:og:title", "redirect_1", "hreflang_2_lang"]
 
 
 def export_main(spark, d):
     rows = views.crawl(spark, d)
-    return export.flatten(rows, export.ExportSchema(("server", "x-num"), ("og:title", "robots"), 2, 2)).select(*_MAIN)
+    return export.flatten(rows, export.discover_schema(rows))
 
 
 _NORM = r"trim(regexp_replace(coalesce({}, ''), '\s+', ' ', 'g'))"
 _CELL = lambda c: f"CASE WHEN {_NORM.format(c)} SIMILAR TO '[=+\\-@].*' THEN '''' || {_NORM.format(c)} ELSE {_NORM.format(c)} END"
-add("export_main", export_main, f"""SELECT url, status::VARCHAR AS status, {_CELL("title")} AS title, length({_NORM.format("title")})::VARCHAR AS title_length,
-  CASE WHEN coalesce(canonical, '') = '' THEN '' ELSE (regexp_replace(canonical, '/$', '') = regexp_replace(url, '/$', ''))::VARCHAR END AS canonical_is_self, length({_NORM.format("meta_description")})::VARCHAR AS meta_description_length,
-  len("seo_structuredDataTypes")::VARCHAR AS structured_data_count, array_to_string("seo_structuredDataTypes", ' | ') AS structured_data_types, len(seo_outlinks)::VARCHAR AS outlink_count, coalesce(error, '') AS error,
-  "seo_inSitemap"::VARCHAR AS in_sitemap, array_to_string("seo_jsErrors", ' | ') AS js_errors, server_header AS "header:server", k::VARCHAR AS "header:x-num", meta_robots AS "meta:robots", og_title AS "meta:og:title",
-  coalesce("seo_redirectChain"[1], '') AS redirect_1, coalesce("seo_hreflangLangs"[2], '') AS hreflang_2_lang FROM crawl""")
+_SAME = "CASE WHEN coalesce(canonical, '') = '' THEN '' ELSE (regexp_replace(canonical, '/$', '') = regexp_replace(url, '/$', ''))::VARCHAR END"
+_EXPORTED = {
+    "url": "url", "status": "status::VARCHAR", "content_type": "content_type", "resource_type": "resource_type", "size": "size::VARCHAR", "response_time": "response_time::VARCHAR", "crawl_depth": '"seo_crawlDepth"::VARCHAR', "in_sitemap": '"seo_inSitemap"::VARCHAR',
+    "error": _CELL("error"), "id": "id::VARCHAR", "blocked_by_robots": '"seo_blockedByRobots"::VARCHAR', "meta_robots": _CELL("meta_robots"), "meta_googlebot": _CELL('"seo_metaGooglebot"'), "x_robots_tag": _CELL('"seo_xRobotsTag"'), "canonical": _CELL("canonical"), "canonical_is_self": _SAME,
+    "redirect_url": "redirect_url", "title": _CELL("title"), "title_length": f"length({_NORM.format('title')})::VARCHAR", "h1": _CELL("h1"), "h1_count": '"seo_h1Count"::VARCHAR', "h2": _CELL("h2"), "h2_count": '"seo_h2Count"::VARCHAR', "meta_description": _CELL("meta_description"),
+    "meta_description_length": f"length({_NORM.format('meta_description')})::VARCHAR", "word_count": "word_count::VARCHAR", "content_hash": '"seo_contentHash"', "internal_links": "internal_links::VARCHAR", "external_links": "external_links::VARCHAR", "image_count": '"seo_imageCount"::VARCHAR',
+    "images_missing_alt": '"seo_imagesMissingAlt"::VARCHAR', "missing_alt_images": "array_to_string(\"seo_missingAltImages\", ' | ')", "og_title": "og_title", "og_description": "''", "og_type": '"seo_ogType"', "og_url": "''", "og_image": "og_image",
+    "og_image_width": "og_image_width::VARCHAR", "og_image_height": "og_image_height::VARCHAR", "og_image_width_real": '"seo_ogImageWidthReal"::VARCHAR', "og_image_height_real": '"seo_ogImageHeightReal"::VARCHAR', "og_image_file_size": '"seo_ogImageFileSize"::VARCHAR',
+    "date_published": "date_published", "date_modified": "''", "date_published_time": '"seo_datePublishedTime"', "date_modified_time": "''", "server_header": "server_header", "structured_data_count": 'len("seo_structuredDataTypes")::VARCHAR',
+    "structured_data_types": "array_to_string(\"seo_structuredDataTypes\", ' | ')", "perf_ttfb": '"seo_ttfb"::VARCHAR', "perf_dom_content_loaded": "''", "perf_load_time": "''", "perf_fcp": "''", "perf_lcp": "''", "perf_cls": '"seo_cls"::VARCHAR',
+    "outlink_count": "len(seo_outlinks)::VARCHAR", "hreflang_count": 'len("seo_hreflangLangs")::VARCHAR', "failed_request_count": 'len("seo_failedRequests")::VARCHAR', "console_error_count": 'len("seo_consoleErrors")::VARCHAR', "js_error_count": 'len("seo_jsErrors")::VARCHAR',
+    "js_errors": "array_to_string(\"seo_jsErrors\", ' | ')", "header:server": "server_header", "header:x-num": "k::VARCHAR", "meta:og:title": "og_title", "meta:robots": _CELL("meta_robots"),
+}
+_EXPORTED |= {f"redirect_{i}": f"coalesce(\"seo_redirectChain\"[{i}], '')" for i in (1, 2)}
+_EXPORTED |= {f"hreflang_{i}_lang": f"coalesce(\"seo_hreflangLangs\"[{i}], '')" for i in (1, 2)} | {f"hreflang_{i}_url": f"coalesce(url || '?l=' || \"seo_hreflangLangs\"[{i}], '')" for i in (1, 2)}
+add("export_main", export_main, "SELECT " + ", ".join(f'{v} AS "{k}"' for k, v in _EXPORTED.items()) + " FROM crawl")
 add("discover_schema", over(lambda r: export.discovered(r).select(F.array_join("headers", ",").alias("headers"), F.array_join("metas", ",").alias("metas"), F.col("hreflang").cast("long"), F.col("redirects").cast("long"))),
     """SELECT 'server,x-num' AS headers, 'og:title,robots' AS metas, max(len("seo_hreflangLangs")) AS hreflang, max(len("seo_redirectChain")) AS redirects FROM crawl""")
 
@@ -715,6 +725,71 @@ def saved(spark, d):
 add("source_saved_crawl", saved, "SELECT url, status FROM crawl")
 
 
+def _driver_folder(spark, label):
+    """A new folder in the shared one, where it is a mounted path: these sinks end in one file that the driver writes."""
+    import re
+    import uuid
+    from pathlib import Path
+
+    from .operators.graph import shared_folder
+
+    named = re.sub(r"^file:(//)?(?=/)", "", shared_folder(spark))
+    if not named.startswith("/"):
+        raise ValueError("a single file is written by the driver; set spark.checkpoint.dir to a mounted folder")
+    at = Path(f"{named}/{label}-{uuid.uuid4().hex}")
+    at.mkdir(parents=True)
+    return at
+
+
+def published(spark, d):
+    """A whole export, then one of the errors to the same place: (file, rows) of what is there in the end, which is the second alone."""
+    at, rows = _driver_folder(spark, "published"), views.crawl(spark, d)
+    export.write_export(rows, str(at / "crawl.csv"))
+    export.write_export(rows.where("status >= 400"), str(at / "crawl.csv"))
+    return spark.createDataFrame([(f.name, sum(1 for _ in f.open("rb")) - 1) for f in sorted(at.iterdir())], "file string, rows long")
+
+
+def bundled(spark, d):
+    """(file, rows) of an exported bundle, as its zip file holds them."""
+    import zipfile
+
+    at = _driver_folder(spark, "bundle") / "crawl.zip"
+    export.write_bundle(views.crawl(spark, d), str(at))
+    with zipfile.ZipFile(at) as z:
+        return spark.createDataFrame([(n, sum(1 for _ in z.open(n)) - 1) for n in z.namelist()], "file string, rows long")
+
+
+def saved_whole(spark, d):
+    """A crawl saved as one document and opened again."""
+    from .sources.readers import saved_crawl
+
+    at = _driver_folder(spark, "crawl") / "crawl.json"
+    export.save_crawl(views.crawl(spark, d), {"name": "x"}, str(at))
+    config, rows = saved_crawl(spark, f"file://{at}")
+    return rows.select("url", "status", "contentHash", F.lit(config["name"]).alias("name"))
+
+
+def profiled(spark, d):
+    """Profiles made, copied, renamed, deleted; the default moved."""
+    from .plans.profiles import Profiles
+
+    p = Profiles(str(_driver_folder(spark, "profiles") / "p.json"))
+    p.create("a", {"depth": 1}, "https://a.example/")
+    p.duplicate("a", "b")
+    p.create("c", {"depth": 3})
+    p.rename("b", "d")
+    p.set_default("d")
+    p.delete("a")
+    return spark.createDataFrame([(r["id"], r["name"], r["start_url"], r["values"]["depth"], r["is_default"]) for r in p.all()], "id long, name string, start_url string, depth long, is_default boolean")
+
+
+_FILES = lambda where: " UNION ALL ".join(f"SELECT 'crawl{k}.csv' AS file, coalesce(sum({n}), 0)::BIGINT AS rows FROM crawl {where}" for k, n in {"": "1", "_outlinks": "len(seo_outlinks)", "_failed_requests": 'len("seo_failedRequests")', "_console": 'len("seo_consoleErrors")'}.items())
+add("atomic_publish", published, _FILES("WHERE status >= 400"))
+add("export_bundle", bundled, _FILES(""))
+add("save_crawl", saved_whole, 'SELECT url, status, "seo_contentHash" AS "contentHash", \'x\' AS name FROM crawl')
+add("profile_crud", profiled, "SELECT * FROM (VALUES (2::BIGINT, 'd', 'https://a.example/', 1::BIGINT, true), (3, 'c', '', 3, false)) v(id, name, start_url, depth, is_default)")
+
+
 def live_links(spark, d):
     from .functions.html import extract_udf
 

@@ -82,20 +82,22 @@ def sitemap_text(content: pd.Series) -> pd.Series:
 
 
 def sitemap_urls(files: DataFrame, seed: str, max_sitemaps: int = MAX_SITEMAPS, max_depth: int = MAX_DEPTH, max_urls: int = MAX_URLS) -> DataFrame:
-    """(url): what a sitemap lists, following indexes level by level. files: (url, content), as fetched."""
+    """(url): what a sitemap lists, following indexes level by level; max_sitemaps files in all, the seed included.
+    files: (url, content), as fetched."""
     spark = files.sparkSession
     texts = files.select(F.col("url").alias("sitemap"), sitemap_text("content").alias("xml")).where("xml is not null")
     level = spark.createDataFrame([(seed,)], "sitemap string")
-    visited, leaves = level, None
+    visited, leaves, left = level, None, max_sitemaps - 1
     for _ in range(max_depth + 1):
         here = texts.join(level, "sitemap", "left_semi")
         found = here.where(~is_index(F.col("xml"))).select(F.explode(locs(F.col("xml"))).alias("url"))
         leaves = found if leaves is None else leaves.union(found)
         children = here.where(is_index(F.col("xml"))).select(F.explode(locs(F.col("xml"))).alias("sitemap")).distinct().join(visited, "sitemap", "left_anti")
         # The list of sitemaps is capped, so it may come to the driver and cut the plan.
-        rows = children.limit(max_sitemaps).collect()
+        rows = children.orderBy("sitemap").limit(max(left, 0)).collect()
         if not rows:
             break
+        left -= len(rows)
         level = spark.createDataFrame(rows, "sitemap string")
         visited = visited.union(level)
     return leaves.distinct().limit(max_urls)

@@ -100,6 +100,14 @@ def test_sitemaps(spark):
     assert {r.url for r in readers.sitemap_urls(df, "i").collect()} == {"https://x/?a=1&b=2", "https://y/"} and readers.sitemap_urls(df, "zz").count() == 0
 
 
+def test_sitemaps_are_capped_in_all(spark):
+    index = lambda *names: f"<sitemapindex>{''.join(f'<sitemap><loc>{n}</loc></sitemap>' for n in names)}</sitemapindex>"
+    files = {"i": index("a", "b"), "a": index("c", "d"), "b": index("e")} | {k: f"<urlset><url><loc>https://{k}/</loc></url></urlset>" for k in "cde"}
+    df = spark.createDataFrame([(k, v.encode()) for k, v in files.items()], "url string, content binary")
+    assert {r.url for r in readers.sitemap_urls(df, "i", max_sitemaps=4).collect()} == {"https://c/"}
+    assert readers.sitemap_urls(df, "i", max_sitemaps=3).count() == 0 and readers.sitemap_urls(df, "i").count() == 3
+
+
 def test_lists_and_relays(spark, tmp_path):
     (tmp_path / "urls.csv").write_text("https://a/,x\n # no\nftp://b\n http://c \n")
     assert [r.url for r in readers.url_list(spark, str(tmp_path / "urls.csv")).collect()] == ["https://a/", "http://c"]
