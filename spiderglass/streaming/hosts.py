@@ -273,34 +273,44 @@ def pacing_latest(events: DataFrame) -> DataFrame:
 
 
 def reprobe_gate(events: DataFrame, every_ms: int = REPROBE_MS) -> DataFrame:
-    """Re-probe requests with `fires`: at most one in every_ms fires (all are forwarded)."""
+    """Re-probe requests with `fires`: at most one in every_ms fires (all are forwarded). A host's rows are streamed in order."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_ms", "seq"])
-        last, fires = None, []
-        for t in pdf["ts_ms"]:
-            fires.append(last is None or t - last >= every_ms)
-            last = t if fires[-1] else last
-        return pdf.assign(fires=fires)[["host", "seq", "ts_ms", "reason", "fires"]]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, last = object(), None
+        for pdf in batches:
+            fires = []
+            for host, t in zip(pdf["host"], pdf["ts_ms"], strict=True):
+                if host != name:
+                    name, last = host, None
+                fires.append(last is None or t - last >= every_ms)
+                last = t if fires[-1] else last
+            yield pdf.assign(fires=fires)
 
-    return events.where("type = 're-probe-requested'").select("host", "seq", "ts_ms", "reason").groupBy("host").applyInPandas(run, "host string, seq long, ts_ms long, reason string, fires boolean")
+    asked = events.where("type = 're-probe-requested'").select("host", "seq", "ts_ms", "reason")
+    return asked.repartition("host").sortWithinPartitions("host", "ts_ms", "seq").mapInPandas(run, "host string, seq long, ts_ms long, reason string, fires boolean")
 
 
 def probe_policy(results: DataFrame, identical: int = 3) -> DataFrame:
     """Of a matrix of probes (run, position, headed, blocked, reason) which rows run and which wins: the first
-    unblocked one wins and ends it; after three equal hard blocks in a row rows without a window are skipped."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        verdicts, same, last, won = [], 0, None, False
-        pdf = pdf.sort_values("position")
-        for r in pdf.itertuples(index=False):
-            if won or same >= identical and not r.headed:
-                verdicts.append("skipped")
-                continue
-            won = not r.blocked
-            same = same + 1 if r.blocked and r.reason == last else 1 if r.blocked else 0
-            last = r.reason if r.blocked else None
-            verdicts.append("won" if won else "blocked")
-        return pdf.assign(verdict=verdicts)[["run", "position", "verdict"]]
-
-    return results.groupBy("run").applyInPandas(run, "run long, position long, verdict string")
+    unblocked one wins and ends it; after three equal hard blocks in a row rows without a window are skipped.
+    A run's rows are streamed in order."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, same, last, won = object(), 0, None, False
+        for pdf in batches:
+            verdicts = []
+            for r in pdf.itertuples(index=False):
+                key = None if pd.isna(r.run) else r.run
+                if key != name:
+                    name, same, last, won = key, 0, None, False
+                if won or same >= identical and not r.headed:
+                    verdicts.append("skipped")
+                    continue
+                won = not r.blocked
+                same = same + 1 if r.blocked and r.reason == last else 1 if r.blocked else 0
+                last = r.reason if r.blocked else None
+                verdicts.append("won" if won else "blocked")
+            yield pdf.assign(verdict=verdicts)[["run", "position", "verdict"]]
+
+    rows = results.select("run", "position", "headed", "blocked", "reason")
+    return rows.repartition("run").sortWithinPartitions("run", "position").mapInPandas(run, "run long, position long, verdict string")
