@@ -9,6 +9,7 @@ from .fingerprint import op4_fingerprint
 from .lines import op2_line_dedup
 from .mixing import OP6_SQL, op6_mix
 from .neardup import op5_neardup
+from .periodic import op11_runs
 from .quality import op8_quality
 from .repeats import op7_repeats
 from .secrets import op3_secrets
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_decontaminate": op9_decontaminate,
     "op10_perspectives": op10_perspectives,
+    "op11_runs": op11_runs,
 }
 ORACLE_SQL = {"op6_mix": OP6_SQL, "op10_perspectives": OP10_SQL}
