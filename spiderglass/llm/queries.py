@@ -7,8 +7,10 @@ from .decontaminate import op9_decontaminate
 from .extract import op1_extract
 from .fingerprint import op4_fingerprint
 from .lines import op2_line_dedup
+from .merkle import OP12_SQL, op12_merkle
 from .mixing import OP6_SQL, op6_mix
 from .neardup import op5_neardup
+from .packing import op13_packing
 from .periodic import op11_runs
 from .quality import op8_quality
 from .repeats import op7_repeats
@@ -26,5 +28,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_perspectives": op10_perspectives,
     "op11_runs": op11_runs,
+    "op12_merkle": op12_merkle,
+    "op13_packing": op13_packing,
 }
-ORACLE_SQL = {"op6_mix": OP6_SQL, "op10_perspectives": OP10_SQL}
+ORACLE_SQL = {"op6_mix": OP6_SQL, "op10_perspectives": OP10_SQL, "op12_merkle": OP12_SQL}
