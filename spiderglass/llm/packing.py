@@ -16,9 +16,10 @@ So no token is padded, and at most one piece a window is cut beside those at blo
 block and one document's ids; nothing is shuffled. All pieces of a sequence come from one task, in order, so
 a task that is done again gives the same rows.
 
-A text is tokenized in units of white space and what follows up to the next white space, whose ids a worker
-keeps: for a byte-level vocabulary without normalizer the tokens of a text are those of its units, since its
-pre-tokenizer never joins a character to white space that follows. Other vocabularies get whole texts.
+A byte-level vocabulary without normalizer splits a text before merges; a worker merges each such token once
+and keeps its ids. Latin letters and common marks are split here. Around any other character the tokenizer
+itself encodes what stands between white space, which it never joins to a character before. Other vocabularies
+get whole texts.
 
 Edge cases: null and empty texts are one id, the final one; the names of special tokens in a text are
 ordinary text; equal rows are packed each; a text of any length is cut into windows; an empty table gives no
@@ -49,8 +50,8 @@ cloudpickle.register_pickle_by_value(common)
 CAPACITY, FINAL_ID = 2048, 1
 #: Sequences of a block.
 BLOCK = 256
-#: Units whose ids a worker keeps, and the longest such unit.
-KEPT_UNITS, UNIT_CHARS = 200_000, 64
+#: Tokens before merges whose ids a worker keeps, and the longest such token.
+KEPT, KEPT_CHARS = 400_000, 64
 #: Characters of a text that are tokenized at once, or up to the next white space.
 PART = 1 << 20
 
@@ -58,10 +59,21 @@ PART = 1 << 20
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNIT = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 _BREAK = re.compile(f"(?<=[^{_SPACE}])(?=[{_SPACE}])")
+# Letters of Latin alphabets and common marks: of these, Python's expressions and the pre-tokenizer's agree.
+_LETTER, _MARK = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-/:-@\[-`{-~\u00a1\u00ab\u00bb\u00bf\u2013\u2014\u2018\u2019\u201c\u201d\u2026\u20ac"
+_ODD = re.compile(rf"[^{_LETTER}{_MARK}0-9\t-\r ]")
+# The pattern by which byte-level vocabularies split texts before merges, for those characters.
+_TOKEN = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[0-9]+| ?[{_MARK}]+|\s+(?!\S)|\s+")
 
 
-class Units(dict):
-    """The ids of a unit, as bytes of little-endian unsigned 32-bit numbers; by_unit: whether a text's ids are those of its units."""
+def _byte_letters() -> dict[int, int]:
+    """The letter for each byte by which byte-level vocabularies write it: itself if printable, else the next from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+class Tokens(dict):
+    """The ids of a token before merges, as bytes of little-endian unsigned 32-bit numbers; split: whether texts may be split so."""
 
     def __init__(self, vocabulary: str):
         import os
@@ -71,30 +83,38 @@ class Units(dict):
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         told = json.loads(vocabulary)
         before = told.get("pre_tokenizer") or {}
-        self.by_unit = not told.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        self.split = not told.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
 
     def encoded(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, unit: str) -> bytes:
-        ids = self.encoded(unit)
-        if len(unit) <= UNIT_CHARS:
-            if len(self) >= KEPT_UNITS:
+    def __missing__(self, token: str) -> bytes:
+        merged = self.model.tokenize(token.encode().decode("latin-1").translate(self.letters))
+        ids = np.array([t.id for t in merged], "<u4").tobytes()
+        if len(token) <= KEPT_CHARS:
+            if len(self) >= KEPT:
                 self.clear()
-            self[unit] = ids
+            self[token] = ids
         return ids
 
+    def plain(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, _TOKEN.findall(text)))
+
     def ids(self, text: str) -> np.ndarray:
-        if not self.by_unit:
+        if not self.split:
             return np.frombuffer(self.encoded(text), "<u4")
         parts, at = [], 0
         while at < len(text):
             found = _BREAK.search(text, at + PART) if len(text) - at > PART else None
-            end = found.start() if found else len(text)
-            parts.append(b"".join(map(self.__getitem__, _UNIT.findall(text, at, end))))
-            at = end
+            part = text[at : found.start() if found else len(text)]
+            if _ODD.search(part):
+                parts += [self.encoded(unit) if _ODD.search(unit) else self.plain(unit) for unit in _UNIT.findall(part)]
+            else:
+                parts.append(self.plain(part))
+            at += len(part)
         return np.frombuffer(b"".join(parts), "<u4")
 
 
@@ -229,16 +249,16 @@ def packed_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, fin
     schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in longs], *([T.StructField("ids", T.ArrayType(T.LongType()))] if with_ids else [])])
 
     def run(batches):
-        # The same object for all tasks of a worker, so it keeps the units met.
-        if "units" not in held.value:
-            held.value["units"] = Units(held.value["vocabulary"])
-        units = held.value["units"]
+        # The same object for all tasks of a worker, so it keeps the tokens met.
+        if "tokens" not in held.value:
+            held.value["tokens"] = Tokens(held.value["vocabulary"])
+        tokens = held.value["tokens"]
         packer = Packer(capacity, block, TaskContext.get().partitionId() << 33)
         kind, rows = None, []
         for batch in batches:
             kind = batch.schema.field("doc_id").type
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                ids = np.append(units.ids(text.as_py() or ""), np.uint32(final_id))
+                ids = np.append(tokens.ids(text.as_py() or ""), np.uint32(final_id))
                 rows += packer.add(doc_id.as_py(), ids)
                 if len(rows) > 5_000:
                     yield as_batch(rows, kind)
