@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from .functions import classify, text, urls
 from .operators import aggregates as agg
-from .operators import export, filters, graph, grid, ingest, sets, windows
+from .operators import export, filters, graph, grid, ingest, paging, sets, textindex, windows
 from .operators.filters import ResultsFilter
 from .plans import reports, sessions, views
 from .plans.views import FRONTIER_SQL, SESSION_SQL, with_crawl
@@ -211,6 +213,56 @@ for _field in ("title", "meta_description", "h1"):
 QUERIES["join_duplicate_exists"], ORACLE_SQL["join_duplicate_exists"] = QUERIES["filter_duplicate_title"], ORACLE_SQL["filter_duplicate_title"]
 QUERIES["join_url_in"], ORACLE_SQL["join_url_in"] = QUERIES["filter_url_in"], ORACLE_SQL["filter_url_in"]
 
+
+
+def text_index(spark, d):
+    """An index of the crawl's urls and titles, added in two batches."""
+    import uuid
+
+    from .operators.graph import shared_folder
+
+    rows = views.crawl(spark, d)
+    index = textindex.TextIndex(spark, f"{shared_folder(spark)}/textindex-{uuid.uuid4().hex}", ["url", "title"], parts=16, block_bits=12)
+    return index.add(rows.where("id % 2 = 0")).add(rows.where("id % 2 = 1"))
+
+
+def looked_up(spark, d):
+    index = text_index(spark, d)
+    found = [index.search(n).select(F.lit(n).alias("needle"), "id") for n in _NEEDLES]
+    return reduce(lambda a, b: a.union(b), found)
+
+
+def looked_up_together(spark, d):
+    nations = spark.read.parquet(f"{d}/nation.parquet")
+    needle = F.concat(F.lit("H"), (F.col("n_nationkey") % 20).cast("string"), F.lit(".example.com/p"), F.col("n_regionkey").cast("string"))
+    return text_index(spark, d).search_all(nations.select(needle.alias("needle")))
+
+
+def filtered_by_index(spark, d):
+    return filters.filtered(views.crawl(spark, d), ResultsFilter(text="Shared", statusMin=200, statusMax=300, resourceType="HTML"), text_index(spark, d)).select("id", "session_id", "url", "status")
+
+
+_NEEDLES = ["  TITLE 1 ", "p42?utm", "h7.example.com/p9", "%", "no such text", "https", "ord word word word word w", "d t"]
+_HOLDS = "contains(lower(url), {0}) OR contains(lower(coalesce(title, '')), {0})"
+add("filter_text_index", looked_up, " UNION ALL ".join(f"SELECT '{n}' AS needle, id FROM crawl WHERE " + _HOLDS.format(f"'{n.strip().lower()}'") for n in _NEEDLES))
+add("filter_text_index_batch", looked_up_together, "SELECT needle, id FROM crawl JOIN (SELECT DISTINCT 'H' || (n_nationkey % 20)::VARCHAR || '.example.com/p' || n_regionkey::VARCHAR AS needle FROM nation) ON " + _HOLDS.format("lower(needle)"))
+add("filter_text_index_combined", filtered_by_index, f"{_ID}crawl WHERE contains(lower(title), 'shared') AND {CP}")
+_GRAMS = lambda c: f"SELECT DISTINCT id, '{c}' AS field, unnest(list_transform(range(1, length({c}) - 1), lambda i: substr(lower({c}), i, 3))) AS gram FROM crawl"
+add("text_index_grams", lambda s, d: text_index(s, d).counts(), f"SELECT field, gram, count(*) AS n FROM ({_GRAMS('url')} UNION ALL {_GRAMS('title')}) GROUP BY ALL")
+
+
+def log_index(spark, d):
+    import uuid
+
+    from .operators.graph import shared_folder
+
+    logs = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"), F.col("event_type").alias("level"), F.col("props").alias("msg"))
+    index = textindex.TextIndex(spark, f"{shared_folder(spark)}/logindex-{uuid.uuid4().hex}", ["msg"], parts=16, block_bits=12).add(logs)
+    return filters.log_filter(logs, ["error", "click"], '": 77', index).select(F.col("id").alias("event_id"))
+
+
+add("log_filter_index", log_index, "SELECT event_id FROM events WHERE event_type IN ('error', 'click') AND contains(props, '\": 77')")
+
 # ---- joins ------------------------------------------------------------------------------------
 
 add("join_frontier_anti", lambda s, d: frontier(s, d).groupBy("session_id").agg(F.count("*").alias("n")), "SELECT session_id, count(*) AS n FROM frontier GROUP BY session_id", FRONTIER_SQL)
@@ -355,6 +407,20 @@ add("win_sessions", lambda s, d: windows.sessionize(s.read.parquet(f"{d}/events.
 add("sort_whitelist", over(lambda r: grid.sort_results(r, "response_time", "desc").limit(50).select("id", "response_time")), "SELECT id, response_time FROM crawl ORDER BY response_time DESC, id LIMIT 50")
 add("sort_unknown", over(lambda r: grid.sort_results(r, "seo_json; DROP", "desc").limit(50).select("id")), "SELECT id FROM crawl ORDER BY id LIMIT 50")
 add("page", over(lambda r: grid.page(r.where("session_id = 1"), 3, 50, "url").select("id", "url")), "SELECT id, url FROM crawl WHERE session_id = 1 ORDER BY url, id LIMIT 50 OFFSET 150")
+
+
+def paged(spark, d):
+    """Deep pages in several orders, each read from its run, with their rows' places."""
+    rows, out = views.crawl(spark, d).where("session_id = 1"), []
+    for column, direction in (("title", "asc"), ("title", "desc"), ("response_time", "desc"), (None, "asc")):
+        order = paging.Ordered.write(rows.select("id", "title", "response_time"), column, direction, runs=8)
+        out += [order.between(first, first + 50).select(F.lit(f"{column} {direction}").alias("sorted"), "place", "id") for first in (0, 450, 1000, 10**9)]
+    return reduce(lambda a, b: a.union(b), out)
+
+
+_PAGED = " UNION ALL ".join(f"SELECT '{c} {d}' AS sorted, place, id FROM (SELECT id, row_number() OVER (ORDER BY {by}) - 1 AS place FROM crawl WHERE session_id = 1) WHERE place // 50 IN (0, 9, 20)" for c, d, by in (("title", "asc", "title NULLS FIRST, id"), ("title", "desc", "title DESC NULLS LAST, id"), ("response_time", "desc", "response_time DESC, id"), (None, "asc", "id")))
+add("page_deep", paged, _PAGED)
+add("page_starts", lambda s, d: paging.Ordered.write(views.crawl(s, d).select("id", "url"), "url").page_starts(50), "SELECT place // 50 AS page, count(*) AS n, arg_min(id, place) AS first_id, arg_max(id, place) AS last_id FROM (SELECT id, row_number() OVER (ORDER BY url, id) - 1 AS place FROM crawl) GROUP BY place // 50")
 add("topk_slowest", over(lambda r: reports.pagespeed(r).select("session_id", "url", "response_time")), "SELECT session_id, url, response_time FROM crawl WHERE resource_type = 'HTML' AND response_time > 0 ORDER BY response_time DESC, id LIMIT 100")
 QUERIES["report_pagespeed"], ORACLE_SQL["report_pagespeed"] = QUERIES["topk_slowest"], ORACLE_SQL["topk_slowest"]
 add("topk_sessions", lambda s, d: listed(s, d).select("id", "result_count"), "SELECT id, result_count FROM listed", SESSION_SQL, _LISTED)
@@ -623,6 +689,28 @@ def streamed(spark, d):
     return store
 
 
+def incremental_health(spark, d):
+    """The log written in six batches, the health changed by each; nothing is counted anew."""
+    import uuid
+
+    from .operators.graph import shared_folder
+    from .streaming import router
+
+    store = router.Store(spark, f"{shared_folder(spark)}/health-{uuid.uuid4().hex}")
+    rows = views.log(spark, d).withColumn("line", F.col("id"))
+    seen = views.raw_log(spark, d).select("id", "session_id", F.explode("seo.outlinks").alias("url"))
+    n = rows.agg(F.max("id")).first()[0] + 1
+    for k in range(6):
+        part = F.col("id").between(n * k // 6, n * (k + 1) // 6 - 1)
+        store.write(rows.where(part), seen.where(part).select("session_id", "url"), k)
+        if k == 3:
+            store.health_view.fold()
+    return store.health().withColumn("avg_response_time", F.round("avg_response_time", 6))
+
+
+add("health_incremental", incremental_health, "SELECT * REPLACE (round(avg_response_time, 6) AS avg_response_time) FROM health", FRONTIER_SQL, _H)
+
+
 add("micro_batch_write", lambda s, d: streamed(s, d).results().select("url"), "SELECT DISTINCT url FROM raw_log")
 add("frontier_state", lambda s, d: streamed(s, d).frontier().select("url"), "SELECT DISTINCT url FROM (SELECT unnest(seo_outlinks) AS url FROM raw_log WHERE id % 20 = 1) WHERE url NOT IN (SELECT url FROM raw_log)")
 add("progress_snapshot", lambda s, d: streamed(s, d).results().agg(F.count("*").alias("row_count")), "SELECT count(DISTINCT url) AS row_count FROM raw_log")

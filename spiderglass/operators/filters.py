@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ingest import content_page
+from .textindex import TextIndex
 
 FEW_URLS = 1000
 
@@ -146,10 +147,13 @@ def apply_filter(results: DataFrame, f: ResultsFilter) -> DataFrame:
     return results
 
 
-def filtered(results: DataFrame, f: ResultsFilter) -> DataFrame:
-    """The rows of a session that pass f. Duplicates are judged among all of the session's rows."""
+def filtered(results: DataFrame, f: ResultsFilter, index: TextIndex | None = None) -> DataFrame:
+    """The rows of a session that pass f. Duplicates are judged among all of the session's rows. With an index of url and
+    title over these rows, a text is looked up there."""
     if f.duplicateField in ("title", "meta_description", "h1"):
         results = duplicates(results, f.duplicateField)
+    elif index is not None and f.text and f.text.strip():
+        results, f = index.search(f.text), replace(f, text=None)
     return apply_filter(results, f)
 
 
@@ -235,6 +239,9 @@ EXPORT_PRESETS = {
 }
 
 
-def log_filter(logs: DataFrame, levels: list[str], search: str = "") -> DataFrame:
+def log_filter(logs: DataFrame, levels: list[str], search: str = "", index: TextIndex | None = None) -> DataFrame:
+    """Log lines of some levels that hold a text, which an index of their messages looks up."""
+    if index is not None and levels and search:
+        return index.search(search, strip=False).where(F.col("level").isin(*levels))
     out = logs.where(F.col("level").isin(*levels)) if levels else logs.where("false")
     return out.where(F.lower("msg").contains(search.lower())) if search else out

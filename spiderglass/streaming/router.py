@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregates, ingest
+from ..operators.health import HealthView, frontier_change
+from ..operators.runs import Runs
 from ..sources.readers import parse_lines
 
 # Event types by where they go.
@@ -44,43 +46,55 @@ def discovered_of(routed: DataFrame, session_id: int) -> DataFrame:
 
 
 class Store:
-    """Append-only tables of a crawl: each batch is a folder named by its id, so a repeated batch replaces
-    itself; readers take the newest row of a key and what is seen but not crawled."""
+    """The tables of a crawl, written in batches: results and discovered urls, of which the last row of a key counts, and
+    the health of the sessions. A batch is there as a whole; one that is done again after a crash is not there twice."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-
-    def write(self, name: str, df: DataFrame, batch: int) -> None:
-        df.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch:012d}/")
-
-    def _read(self, name: str) -> DataFrame | None:
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        if not root.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(root):
-            return None
-        return self.spark.read.option("recursiveFileLookup", True).parquet(f"{self.path}/{name}")
+        self.results_runs, self.seen_runs, self.health_view = Runs(spark, f"{path}/results"), Runs(spark, f"{path}/discovered"), HealthView(spark, f"{path}/health")
+
+    def write(self, results: DataFrame, discovered: DataFrame, batch: int) -> None:
+        """results in the result schema with `line`, their order in the batch; discovered (session_id, url)."""
+        seq = F.struct(F.lit(batch).cast("long").alias("batch"), F.col("line"))
+        new = results.withColumn("seq", seq).drop("line")
+        # Changes are judged against what was there before the batch, so health comes first and is not done again once
+        # a table has the batch.
+        if batch > self.seen_runs.manifest()["batch"]:
+            newest = ingest.last_wins(new, "seq")
+            keys = newest.select("session_id", "url").union(discovered.select("session_id", "url"))
+            old, known = self.results_runs.lookup(keys), self.seen_runs.lookup(keys)
+            replaced = None if old is None else old.join(newest.select("session_id", "url"), ["session_id", "url"], "left_semi")
+            self.health_view.apply(batch, newest, replaced, frontier_change(known, old, discovered, newest))
+            self.seen_runs.append(discovered.select("session_id", "url", F.lit(batch).cast("long").alias("seq")), batch)
+        self.results_runs.append(new, batch)
+        for runs in (self.seen_runs, self.results_runs):
+            runs.compact()
 
     def results(self) -> DataFrame | None:
-        rows = self._read("results")
-        return None if rows is None else ingest.last_wins(rows.withColumn("seq", F.struct("batch", "line")), "seq").drop("batch", "line", "seq")
+        rows = self.results_runs.read()
+        return None if rows is None else rows.drop("seq")
 
     def frontier(self) -> DataFrame | None:
-        seen, done = self._read("discovered"), self.results()
+        seen, done = self.seen_runs.read(), self.results()
         if seen is None:
             return None
-        return ingest.frontier(seen, done) if done is not None else seen.select("session_id", "url").distinct()
+        return ingest.frontier(seen, done) if done is not None else seen.select("session_id", "url")
+
+    def health(self) -> DataFrame:
+        return self.health_view.read()
 
 
 def start(spark: SparkSession, inbox: str, store: Store, session_id: int, checkpoint: str, files_per_batch: int = 100, every: str | None = None):
-    """Follows a folder of NDJSON files: results first, then discovered urls, in each micro-batch. files_per_batch
-    is the back-pressure. With no `every` it processes what is there and ends."""
+    """Follows a folder of NDJSON files, a micro-batch of results and discovered urls at a time. files_per_batch is the
+    back-pressure. With no `every` it processes what is there and ends."""
 
     def write(batch: DataFrame, number: int) -> None:
         lines = batch.withColumn("line", F.monotonically_increasing_id())
-        routed = route(parse_lines(lines, "line"))
+        routed = route(parse_lines(lines, "line")).persist()
         rows = routed.where("sink = 'result'").select("line", "record.*").withColumn("session_id", F.lit(session_id).cast("long"))
         made = ingest.blank_non_content(ingest.coerce(rows.withColumn("id", F.col("line"))))
-        store.write("results", made.withColumn("line", F.col("id")).withColumn("session_id", F.lit(session_id).cast("long")), number)
-        store.write("discovered", discovered_of(routed, session_id), number)
+        store.write(made.withColumn("line", F.col("id")).withColumn("session_id", F.lit(session_id).cast("long")), discovered_of(routed, session_id), number)
+        routed.unpersist()
 
     stream = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(inbox)
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
