@@ -1,16 +1,21 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame functions only.
 
-A text is the weighted set of its word pairs (lower-cased; the weight is how often a pair occurs). A term
-of weight w stands for the w units (term, 0) to (term, w - 1), so the units that two texts share are the
-sum of their lesser weights, and those that either has the sum of the greater: the Jaccard similarity of
-the units is the generalised Jaccard similarity of the weights. A sample is the unit of least hash, the
-same in both texts with the probability of that similarity.
-
-Units are dealt to BINS bins by hash and each bin draws one sample from its units, so a text costs one
-evaluation a word and not one for each term and sample, and a heavy term fills bins in proportion to its
-weight. The least unit of a bin is any unit of either text with equal probability, so the likeness of two
-fingerprints, the share of equal samples among the bins that either text fills, is an unbiased estimate
-of the generalised Jaccard similarity.
+A text is the weighted set of its word pairs (lower-cased; the weight is how often a pair occurs). A sample of
+a weighted set is drawn by improved consistent weighted sampling: for each term of weight S, with r and c of
+the distribution Gamma(2, 1) and b uniform, all three made from the term's hash alone,
+
+    t = floor(ln(S) / r + b)      ln(a) = ln(c) - r * (t - b + 1)
+
+and the sample is the pair (term, t) of the least a. Two sets give the same sample with the probability of
+their generalised Jaccard similarity, the sum of the lesser weights over that of the greater.
+
+A fingerprint has BINS samples. Drawing each of them over all terms would cost BINS evaluations a term, so the
+weight is spread over the bins first: a term of weight w is w units, each unit goes to a bin by its hash, and
+a term's weight in a bin is the number of its units there. Of two texts the one with the greater weight has
+the other's units and more, so the lesser and greater weights of the bins add up to those of the texts, heavy
+terms fill bins in proportion to their weight, and the likeness of two fingerprints, the share of equal samples
+among the bins that either text fills, estimates the generalised Jaccard similarity. A term is evaluated once
+in each bin that it fills, at most once a word in all.
 
 The next document (by descending doc_id) is found in one shuffle of the texts: rows are dealt to ranges of
 (doc_id, hash of text), and the top row of each range also goes, as a ghost, to the end of the range
@@ -18,8 +23,8 @@ above it. Ranges end at keys from a sample of bounded size (SAMPLE keys a range,
 row finds its range by bisection; so any type of doc_id will do, and a repeated doc_id is split over ranges
 by its texts. Their number follows the shuffle partitions, and a range is sorted with spilling.
 
-Edge cases: a very long text is an array of its words' hashes in one row (16 bytes a word); null and empty texts have an empty fingerprint, which is like (1.0) only to another empty
-one; a text of one word has that word as its only term; equal texts have equal fingerprints; of equal
+Edge cases: a very long text is an array of its words' hashes in one row (16 bytes a word); null and empty
+texts have an empty fingerprint, which is like (1.0) only to another empty one; a text of one word has that word as its only term; equal texts have equal fingerprints; of equal
 doc_ids the one with the smaller text hash comes first; a null doc_id comes after all others; in a
 table of one row it is its own next document; an empty table gives no rows; columns other than doc_id
 and text are not read.
@@ -33,12 +38,14 @@ from pyspark.sql import types as T
 
 from .common import clean, let, table
 
-#: A power of two, up to 128: a bin is the lowest bits of a hash, rank and name are the highest.
+#: Up to 128: a bin is written before ln(a) and name in a long that sorts by bin, then by ln(a).
 BINS = 128
 #: Bits of a sample's name and of its rank in the bin.
 NAME_BITS, RANK_BITS = 24, 32
 #: Ranges of doc_id for each shuffle partition, and keys in the sample for each range.
 RANGES, SAMPLE = 4, 24
+#: How the ends of ranges are written without loss.
+_EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def terms(text: Column) -> Column:
@@ -54,28 +61,54 @@ def terms(text: Column) -> Column:
     return let(words, pairs)
 
 
-def _packed(h: Column, bins: int) -> Column:
-    """bin, rank and name of a unit's hash, packed into a long that sorts by bin, then by rank."""
-    return F.shiftleft(F.pmod(h, F.lit(bins)), RANK_BITS + NAME_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - RANK_BITS - NAME_BITS))
+def _uniforms(h: Column) -> Column:
+    """The product of two independent uniforms in (0, 1), from the halves of a hash; less the logarithm it is Gamma(2, 1)."""
+    half = lambda x: (x + F.lit(0.5)) / F.lit(2.0**32)
+    return half(F.shiftrightunsigned(h, 32)) * half(h.bitwiseAND(F.lit((1 << 32) - 1)))
 
 
-def fingerprint(text: Column, bins: int = BINS) -> Column:
-    """array<long>: for each filled bin, in order, bin << NAME_BITS | name of its sample."""
+def sample(key: Column, weight: Column) -> Column:
+    """The sample of a term in a bin (key: bin, then bits of the term's hash) as a long: bin, ln(a), name of (term, t)."""
+    b = (F.shiftrightunsigned(F.xxhash64(F.lit(13), key), 32) + F.lit(0.5)) / F.lit(2.0**32)
+
+    def drawn(r: Column) -> Column:
+        def packed(t: Column) -> Column:
+            # ln(a) lies between -82 and 5 for weights to a million; beyond that it is cut.
+            rank = F.log(-F.log(_uniforms(F.xxhash64(F.lit(12), key)))) - r * (t - b + 1)
+            rank = F.floor((F.greatest(F.least(rank, F.lit(31.0)), F.lit(-96.0)) + 96) * (1 << (RANK_BITS - 8))).cast("long")
+            bits = F.shiftleft(F.shiftrightunsigned(key, RANK_BITS + NAME_BITS), RANK_BITS + NAME_BITS)
+            return bits.bitwiseOR(F.shiftleft(rank, NAME_BITS)).bitwiseOR(F.shiftrightunsigned(F.xxhash64(key, t.cast("long")), 64 - NAME_BITS))
+
+        return let(F.floor(F.log(weight.cast("double")) / r + b), packed)
+
+    return let(-F.log(_uniforms(F.xxhash64(F.lit(11), key))), drawn)
+
+
+def of_terms(sorted_terms: Column, bins: int = BINS) -> Column:
+    """array<long>: for each filled bin, in order, bin << NAME_BITS | name of its sample. Terms are sorted hashes, a term
+    of weight w standing w times."""
     edges = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    # Where each run of equal values starts; the next start less this one is its length.
+    runs = lambda s, made: let(edges(s), lambda e: F.transform(e, lambda i, k: made(F.get(s, i), F.coalesce(F.get(e, k + 1), F.size(s)) - i)))
+
+    def unit(term: Column, j: Column) -> Column:
+        return F.shiftleft(F.pmod(F.xxhash64(F.lit(5), term, j), F.lit(bins)), RANK_BITS + NAME_BITS).bitwiseOR(F.shiftrightunsigned(term, 64 - RANK_BITS - NAME_BITS))
 
     def units(s: Column) -> Column:
-        # Where each run of equal terms starts; the next start less this one is the term's weight.
-        starts = edges(s)
-        each = lambda e, i, k: F.transform(F.sequence(F.lit(0), F.coalesce(F.get(e, k + 1), F.size(s)) - i - 1), lambda j: F.xxhash64(F.lit(5), F.get(s, i), j))
-        return F.transform(let(starts, lambda e: F.flatten(F.transform(e, lambda i, k: each(e, i, k)))), lambda h: _packed(h, bins))
+        each = runs(s, lambda term, n: F.transform(F.sequence(F.lit(0), n - 1), lambda j: unit(term, j)))
+        return F.sort_array(F.flatten(each))
 
     def least(packed: Column) -> Column:
         first = lambda p: F.filter(p, lambda x, i: (i == 0) | (F.shiftright(x, RANK_BITS + NAME_BITS) != F.shiftright(F.get(p, i - 1), RANK_BITS + NAME_BITS)))
         name = lambda x: F.shiftleft(F.shiftright(x, RANK_BITS + NAME_BITS), NAME_BITS).bitwiseOR(x.bitwiseAND(F.lit((1 << NAME_BITS) - 1)))
         return let(F.sort_array(packed), lambda p: F.transform(first(p), name))
 
-    filled = let(terms(text), lambda s: F.when(F.size(s) > 0, let(units(s), least)))
-    return F.coalesce(filled, F.array().cast("array<long>"))
+    return let(sorted_terms, lambda s: F.when(F.size(s) > 0, let(let(units(s), lambda u: runs(u, sample)), least)).otherwise(F.array().cast("array<long>")))
+
+
+def fingerprint(text: Column, bins: int = BINS) -> Column:
+    """The fingerprint of a text's word pairs; that of a null text is empty."""
+    return F.coalesce(of_terms(terms(text), bins), F.array().cast("array<long>"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -111,8 +144,8 @@ def with_next(rows: DataFrame, made: dict[str, Column], carried: list[str]) -> D
     share = ranges * SAMPLE / max(1, rows.count())
     drawn = rows.select("key", F.rand(7).alias("u")).agg(F.sort_array(F.collect_list(F.when(F.col("u") < share, F.col("key")))).alias("s"), F.max("key").alias("top"))
     cuts = F.array_distinct(F.concat(F.filter("s", lambda k, i: (i + 1) % SAMPLE == 0), F.filter(F.array("top"), lambda k: k.isNotNull())))
-    found, n = drawn.select(cuts.alias("cuts")).select(F.to_json("cuts"), F.size("cuts")).first()
-    cuts = F.from_json(F.lit(found), T.ArrayType(rows.schema["key"].dataType))
+    found, n = drawn.select(cuts.alias("cuts")).select(F.to_json("cuts", _EXACT), F.size("cuts")).first()
+    cuts = F.from_json(F.lit(found), T.ArrayType(rows.schema["key"].dataType), _EXACT)
     # Range i ends at cut i, which is the key of a row: that row also goes to the end of the range above, or of all.
     rows = rows.select("*", _bisected(cuts, n, F.col("key")).alias("range"))
     here, above = F.struct(F.col("range").alias("to"), F.lit(0).alias("ghost")), F.struct(((F.col("range") + 1) % max(n, 1)).alias("to"), F.lit(1).alias("ghost"))

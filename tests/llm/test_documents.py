@@ -189,7 +189,12 @@ def test_next_document_of_any_id(spark):
             out[(i, len(t), sha(t[: len(t) - half] + following[:half]))] += 1
         return out
 
-    for ids, kind in (([3, 3, 3, 7, -2, 0, None, None, 3, 3], "long"), (["b", "a", "a", "ä", None, "", "a"], "string"), ([5], "int"), (list(range(500)) + [7] * 300, "long")):
+    from datetime import datetime, timedelta
+    from decimal import Decimal
+
+    near = [datetime(2024, 5, 1, 12) + timedelta(microseconds=7 * i) for i in range(400)]
+    exact = [Decimal("12345678901234567890.0000000001") + Decimal(i) / 10**10 for i in range(300)]
+    for ids, kind in ((near, "timestamp"), (near, "timestamp_ntz"), (exact, "decimal(38,10)"), ([3, 3, 3, 7, -2, 0, None, None, 3, 3], "long"), (["b", "a", "a", "ä", None, "", "a"], "string"), ([5], "int"), (list(range(500)) + [7] * 300, "long")):
         rows = [(i, " ".join(rng.choices(WORDS, k=1 + k % 9)) + f" {k}") for k, i in enumerate(ids)]
         rows += rows[:2]
         df = spark.createDataFrame(rows, f"doc_id {kind}, text string")
@@ -198,22 +203,30 @@ def test_next_document_of_any_id(spark):
 
 
 def brute_fingerprint(text, bins=128):
-    """(bin, name) of the least unit of each bin, from the definition."""
+    """(bin, name) of the sample of least a in each bin, by the definition of consistent weighted sampling."""
+    import math
+
     import xxhash
 
     signed = lambda h: h - (1 << 64) if h >> 63 else h
     long = lambda x, seed: xxhash.xxh64_intdigest((x % (1 << 64)).to_bytes(8, "little"), seed)
+    small = lambda x, seed: xxhash.xxh64_intdigest(x.to_bytes(4, "little"), seed)
+    half = lambda x: (x + 0.5) / 2.0**32
     words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.split(r"[\x20\x09-\x0D]+", text.lower()) if w]
     pairs = [long(b, long(a, 42)) for a, b in zip(words, words[1:], strict=False)] if len(words) > 1 else words
-    least, seen = {}, Counter()
+    weights, seen = Counter(), Counter()
     for term in pairs:
         j, seen[term] = seen[term], seen[term] + 1
-        start = xxhash.xxh64_intdigest((5).to_bytes(4, "little"), 42)
-        unit = xxhash.xxh64_intdigest(j.to_bytes(4, "little"), long(term, start))
-        rank = unit >> 8
-        if (at := signed(unit) % bins) not in least or rank < least[at]:
-            least[at] = rank
-    return "".join(f"{(b << 24 | r & 0xFFFFFF):08X}" for b, r in sorted(least.items()))
+        weights[signed(small(j, long(term, small(5, 42)))) % bins << 56 | term >> 8] += 1
+    least = {}
+    for key, weight in weights.items():
+        product = lambda seed, k=key: (lambda h: half(h >> 32) * half(h & 0xFFFFFFFF))(long(k, small(seed, 42)))
+        r, b = -math.log(product(11)), half(long(key, small(13, 42)) >> 32)
+        t = math.floor(math.log(weight) / r + b)
+        a = math.log(-math.log(product(12))) - r * (t - b + 1)
+        name = long(t, long(key, 42)) >> 40
+        least[key >> 56] = min(least.get(key >> 56, (1 << 60, 0)), (math.floor((a + 96) * (1 << 24)), name))
+    return "".join(f"{(b << 24 | name):08X}" for b, (_, name) in sorted(least.items()))
 
 
 def test_fingerprints_like_brute_force(spark):
@@ -223,6 +236,22 @@ def test_fingerprints_like_brute_force(spark):
     assert got == {k: brute_fingerprint(t) for k, t in enumerate(texts)}
 
 
+def test_likeness_of_weights_from_one_to_a_thousand(spark):
+    """Random weighted sets; texts are made of marked pairs, so a pair's weight is as drawn."""
+    draw, rows, want = random.Random(12), [], []
+    for k in range(60):
+        terms = [f"t{k}x{i}" for i in range(draw.choice([3, 20, 120]))]
+        a = {t: int(10 ** draw.uniform(0, 3)) for t in terms}
+        b = {t: max(0, int(w * draw.choice([1, 1, 0.5, 2, 0, 0.9]))) for t, w in a.items()}
+        want.append(sum(min(a[t], b[t]) for t in terms) / sum(max(a[t], b[t]) for t in terms))
+        rows.append((k, *([t for t, w in x.items() for _ in range(w)] for x in (a, b))))
+    df = spark.createDataFrame(rows, "k int, a array<string>, b array<string>")
+    fp = lambda c: fingerprint.of_terms(F.sort_array(F.transform(c, lambda x: F.xxhash64(x))))
+    got = [r.j for r in df.select("k", fingerprint.likeness(fp("a"), fp("b")).alias("j")).orderBy("k").collect()]
+    off = [g - w for g, w in zip(got, want, strict=True)]
+    assert abs(sum(off) / len(off)) < 0.03 and sum(map(abs, off)) / len(off) < 0.06 and max(map(abs, off)) < 0.2
+
+
 # ---- op5
 
 
