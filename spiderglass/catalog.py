@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .functions import classify, text, urls
 from .operators import aggregates as agg
-from .operators import export, filters, graph, grid, ingest, paging, sets, textindex, windows
+from .operators import export, filters, graph, grid, ingest, paging, redirects, sets, textindex, windows
 from .operators.filters import ResultsFilter
 from .plans import reports, sessions, views
 from .plans.views import FRONTIER_SQL, SESSION_SQL, with_crawl
@@ -770,10 +770,10 @@ def robots_verdicts(spark, d):
 
 
 def robots_match(spark, d):
-    from .functions.robots import path_of, pattern_regex
+    from .functions.robots import matched, path_of
 
     pages = spark.read.parquet(f"{d}/pages.parquet")
-    return pages.select("page_id", *[F.rlike(path_of(F.col("url")), pattern_regex(F.lit(p))).alias(n) for n, p in (("starts", "/en/"), ("ends", "/*.html$"), ("middle", "/*/1*2"))])
+    return pages.select("page_id", *[matched(F.lit(p), path_of(F.col("url"))).alias(n) for n, p in (("starts", "/en/"), ("ends", "/*.html$"), ("middle", "/*/1*2"))])
 
 
 _ORIGINS = "SELECT DISTINCT regexp_extract(url, '^([a-z]+://[^/]*)', 1) AS origin FROM pages"
@@ -784,6 +784,47 @@ add("robots_match", robots_match, f"SELECT page_id, starts_with(path, '/en/') AS
 add("robots_allowed", robots_verdicts, f"SELECT DISTINCT url, CASE WHEN length(origin) % 7 = 0 THEN true WHEN path LIKE '/%.html' THEN false WHEN path LIKE '/en/%1%' THEN true WHEN starts_with(path, '/en/') THEN false ELSE true END AS allowed FROM ({_PATHS})")
 
 
+def robots_many(spark, d):
+    """Every path of the pages as a rule of its own origin, with stars, anchors and characters that expressions know."""
+    from .functions.robots import path_of, verdicts
+
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", F.regexp_extract("url", "^([a-z]+://[^/]*)", 1).alias("origin"))
+    path, k = path_of(F.col("url")), F.col("page_id") % 6
+    cut = F.substring(path, F.lit(1), F.floor(F.length(path) / 2).cast("int"))
+    pattern = F.when(k == 0, path).when(k == 1, F.concat(path, F.lit("$"))).when(k == 2, cut).when(k == 3, F.concat(cut, F.lit("*l$"))).when(k == 4, F.concat(cut, F.lit("*1*"))).otherwise(F.concat(path, F.lit("\\E(")))
+    rules = pages.select("origin", (F.col("page_id") % 4 == 0).alias("allow"), pattern.alias("pattern"))
+    return verdicts(pages.select("url", "origin").distinct(), rules).select("url", "allowed")
+
+
+_CUT = "substr(path, 1, length(path) // 2)"
+QUERIES["robots_rules_many"], ORACLE_SQL["robots_rules_many"] = robots_many, f"""WITH p AS ({_PATHS}), r AS (SELECT origin, page_id % 4 = 0 AS allow, CASE page_id % 6 WHEN 0 THEN path WHEN 1 THEN path || '$' WHEN 2 THEN {_CUT} WHEN 3 THEN {_CUT} || '*l$' WHEN 4 THEN {_CUT} || '*1*' ELSE path || '\\E(' END AS pattern,
+  CASE page_id % 6 WHEN 0 THEN path WHEN 1 THEN path WHEN 2 THEN {_CUT} WHEN 3 THEN {_CUT} WHEN 4 THEN {_CUT} ELSE path || '\\E(' END AS head, page_id % 6 AS kind FROM p)
+SELECT DISTINCT p.url, coalesce(m.allow, true) AS allowed FROM p LEFT JOIN (SELECT url, arg_max(allow, length(pattern) * 2 + allow::INT) AS allow FROM (SELECT DISTINCT url, origin, path FROM p) q JOIN r USING (origin)
+  WHERE starts_with(path, head) AND CASE kind WHEN 1 THEN path = head WHEN 3 THEN ends_with(path, 'l') AND length(path) > length(head) WHEN 4 THEN contains(substr(path, length(head) + 1), '1') ELSE true END GROUP BY url) m USING (url)"""
+
+
+def hop_rows(spark, d):
+    """Every click of the log as a hop to another page of its host."""
+    r = views.raw_log(spark, d).where("status in (301, 302)")
+    host = F.substring_index("url", "/p", 1)
+    return r.select("session_id", F.col("id").alias("seq"), F.concat(host, F.lit("/p"), F.col("k").cast("string")).alias("from_url"), F.concat(host, F.lit("/p"), ((F.col("k") * 7 + F.col("id") % 5) % 150).cast("string")).alias("to_url"), "status")
+
+
+QUERIES["redirect_chains"] = lambda s, d: redirects.chains(hop_rows(s, d)).withColumn("chain", F.array_join("chain", " "))
+ORACLE_SQL["redirect_chains"] = with_crawl("""SELECT session_id, u AS start_url, array_to_string(CASE WHEN looped THEN chain ELSE list_append(chain, cur) END, ' ') AS chain, n::BIGINT AS hops, first_status, cur AS final_url, looped AS is_loop FROM whole
+WHERE NOT EXISTS (SELECT 1 FROM hop h WHERE h.session_id = whole.session_id AND h.v = whole.u AND h.u <> h.v) OR looped AND cur = u AND list_min(chain) = u""", """log_hops AS (SELECT session_id, id AS seq, split_part(url, '/p', 1) || '/p' || k::VARCHAR AS u, split_part(url, '/p', 1) || '/p' || ((k * 7 + id % 5) % 150)::VARCHAR AS v, status FROM raw_log WHERE status IN (301, 302)),
+hop AS (SELECT * FROM log_hops QUALIFY row_number() OVER (PARTITION BY session_id, u ORDER BY seq DESC) = 1),
+walk(session_id, u, first_status, chain, cur, n, looped) AS (
+  SELECT session_id, u, status, [u], v, 1, u = v FROM hop
+  UNION ALL SELECT w.session_id, w.u, w.first_status, list_append(w.chain, w.cur), h.v, w.n + 1, list_contains(list_append(w.chain, w.cur), h.v) FROM walk w JOIN hop h ON h.session_id = w.session_id AND h.u = w.cur WHERE NOT w.looped),
+whole AS (SELECT * FROM walk w QUALIFY row_number() OVER (PARTITION BY session_id, u ORDER BY n DESC) = 1)""").replace("WITH", "WITH RECURSIVE", 1)
+_BODY_WORDS = "regexp_extract_all(coalesce(text, ''), '[^ \t\n\v\f\r\xA0]+')"
+_UNITS = "list_transform(string_split(regexp_replace(ltrim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)), '[ \t\n\v\f\r\xA0]+', ' ', 'g'), ''), lambda c: unicode(c)::BIGINT)"
+_FNV_UNITS = f"flatten(list_transform({_UNITS}, lambda c: CASE WHEN c < 65536 THEN [c] ELSE [55296 + ((c - 65536) >> 10), 56320 + ((c - 65536) & 1023)] END))"
+add("content_fingerprint", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", text.word_count(F.col("text")).alias("word_count"), text.content_hash(F.col("text")).alias("content_hash")),
+    f"SELECT doc_id, len({_BODY_WORDS}) AS word_count, CASE WHEN len({_BODY_WORDS}) > 0 THEN lower(to_hex(list_reduce(list_concat([2166136261::BIGINT], {_FNV_UNITS}), lambda h, c: (xor(h, c) * 16777619) & 4294967295))) ELSE '' END AS content_hash FROM documents")
+
+
 def relay_list(spark, d):
     from .sources.readers import relays
 

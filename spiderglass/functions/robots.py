@@ -68,11 +68,26 @@ def robots_rules(user_agent: str):
     return run
 
 
-def pattern_regex(pattern: Column) -> Column:
-    """The pattern as a regular expression."""
-    body = F.regexp_replace(pattern, r"\$$", "")
-    quoted = F.array_join(F.transform(F.split(body, r"\*"), lambda p: F.concat(F.lit("\\Q"), p, F.lit("\\E"))), ".*")
-    return F.concat(F.lit("(?s)^"), quoted, F.when(pattern.endswith("$"), "$").otherwise(""))
+def matched(pattern: Column, path: Column) -> Column:
+    """Whether a pattern with * and a final $ matches a path from its start: each piece between stars is looked for once,
+    from where the one before it ended, so the time is linear in the path for each piece. The others are plain characters."""
+    exact = pattern.endswith("$")
+    pieces = F.split(F.regexp_replace(pattern, r"\$$", ""), r"\*", -1)
+    n = F.size(pieces)
+    first, last = F.element_at(pieces, 1), F.element_at(pieces, -1)
+    # at: the place of the next character, 0 once a piece was not found.
+    found = lambda piece, at: F.call_function("locate", piece, path, at)
+    step = lambda at, piece: F.when(at == 0, 0).when(F.length(piece) == 0, at).when(found(piece, at) == 0, 0).otherwise(found(piece, at) + F.length(piece))
+    start = F.when(path.startswith(first), F.length(first) + 1).otherwise(0)
+    at = F.aggregate(F.slice(pieces, 2, F.greatest(n - 2, F.lit(0))), start, step)
+    ends = (at > 0) & path.endswith(last) & (F.length(path) - F.length(last) + 1 >= at)
+    more = (at > 0) & ((F.length(last) == 0) | (found(last, F.greatest(at, F.lit(1))) > 0))
+    return F.when(n == 1, F.when(exact, path == first).otherwise(path.startswith(first))).otherwise(F.when(exact, ends).otherwise(more))
+
+
+def prefix_of(pattern: Column) -> Column:
+    """What a path begins with if the pattern matches it: all before the first * or a final $."""
+    return F.substring_index(F.regexp_replace(pattern, r"\$$", ""), "*", 1)
 
 
 def path_of(url: Column) -> Column:
@@ -82,8 +97,18 @@ def path_of(url: Column) -> Column:
 
 
 def verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """urls (url, origin) with `allowed`, by rules (origin, allow, pattern), as an equi-join on the origin.
-    Rules are few an origin, so a url meets few; the longest match wins by a partial aggregate."""
-    met = urls.join(rules, "origin").where(F.rlike(path_of(F.col("url")), pattern_regex(F.col("pattern"))))
-    best = met.groupBy("url").agg(F.max(F.struct(F.length("pattern").alias("n"), "allow"))["allow"].alias("allowed"))
-    return urls.join(best, "url", "left").withColumn("allowed", F.coalesce("allowed", F.lit(True)))
+    """urls (url, origin) with `allowed`, by rules (origin, allow, pattern). The longest match wins, of equally long ones
+    an allowing one; a url that nothing matches is allowed.
+
+    The rules of an origin are a trie as a table: a url looks up the beginnings of its path, of the lengths that rules of
+    its origin have, by an equi-join. So it meets the rules that share their plain beginning with it, however many its
+    origin has, and only those with stars or a final $ are matched further."""
+    held = rules.select("origin", "allow", "pattern").distinct().withColumn("prefix", prefix_of(F.col("pattern")))
+    lengths = held.groupBy("origin").agg(F.collect_set(F.length("prefix")).alias("lengths"))  # no more than a pattern is long
+    paths = urls.select("url", "origin").distinct().withColumn("path", path_of(F.col("url"))).join(lengths, "origin")
+    starts = paths.select("url", "origin", "path", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n"))
+    starts = starts.withColumn("prefix", F.substring(F.col("path"), F.lit(1), F.col("n"))).drop("n")
+    plain = F.col("pattern") == F.col("prefix")
+    met = starts.join(held, ["origin", "prefix"]).where(plain | matched(F.col("pattern"), F.col("path")))
+    best = met.groupBy("url", "origin").agg(F.max(F.struct(F.length("pattern").alias("n"), "allow"))["allow"].alias("allowed"))
+    return urls.join(best, ["url", "origin"], "left").withColumn("allowed", F.coalesce("allowed", F.lit(True)))

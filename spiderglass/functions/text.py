@@ -58,3 +58,28 @@ def standardize_date(raw: Column) -> tuple[Column, Column]:
         F.try_to_timestamp(text, F.lit("d MMMM yyyy")), F.try_to_timestamp(text, F.lit("MMMM d, yyyy")), F.try_to_timestamp(text, F.lit("yyyy/MM/dd")),
     )
     return F.coalesce(F.date_format(ts, "dd-MM-yyyy"), F.lit("")), F.coalesce(F.concat(F.date_format(ts, "HH:mm:ss"), F.lit(" UTC")), F.lit(""))
+
+
+# The white space between words of a page's text, and the offset and prime of 32-bit FNV-1a.
+_BLANK = r"\x20\x09-\x0D\xA0"
+_FNV_OFFSET, _FNV_PRIME = 2166136261, 16777619
+
+
+def word_count(body: Column) -> Column:
+    """Runs of what is no white space."""
+    return F.regexp_count(F.coalesce(body, F.lit("")), F.lit(f"[^{_BLANK}]+")).cast("long")
+
+
+def content_hash(body: Column) -> Column:
+    """FNV-1a over the UTF-16 units of a text, in hex; a run of white space counts as one space, none at the start. Empty
+    for a text without words. A fold over its characters: one beyond 16 bits is two units."""
+    folded = F.regexp_replace(F.regexp_replace(F.coalesce(body, F.lit("")), f"^[{_BLANK}]+", ""), f"[{_BLANK}]+", " ")
+    mixed = lambda h, unit: (h.bitwiseXOR(unit) * F.lit(_FNV_PRIME)).bitwiseAND(F.lit(0xFFFFFFFF))
+
+    def step(h: Column, c: Column) -> Column:
+        code = F.ascii(c).cast("long")
+        high, low = F.shiftright(code - 0x10000, 10) + 0xD800, (code - 0x10000).bitwiseAND(F.lit(0x3FF)) + 0xDC00
+        return F.when(code < 0x10000, mixed(h, code)).otherwise(mixed(mixed(h, high), low))
+
+    h = F.aggregate(F.regexp_extract_all(folded, F.lit("(?s)."), F.lit(0)), F.lit(_FNV_OFFSET).cast("long"), step)
+    return F.when(word_count(body) > 0, F.lower(F.hex(h))).otherwise("")

@@ -44,7 +44,7 @@ class Host:
     def __init__(self, delay_ms: int = 1000, cooldowns: tuple[int, ...] = COOLDOWNS):
         self.s = {
             "window": [], "titles": {}, "gated": False, "clear_at": None, "attempts": 0, "bodies": [], "links": [], "classes": [], "clean": 0, "run403": 0, "last_block": None,
-            "mult": 1.0, "ceiling": None, "start403": None, "reprobe": None, "emitted": None, "delay": delay_ms, "cooldowns": list(cooldowns), "parked": [],
+            "mult": 1.0, "ceiling": None, "start403": None, "reprobe": None, "emitted": None, "delay": delay_ms, "cooldowns": list(cooldowns), "parked": 0,
         }
 
     def dump(self) -> str:
@@ -103,8 +103,8 @@ class Host:
         s = self.s
         if s["clear_at"] is None or now < s["clear_at"]:
             return None
-        waiting = len(s["parked"])
-        at, s["clear_at"], s["gated"], s["window"], s["titles"], s["parked"] = s["clear_at"], None, False, [], {}, []
+        waiting = s["parked"]
+        at, s["clear_at"], s["gated"], s["window"], s["titles"], s["parked"] = s["clear_at"], None, False, [], {}, 0
         return {"type": "block-cooldown-cleared", "ts_ms": at, "blocked": waiting}
 
     def clear(self) -> None:
@@ -173,7 +173,7 @@ class Host:
         if (cleared := self.expire(now)) is not None:
             out.append(cleared)
         if self.s["gated"]:
-            self.s["parked"] = [*self.s["parked"], url][-1000:]
+            self.s["parked"] += 1
             out.append({"type": "parked", "reason": "host_blocked_by_detector", "url": url})
             return [{"seq": seq, "ts_ms": now} | e for e in out]
         kind, s = self.classify(status, title, body or 0, links), self.s
@@ -195,9 +195,9 @@ class Host:
     def command(self, seq: int, now: int, name: str) -> list[dict]:
         """resume-host: clears the gate; stop-host: gates it until resumed."""
         if name == "resume-host":
-            n = len(self.s["parked"])
+            n = self.s["parked"]
             self.clear()
-            self.s["parked"] = []
+            self.s["parked"] = 0
             return [{"seq": seq, "ts_ms": now, "type": "host-resumed", "blocked": n}]
         if name == "stop-host":
             self.s |= {"gated": True, "clear_at": None}

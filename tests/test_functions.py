@@ -1,6 +1,7 @@
 """Urls, robots, dates, pages, images and sources on tables of cases."""
 
 import gzip
+import re
 import struct
 
 import pytest
@@ -44,7 +45,7 @@ MATCH = [("/a", "/abc", True), ("/a$", "/a", True), ("/a$", "/ab", False), ("/*.
 def test_robots(spark):
     assert [robots.matches(p, path) for p, path, _ in MATCH] == [w for *_, w in MATCH]
     df = spark.createDataFrame([(p, path, w) for p, path, w in MATCH], "p string, path string, w boolean")
-    assert df.where(F.rlike("path", robots.pattern_regex(F.col("p"))) != F.col("w")).count() == 0
+    assert df.where(robots.matched(F.col("p"), F.col("path")) != F.col("w")).count() == 0
     body = "User-agent: A\nUser-agent: MyBot\nDisallow: /x # c\nAllow: /x/y\n\nUser-agent: *\nDisallow: /\nSitemap: https://s/1.xml"
     rules, maps = robots.parse(body, "MyBot/2.0")
     assert rules == [(False, "/x"), (True, "/x/y")] and maps == ["https://s/1.xml"] and robots.parse(body, "zzz")[0] == [(False, "/")] and robots.parse("Disallow: /", "b") == ([], [])
@@ -122,3 +123,74 @@ def test_redirects_and_sizes(spark):
     df = spark.createDataFrame([(hops, {"content-length": "12"}, "abc"), (hops[2:], {}, "abé")], "hops array<struct<url:string,status:int,headers:map<string,string>>>, headers map<string,string>, body string")
     one, two = df.select(html.redirect_info(F.col("hops")).alias("r"), html.size_of(F.col("headers"), F.col("body")).alias("size")).collect()
     assert (one.r.redirectChain, one.r.redirectUrl, one.r.status, one.r.headers, one.size) == (["a", "b", "c"], "c", 301, {"server": "x"}, 12) and (two.r.redirectChain, two.r.redirectUrl, two.size) == ([], "", 4)
+
+
+def glob_brute(pattern, path):
+    exact, body = pattern.endswith("$"), pattern.removesuffix("$")
+    reach = {0}
+    for c in body:
+        reach = set(range(min(reach), len(path) + 1)) if c == "*" and reach else {i + 1 for i in reach if i < len(path) and path[i] == c}
+    return len(path) in reach if exact else bool(reach)
+
+
+def test_robots_patterns_like_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    pick = lambda alphabet, n: "".join(rng.choices(alphabet, k=rng.randint(0, n)))
+    cases = [("/" + pick("ab**$\\E(.é", 7) + rng.choice(["", "$"]), "/" + pick("aab\\E(.é$", 9)) for _ in range(1500)]
+    cases += [("$", "/"), ("$", ""), ("", "/x"), ("*", ""), ("**", "/"), ("*$", "/a"), ("/a\\E(", "/a\\E(b"), ("/[a-z]+", "/[a-z]+x"), ("/" + "a*" * 50 + "Z", "/" + "a" * 2000), ("/" + "*a" * 50 + "$", "/" + "ba" * 1000), ("/a$$", "/a$")]
+    df = spark.createDataFrame(cases, "p string, path string")
+    got = {(r.p, r.path): r.m for r in df.select("p", "path", robots.matched(F.col("p"), F.col("path")).alias("m")).collect()}
+    for p, path in cases:
+        assert got[p, path] == glob_brute(p, path) == robots.matches(p, path), (p, path)
+
+
+def test_robots_verdicts_over_many_rules(spark):
+    import random
+
+    rng = random.Random(3)
+    piece = lambda: "".join(rng.choices("abc", k=rng.randint(1, 3)))
+    rules = [("https://big.example", rng.random() < 0.5, "/" + "/".join(piece() for _ in range(rng.randint(1, 3))) + rng.choice(["", "", "*", "*b", "$", "/*c$"])) for _ in range(10_000)]
+    rules += [("https://odd.example", False, "/a\\E("), ("https://odd.example", False, "/*a*a*a*a*b"), ("https://tie.example", False, "/p"), ("https://tie.example", True, "/p"), ("https://tie.example", False, "$")]
+    paths = ["/" + "/".join(piece() for _ in range(rng.randint(1, 4))) for _ in range(400)]
+    urls = sorted({("https://big.example" + p, "https://big.example") for p in paths} | {(o + p, o) for o in ("https://odd.example", "https://tie.example", "https://none.example") for p in ("/a\\E(x", "/" + "a" * 300, "/p/q", "")})
+    df = spark.createDataFrame(urls, "url string, origin string")
+    got = {r.url: r.allowed for r in robots.verdicts(df, spark.createDataFrame(rules, "origin string, allow boolean, pattern string")).collect()}
+    for url, origin in urls:
+        path = url[len(origin) :] or "/"
+        assert got[url] == robots.allowed(path, [(a, p) for o, a, p in rules if o == origin]), url
+    assert len(got) == len(urls) and robots.verdicts(df, spark.createDataFrame([], "origin string, allow boolean, pattern string")).where("allowed").count() == len(urls)
+
+
+def test_content_hash(spark):
+    def fold(body):
+        h, before = 2166136261, True
+        units = body.encode("utf-16-be", "surrogatepass")
+        for i in range(0, len(units), 2):
+            c = units[i] << 8 | units[i + 1]
+            blank = c in (32, 9, 10, 11, 12, 13, 160)
+            if not (blank and before):
+                h = (h ^ (32 if blank else c)) * 16777619 & 0xFFFFFFFF
+            before = blank
+        return f"{h:x}"
+
+    texts = ["", "  \n\xa0", "a", " a  b\t\xa0c ", "abc", "abc ", "éü", "😀", "a😀b 😁\U0010ffff", "a b", "x" * 5000, "word " * 3000]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", text.content_hash(F.col("t")).alias("h"), text.word_count(F.col("t")).alias("n")).collect()
+    for r in rows:
+        words = re.findall(r"[^\x20\x09-\x0d\xa0]+", r.t or "")
+        assert (r.n, r.h) == (len(words), fold(r.t) if words else ""), r.t
+
+
+def test_redirect_chains(spark):
+    from spiderglass.operators import redirects
+
+    rows = [(1, i, f"c{i:04}", f"c{i + 1:04}", 301) for i in range(1000)]  # a chain of a thousand
+    rows += [(1, 0, "a", "b", 302), (1, 1, "b", "c", 301), (1, 2, "c", "b", 301), (1, 3, "t", "c", 307), (1, 4, "self", "self", 301), (1, 5, "x", "old", 301), (1, 6, "x", "y", 308), (1, 7, None, "q", 301), (1, 8, "q", None, 301)]
+    rows += [(2, i, f"m{i}", "hub", 301) for i in range(50)] + [(2, 99, "hub", "end", 302), (2, 100, "p", "q", 301), (2, 101, "q", "r", 301), (2, 102, "r", "p", 301)]
+    df = spark.createDataFrame(rows, "session_id long, seq long, from_url string, to_url string, status long")
+    got = {(r.session_id, r.start_url): (r.chain, r.hops, r.first_status, r.final_url, r.is_loop) for r in redirects.chains(df).collect()}
+    want = {(1, "c0000"): ([f"c{i:04}" for i in range(1001)], 1000, 301, "c1000", False), (1, "a"): (["a", "b", "c"], 3, 302, "b", True), (1, "t"): (["t", "c", "b"], 3, 307, "c", True), (1, "b"): (["b", "c"], 2, 301, "b", True)}
+    want |= {(1, "self"): (["self"], 1, 301, "self", True), (1, "x"): (["x", "y"], 1, 308, "y", False), (2, "p"): (["p", "q", "r"], 3, 301, "p", True)}
+    want |= {(2, f"m{i}"): ([f"m{i}", "hub", "end"], 2, 301, "end", False) for i in range(50)}
+    assert got == want and redirects.chains(df.where("false")).count() == 0
