@@ -712,6 +712,72 @@ add("health_incremental", incremental_health, "SELECT * REPLACE (round(avg_respo
 
 
 add("micro_batch_write", lambda s, d: streamed(s, d).results().select("url"), "SELECT DISTINCT url FROM raw_log")
+
+
+def inbox(spark, rows, label):
+    """A folder of rows in order of seq, in files of some 50000 written one after the other as a crawl would, the stream
+    that reads them in that order, and the folder of its table and checkpoint."""
+    import uuid
+
+    from .operators.graph import shared_folder
+
+    at = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    n, low, high = rows.agg(F.count("*"), F.min("seq"), F.max("seq")).first()
+    files = max(4, -(-n // 50_000))
+    for k in range(files if n else 0):
+        first, end = (low + (high + 1 - low) * j // files for j in (k, k + 1))
+        rows.where((F.col("seq") >= first) & (F.col("seq") < end)).coalesce(1).write.mode("append").parquet(f"{at}/inbox")
+    if not n:
+        rows.write.parquet(f"{at}/inbox")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/inbox"), at
+
+
+def live_frontier(spark, d):
+    """The log and its links as a stream of events; the frontier is what the keyed state last put out."""
+    from .operators.runs import Runs
+    from .streaming import live
+
+    r = views.raw_log(spark, d)
+    links = F.transform("seo.outlinks", lambda u: F.struct(u.alias("url"), F.lit(False).alias("crawled")))
+    events = r.select("session_id", F.col("id").alias("seq"), F.explode(F.concat(links, F.array(F.struct("url", F.lit(True).alias("crawled"))))).alias("e")).select("session_id", "seq", "e.url", "e.crawled")
+    stream, at = inbox(spark, events, "frontier")
+    runs = Runs(spark, f"{at}/table")
+    live.keep_frontier(stream, runs, f"{at}/checkpoint").awaitTermination()
+    return live.frontier_of(runs)
+
+
+def live_rates(spark, d):
+    from .operators.runs import Runs
+    from .streaming import live
+
+    rows = responses(spark, d).select("host", "seq", F.timestamp_millis("ts_ms").alias("ts"))
+    stream, at = inbox(spark, rows, "rates")
+    runs = Runs(spark, f"{at}/table", key=("host", "start"))
+    live.keep_rates(stream, runs, f"{at}/checkpoint", width="6 hours", slide="2 hours", late="10000 days").awaitTermination()
+    return runs.read().select("host", F.unix_seconds("start").alias("start_s"), "n", "pages_per_sec")
+
+
+def live_progress(spark, d):
+    """The log as a stream in which every session ends; its last snapshots."""
+    from .operators.runs import Runs
+    from .streaming import live
+
+    r = views.raw_log(spark, d).select("session_id", F.col("id").alias("seq"), "url", "status", "error")
+    ends = r.groupBy("session_id").agg((F.max("seq") + 1).alias("seq")).select("session_id", "seq", F.lit(None).cast("string").alias("url"), F.lit(None).cast("long").alias("status"), F.lit(None).cast("string").alias("error"), F.lit(True).alias("ends"))
+    rows = r.withColumn("ends", F.lit(False)).unionByName(ends).withColumn("ts", F.timestamp_millis(F.col("seq") * 120 + 1_704_067_200_000))
+    stream, at = inbox(spark, rows, "progress")
+    runs = Runs(spark, f"{at}/table", key=("session_id", "tick_ms", "final"))
+    live.keep_progress(stream, runs, f"{at}/checkpoint").awaitTermination()
+    shots = runs.read()
+    last = shots.where("final").select("session_id", "row_count", "error_count", "last_url", F.array_join(F.transform("latest_statuses", lambda x: x.cast("string")), ",").alias("latest"))
+    return last.join(shots.groupBy("session_id").agg(F.count("*").alias("snapshots")), "session_id")
+
+
+add("frontier_stream", live_frontier, "SELECT session_id, url FROM frontier", FRONTIER_SQL)
+add("pages_per_sec_stream", live_rates, """SELECT host, start_s, count(*) AS n, round(count(*) / greatest((start_s + 21600) - min(ts_ms) / 1000, 1.0), 2) AS pages_per_sec FROM (
+  SELECT host, ts_ms, unnest(list_transform([0, 1, 2], lambda i: (ts_ms // 7200000 - i) * 7200)) AS start_s FROM responses) GROUP BY host, start_s""", _RESPONSES)
+add("progress_stream", live_progress, """SELECT session_id, count(*) AS row_count, count(*) FILTER (coalesce(error, '') <> '') AS error_count, arg_max(url, id) AS last_url, any_value(latest) AS latest, count(DISTINCT id * 120 // 500) + CASE WHEN max(id * 120) // 500 < (max(id) + 1) * 120 // 500 THEN 1 ELSE 0 END AS snapshots FROM raw_log JOIN
+  (SELECT session_id, string_agg(status::VARCHAR, ',' ORDER BY id) AS latest FROM (SELECT * FROM raw_log QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY id DESC) <= 200) GROUP BY session_id) USING (session_id) GROUP BY session_id""")
 add("frontier_state", lambda s, d: streamed(s, d).frontier().select("url"), "SELECT DISTINCT url FROM (SELECT unnest(seo_outlinks) AS url FROM raw_log WHERE id % 20 = 1) WHERE url NOT IN (SELECT url FROM raw_log)")
 add("progress_snapshot", lambda s, d: streamed(s, d).results().agg(F.count("*").alias("row_count")), "SELECT count(DISTINCT url) AS row_count FROM raw_log")
 
