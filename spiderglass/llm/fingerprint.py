@@ -32,6 +32,8 @@ and text are not read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,49 +63,57 @@ def terms(text: Column) -> Column:
     return let(words, pairs)
 
 
-def _uniforms(h: Column) -> Column:
-    """The product of two independent uniforms in (0, 1), from the halves of a hash; less the logarithm it is Gamma(2, 1)."""
-    half = lambda x: (x + F.lit(0.5)) / F.lit(2.0**32)
-    return half(F.shiftrightunsigned(h, 32)) * half(h.bitwiseAND(F.lit((1 << 32) - 1)))
+def _gamma(h: Column) -> Column:
+    """A variate of Gamma(2, 1): less the logarithm of the product of two uniforms, which are the halves of a hash."""
+    halves = (F.shiftrightunsigned(h, 32) + F.lit(0.5)) * (h.bitwiseAND(F.lit((1 << 32) - 1)) + F.lit(0.5))
+    return F.lit(64 * math.log(2)) - F.log(halves)
 
 
 def sample(key: Column, weight: Column) -> Column:
     """The sample of a term in a bin (key: bin, then bits of the term's hash) as a long: bin, ln(a), name of (term, t)."""
-    b = (F.shiftrightunsigned(F.xxhash64(F.lit(13), key), 32) + F.lit(0.5)) / F.lit(2.0**32)
-
-    def drawn(r: Column) -> Column:
-        def packed(t: Column) -> Column:
-            # ln(a) lies between -82 and 5 for weights to a million; beyond that it is cut.
-            rank = F.log(-F.log(_uniforms(F.xxhash64(F.lit(12), key)))) - r * (t - b + 1)
-            rank = F.floor((F.greatest(F.least(rank, F.lit(31.0)), F.lit(-96.0)) + 96) * (1 << (RANK_BITS - 8))).cast("long")
-            bits = F.shiftleft(F.shiftrightunsigned(key, RANK_BITS + NAME_BITS), RANK_BITS + NAME_BITS)
-            return bits.bitwiseOR(F.shiftleft(rank, NAME_BITS)).bitwiseOR(F.shiftrightunsigned(F.xxhash64(key, t.cast("long")), 64 - NAME_BITS))
+    r, c = _gamma(F.xxhash64(F.lit(11), key)), _gamma(F.xxhash64(F.lit(12), key))
+    b = (F.shiftrightunsigned(F.xxhash64(F.lit(13), key), 32) + F.lit(0.5)) * F.lit(2.0**-32)
 
-        return let(F.floor(F.log(weight.cast("double")) / r + b), packed)
+    def packed(r: Column, t: Column, rest: Column) -> Column:
+        # ln(a) lies between -90 and 5 for all weights that an array can have.
+        rank = F.floor((F.log(c) - r * rest + F.lit(96.0)) * F.lit(float(1 << (RANK_BITS - 8))))
+        bits = F.shiftleft(F.shiftrightunsigned(key, RANK_BITS + NAME_BITS), RANK_BITS + NAME_BITS)
+        return bits.bitwiseOR(F.shiftleft(rank, NAME_BITS)).bitwiseOR(F.shiftrightunsigned(F.xxhash64(key, t), 64 - NAME_BITS))
 
-    return let(-F.log(_uniforms(F.xxhash64(F.lit(11), key))), drawn)
+    heavy = let(r, lambda r: let(F.floor(F.log(weight.cast("double")) / r + b), lambda t: packed(r, t, t - b + F.lit(1.0))))
+    # ln(1) is 0, and so is t: most terms are of that weight.
+    return F.when(weight == 1, packed(r, F.lit(0).cast("long"), F.lit(1.0) - b)).otherwise(heavy)
 
 
 def of_terms(sorted_terms: Column, bins: int = BINS) -> Column:
     """array<long>: for each filled bin, in order, bin << NAME_BITS | name of its sample. Terms are sorted hashes, a term
     of weight w standing w times."""
-    edges = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    as_before = lambda s, x, i: (i > 0) & (F.get(s, i - 1) == x)
+    edges = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: ~as_before(s, F.get(s, i), i))
     # Where each run of equal values starts; the next start less this one is its length.
-    runs = lambda s, made: let(edges(s), lambda e: F.transform(e, lambda i, k: made(F.get(s, i), F.coalesce(F.get(e, k + 1), F.size(s)) - i)))
+    runs = lambda s, made: let(s, lambda s: F.when(F.size(s) > 0, let(edges(s), lambda e: F.transform(e, lambda i, k: made(F.get(s, i), F.coalesce(F.get(e, k + 1), F.size(s)) - i)))))
+    none = F.array().cast("array<long>")
 
     def unit(term: Column, j: Column) -> Column:
         return F.shiftleft(F.pmod(F.xxhash64(F.lit(5), term, j), F.lit(bins)), RANK_BITS + NAME_BITS).bitwiseOR(F.shiftrightunsigned(term, 64 - RANK_BITS - NAME_BITS))
 
     def units(s: Column) -> Column:
-        each = runs(s, lambda term, n: F.transform(F.sequence(F.lit(0), n - 1), lambda j: unit(term, j)))
-        return F.sort_array(F.flatten(each))
+        first = F.transform(F.filter(s, lambda x, i: ~as_before(s, x, i)), lambda x: unit(x, F.lit(0)))
+        more = runs(F.filter(s, lambda x, i: as_before(s, x, i)), lambda term, n: F.transform(F.sequence(F.lit(1), n), lambda j: unit(term, j)))
+        return F.sort_array(F.concat(first, F.coalesce(F.flatten(more), none)))
+
+    def samples(u: Column) -> Column:
+        # A term with one unit in a bin stands alone; the others are few, as a rule.
+        twin = lambda x, i: as_before(u, x, i) | F.coalesce(F.get(u, i + 1) == x, F.lit(False))
+        single = F.transform(F.filter(u, lambda x, i: ~twin(x, i)), lambda x: sample(x, F.lit(1)))
+        return F.concat(single, F.coalesce(runs(F.filter(u, twin), sample), none))
 
     def least(packed: Column) -> Column:
         first = lambda p: F.filter(p, lambda x, i: (i == 0) | (F.shiftright(x, RANK_BITS + NAME_BITS) != F.shiftright(F.get(p, i - 1), RANK_BITS + NAME_BITS)))
         name = lambda x: F.shiftleft(F.shiftright(x, RANK_BITS + NAME_BITS), NAME_BITS).bitwiseOR(x.bitwiseAND(F.lit((1 << NAME_BITS) - 1)))
         return let(F.sort_array(packed), lambda p: F.transform(first(p), name))
 
-    return let(sorted_terms, lambda s: F.when(F.size(s) > 0, let(let(units(s), lambda u: runs(u, sample)), least)).otherwise(F.array().cast("array<long>")))
+    return let(sorted_terms, lambda s: F.when(F.size(s) > 0, let(let(units(s), samples), least)).otherwise(none))
 
 
 def fingerprint(text: Column, bins: int = BINS) -> Column:

@@ -220,10 +220,10 @@ def brute_fingerprint(text, bins=128):
         weights[signed(small(j, long(term, small(5, 42)))) % bins << 56 | term >> 8] += 1
     least = {}
     for key, weight in weights.items():
-        product = lambda seed, k=key: (lambda h: half(h >> 32) * half(h & 0xFFFFFFFF))(long(k, small(seed, 42)))
-        r, b = -math.log(product(11)), half(long(key, small(13, 42)) >> 32)
+        gamma = lambda seed, k=key: (lambda h: 64 * math.log(2) - math.log(((h >> 32) + 0.5) * ((h & 0xFFFFFFFF) + 0.5)))(long(k, small(seed, 42)))
+        r, b = gamma(11), half(long(key, small(13, 42)) >> 32)
         t = math.floor(math.log(weight) / r + b)
-        a = math.log(-math.log(product(12))) - r * (t - b + 1)
+        a = math.log(gamma(12)) - r * (t - b + 1)
         name = long(t, long(key, 42)) >> 40
         least[key >> 56] = min(least.get(key >> 56, (1 << 60, 0)), (math.floor((a + 96) * (1 << 24)), name))
     return "".join(f"{(b << 24 | name):08X}" for b, (_, name) in sorted(least.items()))
