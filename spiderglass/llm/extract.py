@@ -14,19 +14,22 @@ more than half to what recurs outside of articles, the same evidence is asked fo
 nothing would be left stays. A host has at most (subtrees a page) / min_share such subtrees, so its list is
 small whatever its number of pages.
 
-Names: a class or role is unwanted if it is a name of NAMES, or made up of such names and of words that
-only tell place or kind (NEUTRAL), so "ad-slot" is and "alert-levels" is not. Ids name content as often
-as furniture (anchors of headings), so they count on plain containers (ID_TAGS) only. What browsers show
-only in place of the element (object, audio, video, canvas, iframe, noscript) is no text of the page.
+Names: classes, roles, ids and labels are read as words, camel case split. On a container (CONTAINERS) a name is
+unwanted if it has a word of STRONG, which names no content, unless a word of GUARD is beside it ("has-sidebar",
+"tag-cookies"); or if it is made up of words of NAMES and STRONG and of words that only tell place or kind (NEUTRAL), so
+"promo-box" is and "related-work" is not. Ids of sections are anchors as often, so there only STRONG counts; articles go
+only where a STRONG word is the whole name. Paragraphs, headings and the like are never judged by a name. What browsers
+show only in place of the element (object, audio, video, canvas, iframe, noscript) is no text of the page.
 
 Edge cases: null or empty html has empty text; text without markup is one block; a very long page is one
-row of one task, read twice (once to count, once to extract), in time in proportion to its length; unclosed comments and
-scripts run to the end; a url without host (or null) counts under the host ""; repeated rows count as
+row of one task, read twice (once to count, once to extract), in time in proportion to its length, whatever its markup;
+unclosed comments, scripts and tags run to the end, a quote that is never closed is part of an unquoted value; a url without host (or null) counts under the host ""; repeated rows count as
 pages; an empty table gives no rows; columns other than page_id, url and html are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import sys
 from html import unescape
@@ -45,6 +48,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(common)
 
 MIN_PAGES, MIN_SHARE, ARTICLE_PAGES, ARTICLE_SHARE = 5, 0.3, 20, 0.9
+#: Elements that stand in one another; beyond that they follow one another, as in browsers.
+DEEPEST = 512
 #: Template hashes of all hosts (8 bytes each) up to which the hosts' lists are broadcast, else they are joined by a shuffle.
 HASHES_TO_BROADCAST = 500_000
 
@@ -62,44 +67,67 @@ IMPLIED = {
 }
 DROPPED = frozenset("nav header footer aside form script style title textarea xmp iframe noembed noframes noscript head template svg canvas object button select dialog menu audio video datalist".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-# Names in class, id or role that mark what is no article.
+# Names that mark what is no article, by themselves or beside words of place and kind.
 NAMES = frozenset(
-    """ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar widget widgets menu nav navbar navigation
-    breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup share
-    sharing social related recommended recommendations teaser teasers comment comments commentlist disqus reply replies respond pagination pager toolbar login search
-    contentinfo complementary alert skip topbar""".split()
+    """promo promos promotion banner widget widgets menu menus nav navigation footer notice notices notification notifications popup modal overlay subscribe subscription signup share sharing
+    social related recommended recommendations teaser teasers comment reply replies respond responses discussion pager toolbar login search contentinfo complementary alert skip topbar""".split()
 )
+# Names of what is no article whatever stands beside them.
+STRONG = frozenset(
+    """ad ads adv advert adverts advertisement advertisements advertising adsense adslot adsbox adunit doubleclick dfp sponsor sponsored sponsors taboola outbrain sidebar sidebars navbar
+    breadcrumb breadcrumbs masthead cookie cookies cookiebar cookiebanner consent gdpr ccpa newsletter comments commentlist commentform disqus pagination paginator""".split()
+)
+# Beside these a strong name tells what a part is about or has, not what it is.
+GUARD = frozenset("has with no without not hide show open closed status count enabled tag tags category cat topic type format layout about".split())
 # Words that tell the place or kind of a named part.
 NEUTRAL = frozenset(
     """left right top bottom upper lower center middle inner outer first last primary secondary main global site page sticky fixed floating mobile desktop small large mini
     box block bar wrapper wrap container content holder area section panel column col row item items list slot unit link links button buttons icon icons form field group
-    header title heading head body text message msg label post posts article articles story stories news js id x1 x2""".split()
+    header title heading head body text message msg label post posts article articles story stories news js id thread
+    reader readers user users visitor visitors guest guests google legal privacy policy terms media follow us more read also you may like""".split()
 )
-# Elements on which an id is a name of a part, and not an anchor.
-ID_TAGS = frozenset("div aside nav header footer ul ol form table iframe".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_NAME = re.compile(r"[^a-z0-9]+")
+CONTAINERS = frozenset("div section aside ul ol dl li table form iframe figure nav header footer menu details span ins center".split())
+_LABELLED = frozenset("div section aside nav ul ol form".split())
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_ATTR = re.compile(r"[\s/]*(?:(>)|([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?)")
+_CAMEL, _NAME, _SIZE = re.compile(r"(?<=[a-z])(?=[A-Z])"), re.compile(r"[^a-z0-9]+"), re.compile(r"[0-9x]+")
+_USED = frozenset(("class", "id", "role", "aria-label", "hidden", "aria-hidden", "style"))
 
 
-def _names_furniture(name: str) -> bool:
-    """Whether a class, role or id is made up of unwanted names and neutral words."""
-    words = [w for w in _NAME.split(name) if w and not w.isdigit()]
-    return not NAMES.isdisjoint(words) and all(w in NAMES or w in NEUTRAL for w in words)
+def words_of(name: str) -> list[str]:
+    return [w for w in _NAME.split(_CAMEL.sub("-", name).lower()) if w and not _SIZE.fullmatch(w)]
 
 
-def _unwanted(tag: str, attrs: str) -> bool:
-    for m in _ATTR.finditer(attrs):
-        if m.start() and attrs[m.start() - 1] not in " \t\n\r\f\"'/":
-            continue
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
+def names_furniture(words: list[str], strong_only: bool = False) -> bool:
+    """Whether the words of a class, role, id or label name what is no article."""
+    if not STRONG.isdisjoint(words) and GUARD.isdisjoint(words):
+        return True
+    known = not (NAMES.isdisjoint(words) and STRONG.isdisjoint(words))
+    return not strong_only and known and all(w in NAMES or w in STRONG or w in NEUTRAL for w in words)
+
+
+def _unwanted(tag: str, attrs: list[tuple[str, str]]) -> bool:
+    for name, value in attrs:
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.lower().replace(" ", ""):
             return True
-        if (name in ("class", "role") or name == "id" and tag in ID_TAGS) and any(map(_names_furniture, value.split())):
+        if tag == "article":
+            if name in ("class", "role", "id") and any(len(w := words_of(x)) == 1 and (w[0] in STRONG or w[0] == "comment") for x in value.split()):
+                return True
+        elif tag not in CONTAINERS:
+            continue
+        elif name in ("class", "role") or name == "id" and tag != "span":
+            if any(names_furniture(words_of(x), name == "id" and tag in ("section", "li")) for x in value.split()):
+                return True
+        elif name == "aria-label" and tag in _LABELLED and len(w := words_of(value)) <= 3 and (names_furniture(w) or w == ["comment"]):
             return True
     return False
 
 
+@functools.cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I)
+
+
 class Page:
     """A parsed page: elements (tag, parent, dropped, hash) and text runs between block ends."""
 
@@ -109,26 +137,46 @@ class Page:
         self.runs: list[tuple[int, str] | None] = []  # None: a block ends
         self._parts: list[list[str]] = [[]]
         self._stack = [0]
-        at, raw_end = 0, None
-        scan, n = _TOKEN.search, len(html)
+        self._open: dict[str, int] = {}  # how many elements of a tag are open
+        at, n = 0, len(html)
         while at < n:
-            m = scan(html, at)
-            if m is None:
+            lt = html.find("<", at)
+            if lt < 0:
                 self._text(html[at:])
                 break
-            if m.start() > at:
-                self._text(html[at : m.start()])
-            at = m.end()
-            tag = m[2]
-            if tag is None:
+            m = _TAG.match(html, lt)
+            if m is None:
+                if html.startswith("<!--", lt):
+                    end, width = html.find("-->", lt + 4), 3
+                elif html.startswith(("<!", "<?"), lt):
+                    end, width = html.find(">", lt), 1
+                else:  # a sign of the text
+                    self._text(html[at : lt + 1])
+                    at = lt + 1
+                    continue
+                self._text(html[at:lt])
+                at = end + width if end >= 0 else n
                 continue
-            tag = tag.lower()
+            self._text(html[at:lt])
+            tag, attrs, at = m[2].lower(), [], m.end()
+            while True:
+                a = _ATTR.match(html, at)
+                if a is None or not a[1] and not a[2]:
+                    at = n  # the page ends inside a tag
+                    break
+                at = a.end()
+                if a[1]:
+                    break
+                if (name := a[2].lower()) in _USED:
+                    attrs.append((name, unescape(a[3] or a[4] or a[5] or "")))
+            if not (at < n or a and a[1]):
+                break
             if m[1]:
                 self._end(tag)
                 continue
-            self._start(tag, m[3])
+            self._start(tag, attrs)
             if tag in RAW:
-                raw_end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
+                raw_end = _raw_end(tag).search(html, at)
                 at = raw_end.end() if raw_end else n
                 self._end(tag)
         while len(self._stack) > 1:
@@ -141,9 +189,9 @@ class Page:
         self.runs.append((here, text))
         self._parts[here].append(text)
 
-    def _start(self, tag: str, attrs: str) -> None:
-        stack = self._stack
-        if tag in CLOSES_P:
+    def _start(self, tag: str, attrs: list[tuple[str, str]]) -> None:
+        stack, opened = self._stack, self._open
+        if tag in CLOSES_P and opened.get("p"):
             for k in range(len(stack) - 1, 0, -1):
                 t = self.tags[stack[k]]
                 if t == "p":
@@ -152,7 +200,7 @@ class Page:
                     break
                 if t in ("button", "td", "th", "caption", "object"):
                     break
-        if tag in IMPLIED:
+        if tag in IMPLIED and any(map(opened.get, IMPLIED[tag][0])):
             ends, scope = IMPLIED[tag]
             for k in range(len(stack) - 1, 0, -1):
                 t = self.tags[stack[k]]
@@ -169,11 +217,14 @@ class Page:
             self._text(" ")
         if tag in VOID:
             return
+        if len(stack) > DEEPEST:
+            self._pop()
         up = stack[-1]
+        opened[tag] = opened.get(tag, 0) + 1
         self.tags.append(tag)
         self.parent.append(up)
         inside = self.inside[up]
-        drop = (tag in DROPPED and not (tag == "header" and inside)) or bool(attrs and not attrs.isspace() and tag not in ("html", "body", "main") and _unwanted(tag, attrs))
+        drop = (tag in DROPPED and not (tag == "header" and inside)) or bool(attrs and tag not in ("html", "body", "main") and _unwanted(tag, attrs))
         self.drop.append(drop)
         self.inside.append(inside or tag in ("article", "main"))
         self.hashes.append(0)
@@ -182,7 +233,7 @@ class Page:
 
     def _end(self, tag: str) -> None:
         stack = self._stack
-        for k in range(len(stack) - 1, 0, -1):
+        for k in range(len(stack) - 1 if self._open.get(tag) else 0, 0, -1):
             if self.tags[stack[k]] == tag:
                 while len(stack) > k:
                     self._pop()
@@ -190,6 +241,7 @@ class Page:
 
     def _pop(self) -> None:
         i = self._stack.pop()
+        self._open[self.tags[i]] -= 1
         words = " ".join("".join(self._parts[i]).split())
         self._parts[i] = []
         if words:

@@ -33,6 +33,15 @@ CASES = [
     ("<article><p>The first of two articles, a long one with many words in it.</p></article><article><p>Short.</p></article>", "The first of two articles, a long one with many words in it.\n\nShort."),
     ("<article><h2 id='search'>Search</h2><section id=\"related-work\"><p>Others did it.</p></section><p class='alert-levels'>Levels are three.</p></article>", "Search\n\nOthers did it.\n\nLevels are three."),
     ("<div id=sidebar-left>menu</div><p id=comments>Comments on the text</p><div class='post-body'>post</div><div class='x ad-slot-2'>buy</div><section class=related-posts>more</section>", "Comments on the text\n\npost"),
+    ("<article><p>one</p><section id='comments'><p>reader</p></section><section aria-label='Comments' class=discussion><p>r</p></section><div class='reader-comments'>r</div><div class=userComments>r</div><div id=disqus_thread>r</div></article>", "one"),
+    ("<article><p>one</p><div class='google-ad'>buy</div><div class='ad-728x90'>buy</div><div class='legal-notice'>l</div><div class=cookieBanner>c</div><ins class=adsbygoogle></ins><p>two</p></article>", "one\n\ntwo"),
+    ("<article><p class='search'>a</p><p class=subscription>b</p><h2 class='social'>c</h2><pre class=ad>d</pre><blockquote class='comment'>e</blockquote></article>", "a\n\nb\n\nc\n\nd\n\ne"),
+    ("<article class='post tag-cookies category-ads has-sidebar comments-open'><p>kept</p></article><article class=comment><p>gone</p></article>", "kept"),
+    ("<div class='layout with-sidebar'><p>kept</p><div class=sidebar>gone</div></div><section id=search><p>about search</p></section>", "kept\n\nabout search"),
+    ('<p>x <a href="foo>bad</a> y</p>', "x bad y"),
+    ("<p>a<b", "a"),
+    ("<p>a</p><p class='x' data-a=\"q>r\" hidden>no</p><p>b<br/>c<img src=x alt='>'>d", "a\n\nb cd"),
+    ("<p>a<!doctype x>b<?php x ?>c</p><!---->d", "abc\n\nd"),
     ("<p>" + "long words " * 200_000 + "</p><p>end", "long words " * 199_999 + "long words\n\nend"),
 ]
 
@@ -42,6 +51,19 @@ def test_rules(html, text):
     assert Page(html or "").text() == text
 
 
+@pytest.mark.parametrize("part", ["<a ", "<a x='", '<a x="y', "<", "</", "<!--", "<!", "<p a=b ", "<a b='c\" ", "<div><p>", "<script>", "</a ", "<a\n\n", "<a/", "=\"<a ", "<li><tr>"])
+def test_any_markup_in_linear_time(part):
+    import time
+
+    def took(n):
+        began = time.process_time()
+        Page(part * (n // len(part))).text()
+        return time.process_time() - began
+
+    took(1000)
+    assert took(1_000_000) < 10
+
+
 def test_templates_are_counted_per_host(spark):
     rows = [(i, f"https://a.example/{i}", f"<div class=k><p>Follow our channel</p></div><div><p>text {i}</p></div><section><h2>Read on</h2><p>Always the same</p></section>") for i in range(20)]
     rows += [(100 + i, f"https://b.example/{i}", f"<div class=k><p>Follow our channel</p></div><p>text {i}</p>") for i in range(3)]
