@@ -26,8 +26,10 @@ characters. With EDITS above 2 pairs come from segments alone.
 
 Candidates are verified with a banded bit-parallel edit distance: a band of 2 * EDITS + 1 bits slides
 along the diagonal, a few word operations a column, over what is left between the lines' common ends (found
-by bisection), until the distance can only be above EDITS. The text itself moves only for hot lines and for
-candidates. Links are pairs of classes, named by 64 bits until both classes are looked up.
+by bisection), until the distance can only be above EDITS. Two lines of a finer key are equal but for what it
+leaves out, so where that is short it is compared instead, in the join: with one segment it has the lines'
+distance, with two the sum of theirs is at least that, and is it under the key whose segments have an edit each.
+So a storm compares a few characters a pair, with Spark's own bounded distance; the text itself moves only for hot lines and for other candidates. Links are pairs of classes, named by 64 bits until both classes are looked up.
 
 Edge cases: null texts and empty texts have no line; shorter lines are never linked, and have a class and
 copies where `short` is set (as in op2 and `remove_lines`), else a null class and are never removed; the
@@ -50,6 +52,8 @@ CROWD = 32
 #: Lines of a segment's key that a probe is compared with; beyond that they are cut finer, into PARTS segments,
 #: and two segments that have an edit each into HALVES each.
 HOT, PARTS, HALVES = 512, 6, 3
+#: Characters up to which what a hot key leaves out travels with the key, so that a pair is verified by it.
+TRAVELS = 16
 #: Rows of ids up to which they are broadcast (16 bytes each), else they are joined by a shuffle.
 FEW = 500_000
 
@@ -239,13 +243,23 @@ def _met(index: DataFrame, probe: DataFrame, edits: int) -> DataFrame:
     if "hi" in index.columns:
         ok = ok & (F.col("hi").isNull() | ((F.col("hi") != F.col("hi2")) & (F.col("hj") != F.col("hj2"))))
     probe = probe.select(*[F.col(c).alias(f"{c}2") for c in probe.columns])
-    return probe.join(index, (F.col("key2") == F.col("key")) & ok).select(F.least("a", "a2").alias("a"), F.greatest("a", "a2").alias("a2"))
+    pair = F.least("a", "a2").alias("a"), F.greatest("a", "a2").alias("a2")
+    both = probe.join(index, (F.col("key2") == F.col("key")) & ok)
+    if "x" not in index.columns:
+        return both.select(*pair, F.lit(None).cast("int").alias("distance"))
+    # What the key leaves out tells the distance, where it is short enough to travel; else the texts will.
+    dx, dy = (F.levenshtein(F.col(c), F.col(f"{c}2"), edits) for c in "xy")
+    one = F.col("hi").isNull()
+    there = F.col("x").isNotNull() & F.col("x2").isNotNull() & (one | (F.col("y").isNotNull() & F.col("y2").isNotNull()))
+    told = both.select(*pair, F.when(there, F.when(one, dx).when((dx < 0) | (dy < 0), -1).otherwise(dx + dy)).alias("distance"))
+    return told.where((F.col("distance").isNull()) | F.col("distance").between(0, edits))
 
 
 def _finer(rows: DataFrame, edits: int, hot: int) -> list[DataFrame]:
     """Pairs of the lines of hot keys; rows (g, a, p, q, x, y): a group, a line, its sketches, the string that may differ in
     the group, or the two of which each has an edit."""
-    found, ends = [], ["key", "a", "p", "q", "hi", "hj"]
+    travels = lambda c: F.when(F.length(c) <= TRAVELS, F.col(c)).alias(c)
+    found, ends = [], ["key", "a", "p", "q", "hi", "hj", travels("x"), travels("y")]
     while True:
         one, two = finer_cuts(F.col("g"), F.col("x"), F.length("x"), edits, PARTS), pair_cuts(F.col("g"), F.col("x"), F.col("y"), HALVES)
         each = [rows.where("y is null").select("a", "p", "q", F.explode(c).alias("c")).union(rows.where("y is not null").select("a", "p", "q", F.explode(d).alias("c"))) for c, d in zip(one, two, strict=True)]
@@ -254,8 +268,8 @@ def _finer(rows: DataFrame, edits: int, hot: int) -> list[DataFrame]:
         long = F.greatest(F.length("x"), F.length("y")) > 1
         crowded = stash(index.groupBy("key").agg(F.count("*").alias("rows"), F.max(long).alias("long")).where((F.col("rows") > hot) & F.col("long")).select("key"), "hot-keys")
         if crowded.isEmpty():
-            return [*found, _met(index.select(ends), probe.select(ends), edits)]
-        found.append(_met(index.join(crowded, "key", "left_anti").select(ends), probe.select(ends), edits))
+            return [*found, _met(index.select(*ends), probe.select(*ends), edits)]
+        found.append(_met(index.join(crowded, "key", "left_anti").select(*ends), probe.select(*ends), edits))
         both = index.union(probe).join(crowded, "key", "left_semi")
         varied = both.groupBy("key").agg(*[f(c).alias(f"{n}_{c}") for c in ("hi", "hj") for n, f in (("lo", F.min), ("up", F.max))])
         varied = varied.where("lo_hi is null or (lo_hi <> up_hi and lo_hj <> up_hj)").select("key")
@@ -306,14 +320,17 @@ def link_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
         pairs = pairs.union(more)
     lone = classes.select("a", "b", "first")
     other = lone.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("first").alias("first2"))
-    pairs = stash(pairs.distinct().join(lone, "a").join(other, "a2"), "line-pairs")
+    # A pair that some key has told needs no texts.
+    pairs = stash(pairs.groupBy("a", "a2").agg(F.min("distance").alias("told")).join(lone, "a").join(other, "a2"), "line-pairs")
+    told, pairs = pairs.where("told is not null"), pairs.where("told is null").drop("told")
     texts = stash(_texts(docs, stash(pairs.select(F.explode(F.array("first", "first2")).alias("at")).distinct(), "line-places")), "line-texts")
     both = pairs.join(texts.select(F.col("at").alias("first"), F.col("line").alias("x")), "first").join(texts.select(F.col("at").alias("first2"), F.col("line").alias("y")), "first2")
     # Verification is work, not volume: it is dealt out evenly, whatever the pairs' size in bytes.
     both = both.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b", "a2", "b2")
     # The distance is computed once: as the one element, or none, that a row is exploded by.
     within = F.explode(F.filter(F.array(distance_within(F.col("x"), F.col("y"), edits)), lambda d: d <= edits)).alias("distance")
-    return classes.drop("keys"), stash(both.select("a", "b", "first", "a2", "b2", "first2", within), "line-links")
+    links = ["a", "b", "first", "a2", "b2", "first2"]
+    return classes.drop("keys"), stash(both.select(*links, within).union(told.select(*links, F.col("told").alias("distance"))), "line-links")
 
 
 def _of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
