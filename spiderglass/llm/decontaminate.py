@@ -10,7 +10,8 @@ that returns spans of the rows it hits, and spans are joined to their rows.
 
 Edge cases: a null or empty text has no words and is clean; a very long text is scanned whole, its spans
 alone are kept; an item without words matches nothing; an item of fewer than `window` words is one window;
-repeated items (same words, other ids) all count; repeated rows are judged each for itself; an item longer
+repeated items (same words, other ids) all count, rows of one id are one item; a null id is an item of its own, listed first
+and written as nothing in the digest, as the empty id is, which is another item; repeated rows are judged each for itself; an item longer
 than a shard is a shard of its own size; empty tables give no hits; other columns of the input stay as they
 are, and the added names are `n_words, n_hit, n_items, item_ids, items_sha256, contaminated` (input columns
 of these names give way).
@@ -58,7 +59,7 @@ class Automaton:
             last = 0
             for w in ids:
                 last = self._extend(last, w)
-        self.items = [str(i) for i, _ in items]
+        self.items = [None if i is None else str(i) for i, _ in items]
         self.windows: dict[int, set[int]] = {}
         self.short: dict[int, list[tuple[int, set[int]]]] = {}
         for number, ids in runs:
@@ -182,7 +183,12 @@ def _scanned(held: dict, text: bytes, window: int) -> tuple[int, list[tuple[int,
         held["automaton"] = Automaton([(i, normal_words(t)) for i, t in held["items"]], window)
     words = normal_words(text)
     spans, found = held["automaton"].scan(words)
-    return len(words), merged(spans), sorted({held["automaton"].items[n] for n in found})
+    return len(words), merged(spans), in_order({held["automaton"].items[n] for n in found})
+
+
+def in_order(ids) -> list[str | None]:
+    """Item ids as strings in order, the null one first."""
+    return sorted(set(ids), key=lambda i: (i is not None, i or ""))
 
 
 def _shards(items: DataFrame, max_item_words: int, max_item_bytes: int) -> list[DataFrame]:
@@ -206,7 +212,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_i
     columns, held = base.columns, []
     for shard in _shards(items, max_item_words, max_item_bytes):
         # A shard's size is bounded above.
-        held.append(spark.sparkContext.broadcast({"items": [(r["item_id"] or "None", r["text"].encode()) for r in shard.toLocalIterator()]}))
+        held.append(spark.sparkContext.broadcast({"items": [(r["item_id"], r["text"].encode()) for r in shard.toLocalIterator()]}))
 
     def finished(batch, rows):
         """The batch with what (text, n_words, spans, ids) of each row says."""
@@ -214,7 +220,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_i
         kept = []
         for text, n_words, spans, names in rows:
             hit = sum(e - s for s, e in spans)
-            for column, value in zip(out, (n_words, hit, len(names), names, hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0), strict=True):
+            for column, value in zip(out, (n_words, hit, len(names), names, hashlib.sha256(",".join(i or "" for i in names).encode()).hexdigest(), hit > 0), strict=True):
                 column.append(value)
             if remove:
                 kept.append(text if not hit else cut(text, spans))
@@ -247,7 +253,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_i
             rows = []
             for text, spans, ids in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("_spans").to_pylist(), batch.column("_ids").to_pylist(), strict=True):
                 flat = spans or []
-                rows.append((text, len(normal_words(text or b"")), merged(list(zip(flat[::2], flat[1::2], strict=True))), sorted(set(ids or ()))))
+                rows.append((text, len(normal_words(text or b"")), merged(list(zip(flat[::2], flat[1::2], strict=True))), in_order(ids or ())))
             yield finished(batch, rows)
 
     if len(held) == 1:

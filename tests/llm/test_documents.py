@@ -468,6 +468,19 @@ def test_decontaminate_removes_spans(spark):
 # ---- op2
 
 
+@pytest.mark.parametrize("most", [10**6, 30])
+def test_ids_of_items(spark, most):
+    """Null, empty and repeated item ids, in one shard and in several."""
+    words = [" ".join(f"w{k}x{i}" for i in range(12)) for k in range(5)]
+    ids = [None, "", "", "10", "9"]
+    items = spark.createDataFrame([*zip(ids, words, strict=True), ("9", words[4]), (None, None), ("x", "")], "item_id string, text string")
+    docs = [(1, words[0] + " and " + words[1]), (2, words[2] + " . " + words[1]), (3, " ".join(words[::-1])), (4, words[0]), (5, None), (6, "clean")]
+    got = {r.doc_id: r for r in decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), items, max_item_words=most).collect()}
+    want = {1: [None, ""], 2: [""], 3: [None, "", "10", "9"], 4: [None], 5: [], 6: []}
+    for i, names in want.items():
+        assert (got[i].item_ids, got[i].n_items, got[i].items_sha256) == (names, len(names), sha(",".join(n or "" for n in names))), i
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
