@@ -690,7 +690,7 @@ def streamed(spark, d):
 
 
 def incremental_health(spark, d):
-    """The log written in six batches, the health changed by each; nothing is counted anew."""
+    """The log written in four batches, the health changed by each; nothing is counted anew."""
     import uuid
 
     from .operators.graph import shared_folder
@@ -700,10 +700,10 @@ def incremental_health(spark, d):
     rows = views.log(spark, d).withColumn("line", F.col("id"))
     seen = views.raw_log(spark, d).select("id", "session_id", F.explode("seo.outlinks").alias("url"))
     n = rows.agg(F.max("id")).first()[0] + 1
-    for k in range(6):
-        part = F.col("id").between(n * k // 6, n * (k + 1) // 6 - 1)
+    for k in range(4):
+        part = F.col("id").between(n * k // 4, n * (k + 1) // 4 - 1)
         store.write(rows.where(part), seen.where(part).select("session_id", "url"), k)
-        if k == 3:
+        if k == 2:
             store.health_view.fold()
     return store.health().withColumn("avg_response_time", F.round("avg_response_time", 6))
 

@@ -7,15 +7,19 @@ begin a new table with a new checkpoint.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.runs import Runs
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Milliseconds between snapshots, and statuses that a snapshot holds.
 TICK_MS, HISTORY = 500, 200
 
