@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from . import files
 from .ingest import last_wins
 
-#: Runs of a tier that are merged, buckets of a run, keys that are looked up by value.
-FAN, BUCKETS, FEW_KEYS = 4, 16, 10
+#: Runs of a tier that are merged, buckets of a run, keys that are looked up by value, manifests that a stream keeps for readers.
+FAN, BUCKETS, FEW_KEYS, KEPT = 4, 16, 10, 2
 
 
 class Runs:
@@ -30,6 +30,8 @@ class Runs:
 
     def __init__(self, spark: SparkSession, path: str, key: tuple[str, ...] = ("session_id", "url"), order: str = "seq", fan: int = FAN, buckets: int = BUCKETS):
         self.spark, self.path, self.key, self.order, self.fan, self.buckets = spark, path.rstrip("/"), key, order, fan, buckets
+        # A Bloom filter is as large as a file's keys need, one of ten sizes up to the megabyte that Parquet sets aside for each.
+        self.options = {"compression": "zstd", f"parquet.bloom.filter.enabled#{key[-1]}": "true", "parquet.bloom.filter.adaptive.enabled": "true", f"parquet.bloom.filter.candidates.number#{key[-1]}": "10"}
 
     def manifest(self) -> dict:
         """version, batch (the last one written), runs (name and tier, oldest first)."""
@@ -50,9 +52,9 @@ class Runs:
         return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
 
     def _write(self, rows: DataFrame, name: str) -> None:
-        newest = last_wins(rows, self.order, self.key).withColumn("bucket", self.bucket())
-        newest = newest.repartition("bucket", *self.key).sortWithinPartitions("bucket", *self.key)
-        newest.write.option(f"parquet.bloom.filter.enabled#{self.key[-1]}", "true").partitionBy("bucket").parquet(f"{self.path}/runs/{name}")
+        # Ranked within bucket and key, so the rows are dealt out and sorted once, as they are written.
+        newest = last_wins(rows.withColumn("bucket", self.bucket()), self.order, ("bucket", *self.key))
+        newest.sortWithinPartitions("bucket", *self.key).write.options(**self.options).partitionBy("bucket").parquet(f"{self.path}/runs/{name}")
 
     def append(self, rows: DataFrame, batch: int) -> bool:
         """Adds a batch; False if it, or a later one, is there already."""
@@ -82,18 +84,27 @@ class Runs:
             self._publish(last, runs=[*older, {"name": name, "tier": full + 1}, *[r for r in others if r["tier"] < full]])
             merges += 1
 
-    def clean(self) -> list[str]:
-        """Removes run folders that the manifest doesn't name, and older manifests; for when no reader holds one."""
+    def clean(self, keep: int = 1) -> list[str]:
+        """Removes run folders that none of the last `keep` manifests names, and older manifests; for when no reader holds one."""
         last = self.manifest()
-        kept = {r["name"] for r in last["runs"]}
+        there = [n for n in files.names(self.spark, f"{self.path}/manifest") if n.split(".")[0].isdigit()]
+        old = [n for n in there if int(n.split(".")[0]) < last["version"]]
+        held = old[max(0, len(old) - keep + 1) :]
+        kept = {r["name"] for m in [last, *map(self._held, held)] for r in m["runs"]}
         gone = [n for n in files.names(self.spark, f"{self.path}/runs") if n not in kept]
         for n in gone:
             files.remove(self.spark, f"{self.path}/runs/{n}")
-        for n in files.names(self.spark, f"{self.path}/manifest"):
-            if n.split(".")[0].isdigit() and int(n.split(".")[0]) < last["version"]:
+        for n in old:
+            if n not in held:
                 files.remove(self.spark, f"{self.path}/manifest/{n}")
         return gone
 
+    def _held(self, name: str) -> dict:
+        try:
+            return json.loads(files.read(self.spark, f"{self.path}/manifest/{name}"))
+        except ValueError:  # cut short by a crash
+            return {"runs": []}
+
     def _union(self, runs: list[dict]) -> DataFrame:
         found = [self.spark.read.parquet(f"{self.path}/runs/{r['name']}") for r in runs]
         rows = found[0]

@@ -10,18 +10,19 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.runs import Runs
+from ..operators.runs import KEPT, Runs
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Milliseconds between snapshots, and statuses that a snapshot holds.
-TICK_MS, HISTORY = 500, 200
+#: Milliseconds between snapshots, statuses that a snapshot holds, snapshots handed on at a time.
+TICK_MS, HISTORY, SHOTS = 500, 200, 2000
 
 
 def _followed(writer, checkpoint: str, every: str | None):
@@ -35,6 +36,7 @@ def _into(runs: Runs):
     def write(rows: DataFrame, batch: int) -> None:
         runs.append(rows.withColumn("seq", F.lit(batch).cast("long")), batch)
         runs.compact()
+        runs.clean(KEPT)
 
     return write
 
@@ -85,10 +87,16 @@ _STATE = "row_count long, error_count long, last_url string, latest_statuses arr
 
 def _snapshots(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     rows, errors, last, latest, dirty, tick = state.get if state.exists else (0, 0, None, [], False, 0)
-    latest, out, over = list(latest), [], False
+    # The statuses kept and to come, of which `n` are there so far: a snapshot holds a view of them.
+    every, n, out, over = np.array(list(latest), dtype="int64"), len(latest), [], False
 
     def emit(final: bool) -> None:
-        out.append((key[0], tick, rows, errors, last, list(latest), final))
+        out.append((key[0], tick, rows, errors, last, every[max(0, n - HISTORY) : n], final))
+
+    def put() -> pd.DataFrame:
+        shots = pd.DataFrame(out, columns=["session_id", "tick_ms", "row_count", "error_count", "last_url", "latest_statuses", "final"])
+        out.clear()
+        return shots
 
     if state.hasTimedOut:
         if dirty:
@@ -97,27 +105,30 @@ def _snapshots(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -
     else:
         held = pd.concat(list(batches)).sort_values(["ts_ms", "seq"], kind="stable")
         # A row belongs to the tick after it, or to that of an earlier row which came before it.
-        held["tick"] = ((held["ts_ms"] // TICK_MS + 1) * TICK_MS).clip(lower=tick).cummax()
-        for at, part in held.groupby("tick", sort=True):
-            if dirty and at > tick:
+        ticks = ((held["ts_ms"] // TICK_MS + 1) * TICK_MS).clip(lower=tick).cummax().to_numpy()
+        ends, urls, wrong = held["ends"].to_numpy(bool), held["url"].tolist(), (held["error"].fillna("") != "").to_numpy()
+        every = np.concatenate([every, held["status"].to_numpy()[~ends].astype("int64")])
+        first = np.flatnonzero(np.r_[True, ticks[1:] != ticks[:-1]])
+        for i, j in zip(first.tolist(), [*first[1:].tolist(), len(ticks)], strict=True):
+            if dirty and ticks[i] > tick:
                 emit(False)
                 dirty = False
-            tick = int(at)
-            results = part[~part["ends"]]
-            if len(results):
-                rows, errors = rows + len(results), errors + int((results["error"].fillna("") != "").sum())
-                last, dirty = results["url"].iloc[-1], True
-                latest = (latest + [int(s) for s in results["status"]])[-HISTORY:]
-            over = over or bool(part["ends"].any())
+                if len(out) == SHOTS:
+                    yield put()
+            tick = int(ticks[i])
+            results = [k for k in range(i, j) if not ends[k]]
+            if results:
+                rows, errors, n = rows + len(results), errors + int(wrong[results].sum()), n + len(results)
+                last, dirty = urls[results[-1]], True
+            over = over or len(results) < j - i
     if over:
         emit(True)
         state.remove()
     else:
-        state.update((rows, errors, last, latest, dirty, tick))
+        state.update((rows, errors, last, every[max(0, n - HISTORY) : n].tolist(), dirty, tick))
         if dirty:
             state.setTimeoutTimestamp(max(tick, state.getCurrentWatermarkMs() + 1))
-    names = ["session_id", "tick_ms", "row_count", "error_count", "last_url", "latest_statuses", "final"]
-    yield pd.DataFrame(out, columns=names)
+    yield put()
 
 
 def progress(events: DataFrame, late: str = "0 seconds") -> DataFrame:

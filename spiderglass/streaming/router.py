@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates, ingest
 from ..operators.health import HealthView, frontier_change
-from ..operators.runs import Runs
+from ..operators.runs import KEPT, Runs
 from ..sources.readers import parse_lines
 
 # Event types by where they go.
@@ -69,6 +69,7 @@ class Store:
         self.results_runs.append(new, batch)
         for runs in (self.seen_runs, self.results_runs):
             runs.compact()
+            runs.clean(KEPT)
 
     def results(self) -> DataFrame | None:
         rows = self.results_runs.read()

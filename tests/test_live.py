@@ -140,3 +140,14 @@ def test_progress_snapshots(spark, tmp_path, inbox):
 def test_rates_of_no_rows(spark):
     assert live.rates(spark.createDataFrame([], "host string, ts timestamp")).count() == 0
     assert live.frontier_state(spark.createDataFrame([], "session_id long, url string, crawled boolean")).count() == 0
+
+
+def test_disk_of_small_batches(spark, tmp_path):
+    """A stream's table is as large as its rows: no megabyte of Bloom filter a file, no runs that were merged long ago."""
+    runs = Runs(spark, str(tmp_path / "t"), buckets=2)
+    write = live._into(runs)
+    for k in range(9):
+        write(spark.range(40).select(F.lit(1).cast("long").alias("session_id"), F.concat(F.lit("u"), F.col("id") + 4 * k).alias("url")), k)
+    sizes = [f.stat().st_size for f in (tmp_path / "t" / "runs").rglob("*.parquet")]
+    assert max(sizes) < 20_000 and len(list((tmp_path / "t" / "runs").iterdir())) <= 4
+    assert runs.read().count() == 72 and len(list((tmp_path / "t" / "manifest").glob("*.json"))) == 2
