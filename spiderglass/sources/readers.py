@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from .. import schema
 from ..functions import robots as rules
+from ..operators.graph import _keep
 
 MAX_SITEMAPS, MAX_DEPTH, MAX_URLS = 50, 3, 50_000
 MAX_BYTES, MAX_TEXT = 30 << 20, 60 << 20
@@ -52,7 +53,8 @@ def _replaced(old: str, new: str):
 def locs(xml):
     """The urls of a sitemap's loc elements, entities decoded."""
     found = F.filter(F.transform(F.regexp_extract_all(xml, F.lit(r"(?is)<loc[^>]*>(.*?)</loc>"), F.lit(1)), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
-    for entity, char in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")):
+    # &amp; comes last, for what it leaves is text.
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
         found = F.transform(found, _replaced(entity, char))
     return found
 
@@ -81,26 +83,32 @@ def sitemap_text(content: pd.Series) -> pd.Series:
     return content.map(one)
 
 
-def sitemap_urls(files: DataFrame, seed: str, max_sitemaps: int = MAX_SITEMAPS, max_depth: int = MAX_DEPTH, max_urls: int = MAX_URLS) -> DataFrame:
+def sitemap_urls(files: DataFrame, seed: str, max_sitemaps: int | None = MAX_SITEMAPS, max_depth: int = MAX_DEPTH, max_urls: int | None = MAX_URLS) -> DataFrame:
     """(url): what a sitemap lists, following indexes level by level; max_sitemaps files in all, the seed included.
-    files: (url, content), as fetched."""
+    The limits are the crawler's; None is no limit. files: (url, content), as fetched."""
     spark = files.sparkSession
     texts = files.select(F.col("url").alias("sitemap"), sitemap_text("content").alias("xml")).where("xml is not null")
     level = spark.createDataFrame([(seed,)], "sitemap string")
-    visited, leaves, left = level, None, max_sitemaps - 1
+    visited, leaves, left = level, None, None if max_sitemaps is None else max_sitemaps - 1
     for _ in range(max_depth + 1):
         here = texts.join(level, "sitemap", "left_semi")
         found = here.where(~is_index(F.col("xml"))).select(F.explode(locs(F.col("xml"))).alias("url"))
         leaves = found if leaves is None else leaves.union(found)
         children = here.where(is_index(F.col("xml"))).select(F.explode(locs(F.col("xml"))).alias("sitemap")).distinct().join(visited, "sitemap", "left_anti")
-        # The list of sitemaps is capped, so it may come to the driver and cut the plan.
-        rows = children.orderBy("sitemap").limit(max(left, 0)).collect()
-        if not rows:
-            break
-        left -= len(rows)
-        level = spark.createDataFrame(rows, "sitemap string")
+        if left is None:
+            level = _keep(children, "sitemaps")
+            if level.isEmpty():
+                break
+        else:
+            # The list of sitemaps is capped, so it may come to the driver and cut the plan.
+            rows = children.orderBy("sitemap").limit(max(left, 0)).collect()
+            if not rows:
+                break
+            left -= len(rows)
+            level = spark.createDataFrame(rows, "sitemap string")
         visited = visited.union(level)
-    return leaves.distinct().limit(max_urls)
+    urls = leaves.distinct()
+    return urls if max_urls is None else urls.limit(max_urls)
 
 
 def robots(files: DataFrame, user_agent: str) -> DataFrame:

@@ -101,6 +101,14 @@ def test_sitemaps(spark):
     assert {r.url for r in readers.sitemap_urls(df, "i").collect()} == {"https://x/?a=1&b=2", "https://y/"} and readers.sitemap_urls(df, "zz").count() == 0
 
 
+def test_sitemaps_without_limits(spark, tmp_path):
+    from spiderglass.catalog import QUERIES
+
+    spark.range(50_500).select(F.col("id").alias("page_id"), F.concat(F.lit("https://x.example/?a=1&lt;&b=<"), "id").alias("url")).write.parquet(f"{tmp_path}/pages.parquet")
+    got = QUERIES["source_sitemap_xml"](spark, str(tmp_path))
+    assert got.count() == 50_500 and got.exceptAll(spark.read.parquet(f"{tmp_path}/pages.parquet").select("url")).isEmpty()
+
+
 def test_sitemaps_are_capped_in_all(spark):
     index = lambda *names: f"<sitemapindex>{''.join(f'<sitemap><loc>{n}</loc></sitemap>' for n in names)}</sitemapindex>"
     files = {"i": index("a", "b"), "a": index("c", "d"), "b": index("e")} | {k: f"<urlset><url><loc>https://{k}/</loc></url></urlset>" for k in "cde"}
