@@ -13,7 +13,9 @@ with partial aggregates, before any key travels.
 Before a pair becomes a row, the join compares sketches of its lines: 64 parities of hashed words. An edit
 changes three words at most (a blank put in or taken out makes two words of one, or one of two), so lines
 whose sketches differ in more than 3 * EDITS bits can't link. Where more than CROWD lines share a segment, their
-texts are fetched for a second sketch, 64 parities of pairs of characters, of which an edit changes four.
+texts are fetched for a second sketch, 64 parities of characters, of which an edit changes two, and 64 * WORDS of
+pairs of characters, of which it changes four. These texts travel with the key, and what passes both sketches is verified
+in the join: so a crowd of lines that each have some other word than one line makes no rows but its links.
 
 Hot segments: where more than HOT lines do, say the many variants of one line, their pairs
 are not tried. Those lines are cut into PARTS segments. A pair's edits lie in one of them, and then its key
@@ -49,6 +51,8 @@ from .common import clean, let, stash, table
 EDITS, MIN_CHARS = 2, 24
 #: Lines of a segment's key beyond which they get the second sketch.
 CROWD = 32
+#: Words of 64 pair parities in the second sketch.
+WORDS = 4
 #: Lines of a segment's key that a probe is compared with; beyond that they are cut finer, into PARTS segments,
 #: and two segments that have an edit each into HALVES each.
 HOT, PARTS, HALVES = 512, 6, 3
@@ -150,6 +154,21 @@ def pair_parities(line: Column) -> Column:
     return let(chars, lambda c: F.aggregate(F.zip_with(F.slice(c, 2, F.size(c) - 1), F.slice(c, 1, F.size(c) - 1), bit), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(x)))
 
 
+def second_sketch(line: Column) -> Column:
+    """64 parities of the hashes of a line's characters (c), and 64 of those of its neighbouring characters in each of WORDS
+    words (w0 and so on) to which the pairs are dealt."""
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    bit = lambda h: F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int"))
+    chars = F.regexp_extract_all(F.concat(F.lit(" "), line, F.lit(" ")), F.lit("(?s)."), F.lit(0))
+    hashes = let(chars, lambda c: F.zip_with(F.slice(c, 2, F.size(c) - 1), F.slice(c, 1, F.size(c) - 1), lambda x, y: F.struct(F.xxhash64(x).alias("c"), F.xxhash64(x, y).alias("w"))))
+
+    def step(acc: Column, h: Column) -> Column:
+        dealt = F.pmod(F.shiftright(h["w"], 6), F.lit(WORDS))
+        return F.struct(acc["c"].bitwiseXOR(bit(h["c"])).alias("c"), *[acc[f"w{k}"].bitwiseXOR(F.when(dealt == k, bit(h["w"])).otherwise(zero)).alias(f"w{k}") for k in range(WORDS)])
+
+    return F.aggregate(hashes, F.struct(zero.alias("c"), *[zero.alias(f"w{k}") for k in range(WORDS)]), step)
+
+
 def _between_ends(x: Column, y: Column, keep: int) -> Column:
     """(x, y) without what both begin and end with, but for `keep` characters of it or a few more on each side."""
 
@@ -236,14 +255,20 @@ def split_lines(docs: DataFrame) -> DataFrame:
 
 def _met(index: DataFrame, probe: DataFrame, edits: int) -> DataFrame:
     """Pairs (a, a2), a < a2, of lines that share a key and may link by their sketches (and, where two segments
-    have an edit each, differ in both)."""
+    have an edit each, differ in both); with the lines (line), or what their key leaves out (x, y), only those within edits."""
     ok = (F.col("a") != F.col("a2")) & (F.bit_count(F.col("p").bitwiseXOR(F.col("p2"))) <= 3 * edits)
     if "q" in index.columns:
-        ok = ok & (F.bit_count(F.col("q").bitwiseXOR(F.col("q2"))) <= 4 * edits)
+        apart = lambda w: F.bit_count(F.col(f"q.{w}").bitwiseXOR(F.col(f"q2.{w}")))
+        ok = ok & (apart("c") <= 2 * edits) & (sum((apart(f"w{k}") for k in range(1, WORDS)), apart("w0")) <= 4 * edits)
     if "hi" in index.columns:
         ok = ok & (F.col("hi").isNull() | ((F.col("hi") != F.col("hi2")) & (F.col("hj") != F.col("hj2"))))
     probe = probe.select(*[F.col(c).alias(f"{c}2") for c in probe.columns])
     pair = F.least("a", "a2").alias("a"), F.greatest("a", "a2").alias("a2")
+    if "line" in index.columns:
+        # After the sketches, so it is computed for few of a key's pairs. This is work, not volume: keys are dealt out, however small they are.
+        told, parts = F.levenshtein("line", "line2", edits), int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        probe, index = probe.repartition(parts, "key2"), index.repartition(parts, "key")
+        return probe.join(index, (F.col("key2") == F.col("key")) & ok & (told >= 0)).select(*pair, told.alias("distance"))
     both = probe.join(index, (F.col("key2") == F.col("key")) & ok)
     if "x" not in index.columns:
         return both.select(*pair, F.lit(None).cast("int").alias("distance"))
@@ -306,8 +331,8 @@ def link_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
         hot = index.union(probe).join(crowded, "key", "left_semi").select("a").distinct()
         index = index.join(crowded, "key", "left_anti")
         texts = _texts(docs, stash(classes.join(hot, "a", "left_semi").select(F.col("first").alias("at")), "line-places"))
-        texts = stash(texts.select(F.xxhash64("line").alias("a"), word_parities(F.col("line")).alias("p"), pair_parities(F.col("line")).alias("q"), "line"), "hot-texts")
-        again = [texts.select("a", "p", "q", F.explode(k).alias("key")).join(crowded, "key", "left_semi") for k in segment_keys(F.col("line"), F.length("line"), edits)]
+        texts = stash(texts.select(F.xxhash64("line").alias("a"), word_parities(F.col("line")).alias("p"), second_sketch(F.col("line")).alias("q"), "line"), "hot-texts")
+        again = [texts.select("a", "p", "q", "line", F.explode(k).alias("key")).join(crowded, "key", "left_semi") for k in segment_keys(F.col("line"), F.length("line"), edits)]
         very = crowded.where((F.col("n") > HOT) & F.lit(edits in (1, 2))).select("key")
         found.append(_met(again[0].join(very, "key", "left_anti"), again[1], edits))
         if not very.isEmpty():

@@ -592,6 +592,41 @@ def test_sketches_differ_little_within_edits(spark):
     assert words <= 6 and pairs <= 8
 
 
+def test_second_sketches_differ_little_within_edits(spark):
+    rows = []
+    for _ in range(400):
+        x = [rng.choice("ab cd😀") for _ in range(40)]
+        y = list(x)
+        for _ in range(2):
+            at = rng.randrange(len(y))
+            y[at : at + rng.randrange(2)] = rng.choices("xa ", k=rng.randrange(2))
+        rows.append(("".join(x), "".join(y)))
+    q, q2 = lines.second_sketch(F.col("x")), lines.second_sketch(F.col("y"))
+    df = spark.createDataFrame(rows, "x string, y string").select(q.alias("q"), q2.alias("q2"))
+    apart = lambda w: F.bit_count(F.col(f"q.{w}").bitwiseXOR(F.col(f"q2.{w}")))
+    chars, pairs = df.agg(F.max(apart("c")), F.max(sum((apart(f"w{k}") for k in range(1, lines.WORDS)), apart("w0")))).first()
+    assert chars <= 4 and pairs <= 8
+
+
+def test_crowd_makes_no_rows_but_its_links(spark, monkeypatch):
+    """Variants of a line that each have some other word: few are linked, and no other pair becomes a row."""
+    kept, stash = {}, lines.stash
+    monkeypatch.setattr(lines, "stash", lambda df, label: kept.setdefault(label, stash(df, label)))
+    monkeypatch.setattr(lines, "CROWD", 0)
+    base, texts = rng.choices(WORDS, k=40), set()
+    for _ in range(60):
+        words = list(base)
+        at = rng.randrange(40)
+        words[at] += "".join(rng.choices("abcdefghij", k=4))
+        texts |= {" ".join(words), " ".join([*words[:at], words[at][:-1] + "z", *words[at + 1 :]])}
+    texts = sorted(texts)
+    _, links = lines.link_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    want = {(i, j): distance(x, texts[j]) for i, x in enumerate(texts) for j in range(i + 1, len(texts)) if (Counter(x) - Counter(texts[j])).total() <= 2}
+    want = {(i, j, d) for (i, j), d in want.items() if d <= 2}
+    assert {(*sorted((r["first"].doc_id, r["first2"].doc_id)), r.distance) for r in links.collect()} == want
+    assert len(want) >= 50 and kept["line-pairs"].count() == len(want)
+
+
 def test_distance_between_common_ends(spark):
     rows = []
     for _ in range(300):
