@@ -8,6 +8,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 import numpy as np
@@ -17,6 +18,8 @@ from xxhash import xxh3_64_intdigest
 
 #: Rows in an Arrow batch handed to Python; with whole texts as rows this bounds a worker's memory.
 ARROW_ROWS = 500
+#: Spark's setting by which shuffle files are removed at the end of a query.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +51,17 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession):
+    """Within, a query's shuffle files go when it ends (from Spark 4.1 on), not when the driver happens to collect its garbage."""
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+
+
 def drop_stash(*frames: DataFrame) -> None:
     """Removes stashes that no later plan reads."""
     for df in frames:

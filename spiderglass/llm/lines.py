@@ -8,7 +8,8 @@ Candidates: a line of length l is cut into EDITS + 1 segments; EDITS edits leave
 probing line of length n looks, for every length l from n - EDITS to n, at the substrings that can still
 stand against each segment (multi-match-aware windows: their number depends on EDITS only). Index and
 probe keys are hashes of (length, segment, substring) and meet in an equi-join. Equal lines are merged,
-with partial aggregates, before any key travels.
+with partial aggregates, before any key travels. Every key of a line is written and shuffled once: the probes that are its
+index keys too are the index joined with itself.
 
 Before a pair becomes a row, the join compares sketches of its lines: 64 parities of hashed words. An edit
 changes three words at most (a blank put in or taken out makes two words of one, or one of two), so lines
@@ -46,7 +47,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import clean, let, stash, table
+from .common import clean, freed_shuffles, let, stash, table
 
 EDITS, MIN_CHARS = 2, 24
 #: Lines of a segment's key beyond which they get the second sketch.
@@ -76,18 +77,21 @@ def _each(line: Column, n: Column, params: list[tuple], body) -> Column:
 
 
 def segment_keys(line: Column, n: Column, edits: int) -> tuple[Column, Column]:
-    """Index keys and probe keys of a line."""
+    """Index keys of a line, and those of its probe keys that are not among them."""
     parts, probes = edits + 1, []
     for shorter in range(edits + 1):
         for i in range(edits + 1):
             low, high = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
-            probes += [(shorter, i, move) for move in range(low, high + 1)]
+            # Lines of one length probe each other. With one edit before and one after the middle segment it has moved right in one
+            # of them, and stands in the other's probe; or the later edit is at its very end, and the last segment is the same.
+            low = 0 if shorter == 0 and edits <= 2 else low
+            probes += [(shorter, i, move) for move in range(low, high + 1) if shorter or move]
 
     def key(shorter: int, i: int, move: int) -> Column:
         start, size = _segment(n - shorter, F.lit(i), parts)
         return F.xxhash64(n - shorter, F.lit(i), F.substring(line, start + move, size))
 
-    return F.array(*[key(0, i, 0) for i in range(parts)]), F.array(*[key(*p) for p in probes])
+    return F.array(*[key(0, i, 0) for i in range(parts)]), F.array(*[key(*p) for p in probes]).cast("array<long>")
 
 
 def finer_cuts(g: Column, x: Column, n: Column, edits: int, parts: int) -> tuple[Column, Column]:
@@ -255,28 +259,31 @@ def split_lines(docs: DataFrame) -> DataFrame:
 
 def _met(index: DataFrame, probe: DataFrame, edits: int) -> DataFrame:
     """Pairs (a, a2), a < a2, of lines that share a key and may link by their sketches (and, where two segments
-    have an edit each, differ in both); with the lines (line), or what their key leaves out (x, y), only those within edits."""
-    ok = (F.col("a") != F.col("a2")) & (F.bit_count(F.col("p").bitwiseXOR(F.col("p2"))) <= 3 * edits)
-    if "q" in index.columns:
-        apart = lambda w: F.bit_count(F.col(f"q.{w}").bitwiseXOR(F.col(f"q2.{w}")))
-        ok = ok & (apart("c") <= 2 * edits) & (sum((apart(f"w{k}") for k in range(1, WORDS)), apart("w0")) <= 4 * edits)
-    if "hi" in index.columns:
-        ok = ok & (F.col("hi").isNull() | ((F.col("hi") != F.col("hi2")) & (F.col("hj") != F.col("hj2"))))
-    probe = probe.select(*[F.col(c).alias(f"{c}2") for c in probe.columns])
-    pair = F.least("a", "a2").alias("a"), F.greatest("a", "a2").alias("a2")
-    if "line" in index.columns:
+    have an edit each, differ in both); with the lines (line), or what their key leaves out (x, y), only those within edits.
+    The index as its own probe is shuffled once: both sides are the same exchange."""
+    columns, same = index.columns, probe is index
+    one, two = (lambda c: F.col(f"index.{c}")), (lambda c: F.col(f"probe.{c}"))
+    ok = (one("a") < two("a")) if same else (one("a") != two("a"))
+    apart = lambda c: F.bit_count(one(c).bitwiseXOR(two(c)))
+    ok = (one("key") == two("key")) & ok & (apart("p") <= 3 * edits)
+    if "q" in columns:
+        ok = ok & (apart("q.c") <= 2 * edits) & (sum((apart(f"q.w{k}") for k in range(1, WORDS)), apart("q.w0")) <= 4 * edits)
+    if "hi" in columns:
+        ok = ok & (one("hi").isNull() | ((one("hi") != two("hi")) & (one("hj") != two("hj"))))
+    pair = F.least(one("a"), two("a")).alias("a"), F.greatest(one("a"), two("a")).alias("a2")
+    if "line" in columns:
         # After the sketches, so it is computed for few of a key's pairs. This is work, not volume: keys are dealt out, however small they are.
-        told, parts = F.levenshtein("line", "line2", edits), int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        probe, index = probe.repartition(parts, "key2"), index.repartition(parts, "key")
-        return probe.join(index, (F.col("key2") == F.col("key")) & ok & (told >= 0)).select(*pair, told.alias("distance"))
-    both = probe.join(index, (F.col("key2") == F.col("key")) & ok)
-    if "x" not in index.columns:
+        told, parts = F.levenshtein(one("line"), two("line"), edits), int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        probe, index = probe.repartition(parts, "key"), index.repartition(parts, "key")
+        return probe.alias("probe").join(index.alias("index"), ok & (told >= 0)).select(*pair, told.alias("distance"))
+    both = probe.alias("probe").join(index.alias("index"), ok)
+    if "x" not in columns:
         return both.select(*pair, F.lit(None).cast("int").alias("distance"))
     # What the key leaves out tells the distance, where it is short enough to travel; else the texts will.
-    dx, dy = (F.levenshtein(F.col(c), F.col(f"{c}2"), edits) for c in "xy")
-    one = F.col("hi").isNull()
-    there = F.col("x").isNotNull() & F.col("x2").isNotNull() & (one | (F.col("y").isNotNull() & F.col("y2").isNotNull()))
-    told = both.select(*pair, F.when(there, F.when(one, dx).when((dx < 0) | (dy < 0), -1).otherwise(dx + dy)).alias("distance"))
+    dx, dy = (F.levenshtein(one(c), two(c), edits) for c in "xy")
+    alone = one("hi").isNull()
+    there = one("x").isNotNull() & two("x").isNotNull() & (alone | (one("y").isNotNull() & two("y").isNotNull()))
+    told = both.select(*pair, F.when(there, F.when(alone, dx).when((dx < 0) | (dy < 0), -1).otherwise(dx + dy)).alias("distance"))
     return told.where((F.col("distance").isNull()) | F.col("distance").between(0, edits))
 
 
@@ -332,15 +339,16 @@ def link_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
         index = index.join(crowded, "key", "left_anti")
         texts = _texts(docs, stash(classes.join(hot, "a", "left_semi").select(F.col("first").alias("at")), "line-places"))
         texts = stash(texts.select(F.xxhash64("line").alias("a"), word_parities(F.col("line")).alias("p"), second_sketch(F.col("line")).alias("q"), "line"), "hot-texts")
-        again = [texts.select("a", "p", "q", "line", F.explode(k).alias("key")).join(crowded, "key", "left_semi") for k in segment_keys(F.col("line"), F.length("line"), edits)]
+        own, other = segment_keys(F.col("line"), F.length("line"), edits)
+        again = [texts.select("a", "p", "q", "line", F.explode(k).alias("key")).join(crowded, "key", "left_semi") for k in (own, F.concat(own, other))]
         very = crowded.where((F.col("n") > HOT) & F.lit(edits in (1, 2))).select("key")
         found.append(_met(again[0].join(very, "key", "left_anti"), again[1], edits))
         if not very.isEmpty():
             # Both ends of a pair under a hot key are cut finer, so that the pair meets there.
-            ends = again[0].union(again[1]).join(very, "key", "left_semi").select("a").distinct()
+            ends = again[1].join(very, "key", "left_semi").select("a").distinct()
             rows = texts.join(ends, "a", "left_semi").select(F.lit(0).cast("long").alias("g"), "a", "p", "q", F.col("line").alias("x"), F.lit(None).cast("string").alias("y"))
             found += _finer(stash(rows, "hot-rows"), edits, HOT)
-    pairs = _met(index, probe, edits)
+    pairs = _met(index, probe, edits).union(_met(index, index, edits))
     for more in found:
         pairs = pairs.union(more)
     lone = classes.select("a", "b", "first")
@@ -370,7 +378,8 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     n_links (different lines within edits), and removed (an earlier line is equal or linked). With `short`,
     lines under min_chars too have their exact class."""
     docs = docs.select("doc_id", "text")
-    classes, links = link_lines(docs, edits, min_chars, short)
+    with freed_shuffles(docs.sparkSession):
+        classes, links = link_lines(docs, edits, min_chars, short)
     ends = links.select("a", "b", (F.col("first2") < F.col("first")).alias("late")).union(links.select("a2", "b2", (F.col("first") < F.col("first2")).alias("late")))
     degree = ends.groupBy("a", "b").agg(F.count("*").alias("n_links"), F.max("late").alias("late"))
     known = classes.join(degree, ["a", "b"], "left").select("a", "b", "first", "copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("late", F.lit(False)).alias("late"))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from zlib import crc32
 
@@ -627,6 +628,38 @@ def test_crowd_makes_no_rows_but_its_links(spark, monkeypatch):
     assert len(want) >= 50 and kept["line-pairs"].count() == len(want)
 
 
+@pytest.mark.parametrize("edits,most", [(1, 4), (2, 11)])
+def test_keys_of_a_line_are_written_once(spark, edits, most):
+    """No key is both in the index and a probe, and lines within the edits meet by those that are left."""
+    rng, rows = random.Random(edits), []
+    for _ in range(3000):
+        letters = rng.choice(["ab", "abcdefgh"])
+        x = rng.choices(letters, k=rng.randrange(24, 50))
+        y = list(x)
+        for _ in range(edits):
+            at = rng.randrange(len(y))
+            y[at : at + rng.randrange(2)] = rng.choices(letters, k=rng.randrange(2))
+        rows.append(("".join(x), "".join(y)))
+    df = spark.createDataFrame(rows, "x string, y string")
+    (i, p), (i2, p2) = (lines.segment_keys(F.col(c), F.length(c), edits) for c in "xy")
+    df = df.select((F.arrays_overlap(i, i2) | F.arrays_overlap(p, i2) | F.arrays_overlap(i, p2)).alias("meet"), (F.col("x").contains("c") & F.arrays_overlap(i, p)).alias("twice"), (F.size(i) + F.size(p)).alias("n"))
+    assert df.agg(F.min("meet"), F.max("twice"), F.max("n")).first() == (True, False, most)
+
+
+def test_links_leave_no_shuffle_files(spark):
+    def shuffles():
+        of = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {x.rpartition("/")[2].split("_")[1] for x in of.split("\n") if "/shuffle_" in x}
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffles(), spark.conf.get(name)
+    lines.line_classes(spark.createDataFrame([(i, f"a line of which there are some, say {i} of them") for i in range(50)], "doc_id long, text string"))
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.1)
+    assert shuffles() <= before and spark.conf.get(name) == setting
+
+
 def test_distance_between_common_ends(spark):
     rows = []
     for _ in range(300):
